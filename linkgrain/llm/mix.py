@@ -60,42 +60,49 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST, block_ro
     )
 
 
+def _let(body, **values: Column) -> Column:
+    """``body`` of the named values, each computed once."""
+    bound = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.element_at(F.transform(bound, body), 1)
+
+
 def _hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Column:
     """How many of ``good`` among ``draws`` of ``total``, by inverse distribution at ``u``.
 
     Weights are relative to the mode and cover 12 standard deviations to either
     side, beyond which less than 1e-30 lies.
     """
-    total, good, draws = total.cast("double"), good.cast("double"), draws.cast("double")
-    low, high = F.greatest(F.lit(0.0), draws + good - total), F.least(good, draws)
-    mode = F.least(high, F.greatest(low, F.floor((draws + 1) * (good + 1) / (total + 2)).cast("double")))
-    spread = F.ceil(12 * F.sqrt(draws * (good / total) * (1 - good / total)) + 12).cast("double")
-    a, b = F.greatest(low, mode - spread), F.least(high, mode + spread)
-
-    def ratio(k: Column) -> Column:  # p(k + 1) / p(k)
-        return (good - k) * (draws - k) / ((k + 1) * (total - good - draws + k + 1))
-
-    steps = F.sequence(F.lit(0), (b - a).cast("int"))
-    down = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), (mode - a).cast("int"))),
-        F.array(F.lit(1.0)),
-        lambda acc, i: F.when(i == 0, acc).otherwise(F.concat(acc, F.array(F.element_at(acc, -1) / ratio(mode - i)))),
-    )
-    up = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), (b - mode).cast("int"))),
-        F.array(F.lit(1.0)),
-        lambda acc, i: F.when(i == 0, acc).otherwise(F.concat(acc, F.array(F.element_at(acc, -1) * ratio(mode + i - 1)))),
-    )
-    weights = F.concat(F.reverse(F.slice(down, F.lit(2), F.size(down))), up)
-    mass = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
-    found = F.aggregate(
-        F.arrays_zip(steps.alias("k"), weights.alias("w")),
-        F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("k")),
-        lambda acc, x: F.struct((acc["s"] + x["w"]).alias("s"), F.when((acc["k"] < 0) & (acc["s"] + x["w"] >= u * mass), x["k"]).otherwise(acc["k"]).alias("k")),
-        lambda acc: acc["k"],
-    )
-    drawn = F.when(found < 0, high).otherwise(a + found)
-    return F.when((good <= 0) | (draws <= 0), F.lit(0.0)).when(draws >= total, good).otherwise(drawn).cast("long")
+
+    def bounds(p: Column) -> Column:
+        low, high = F.greatest(F.lit(0.0), p["d"] + p["g"] - p["t"]), F.least(p["g"], p["d"])
+        mode = F.floor((p["d"] + 1) * (p["g"] + 1) / (p["t"] + 2)).cast("double")
+        spread = F.ceil(12 * F.sqrt(p["d"] * (p["g"] / p["t"]) * (1 - p["g"] / p["t"])) + 12).cast("double")
+        return _let(lambda q: walk(p, q), low=low, high=high, mode=F.least(high, F.greatest(low, mode)), spread=spread)
+
+    def walk(p: Column, q: Column) -> Column:
+        def ratio(k: Column) -> Column:  # p(k + 1) / p(k)
+            return (p["g"] - k) * (p["d"] - k) / ((k + 1) * (p["t"] - p["g"] - p["d"] + k + 1))
+
+        def chain(steps: Column, factor) -> Column:
+            return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), steps.cast("int"))), F.array(F.lit(1.0)), lambda acc, i: F.when(i > steps, acc).otherwise(F.concat(acc, F.array(F.element_at(acc, -1) * factor(i)))))
+
+        first = F.greatest(q["low"], q["mode"] - q["spread"])
+        down = chain(q["mode"] - first, lambda i: 1 / ratio(q["mode"] - i))
+        up = chain(F.least(q["high"], q["mode"] + q["spread"]) - q["mode"], lambda i: ratio(q["mode"] + i - 1))
+        weights = F.concat(F.reverse(F.slice(down, F.lit(2), F.size(down))), up)
+        return _let(lambda r: first + place(r["w"], p["u"] * F.aggregate(r["w"], F.lit(0.0), lambda s, x: s + x)), w=weights)
+
+    def place(weights: Column, mass: Column) -> Column:
+        """How many leading weights stay below the mass."""
+        return F.aggregate(
+            weights,
+            F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k")),
+            lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.when(acc["s"] + x < mass, acc["k"] + 1).otherwise(acc["k"]).alias("k")),
+            lambda acc: F.least(acc["k"], F.size(weights) - 1),
+        )
+
+    drawn = _let(bounds, t=total.cast("double"), g=good.cast("double"), d=draws.cast("double"), u=u)
+    return F.when((good <= 0) | (draws <= 0), F.lit(0.0)).when(draws >= total, good.cast("double")).otherwise(drawn).cast("long")
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
@@ -117,8 +124,8 @@ def split_quotas(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
         left = F.floor(total * ((mid - F.col("lo")) / (F.col("hi") - F.col("lo")))).cast("long")
         empty = F.expr("cast(array() as array<bigint>)")
 
-        def draw(acc, q, level=level):
-            u = (unit_hash(seed, F.lit(level), F.col("lo"), q["_source"], q["first"]) + F.lit(0.5)) / float(HASH_SPACE)
+        def draw(acc, q):
+            u = (unit_hash(f"{seed}-{level}", F.col("lo"), q["_source"], q["first"]) + F.lit(0.5)) / float(HASH_SPACE)
             got = _hypergeometric(acc["rest"], q["n"], acc["want"], u)
             return F.struct((acc["rest"] - q["n"]).alias("rest"), (acc["want"] - got).alias("want"), F.concat(acc["out"], F.array(got)).alias("out"))
 
