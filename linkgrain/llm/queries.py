@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mix, tokens, toxicity, warc
+from . import decontaminate, html_text, language, mix, near, suffix, tokens, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op2_near_duplicates(spark, sf_dir):
+    return near.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op3_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -21,6 +29,14 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_text(spark, sf_dir):
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op6_topk_search(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op7_source_mix(spark, sf_dir):
     return mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -37,7 +53,7 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_toxicity, op7_source_mix, op8_language_id, op9_warc, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_near_duplicates, op3_token_counts, op4_toxicity, op5_html_text, op6_topk_search, op7_source_mix, op8_language_id, op9_warc, op10_decontamination)}
 
 OP7_SQL = r"""
 WITH sizes AS (
@@ -74,4 +90,30 @@ SELECT page_id, n AS payload_bytes,
 FROM d
 """
 
-SQL = {"op7_source_mix": OP7_SQL, "op9_warc": OP9_SQL}
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs) WHERE rank <= 5
+"""
+
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+classes AS (SELECT list_sort(s) AS k, min(doc_id) AS id, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), len(s)),
+items AS (SELECT id, n, unnest(k) AS x FROM classes),
+shared AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM items a JOIN items b ON a.x = b.x AND a.id < b.id GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 80 * (na + nb - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT id AS a, id AS b FROM classes UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+named AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(m.component, d.doc_id) AS component_id, coalesce(m.component, d.doc_id) = d.doc_id AS kept
+FROM sets d LEFT JOIN classes c ON list_sort(d.s) = c.k LEFT JOIN named m ON m.id = c.id
+"""
+
+SQL = {"op2_near_duplicates": OP2_SQL, "op6_topk_search": OP6_SQL, "op7_source_mix": OP7_SQL, "op9_warc": OP9_SQL}
