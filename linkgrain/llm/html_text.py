@@ -31,10 +31,11 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter subscribe subscription signup popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets related recommended recommendations share sharing social comment comments disqus respond replies footer masthead toolbar pagination pager login paywall".split()
+MARKS = re.compile(
+    r"ads?|ad(?:vert\w*|box|slot|unit|sense|banner|space)|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notices?|alerts?|announcements?|newsletter\w*|subscri\w*|signup|popup|modal|overlay"
+    r"|nav|navbar|navigation|menus?|breadcrumbs?|sidebar\w*|sidenav|widgets?|related|recommended|recommendations|share|sharing|social|comments?|commentlist|disqus|respond|replies|footer|masthead|toolbar|topbar|pagination|pager|login|paywall"
 )
-COMMENTS = frozenset("comment comments disqus respond replies".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _DIGITS = re.compile(r"\d+")
 
@@ -114,11 +115,12 @@ class Page(HTMLParser):
         names = {x.lower() for v in (a.get("class"), a.get("id")) if v for x in _TOKEN.findall(v)}
         if tag in ("article", "main", "body", "html"):
             return bool(names & COMMENTS) and tag in ("article",)
-        if tag == "header":
+        if tag == "header" or "header" in names and tag in ("div", "section"):
+            # An article's own header has its title.
             return not any(self.tags[x] in ("article", "main") for x in self.above(k))
         if tag in DROPPED or a.get("role") in ROLES or "hidden" in a or a.get("aria-hidden") == "true":
             return True
-        return bool(names & MARKS) or "display:none" in (a.get("style") or "").replace(" ", "").lower()
+        return any(map(MARKS.fullmatch, names)) or "display:none" in (a.get("style") or "").replace(" ", "").lower()
 
     def above(self, k: int):
         k = self.parents[k]
