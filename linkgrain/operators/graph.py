@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import REVIEWED, SEMANTIC, STALE
+from ..scratch import kept
 
 WHY_PREDICATES = ("work", "satisfies", "implements", "addresses", "derived_from")
 # What a path is worth for the types on it, and their order from intent to code.
@@ -15,15 +14,6 @@ PRESENCE = {"work": 100, "requirement": 90, "decision": 80, "plan": 70}
 POSITION = {"work": 0, "requirement": 1, "decision": 2, "plan": 3, "implementation": 4}
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage of a hop with a written table, which a lost executor does not take along."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/linkgrain/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def steps(edges: DataFrame, direction: str, predicates=None) -> DataFrame:
     """(here, there, p, f, t) moves along the edges."""
     if direction not in ("out", "in", "both"):
@@ -51,7 +41,7 @@ def walk(start: DataFrame, nodes: DataFrame, edges: DataFrame, *, direction: str
     for hop in range(1, depth + 1):
         reached = frontier.select(F.col("trace_id").alias("here")).join(moves, "here").select(F.col("there").alias("trace_id")).distinct()
         reached = reached.join(there, "trace_id", "left_semi").join(seen.select("trace_id"), "trace_id", "left_anti")
-        frontier = _kept(reached.withColumn("depth", F.lit(hop)), "hop")
+        frontier = kept(reached.withColumn("depth", F.lit(hop)), "hop")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -89,7 +79,7 @@ def why_paths(start: DataFrame, nodes: DataFrame, edges: DataFrame, *, hops: int
     for _ in range(hops):
         grown = paths.join(moves, "at", "left").withColumn("fresh", F.col("there").isNotNull() & ~F.array_contains("chain", F.col("there")))
         more = F.max(F.col("fresh").cast("int")).over(Window.partitionBy("trace_id", "chain"))
-        grown = _kept(grown.withColumn("more", more), "why")
+        grown = kept(grown.withColumn("more", more), "why")
         ended = grown.filter("more = 0").select("trace_id", "chain", "types").distinct()
         done = ended if done is None else done.unionByName(ended)
         paths = grown.filter("fresh").select("trace_id", F.col("there").alias("at"), F.concat("chain", F.array("there")).alias("chain"), F.concat("types", F.array("kind")).alias("types"))

@@ -175,6 +175,7 @@ RELEASE_RULES = ("TL002", "TL010", "TL011", "TL012", "TL014", "TL020", "TL021",
 
 
 def release_findings(b):
+    b.stored("nodes", "edges")
     waivers = b.spark.createDataFrame([("TL020", None, "docs/req7.md", "platform", "2030-01-01", 0), ("TL010", None, None, "late", "2020-01-01", 1)], "rule string, trace_id string, path string, owner string, expires string, pos int").withColumn("expires", F.col("expires").cast("date"))
     # The audit gate has its own query: its finding is one constant row.
     return policy.evaluate(context(b, revision="rev1", per_test=True, lifecycle="release", waivers=waivers, audit={"schema": "audit-result/v1"}), "strict")
@@ -371,16 +372,19 @@ def walk_sql(start, direction, depth, where=""):
 
 @query(walk_sql("'PRD-N3'", "in", 3))
 def g01_walk_in(b):
+    b.stored("nodes", "edges")
     return graph.walk(b.nodes.filter("trace_id = 'PRD-N3'"), b.nodes, b.edges, direction="in", depth=3, max_nodes=None)
 
 
 @query(walk_sql("'impl.o7', 'impl.o14'", "both", 2))
 def g02_subgraph(b):
+    b.stored("nodes", "edges")
     return graph.walk(b.nodes.filter("trace_id in ('impl.o7', 'impl.o14')"), b.nodes, b.edges, direction="both", depth=2, max_nodes=None)
 
 
 @query("select w.trace_id, w.depth, n.node_type, n.node_type = 'test' as is_test, n.status <> 'current' as stale from (" + walk_sql("'REQ-C5', 'REQ-C11', 'PRD-N7'", "in", 3) + ") w join {nodes} n on n.trace_id = w.trace_id where w.depth > 0")
 def g03_impact(b):
+    b.stored("nodes", "edges")
     return graph.impact(b.nodes.filter("trace_id in ('REQ-C5', 'REQ-C11', 'PRD-N7')"), b.nodes, b.edges, depth=3, max_nodes=None)
 
 
@@ -394,11 +398,13 @@ def g03_impact(b):
    + 2 * list_sum(list_transform(range(1, len(pos) + 1), lambda i: len(list_filter(pos[1:i], lambda y: y < pos[i])))) - hops as score from scored)
  select trace_id, chain, cast(hops as int) as hops, cast(score as int) as score, cast(rn as int) as rank from (select *, row_number() over (partition by trace_id order by score desc, hops, chain) as rn from (select distinct * from ranked) d) z where rn <= 5""")
 def g04_why_paths(b):
+    b.stored("nodes", "edges")
     return graph.why_paths(b.nodes.filter("node_type = 'implementation' and path = 'src/m7.py'"), b.nodes, b.edges)
 
 
 @query("select n.trace_id, case when n.status = 'stale_review_required' and w.trace_id is not null then 'reviewed_needs_verification' else n.status end as status from {nodes} n left join (" + walk_sql("'REQ-C5'", "both", 2) + ") w on w.trace_id = n.trace_id")
 def g07_review(b):
+    b.stored("nodes", "edges")
     return graph.review(b.nodes.filter("trace_id = 'REQ-C5'"), b.nodes, b.edges, depth=2).select("trace_id", "status")
 
 
@@ -467,6 +473,7 @@ AROUND = "(select n.* from {nodes} n where n.trace_id in (select t from {edges}
 
 @query("select section, item, cast(rn as int) as rank from (select section, item, row_number() over (partition by section order by item) as rn from (select distinct section, item from (select 'work' as section, trace_id as item from " + AROUND + " a where node_type = 'work' union all select 'requirements', trace_id from " + AROUND + " a where node_type = 'requirement' union all select 'implementation', trace_id from " + OWN + " o where node_type = 'implementation' union all select 'verification', l.test || ' ' || l.impl from " + LEVELS + " l where l.level >= 1 and l.impl in (select trace_id from " + OWN + " o) union all select 'health', trace_id from " + AROUND + " a where status = 'stale_review_required' union all select 'unexpected', path from {changes} where path not in (select path from {nodes} where active)) u) v) z where rn <= 20")
 def q11_pr_report(b):
+    b.stored("nodes", "edges")
     return reports.pr_report(b.nodes, b.edges, b.changes, b.executions)
 
 

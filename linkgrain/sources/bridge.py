@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import kept
+
 VIEWS = {
     "decl": """
 select 'goal.r'||cast(r_regionkey as string) trace_id,'goal' node_type,'docs/goals.md' path, cast(r_regionkey*10+1 as int) s, cast(r_regionkey*10+9 as int) e, 'current' status, true active from {region}
@@ -69,6 +71,12 @@ class Bridge:
                 raise AttributeError(name)
         return self.known[name]
 
+    def stored(self, *names: str) -> Bridge:
+        """Views that several parts of a plan read are computed once, as tables."""
+        for n in names:
+            self.known[n] = kept(getattr(self, n), n)
+        return self
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{n: getattr(self, n) for n in uses(text)})
 
