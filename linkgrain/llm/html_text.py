@@ -13,10 +13,12 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 #: A subtree is template from so many different pages of its host on, and from such a part of them.
 MIN_PAGES = 5
 MIN_SHARE = 0.2
@@ -223,8 +225,11 @@ def site_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
 
     seen = rows.mapInArrow(run, "host string, subtree bigint, page bigint")
     counts = seen.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    own = counts.withColumn("all", F.max(F.when(F.col("subtree") == 0, F.col("n"))).over(Window.partitionBy("host")))
-    return own.filter((F.col("subtree") != 0) & (F.col("n") >= min_share * F.col("all"))).groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"))
+    counts = written(counts, "html-counts")
+    whole = counts.filter("subtree = 0").select("host", F.col("n").alias("all"))
+    own = counts.filter("subtree <> 0").join(whole, "host").filter(F.col("n") >= min_share * F.col("all"))
+    # Written, so that AQE can split the join with a host's very many pages.
+    return written(own.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template")), "html-templates")
 
 
 def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
