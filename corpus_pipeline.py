@@ -24,8 +24,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows without an id go too, as no later stage could name them.
     """
     named = docs.filter(F.col("doc_id").isNotNull())
-    kept = language.predicted_languages(named).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
-    return _semi(named, kept)
+    return language.accepted(named, language.fold_model(named), LEAST_SHARE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,14 +50,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per copy that the mix takes: shard, position, doc_id, source, lang, epoch, words, text (cut after ``words`` words where the target ends)."""
     plan = written(mix.mix_sources(docs), "mix-plan")
-    rows = mix.mixed_rows(plan).drop("source").join(docs.select("doc_id", "source", "lang", "text"), "doc_id")
+    # One plan at every size: the copies grow with the documents.
+    rows = mix.mixed_rows(plan).drop("source").join(docs.select("doc_id", "source", "lang", "text").hint("merge"), "doc_id")
     pieces = F.split("text", "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
     text = F.when(F.col("words") < F.regexp_count("text", F.lit(mix.WORD)), F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")).otherwise(F.col("text"))
     return rows.withColumn("text", text).select("shard", "position", "doc_id", "source", "lang", "epoch", "words", "text")
 
 
 def _semi(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return docs.join(written(kept.select("doc_id").distinct(), "kept"), "doc_id", "left_semi").select(docs.columns)
+    return docs.join(written(kept.select("doc_id").distinct(), "kept").hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
 
 STAGES = [

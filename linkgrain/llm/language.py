@@ -141,6 +141,21 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
     return Model(summed(rows.mapInArrow(run, SCHEMA), SLOTS))
 
 
+def _predictions(texts: pa.Array, model: Model) -> list[tuple[str, float, list[tuple[str, float]]]]:
+    """``Model.predict`` for a column of texts, with ``und`` where a text has no letter."""
+    out = []
+    for _, _, w in text_chunks(texts):
+        ascii_letter = np.add.reduceat(np.append(_LETTER[w.raw] & (w.raw < 128), False).astype(np.int64), np.minimum(w.text_offsets[:-1], len(w.raw)))
+        empty = np.diff(w.text_offsets) == 0
+        for k, (lang, score, part) in enumerate(model.predict(w.raw, w.text_offsets)):
+            if lang != "und" and (empty[k] or not ascii_letter[k]):
+                text = w.raw[w.text_offsets[k] : w.text_offsets[k + 1]].tobytes().decode()
+                if not any(map(str.isalpha, text)):
+                    lang, score, part = "und", 0.0, []
+            out.append((lang, score, part))
+    return out
+
+
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score, languages (array of language and proportion, largest first).
 
@@ -157,29 +172,36 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            langs, scores, parts = [], [], []
-            for _, _, w in text_chunks(batch.column(1)):
-                ascii_letter = np.add.reduceat(np.append(_LETTER[w.raw] & (w.raw < 128), False).astype(np.int64), np.minimum(w.text_offsets[:-1], len(w.raw)))
-                empty = np.diff(w.text_offsets) == 0
-                for k, (lang, score, part) in enumerate(held.value.predict(w.raw, w.text_offsets)):
-                    if lang != "und" and (empty[k] or not ascii_letter[k]):
-                        text = w.raw[w.text_offsets[k] : w.text_offsets[k + 1]].tobytes().decode()
-                        if not any(map(str.isalpha, text)):
-                            lang, score, part = "und", 0.0, []
-                    langs.append(lang)
-                    scores.append(score)
-                    parts.append([{"lang": a, "share": b} for a, b in part])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(parts, kind)], schema.names)
+            found = _predictions(batch.column(1), held.value)
+            langs, scores = pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())
+            parts = pa.array([[{"lang": a, "share": b} for a, b in x[2]] for x in found], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), langs, scores, parts], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, least: float, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose ``identify`` names a language with a score of at least ``least``; no row is moved."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            keep = [lang != "und" and score >= least for lang, score, _ in _predictions(batch.column(at), held.value)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(id_col: str, folds: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+def fold_model(docs: DataFrame, *, folds: int = 3, held: int = 1) -> Model:
+    return learn(docs.filter(fold("doc_id", folds) != held))
+
+
 def predicted_languages(docs: DataFrame, *, folds: int = 3, held: int = 1) -> DataFrame:
     """``identify`` with a model learned from the rows not held out; held_out is false for a null id, from which nothing is learned."""
     part = fold("doc_id", folds)
-    model = learn(docs.filter(part != held))
-    return identify(docs, model).withColumn("held_out", F.coalesce(part == held, F.lit(False)))
+    return identify(docs, fold_model(docs, folds=folds, held=held)).withColumn("held_out", F.coalesce(part == held, F.lit(False)))
