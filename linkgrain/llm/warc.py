@@ -1,7 +1,9 @@
 """Operator 9: WARC archives with a two-level capture index.
 
 Spark's text sink writes the archives, so they land through its committer in any
-store that Spark reaches.  Each record is a gzip member of its own.  A member
+store that Spark reaches.  The captures are read back through the index: tasks
+search its blocks for the wanted keys and read the records' ranges.  Each record
+is a gzip member of its own.  A member
 ends in its length, whose last byte is 0 below 16 MiB; the sink's line separator
 NUL supplies that byte, and so the files are plain ``.warc.gz`` files.
 """
@@ -17,6 +19,7 @@ import zlib
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,11 +99,15 @@ def page_of(value: str | None) -> str | None:
 
 def surt(url: str | None) -> str:
     """Reversed-host key: ``com,example)/path?query``; lower-case host without ``www.`` or port."""
-    parts = urlsplit(url or "", allow_fragments=False) if url and "]" not in url and "[" not in url else None
+    try:
+        parts = urlsplit(url or "", allow_fragments=False) if url and "]" not in url and "[" not in url else None
+    except ValueError:  # a host that NFKC would change
+        parts = None
     host = (parts.hostname or "") if parts else ""
     host = host.removeprefix("www.")
     if not host:
-        return ")" + (url or "")
+        # Tabs part the fields of a block.
+        return ")" + (url or "").replace("\t", "%09")
     return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
@@ -144,21 +151,34 @@ def read_warc(spark, path: str, id_type: T.DataType) -> DataFrame:
 
     ``sound``: a response's digest is that of the payload read.
     """
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("page", "url", "record_type", "refers", "payload_digest")] + [T.StructField("stored_bytes", T.LongType()), T.StructField("sound", T.BooleanType()), T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
-    arrow = pa.schema([*[(n, pa.string()) for n in ("page", "url", "record_type", "refers", "payload_digest")], ("stored_bytes", pa.int64()), ("sound", pa.bool_()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for file, data in zip(batch.column(0), batch.column(1), strict=True):
-                out = []
-                for at, n, h, payload in read_records(memoryview(data.as_buffer()).tobytes()):
-                    digest = h.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-                    kind = h.get("WARC-Type")
-                    out.append((page_of(h.get("WARC-Record-ID")), h.get("WARC-Target-URI"), kind, page_of(h.get("WARC-Refers-To")), digest, len(payload) if kind == "response" else None, kind != "response" or sha1_base32(payload) == digest, file.as_py(), at, n))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)] if out else [pa.array([], f.type) for f in arrow], schema=arrow)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    got = files.mapInArrow(run, schema)
+                yield _batch([_row(file.as_py(), at, n, h, payload) for at, n, h, payload in read_records(memoryview(data.as_buffer()).tobytes())])
+
+    return _named(_archives(spark, path).mapInArrow(run, RECORD), id_type)
+
+
+RECORD = "page string, url string, record_type string, refers string, payload_digest string, stored_bytes bigint, sound boolean, file string, offset bigint, length bigint"
+_ARROW = pa.schema([*[(n, pa.string()) for n in ("page", "url", "record_type", "refers", "payload_digest")], ("stored_bytes", pa.int64()), ("sound", pa.bool_()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+
+def _row(file: str, at: int, n: int, h: dict, payload: bytes) -> tuple:
+    digest = h.get("WARC-Payload-Digest", "").removeprefix("sha1:")
+    kind = h.get("WARC-Type")
+    return page_of(h.get("WARC-Record-ID")), h.get("WARC-Target-URI"), kind, page_of(h.get("WARC-Refers-To")), digest, len(payload) if kind == "response" else None, kind != "response" or sha1_base32(payload) == digest, file, at, n
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)] if rows else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
+
+
+def _archives(spark, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+
+
+def _named(got: DataFrame, id_type: T.DataType) -> DataFrame:
     as_id = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(id_type)
     return got.select(as_id("page").alias("page_id"), "url", "record_type", as_id("refers").alias("refers_to"), "payload_digest", "stored_bytes", "sound", "file", "offset", "length")
 
@@ -175,12 +195,13 @@ def captures(records: DataFrame) -> DataFrame:
 
 
 def archived(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, path: str | None = None) -> DataFrame:
-    """Writes the archives, reads them back, and returns ``captures``; an empty table gives no rows."""
+    """Writes the archives and their index (``path``-index), reads every url's captures through it, and returns ``captures``; an empty table gives no rows."""
     spark = pages.sparkSession
     path = path or f"{scratch_dir(spark)}/linkgrain/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, id_col=id_col, url_col=url_col, html_col=html_col, min_bytes=min_bytes)
-    records = written(read_warc(spark, path, pages.schema[id_col].dataType), "captures")
-    return captures(records)
+    id_type = pages.schema[id_col].dataType
+    index = write_index(written(read_warc(spark, path, id_type), "captures"), f"{path}-index")
+    return captures(written(through_index(pages.select(F.col(url_col).alias("url")), index, path, id_type), "captures-read"))
 
 
 surt_key = F.udf(surt, T.StringType(), useArrow=True)
@@ -229,6 +250,94 @@ def lookup(spark, path: str, url: str) -> list[dict]:
     return out
 
 
+def places(urls: DataFrame, index: str) -> DataFrame:
+    """(file, offset, length) of all captures of the keys of ``urls``.
+
+    The directory, a row for BLOCK_CAPTURES captures, is held by every task;
+    a search in it names the blocks of a key, one in each block its captures.
+    """
+    spark = urls.sparkSession
+    directory = sorted(tuple(r) for r in spark.read.parquet(f"{index}/directory").select("first_key", "last_key", "file", "row").toLocalIterator())
+    held = spark.sparkContext.broadcast(tuple([r[k] for r in directory] for k in range(4)))
+
+    def named(batches):
+        firsts, lasts, files, rows = held.value
+        for batch in batches:
+            found = set()
+            for key in {surt(None if url is None else _clean(url)) for url in batch.column(0).to_pylist()}:
+                # Blocks overlap in equal keys alone, so both lists are sorted.
+                found.update((k, key) for k in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)))
+            yield pa.RecordBatch.from_arrays([pa.array([files[k] for k, _ in found], pa.string()), pa.array([rows[k] for k, _ in found], pa.int64()), pa.array([key for _, key in found], pa.string())], ["file", "row", "key"])
+
+    def searched(batches):
+        for batch in batches:
+            out = []
+            for data, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                rows = [x.split("\t") for x in zlib.decompress(data.as_py()).decode().split("\n")]
+                keys = [r[0] for r in rows]
+                for key in wanted.as_py():
+                    out += [(r[4], int(r[5]), int(r[6])) for r in rows[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]]
+            out.sort()
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "offset", "length"])
+
+    # At most BLOCK_CAPTURES keys a block.
+    wanted = urls.select("url").mapInArrow(named, "file string, row bigint, key string").groupBy("file", "row").agg(F.collect_set("key").alias("keys"))
+    blocks = spark.read.parquet(f"{index}/blocks").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "block")
+    return blocks.join(wanted, ["file", "row"]).select("block", "keys").mapInArrow(searched, "file string, offset bigint, length bigint")
+
+
+def _open(file: str):
+    if file.startswith("file:"):
+        return open("/" + file[5:].lstrip("/"), "rb")  # noqa: SIM115
+    store, path = fs.FileSystem.from_uri(file)
+    return store.open_input_file(path)
+
+
+def _ranged(file: str) -> bool:
+    """Whether tasks can open the store of ``file`` themselves."""
+    try:
+        _open(file).close()
+    except (OSError, ValueError):
+        return False
+    return True
+
+
+def through_index(urls: DataFrame, index: str, path: str, id_type: T.DataType) -> DataFrame:
+    """A row as of ``read_warc`` per capture of ``urls``, each by one range read at the place in the index.
+
+    In a store that only Spark opens the ranges are cut from files it reads.
+    """
+    spark = urls.sparkSession
+
+    def ranges(batches):
+        for batch in batches:
+            out, name, stream = [], None, None
+            for file, at, n in sorted(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                if file != name:
+                    if stream:
+                        stream.close()
+                    name, stream = file, _open(file)
+                stream.seek(at)
+                _, _, headers, payload = next(read_records(stream.read(n)))
+                out.append(_row(file, at, n, headers, payload))
+            if stream:
+                stream.close()
+            yield _batch(out)
+
+    def cut(wanted: pa.Table, files: pa.Table) -> pa.Table:
+        out = []
+        for file, at, n in zip(*(wanted[k].to_pylist() for k in ("file", "offset", "length")), strict=True):
+            _, _, headers, payload = next(read_records(memoryview(files["content"][0].as_buffer())[at : at + n].tobytes()))
+            out.append(_row(file, at, n, headers, payload))
+        return pa.Table.from_batches([_batch(out)])
+
+    found = places(urls, index)
+    one = _archives(spark, path).select("path").first()
+    if one is None or _ranged(one["path"]):
+        return _named(found.mapInArrow(ranges, RECORD), id_type)
+    return _named(found.groupBy("file").cogroup(_archives(spark, path).groupBy("path")).applyInArrow(cut, RECORD), id_type)
+
+
 def read_range(spark, file: str, offset: int, length: int) -> tuple[dict, bytes]:
     """Headers and payload of the record at a place, by one range read through Spark's file system layer."""
     jvm = spark._jvm

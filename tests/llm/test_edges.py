@@ -260,3 +260,19 @@ def test_decontaminate_in_passes_equals_at_once(spark, monkeypatch):
     want = sorted(map(tuple, decontaminate.contaminated(rows, bench).collect()))
     monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 2)
     assert sorted(map(tuple, decontaminate.contaminated(rows, bench).collect())) == want and len(want) == 7
+
+
+def test_warc_reads_back_through_the_index(spark, tmp_path, monkeypatch):
+    urls = ["http://www.b.example/x", "http://b.example/x", "a\tb", "a\nb", None, "http://a.example/", "http://c.example/?q=1", "http://℀.example/"]
+    pages = spark.createDataFrame([(n, urls[n % len(urls)], f"<p>{n % 30}") for n in range(64)], "page_id long, url string, html string")
+    got = {tuple(r) for r in warc.archived(pages, path=str(tmp_path / "w")).drop("payload_bytes").collect()}
+    blocks = spark.read.parquet(str(tmp_path / "w-index" / "blocks"))
+    assert blocks.agg(F.sum("n")).first()[0] == len(got) == 64
+    records = warc.read_warc(spark, str(tmp_path / "w"), pages.schema["page_id"].dataType)
+    warc.write_index(records, str(tmp_path / "i"), block_captures=3)
+    few = pages.filter("page_id in (0, 2, 3)").select("url")
+    back = lambda: sorted(r.page_id for r in warc.through_index(few, str(tmp_path / "i"), str(tmp_path / "w"), pages.schema["page_id"].dataType).collect())
+    want = [n for n in range(64) if n % 8 in (0, 1, 2, 3)]
+    assert back() == want
+    monkeypatch.setattr(warc, "_ranged", lambda file: False)
+    assert back() == want
