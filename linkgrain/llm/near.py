@@ -66,8 +66,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words
 
 
 def least_shared(n):
-    """How many retained values two classes must share: the similarity's own bound where the set is retained whole."""
-    return F.when(n <= SKETCH, F.ceil(n * 0.8 - 1e-9)).otherwise(SHARED).cast("int")
+    """How many retained values two classes must share: the similarity's own bound where the set is retained whole.
+
+    A larger partner, of up to n / 0.8 values, retains SKETCH of them; what it drops is not asked for.
+    """
+    dropped = F.greatest(F.lit(0), F.floor(n * 1.25 + 1e-9) - SKETCH)
+    return F.when(n <= SKETCH, F.least(F.ceil(n * 0.8 - 1e-9), n - dropped)).otherwise(SHARED).cast("int")
 
 
 def candidates(classes: DataFrame) -> DataFrame:

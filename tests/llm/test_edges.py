@@ -276,3 +276,13 @@ def test_warc_reads_back_through_the_index(spark, tmp_path, monkeypatch):
     assert back() == want
     monkeypatch.setattr(warc, "_ranged", lambda file: False)
     assert back() == want
+
+
+def test_near_sets_of_exactly_the_sketch(spark):
+    texts = []
+    for k in range(60):
+        own = [f"v{k}x{n}" for n in range(43)]
+        texts += [" ".join(own[:35]), " ".join(own[: 42 + k % 2])]  # 32 shingles, and 39 or 40 that hold them
+    out = {r.doc_id: r for r in near.near_duplicates(docs(spark, texts)).collect()}
+    assert {out[k].n_shingles for k in range(4)} == {32, 39, 40}
+    assert [k for k in range(60) if out[2 * k + 1].component_id != 2 * k] == []
