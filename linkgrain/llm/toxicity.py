@@ -7,7 +7,7 @@ one text repeats counts once.  At both levels the two models share the same
 backoff counts (SHARED_WORD, SHARED_PAIR, split by the classes' sizes); they
 outweigh the few sightings of a rare expression, whose ratio stays near 1.
 Words and bigrams count in hashed slots, so a model's size is fixed; the counts
-come from every labelled text.
+come from every labelled text but those that fit the probability.
 """
 
 from __future__ import annotations
@@ -167,10 +167,10 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1.0
 def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held: int = 2, threshold: float = 0.3, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 if score >= ``threshold``), log_ratio.
 
-    Labels of the ``held`` fold are never read.  The counts come from three
-    quarters of the other labelled texts, and the last quarter, which the models
-    have not seen, fits the probability; of that at most ``calibration_rows``
-    rows by hash order go to the driver, three numbers each.
+    Labels of the ``held`` fold are never read.  Of the other labelled texts the
+    first ``calibration_rows`` ids by hash order, at most a quarter, which the
+    models have not seen, fit the probability; their rows go to the driver, a few
+    numbers each.  The counts come from all the rest.
 
     Null or empty texts have ratio 0 and their score is what that gives;
     repeated rows each give a row; a document labelled twice is toxic if one
@@ -178,8 +178,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held: int =
     a null id; without labels every score is 0.5; other columns are not read.
     """
     part = fold("doc_id", folds)
-    tune = F.crc32(F.concat(F.lit("tune:"), F.col("doc_id").cast("string")).cast("binary")) % 4 == 0
     known = labels.filter((part != held) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = written(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "toxicity-labels")
+    order = F.xxhash64(F.lit("tune"), F.col("doc_id").cast("string"))
+    rows = min(calibration_rows, known.count() // 4)
+    last = known.select(order.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    tune = F.lit(False) if last is None else order <= last
     texts = docs.filter((part != held) & ~tune).select("doc_id", "text")
     models = learn(texts.join(known.filter(~tune).hint("shuffle_hash"), "doc_id"))
     scored = written(score_features(docs, models), "toxicity")

@@ -286,3 +286,16 @@ def test_near_sets_of_exactly_the_sketch(spark):
     out = {r.doc_id: r for r in near.near_duplicates(docs(spark, texts)).collect()}
     assert {out[k].n_shingles for k in range(4)} == {32, 39, 40}
     assert [k for k in range(60) if out[2 * k + 1].component_id != 2 * k] == []
+
+
+def test_toxicity_counts_all_but_the_calibration_rows(spark):
+    crc = lambda x: zlib.crc32(x.encode()) % 4
+    seen = [i for i in range(2000) if crc(str(i)) != 2]
+    # An expression that stands only in the texts of one quarter.
+    vile = {i for i in seen if crc(f"tune:{i}") == 0}
+    probe = [i for i in range(2000) if crc(str(i)) == 2][:2]
+    text = {i: "plain words " + ("venom" if i in vile else "water") for i in seen} | {probe[0]: "plain words venom", probe[1]: "plain words unseen"}
+    rows = docs(spark, list(text.values()), list(text))
+    labels = spark.createDataFrame([(i, int(i in vile)) for i in text], "doc_id long, toxic int")
+    got = by_id(toxicity.toxicity(rows, labels, calibration_rows=20), "log_ratio")
+    assert got[probe[0]] > got[probe[1]] + 0.5
