@@ -9,6 +9,10 @@
    a partial minimum, which a run of any length passes without gathering.
 3. Each other suffix of a run is compared with the first and the match extended
    left and right over the texts' words; matches of ``min_words`` words count.
+4. In runs of three or more, windows of ``min_words`` words around a place that
+   no match with the first holds are fingerprinted whole, and each is compared
+   with the first place of its own fingerprint.  A window's earliest place is in
+   no match, so every other copy of it meets it or a first.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ MIN_WORDS = 50
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _INV = pow(_BASE, -1, 1 << 64)
+PASSAGE = ("doc_id", "start_word", "end_word", "n_words", "first_doc_id", "first_start_word")
 
 
 def shape(min_words: int) -> tuple[int, int, int]:
@@ -93,11 +98,11 @@ def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
 
 def extended(own: np.ndarray, first: np.ndarray, hits: list[tuple[int, int]], min_words: int) -> list[tuple[int, int, int]]:
     """(start, end, start in the first) of the matches of ``min_words`` words or more through ``hits`` (place, place in the first)."""
-    out, until, done = [], {}, -1
+    out, until, done = [], {}, (0, -1)
     for p, q in sorted(hits):
         shift = p - q
         # A place inside a match that was found already, with room around it, adds no word.
-        if until.get(shift, -1) >= p or p + min_words <= done:
+        if until.get(shift, -1) >= p or done[0] <= max(p - min_words, 0) and min(p + min_words, len(own)) <= done[1]:
             continue
         n = min(len(own) - p, len(first) - q)
         differ = np.flatnonzero(own[p : p + n] != first[q : q + n])
@@ -108,10 +113,54 @@ def extended(own: np.ndarray, first: np.ndarray, hits: list[tuple[int, int]], mi
         until[shift] = p + right
         if left + right >= min_words:
             out.append((p - left, p + right, q - left))
-            done = max(done, p + right)
+            done = max(done, (p - left, p + right), key=lambda x: x[1])
     return out
 
 
+def open_windows(own: np.ndarray, at: list[int], found: list[tuple[int, int, int]], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, fingerprint) of the windows of ``min_words`` words around the places ``at`` that lie in no match of ``found``."""
+    window, left, _ = shape(min_words)
+    n = len(own) - min_words + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    step = np.zeros(n + 1, np.int64)
+    for p in at:
+        a, b = max(p - left - window + 1, 0), min(p - left + 1, n)
+        step[a] += a < b
+        step[max(a, b)] -= a < b
+    inside = np.zeros(n + 1, np.int64)
+    for a, b, _ in found:
+        inside[a] += 1
+        inside[b - min_words + 1] -= 1
+    starts = np.flatnonzero((np.cumsum(step) > 0) & (np.cumsum(inside) == 0))
+    total = np.zeros(len(own) + 1, np.uint64)
+    np.cumsum(own * _powers(_BASE, len(own)), out=total[1:])
+    return starts, mix64((total[starts + min_words] - total[starts]) * _powers(_INV, len(own) + 1)[starts]).view(np.int64)
+
+
+def compared(hits: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
+    """Passages of the ``hits`` (doc_id, at, first_doc, first_at, many), and with a ``window`` the open windows at places that are ``many``."""
+    pairs = hits.groupBy("doc_id", "first_doc").agg(F.collect_set(F.struct("at", "first_at", "many")).alias("hits"))
+    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("first_doc"), F.col("text").alias("first_text")), "first_doc")
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in (*PASSAGE, "window")])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                own, theirs = (np.concatenate([np.zeros(0, np.uint64), *[w.hashes for _, _, w in text_chunks(batch.column(c).slice(k, 1))]]) for c in (3, 4))
+                met = batch.column(2)[k].as_py()
+                found = extended(own, theirs, [(x["at"], x["first_at"]) for x in met], min_words)
+                out = [(ids[0], a, b, b - a, ids[1], c, None) for a, b, c in found]
+                many = [x["at"] for x in met if x["many"]]
+                if many:
+                    out += [(ids[0], s, None, None, None, None, h) for s, h in zip(*(x.tolist() for x in open_windows(own, many, found, min_words)), strict=True)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema.names)
+
+    return both.select("doc_id", "first_doc", "hits", "text", "first_text").mapInArrow(run, schema)
+
+
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """A row per repeated passage but its first occurrence: doc_id, start_word, end_word, n_words, first_doc_id, first_start_word.
 
@@ -126,30 +175,20 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     found = written(suffixes(rows, min_words), "suffixes")
-    first = found.groupBy("context").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    first = found.groupBy("context").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("c")).filter("c > 1").withColumn("many", F.col("c") > 2).drop("c")
     # Written, so that the join's other side is a plain exchange of rows, which AQE can split at a hot context.
     first = written(first, "suffix-first")
     runs = written(found.join(first, "context"), "suffix-runs")
     heads = runs.filter("doc_id = first_doc").groupBy("context").agg(F.min("at").alias("first_at"))
     hits = runs.join(written(heads, "suffix-heads"), "context").filter("doc_id <> first_doc or at <> first_at")
-    pairs = hits.groupBy("doc_id", "first_doc").agg(F.collect_set(F.struct("at", "first_at")).alias("hits"))
     texts = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).dropDuplicates(["doc_id"])
-    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("first_doc"), F.col("text").alias("first_text")), "first_doc")
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start_word", "end_word", "n_words", "first_doc_id", "first_start_word")])
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                ids = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                own, theirs = (np.concatenate([np.zeros(0, np.uint64), *[w.hashes for _, _, w in text_chunks(batch.column(c).slice(k, 1))]]) for c in (3, 4))
-                hits = [(x["at"], x["first_at"]) for x in batch.column(2)[k].as_py()]
-                for a, b, c in extended(own, theirs, hits, min_words):
-                    out.append((ids[0], a, b, b - a, ids[1], c))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema.names)
-
-    return both.select("doc_id", "first_doc", "hits", "text", "first_text").mapInArrow(run, schema)
+    matches = written(compared(hits, texts, min_words), "suffix-matches")
+    windows = matches.filter("window is not null").select("window", "doc_id", F.col("start_word").alias("at"))
+    heads = windows.groupBy("window").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    heads = written(heads.select("window", F.col("f.doc_id").alias("first_doc"), F.col("f.at").alias("first_at")), "suffix-window-heads")
+    again = windows.join(heads, "window").filter("doc_id <> first_doc or at <> first_at").withColumn("many", F.lit(False))
+    passages = matches.filter("window is null").unionByName(compared(again, texts, min_words))
+    return passages.select(*PASSAGE).distinct()
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

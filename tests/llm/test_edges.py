@@ -299,3 +299,26 @@ def test_toxicity_counts_all_but_the_calibration_rows(spark):
     labels = spark.createDataFrame([(i, int(i in vile)) for i in text], "doc_id long, toxic int")
     got = by_id(toxicity.toxicity(rows, labels, calibration_rows=20), "log_ratio")
     assert got[probe[0]] > got[probe[1]] + 0.5
+
+
+def test_suffix_meets_all_that_share_a_passage(spark):
+    own = random.Random(11)
+    fresh = lambda n: [f"u{own.randrange(10**9)}" for _ in range(n)]
+    texts, want = [], {}
+    for _ in range(15):
+        line, k = fresh(40), len(texts)
+        passage = [*fresh(5), *line, *fresh(5)]
+        # The first document has the line alone.
+        texts += [[*fresh(30), *line, *fresh(30)], [*fresh(30), *passage, *fresh(30)], [*fresh(9), *passage, *fresh(9)]]
+        want[k + 2] = set(range(9, 59))
+    for _ in range(5):
+        line, k = fresh(40), len(texts)
+        passage = [*fresh(5), *line, *fresh(5)]
+        # The first document has the line twice, and only its second place agrees.
+        texts += [[*fresh(30), *line, *fresh(30), *passage, *fresh(9)], [*fresh(9), *passage, *fresh(9)]]
+        want[k + 1] = set(range(9, 59))
+    texts += [fresh(40)] * 3  # too short for a passage
+    got = {}
+    for r in suffix.repeated_passages(docs(spark, [" ".join(x) for x in texts])).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert got == want
