@@ -35,7 +35,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/linkgrain/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def released(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused_name(wish: str, names: list[str]) -> str:
+    """``wish`` with as many underscores before it as no column in ``names`` has."""
+    taken = {n.lower() for n in names}
+    while wish in taken:
+        wish = "_" + wish
+    return wish
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

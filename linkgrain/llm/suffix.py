@@ -4,33 +4,38 @@
    successive runs, a choice that only depends on the words themselves.  A
    passage of ``min_words`` words holds such a place with LEFT words before and
    RIGHT words after it inside the passage, the same place in every copy.
-2. Suffixes are ordered by a fingerprint of those words, then by document and
-   place, so equal ones are neighbours; of each such run the first is found by
-   a partial minimum, which a run of any length passes without gathering.
-3. Each other suffix of a run is compared with the first and the match extended
-   left and right over the texts' words; matches of ``min_words`` words count.
-4. In runs of three or more, windows of ``min_words`` words around a place that
-   no match with the first holds are fingerprinted whole, and each is compared
-   with the first place of its own fingerprint.  A window's earliest place is in
-   no match, so every other copy of it meets it or a first.
+2. Suffixes whose context (those LEFT and RIGHT words) stands more than once are
+   sorted by context, document and place.  Each carries hashes of the words that
+   a passage through its context can reach, so texts stay where they are.
+3. Neighbours in that order are compared and the match is extended left and
+   right; matches of ``min_words`` words count.  The earlier neighbour comes
+   first in the documents' order, so a match is a repeat of an earlier place.
+4. Where a run of three or more holds windows of ``min_words`` words that no
+   such match covers, the windows are fingerprinted whole and sorted too.  The
+   earliest place of a window is in no match, as nothing equals it before, so a
+   later copy is in a match with its neighbour or meets the earliest place here.
+
+A context that very many places have is sorted in parts of about HOT places by a
+hash of the document; a part's first place has its windows open, so step 4 ties
+the parts together and nothing is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Words, doc_index, mix64, text_chunks, written
+from .common import Words, doc_index, mix64, released, text_chunks, unused_name, written
 
 GRAM = 6
 MIN_WORDS = 50
+#: Places of one context that are sorted together.
+HOT = 20_000
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _INV = pow(_BASE, -1, 1 << 64)
-PASSAGE = ("doc_id", "start_word", "end_word", "n_words", "first_doc_id", "first_start_word")
 
 
 def shape(min_words: int) -> tuple[int, int, int]:
@@ -57,7 +62,7 @@ def _slide(v: np.ndarray, size: int, pick) -> np.ndarray:
 
 
 def places(w: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word number, fingerprint) of the retained suffixes."""
+    """(text, word number, context) of the retained suffixes."""
     window, left, right = shape(min_words)
     h, n = w.hashes, len(w.hashes)
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -75,132 +80,212 @@ def places(w: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     at = chosen[(chosen >= left) & (chosen + right <= n)]
     at = at[(doc[at - left] == doc[at]) & (doc[at + right - 1] == doc[at])]
     context = mix64((total[at + right] - total[at - left]) * inverse[at - left]).view(np.int64)
-    if len(at) > 2:
-        # Where a text repeats itself word by word, two neighbours and one place in a dozen words tell as much as all.
-        same = np.zeros(len(at), bool)
-        same[2:] = (context[2:] == context[1:-1]) & (context[1:-1] == context[:-2]) & (doc[at[2:]] == doc[at[:-2]]) & (at[2:] // 12 == at[1:-1] // 12)
-        at, context = at[~same], context[~same]
     return doc[at], at - w.offsets[doc[at]], context
 
 
-def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
-    """context, doc_id, at (word number) of every retained suffix; ``docs``: doc_id, text."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_key, text of the rows with id and text: rows of one id and different texts are different documents."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+
+
+def suffixes(rows: DataFrame, min_words: int) -> DataFrame:
+    """context, doc_id, text_key, at (word number) of every retained suffix."""
 
     def run(batches):
         for batch in batches:
-            for lo, _, w in text_chunks(batch.column(1)):
+            for lo, _, w in text_chunks(batch.column(2)):
                 doc, at, context = places(w, min_words)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(context), batch.column(0).take(pa.array(doc + lo)), pa.array(at)], ["context", "doc_id", "at"])
-
-    return docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(run, "context bigint, doc_id bigint, at bigint")
-
-
-def extended(own: np.ndarray, first: np.ndarray, hits: list[tuple[int, int]], min_words: int) -> list[tuple[int, int, int]]:
-    """(start, end, start in the first) of the matches of ``min_words`` words or more through ``hits`` (place, place in the first)."""
-    out, until, done = [], {}, (0, -1)
-    for p, q in sorted(hits):
-        shift = p - q
-        # A place inside a match that was found already, with room around it, adds no word.
-        if until.get(shift, -1) >= p or done[0] <= max(p - min_words, 0) and min(p + min_words, len(own)) <= done[1]:
-            continue
-        n = min(len(own) - p, len(first) - q)
-        differ = np.flatnonzero(own[p : p + n] != first[q : q + n])
-        right = int(differ[0]) if len(differ) else n
-        n = min(p, q)
-        differ = np.flatnonzero(own[p - n : p] != first[q - n : q])
-        left = n - 1 - int(differ[-1]) if len(differ) else n
-        until[shift] = p + right
-        if left + right >= min_words:
-            out.append((p - left, p + right, q - left))
-            done = max(done, (p - left, p + right), key=lambda x: x[1])
-    return out
-
-
-def open_windows(own: np.ndarray, at: list[int], found: list[tuple[int, int, int]], min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, fingerprint) of the windows of ``min_words`` words around the places ``at`` that lie in no match of ``found``."""
-    window, left, _ = shape(min_words)
-    n = len(own) - min_words + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    step = np.zeros(n + 1, np.int64)
-    for p in at:
-        a, b = max(p - left - window + 1, 0), min(p - left + 1, n)
-        step[a] += a < b
-        step[max(a, b)] -= a < b
-    inside = np.zeros(n + 1, np.int64)
-    for a, b, _ in found:
-        inside[a] += 1
-        inside[b - min_words + 1] -= 1
-    starts = np.flatnonzero((np.cumsum(step) > 0) & (np.cumsum(inside) == 0))
-    total = np.zeros(len(own) + 1, np.uint64)
-    np.cumsum(own * _powers(_BASE, len(own)), out=total[1:])
-    return starts, mix64((total[starts + min_words] - total[starts]) * _powers(_INV, len(own) + 1)[starts]).view(np.int64)
-
-
-def compared(hits: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
-    """Passages of the ``hits`` (doc_id, at, first_doc, first_at, many), and with a ``window`` the open windows at places that are ``many``."""
-    pairs = hits.groupBy("doc_id", "first_doc").agg(F.collect_set(F.struct("at", "first_at", "many")).alias("hits"))
-    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("first_doc"), F.col("text").alias("first_text")), "first_doc")
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in (*PASSAGE, "window")])
+                    of = pa.array(doc + lo)
+                    yield pa.RecordBatch.from_arrays([pa.array(context), batch.column(0).take(of), batch.column(1).take(of), pa.array(at)], ["context", "doc_id", "text_key", "at"])
+
+    return rows.mapInArrow(run, "context bigint, doc_id bigint, text_key bigint, at bigint")
+
+
+def around(own: np.ndarray, at: np.ndarray, min_words: int) -> np.ndarray:
+    """A row of word hashes for each place: those before its context from near to far, then those after it; 0 beyond the text."""
+    _, left, right = shape(min_words)
+    reach = min_words - left - right
+    offsets = np.concatenate([-left - 1 - np.arange(reach), right + np.arange(reach)])
+    index = at[:, None] + offsets
+    words = np.maximum(own[np.clip(index, 0, len(own) - 1)] >> _U(32), _U(1)).astype(np.uint32)
+    return np.where((index >= 0) & (index < len(own)), words, np.uint32(0))
+
+
+def surrounded(rows: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
+    """``runs`` (context, doc_id, text_key, at, c) with ``words``, the bytes of ``around``, from the documents' texts."""
+    per = runs.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "context", "c")).alias("places"))
+    both = rows.join(per, ["doc_id", "text_key"])
 
     def run(batches):
         for batch in batches:
+            places = batch.column(3)
             for k in range(batch.num_rows):
-                ids = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                own, theirs = (np.concatenate([np.zeros(0, np.uint64), *[w.hashes for _, _, w in text_chunks(batch.column(c).slice(k, 1))]]) for c in (3, 4))
-                met = batch.column(2)[k].as_py()
-                found = extended(own, theirs, [(x["at"], x["first_at"]) for x in met], min_words)
-                out = [(ids[0], a, b, b - a, ids[1], c, None) for a, b, c in found]
-                many = [x["at"] for x in met if x["many"]]
-                if many:
-                    out += [(ids[0], s, None, None, None, None, h) for s, h in zip(*(x.tolist() for x in open_windows(own, many, found, min_words)), strict=True)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema.names)
+                own = np.concatenate([w.hashes for _, _, w in text_chunks(batch.column(2).slice(k, 1))])
+                met = places[k].values
+                at, context, c = (met.field(f) for f in ("at", "context", "c"))
+                words = around(own, at.to_numpy(), min_words)
+                n, width = len(words), words.shape[1] * 4
+                data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(words.astype("<u4").tobytes())])
+                ids = [pa.array(np.full(n, batch.column(i)[k].as_py(), np.int64)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([context, *ids, at, c, data], ["context", "doc_id", "text_key", "at", "c", "words"])
+
+    return both.select("doc_id", "text_key", "text", "places").mapInArrow(run, "context bigint, doc_id bigint, text_key bigint, at bigint, c bigint, words binary")
+
+
+FOUND = "doc_id bigint, text_key bigint, start_word bigint, end_word bigint, first_doc_id bigint, first_start_word bigint, window bigint, check bigint"
+_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+
+
+class Neighbours:
+    """Compares rows that come sorted by context, part, document and place, each with the one before it."""
+
+    def __init__(self, min_words: int, hot: int):
+        self.hot = hot
+        _, self.left, self.right = shape(min_words)
+        self.reach = min_words - self.left - self.right
+        rng = np.random.default_rng(20240102)
+        self.factors = [rng.integers(1, 1 << 63, 2 * self.reach, dtype=np.uint64) | _U(1) for _ in range(2)]
+        self.before: tuple[np.ndarray, np.ndarray] | None = None
+
+    def matches(self, keys: np.ndarray, words: np.ndarray):
+        """Columns of FOUND; ``keys``: context, part, doc_id, text_key, at, c."""
+        first = self.before is None
+        if not first:
+            keys, words = np.concatenate([self.before[0], keys]), np.concatenate([self.before[1], words])
+        self.before = keys[-1:].copy(), words[-1:].copy()
+        same = np.zeros(len(keys), bool)
+        same[1:] = (keys[1:, :2] == keys[:-1, :2]).all(axis=1)
+        equal = np.zeros(words.shape, bool)
+        equal[1:] = (words[1:] == words[:-1]) & (words[1:] != 0) & same[1:, None]
+        r = self.reach
+        ends = [np.minimum.accumulate(x, axis=1).sum(axis=1, dtype=np.int64) for x in (equal[:, :r], equal[:, r:])]
+        # A repeated row is the same place, no neighbour.
+        again = np.zeros(len(keys), bool)
+        again[1:] = same[1:] & (keys[1:, 2:5] == keys[:-1, 2:5]).all(axis=1)
+        whole = same & ~again & (ends[0] + ends[1] >= r)
+        if not first:
+            whole[0] = False
+        hit = np.flatnonzero(whole)
+        a = keys[hit, 4] - self.left - ends[0][hit]
+        passages = [keys[hit, 2], keys[hit, 3], a, keys[hit, 4] + self.right + ends[1][hit], keys[hit - 1, 2], keys[hit - 1, 4] - self.left - ends[0][hit]]
+        return passages, self.windows(keys, words, same, again, ends, 0 if first else 1)
+
+    def windows(self, keys, words, same, again, ends, begin):
+        """doc_id, text_key, start, two fingerprints of the windows in no match, in runs of three or more."""
+        r = self.reach
+        n = len(keys)
+        # Window j has r - j words before the context and j after it.
+        j = np.arange(r + 1)
+        there = np.concatenate([np.ones((n, 1), bool), np.minimum.accumulate(words[:, :r] != 0, axis=1)], axis=1)[:, ::-1] & np.concatenate([np.ones((n, 1), bool), np.minimum.accumulate(words[:, r:] != 0, axis=1)], axis=1)
+        matched = same[:, None] & (r - j <= ends[0][:, None]) & (j <= ends[1][:, None])
+        open_ = there & ~matched & (keys[:, 5] > 2)[:, None] & ~again[:, None]
+        run = np.cumsum(~same)
+        # The first of a run keeps its windows open only for a later place that has open ones; runs over a border may have such.
+        needed = np.zeros(n, bool)
+        late = same & open_.any(axis=1)
+        needed[late] = True
+        asked = np.zeros(run[-1] + 1, bool)
+        asked[run[late]] = True
+        asked[[run[0], run[-1]]] = True
+        hot = keys[:, 5] > self.hot
+        open_ &= (needed | ~same & (asked[run] | hot))[:, None]
+        open_[:begin] = False
+        some = np.flatnonzero(open_.any(axis=1))
+        keys, words = keys[some], words[some]
+        row, col = np.nonzero(open_[some])
+        prints = []
+        for f in self.factors:
+            w = words.astype(np.uint64) * f
+            sides = [np.concatenate([np.zeros((len(some), 1), np.uint64), np.cumsum(x, axis=1, dtype=np.uint64)], axis=1) for x in (w[:, :r], w[:, r:])]
+            h = keys[row, 0].astype(np.int64).view(np.uint64) + sides[0][row, r - col] + sides[1][row, col]
+            prints.append(mix64(h).view(np.int64))
+        return [keys[row, 2], keys[row, 3], keys[row, 4] - self.left - r + col, *prints]
+
+
+def compared(runs: DataFrame, min_words: int) -> DataFrame:
+    """FOUND of the ``runs``, which are dealt by context and part and sorted: passages, and open windows (those have ``window``)."""
+    hot = HOT
+    part = F.when(F.col("c") > hot, F.pmod(F.xxhash64("doc_id", "text_key"), F.ceil(F.col("c") / hot))).otherwise(F.lit(0)).cast("long")
+    rows = runs.withColumn("part", part).repartition("context", "part").sortWithinPartitions("context", "part", "doc_id", "text_key", "at")
 
-    return both.select("doc_id", "first_doc", "hits", "text", "first_text").mapInArrow(run, schema)
+    def run(batches):
+        state = Neighbours(min_words, hot)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy() for i in range(6)], axis=1)
+            data = batch.column(6)
+            at = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4)
+            words = np.frombuffer(data.buffers()[2], "<u4", (at[-1] - at[0]) // 4, int(at[0])).reshape(len(data), -1)
+            passages, windows = state.matches(keys, words)
+            n, m = len(passages[0]), len(windows[0])
+            none = lambda k: pa.nulls(k, pa.int64())
+            if n:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, passages), none(n), none(n)], _NAMES)
+            if m:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, windows[:3]), none(m), none(m), none(m), *map(pa.array, windows[3:])], _NAMES)
+
+    return rows.select("context", "part", "doc_id", "text_key", "at", "c", "words").mapInArrow(run, FOUND)
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """A row per maximal passage of a document from pieces that overlap; the earlier place is that of its leftmost piece."""
+    by = Window.partitionBy("doc_id", "text_key")
+    order = by.orderBy("start_word", F.col("end_word").desc(), "first_doc_id", "first_start_word")
+    until = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # A window's partition is one document.
+    rows = found.withColumn("_new", F.when(F.col("start_word") < until, 0).otherwise(1)).withColumn("_n", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    least = F.min_by(F.struct("first_doc_id", "first_start_word"), F.struct("start_word", -F.col("end_word"), "first_doc_id", "first_start_word"))
+    rows = rows.groupBy("doc_id", "text_key", "_n").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), least.alias("f"))
+    return rows.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("f.first_doc_id"), F.col("f.first_start_word"), "text_key")
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per repeated passage but its first occurrence: doc_id, start_word, end_word, n_words, first_doc_id, first_start_word.
+    """A row per repeated passage but its first occurrence: doc_id, start_word, end_word, n_words, first_doc_id, first_start_word, text_key.
 
-    Passages are runs of at least ``min_words`` words (A-Z lower-cased) that an
-    earlier place has too, in the order of document id and place; also of the
-    same document, where the two may overlap.  A run of equal suffixes is
-    compared with its first; a match is as long as the two texts agree.
+    A word is in a repeated passage if a run of ``min_words`` words (A-Z
+    lower-cased) around it stands at an earlier place too, in the order of
+    document id, text hash and place; also in the same document, where the two
+    may overlap.  Passages are as long as such runs overlap; first_doc_id and
+    first_start_word name an earlier place of the passage's beginning.
 
     Null or empty texts and texts of fewer than ``min_words`` words have none;
     rows with a null id take no part; repeated rows with one id and one text
-    are one document; an empty table gives no rows; other columns are not read.
+    are one document, rows with one id and different texts (``text_key``, a
+    hash of the text) are different ones; an empty table gives no rows; other
+    columns are not read.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = keyed(docs, id_col, text_col)
     found = written(suffixes(rows, min_words), "suffixes")
-    first = found.groupBy("context").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("c")).filter("c > 1").withColumn("many", F.col("c") > 2).drop("c")
-    # Written, so that the join's other side is a plain exchange of rows, which AQE can split at a hot context.
-    first = written(first, "suffix-first")
-    runs = written(found.join(first, "context"), "suffix-runs")
-    heads = runs.filter("doc_id = first_doc").groupBy("context").agg(F.min("at").alias("first_at"))
-    hits = runs.join(written(heads, "suffix-heads"), "context").filter("doc_id <> first_doc or at <> first_at")
-    texts = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).dropDuplicates(["doc_id"])
-    matches = written(compared(hits, texts, min_words), "suffix-matches")
-    windows = matches.filter("window is not null").select("window", "doc_id", F.col("start_word").alias("at"))
-    heads = windows.groupBy("window").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    heads = written(heads.select("window", F.col("f.doc_id").alias("first_doc"), F.col("f.at").alias("first_at")), "suffix-window-heads")
-    again = windows.join(heads, "window").filter("doc_id <> first_doc or at <> first_at").withColumn("many", F.lit(False))
-    passages = matches.filter("window is null").unionByName(compared(again, texts, min_words))
-    return passages.select(*PASSAGE).distinct()
+    many = found.groupBy("context").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    runs = written(found.join(many, "context"), "suffix-runs")
+    released(found)
+    matches = written(compared(surrounded(rows, runs, min_words), min_words), "suffix-matches")
+    released(runs)
+    windows = matches.filter("window is not null").select("window", "check", "doc_id", "text_key", "start_word")
+    heads = windows.groupBy("window", "check").agg(F.min(F.struct("doc_id", "text_key", "start_word")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = windows.join(heads, ["window", "check"]).filter(F.struct("doc_id", "text_key", "start_word") != F.col("f"))
+    again = again.select("doc_id", "text_key", "start_word", (F.col("start_word") + min_words).alias("end_word"), F.col("f.doc_id").alias("first_doc_id"), F.col("f.start_word").alias("first_start_word"))
+    return merged(matches.filter("window is null").drop("window", "check").unionByName(again))
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the words of their ``passages`` cut out of the text, and nothing else changed.
 
-    The column order stays.  Rows without passages keep their text as it is;
-    white space before a cut stays, that after its last word goes.
+    The column order stays.  Rows without passages, and with a null id or text,
+    stay as they are; white space before a cut stays, that after its last word
+    goes.  A passage belongs to the rows of its id and its ``text_key``, so
+    repeated rows are cut alike and other texts of the id are not; columns of
+    any name pass through.
     """
-    spans = passages.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("_spans"))
-    # One plan at every size: the passages grow with the documents.
-    rows = docs.join(spans.hint("merge"), docs[id_col] == F.col("_id"), "left").drop("_id")
     names = docs.columns
+    spans_col, id_key, text_key = (unused_name(x, names) for x in ("spans", "id", "text_key"))
+    spans = passages.groupBy(F.col("doc_id").alias(id_key), F.col("text_key").alias(text_key)).agg(F.collect_set(F.struct("start_word", "end_word")).alias(spans_col))
+    # One plan at every size: the passages grow with the documents.
+    same = (docs[id_col].cast("long") == F.col(id_key)) & (F.xxhash64(docs[text_col]) == F.col(text_key))
+    rows = docs.join(spans.hint("merge"), same, "left").drop(id_key, text_key)
     text_at, spans_at = names.index(text_col), len(names)
 
     def run(batches):
@@ -216,7 +301,7 @@ def without_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc
             columns = [texts if i == text_at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.select(*[rows[n] for n in names], "_spans").mapInArrow(run, docs.schema)
+    return rows.select(*[rows[f"`{n}`"] for n in names], spans_col).mapInArrow(run, docs.schema)
 
 
 def cut(text: pa.Array, spans: list[tuple[int, int]]) -> str:

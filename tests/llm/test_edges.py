@@ -42,7 +42,7 @@ def by_id(rows, column):
 def test_suffix(odd, none):
     rows = suffix.repeated_passages(odd)
     got = {(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in rows.collect()}
-    assert got == {(7, 0, 80, 6), (8, 0, 80, 6), (10, 0, 30_000, 9)}
+    assert got == {(7, 0, 80, 6), (8, 0, 80, 7), (10, 0, 30_000, 9)}
     left = by_id(suffix.without_passages(odd, rows), "text")
     assert left[10] == "" and left[8] == "more" and left[6] == SHORT and left[0] is None and left[2] == "  \n\t "
     assert suffix.repeated_passages(none).count() == 0 and suffix.without_passages(none, suffix.repeated_passages(none)).count() == 0
@@ -322,3 +322,32 @@ def test_suffix_meets_all_that_share_a_passage(spark):
     for r in suffix.repeated_passages(docs(spark, [" ".join(x) for x in texts])).collect():
         got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
     assert got == want
+
+
+def mosaic():
+    """20 documents that share a passage of 60 words after two that hold parts of it too short to count."""
+    own = random.Random(12)
+    fresh = lambda n: [f"u{own.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(60)
+    texts = [[*fresh(20), *passage[:45], *fresh(20)], [*fresh(20), *passage[15:], *fresh(20)]]
+    texts += [[*fresh(10 + k), *passage, *fresh(20)] for k in range(20)]
+    return [" ".join(x) for x in texts], {k: set(range(8 + k, 68 + k)) for k in range(3, 22)}
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_suffix_of_a_mosaic(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    texts, want = mosaic()
+    got = {}
+    for r in suffix.repeated_passages(docs(spark, texts)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert got == want
+
+
+def test_suffix_of_repeated_ids_and_clashing_names(spark):
+    a, b = (" ".join(f"{x}{n}" for n in range(70)) for x in "ab")
+    rows = spark.createDataFrame([(1, a, 0, 0), (1, b, 1, 1), (2, "x " + b, 2, 2), (2, "no more", 3, 3)], "doc_id long, text string, _id int, _spans int")
+    passages = suffix.repeated_passages(rows)
+    assert [(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in passages.collect()] == [(2, 1, 71, 1)]
+    out = suffix.without_passages(rows, passages)
+    assert out.columns == rows.columns and sorted(r.text for r in out.collect()) == sorted([a, b, "x ", "no more"])
