@@ -11,9 +11,11 @@
    right; matches of ``min_words`` words count.  The earlier neighbour comes
    first in the documents' order, so a match is a repeat of an earlier place.
 4. Where a run of three or more holds windows of ``min_words`` words that no
-   such match covers, the windows are fingerprinted whole and sorted too.  The
-   earliest place of a window is in no match, as nothing equals it before, so a
-   later copy is in a match with its neighbour or meets the earliest place here.
+   such match covers, its suffixes are sorted by the words after the context, and
+   by those before it; what a place shares with its neighbours there bounds what
+   it shares with any.  Windows within these bounds are fingerprinted whole and
+   grouped.  The earliest place of a window is in no match, as nothing equals it
+   before, so a later copy is in a match with its neighbour or meets it here.
 
 A context that very many places have is sorted in parts of about HOT places by a
 hash of the document; a part's first place has its windows open, so step 4 ties
@@ -33,6 +35,8 @@ GRAM = 6
 MIN_WORDS = 50
 #: Places of one context that are sorted together.
 HOT = 20_000
+#: A span is the runs before times SPAN and the runs after.
+SPAN = 1 << 16
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _INV = pow(_BASE, -1, 1 << 64)
@@ -61,13 +65,12 @@ def _slide(v: np.ndarray, size: int, pick) -> np.ndarray:
     return v
 
 
-def places(w: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word number, context) of the retained suffixes."""
+def places(w: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word number, context, span) of the retained suffixes; span tells the windows of which it is the smallest."""
     window, left, right = shape(min_words)
     h, n = w.hashes, len(w.hashes)
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if n < min_words:
-        return none
+        return (np.zeros(0, np.int64),) * 4
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(h * _powers(_BASE, n), out=total[1:])
     inverse = _powers(_INV, n + 1)
@@ -79,8 +82,20 @@ def places(w: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     doc = doc_index(w.offsets)
     at = chosen[(chosen >= left) & (chosen + right <= n)]
     at = at[(doc[at - left] == doc[at]) & (doc[at + right - 1] == doc[at])]
+    # So many runs before it are larger, and after it no smaller; every window has one leftmost smallest run.
+    reach = []
+    for step, larger in ((-1, np.greater), (1, np.greater_equal)):
+        far, on = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        for k in range(1, window):
+            there = at + step * k
+            on &= (there >= 0) & (there < len(gram))
+            on &= larger(gram[np.clip(there, 0, len(gram) - 1)], gram[at])
+            far += on
+        reach.append(far)
+    keep = reach[0] + reach[1] >= window - 1
+    at, span = at[keep], (reach[0] * SPAN + reach[1])[keep]
     context = mix64((total[at + right] - total[at - left]) * inverse[at - left]).view(np.int64)
-    return doc[at], at - w.offsets[doc[at]], context
+    return doc[at], at - w.offsets[doc[at]], context, span
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -90,17 +105,17 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def suffixes(rows: DataFrame, min_words: int) -> DataFrame:
-    """context, doc_id, text_key, at (word number) of every retained suffix."""
+    """context, doc_id, text_key, at (word number), span of every retained suffix."""
 
     def run(batches):
         for batch in batches:
             for lo, _, w in text_chunks(batch.column(2)):
-                doc, at, context = places(w, min_words)
+                doc, at, context, span = places(w, min_words)
                 if len(at):
                     of = pa.array(doc + lo)
-                    yield pa.RecordBatch.from_arrays([pa.array(context), batch.column(0).take(of), batch.column(1).take(of), pa.array(at)], ["context", "doc_id", "text_key", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(context), batch.column(0).take(of), batch.column(1).take(of), pa.array(at), pa.array(span)], ["context", "doc_id", "text_key", "at", "span"])
 
-    return rows.mapInArrow(run, "context bigint, doc_id bigint, text_key bigint, at bigint")
+    return rows.mapInArrow(run, "context bigint, doc_id bigint, text_key bigint, at bigint, span bigint")
 
 
 def around(own: np.ndarray, at: np.ndarray, min_words: int) -> np.ndarray:
@@ -114,8 +129,8 @@ def around(own: np.ndarray, at: np.ndarray, min_words: int) -> np.ndarray:
 
 
 def surrounded(rows: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
-    """``runs`` (context, doc_id, text_key, at, c) with ``words``, the bytes of ``around``, from the documents' texts."""
-    per = runs.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "context", "c")).alias("places"))
+    """``runs`` (context, doc_id, text_key, at, span, c) with ``words``, the bytes of ``around``, from the documents' texts."""
+    per = runs.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "context", "span", "c")).alias("places"))
     both = rows.join(per, ["doc_id", "text_key"])
 
     def run(batches):
@@ -124,14 +139,14 @@ def surrounded(rows: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
             for k in range(batch.num_rows):
                 own = np.concatenate([w.hashes for _, _, w in text_chunks(batch.column(2).slice(k, 1))])
                 met = places[k].values
-                at, context, c = (met.field(f) for f in ("at", "context", "c"))
+                at, context, span, c = (met.field(f) for f in ("at", "context", "span", "c"))
                 words = around(own, at.to_numpy(), min_words)
                 n, width = len(words), words.shape[1] * 4
                 data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(words.astype("<u4").tobytes())])
                 ids = [pa.array(np.full(n, batch.column(i)[k].as_py(), np.int64)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([context, *ids, at, c, data], ["context", "doc_id", "text_key", "at", "c", "words"])
+                yield pa.RecordBatch.from_arrays([context, *ids, at, span, c, data], ["context", "doc_id", "text_key", "at", "span", "c", "words"])
 
-    return both.select("doc_id", "text_key", "text", "places").mapInArrow(run, "context bigint, doc_id bigint, text_key bigint, at bigint, c bigint, words binary")
+    return both.select("doc_id", "text_key", "text", "places").mapInArrow(run, "context bigint, doc_id bigint, text_key bigint, at bigint, span bigint, c bigint, words binary")
 
 
 FOUND = "doc_id bigint, text_key bigint, start_word bigint, end_word bigint, first_doc_id bigint, first_start_word bigint, window bigint, check bigint"
@@ -139,7 +154,7 @@ _NAMES = [x.split()[0] for x in FOUND.split(", ")]
 
 
 class Neighbours:
-    """Compares rows that come sorted by context, part, document and place, each with the one before it."""
+    """Compares the places of a context, sorted by document and place, each with the one before it."""
 
     def __init__(self, min_words: int, hot: int):
         self.hot = hot
@@ -147,61 +162,94 @@ class Neighbours:
         self.reach = min_words - self.left - self.right
         rng = np.random.default_rng(20240102)
         self.factors = [rng.integers(1, 1 << 63, 2 * self.reach, dtype=np.uint64) | _U(1) for _ in range(2)]
-        self.before: tuple[np.ndarray, np.ndarray] | None = None
-
-    def matches(self, keys: np.ndarray, words: np.ndarray):
-        """Columns of FOUND; ``keys``: context, part, doc_id, text_key, at, c."""
-        first = self.before is None
-        if not first:
-            keys, words = np.concatenate([self.before[0], keys]), np.concatenate([self.before[1], words])
-        self.before = keys[-1:].copy(), words[-1:].copy()
-        same = np.zeros(len(keys), bool)
+
+    def found(self, keys: np.ndarray, words: np.ndarray, begin: int = 0):
+        """Columns of passages and of open windows; ``keys``: context, part, doc_id, text_key, at, span, c; rows before ``begin`` are only compared with."""
+        n, r = len(keys), self.reach
+        same = np.zeros(n, bool)
         same[1:] = (keys[1:, :2] == keys[:-1, :2]).all(axis=1)
-        equal = np.zeros(words.shape, bool)
-        equal[1:] = (words[1:] == words[:-1]) & (words[1:] != 0) & same[1:, None]
-        r = self.reach
-        ends = [np.minimum.accumulate(x, axis=1).sum(axis=1, dtype=np.int64) for x in (equal[:, :r], equal[:, r:])]
         # A repeated row is the same place, no neighbour.
-        again = np.zeros(len(keys), bool)
+        again = np.zeros(n, bool)
         again[1:] = same[1:] & (keys[1:, 2:5] == keys[:-1, 2:5]).all(axis=1)
-        whole = same & ~again & (ends[0] + ends[1] >= r)
-        if not first:
-            whole[0] = False
-        hit = np.flatnonzero(whole)
-        a = keys[hit, 4] - self.left - ends[0][hit]
-        passages = [keys[hit, 2], keys[hit, 3], a, keys[hit, 4] + self.right + ends[1][hit], keys[hit - 1, 2], keys[hit - 1, 4] - self.left - ends[0][hit]]
-        return passages, self.windows(keys, words, same, again, ends, 0 if first else 1)
-
-    def windows(self, keys, words, same, again, ends, begin):
-        """doc_id, text_key, start, two fingerprints of the windows in no match, in runs of three or more."""
-        r = self.reach
-        n = len(keys)
-        # Window j has r - j words before the context and j after it.
+        equal = np.zeros(words.shape, bool)
+        equal[1:] = (words[1:] == words[:-1]) & (words[1:] != 0) & same[1:, None]
+        before, after = (_leading(x) for x in (equal[:, :r], equal[:, r:]))
+        hit = np.flatnonzero(same & ~again & (before + after >= r))
+        hit = hit[hit >= begin]
+        start = self.left + before[hit]
+        passages = [keys[hit, 2], keys[hit, 3], keys[hit, 4] - start, keys[hit, 4] + self.right + after[hit], keys[hit - 1, 2], keys[hit - 1, 4] - start]
+        # Window j has r - j words before the context and j after it; each window is looked at from its smallest run alone.
         j = np.arange(r + 1)
-        there = np.concatenate([np.ones((n, 1), bool), np.minimum.accumulate(words[:, :r] != 0, axis=1)], axis=1)[:, ::-1] & np.concatenate([np.ones((n, 1), bool), np.minimum.accumulate(words[:, r:] != 0, axis=1)], axis=1)
-        matched = same[:, None] & (r - j <= ends[0][:, None]) & (j <= ends[1][:, None])
-        open_ = there & ~matched & (keys[:, 5] > 2)[:, None] & ~again[:, None]
+        open_ = (j >= r - keys[:, 5:6] // SPAN) & (j <= keys[:, 5:6] % SPAN)
+        open_ &= (r - j <= _leading(words[:, :r] != 0)[:, None]) & (j <= _leading(words[:, r:] != 0)[:, None])
+        open_ &= ~(same[:, None] & (r - j <= before[:, None]) & (j <= after[:, None]))
+        open_ &= ((keys[:, 6] > 2) & ~again)[:, None]
         run = np.cumsum(~same)
-        # The first of a run keeps its windows open only for a later place that has open ones; runs over a border may have such.
-        needed = np.zeros(n, bool)
-        late = same & open_.any(axis=1)
-        needed[late] = True
-        asked = np.zeros(run[-1] + 1, bool)
-        asked[run[late]] = True
-        asked[[run[0], run[-1]]] = True
-        hot = keys[:, 5] > self.hot
-        open_ &= (needed | ~same & (asked[run] | hot))[:, None]
+        hot = keys[:, 6] > self.hot
+        self._shared(open_, words, run, hot | again)
+        # The first of a run is asked for its windows only if a later place has open ones.
+        asked = np.zeros(n + 1, bool)
+        asked[run[same & open_.any(axis=1)]] = True
+        open_[~(asked[run] | hot)] = False
         open_[:begin] = False
         some = np.flatnonzero(open_.any(axis=1))
-        keys, words = keys[some], words[some]
         row, col = np.nonzero(open_[some])
-        prints = []
+        keys, words, prints = keys[some], words[some].astype(np.uint64), []
         for f in self.factors:
-            w = words.astype(np.uint64) * f
-            sides = [np.concatenate([np.zeros((len(some), 1), np.uint64), np.cumsum(x, axis=1, dtype=np.uint64)], axis=1) for x in (w[:, :r], w[:, r:])]
-            h = keys[row, 0].astype(np.int64).view(np.uint64) + sides[0][row, r - col] + sides[1][row, col]
-            prints.append(mix64(h).view(np.int64))
-        return [keys[row, 2], keys[row, 3], keys[row, 4] - self.left - r + col, *prints]
+            sides = [np.concatenate([np.zeros((len(some), 1), np.uint64), np.cumsum(x, axis=1, dtype=np.uint64)], axis=1) for x in np.split(words * f, 2, axis=1)]
+            prints.append(mix64(keys[row, 0].view(np.uint64) + sides[0][row, r - col] + sides[1][row, col]).view(np.int64))
+        return passages, [keys[row, 2], keys[row, 3], keys[row, 4] - self.left - r + col, *prints]
+
+    def _shared(self, open_: np.ndarray, words: np.ndarray, run: np.ndarray, always: np.ndarray) -> None:
+        """Closes windows that no place of the run can share: sorted by the words after the context, and by those before, a place's neighbours agree with it longest."""
+        late = np.zeros(run[-1] + 1 if len(run) else 0, bool)
+        late[run[open_.any(axis=1)]] = True
+        some = np.flatnonzero(late[run]) if len(run) else np.zeros(0, np.int64)
+        if not len(some):
+            return
+        r = self.reach
+        longest = []
+        for side in (words[some, :r], words[some, r:]):
+            order = np.lexsort([*side.T[::-1], run[some]])
+            side, of = side[order], run[some][order]
+            met = _leading((side[1:] == side[:-1]) & (side[1:] != 0) & (of[1:] == of[:-1])[:, None])
+            best = np.zeros(len(some), np.int64)
+            best[order[1:]] = met
+            best[order[:-1]] = np.maximum(best[order[:-1]], met)
+            longest.append(np.where(always[some], r, best))
+        j = np.arange(r + 1)
+        open_[some] &= (r - j <= longest[0][:, None]) & (j <= longest[1][:, None])
+
+
+def _leading(same: np.ndarray) -> np.ndarray:
+    """How many leading values of each row are true."""
+    return np.where(same.all(axis=1), same.shape[1], np.argmin(same, axis=1)) if same.shape[1] else np.zeros(len(same), np.int64)
+
+
+def whole_runs(batches, hot: int):
+    """(keys, words, begin) of rows by whole runs of a context and part; a run of more than 4 * ``hot`` rows, which one text can make, comes in slices."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, begin = 0, 0
+
+    def joined():
+        return np.concatenate([k for k, _ in held]), np.concatenate([w for _, w in held])
+
+    for keys, words in batches:
+        last = int(np.flatnonzero((keys[:, :2] != keys[-1, :2]).any(axis=1))[-1:].sum() + 1) if (keys[:, :2] != keys[-1, :2]).any() else 0
+        new = bool(held) and (held[-1][0][-1, :2] != keys[0, :2]).any()
+        if last or new:
+            held.append((keys[:last], words[:last]))
+            yield *joined(), begin
+            held, size, begin = [], 0, 0
+        held.append((keys[last:], words[last:]))
+        size += len(keys) - last
+        if size > 4 * hot:
+            k, w = joined()
+            k[:, 6] = np.maximum(k[:, 6], hot + 1)
+            yield k, w, begin
+            held, size, begin = [(k[-1:], w[-1:])], 1, 1
+    if held:
+        yield *joined(), begin
 
 
 def compared(runs: DataFrame, min_words: int) -> DataFrame:
@@ -210,16 +258,18 @@ def compared(runs: DataFrame, min_words: int) -> DataFrame:
     part = F.when(F.col("c") > hot, F.pmod(F.xxhash64("doc_id", "text_key"), F.ceil(F.col("c") / hot))).otherwise(F.lit(0)).cast("long")
     rows = runs.withColumn("part", part).repartition("context", "part").sortWithinPartitions("context", "part", "doc_id", "text_key", "at")
 
-    def run(batches):
-        state = Neighbours(min_words, hot)
+    def arrays(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(i).to_numpy() for i in range(6)], axis=1)
-            data = batch.column(6)
-            at = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4)
-            words = np.frombuffer(data.buffers()[2], "<u4", (at[-1] - at[0]) // 4, int(at[0])).reshape(len(data), -1)
-            passages, windows = state.matches(keys, words)
+            if batch.num_rows:
+                data = batch.column(7)
+                at = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4)
+                words = np.frombuffer(data.buffers()[2], "<u4", (at[-1] - at[0]) // 4, int(at[0])).reshape(len(data), -1)
+                yield np.stack([batch.column(i).to_numpy() for i in range(7)], axis=1), words
+
+    def run(batches):
+        look = Neighbours(min_words, hot)
+        for keys, words, begin in whole_runs(arrays(batches), hot):
+            passages, windows = look.found(keys, words, begin)
             n, m = len(passages[0]), len(windows[0])
             none = lambda k: pa.nulls(k, pa.int64())
             if n:
@@ -227,7 +277,7 @@ def compared(runs: DataFrame, min_words: int) -> DataFrame:
             if m:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, windows[:3]), none(m), none(m), none(m), *map(pa.array, windows[3:])], _NAMES)
 
-    return rows.select("context", "part", "doc_id", "text_key", "at", "c", "words").mapInArrow(run, FOUND)
+    return rows.select("context", "part", "doc_id", "text_key", "at", "span", "c", "words").mapInArrow(run, FOUND)
 
 
 def merged(found: DataFrame) -> DataFrame:

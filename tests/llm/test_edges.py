@@ -351,3 +351,36 @@ def test_suffix_of_repeated_ids_and_clashing_names(spark):
     assert [(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in passages.collect()] == [(2, 1, 71, 1)]
     out = suffix.without_passages(rows, passages)
     assert out.columns == rows.columns and sorted(r.text for r in out.collect()) == sorted([a, b, "x ", "no more"])
+
+
+@pytest.mark.parametrize("hot", [20_000, 5])
+def test_suffix_neighbours_in_batches(hot):
+    import numpy as np
+    import pyarrow as pa
+
+    from linkgrain.llm.common import text_chunks
+
+    texts, _ = mosaic()
+    texts += ["again " * 300, "again " * 90 + SHORT, SHORT + " " + SHORT]
+    rows = []
+    for k, text in enumerate(texts):
+        for _, _, w in text_chunks(pa.array([text])):
+            _, at, context, span = suffix.places(w, 50)
+            words = suffix.around(w.hashes, at, 50)
+            rows += [((c, 0, k, 0, p, s, 9), x) for c, p, s, x in zip(context.tolist(), at.tolist(), span.tolist(), words, strict=True)]
+    rows.sort(key=lambda r: r[0])
+    keys, words = np.array([k for k, _ in rows]), np.stack([w for _, w in rows])
+
+    def result(size):
+        look, out = suffix.Neighbours(50, hot), (set(), set())
+        for k, w, begin in suffix.whole_runs(((keys[a : a + size], words[a : a + size]) for a in range(0, len(keys), size)), hot):
+            for have, columns in zip(out, look.found(k, w, begin), strict=True):
+                have.update(zip(*(c.tolist() for c in columns), strict=True))
+        return out
+
+    whole = result(len(keys))
+    for size in (1, 2, 7, 64):
+        passages, windows = result(size)
+        assert passages == whole[0]
+        # Slices of long runs leave more windows open, never fewer.
+        assert windows >= whole[1] if hot == 5 else windows == whole[1]
