@@ -1,6 +1,8 @@
 """Queries and stages against plain programs over the small tables."""
 
 import collections
+import math
+import re
 import zlib
 
 import pytest
@@ -141,3 +143,56 @@ def test_pipeline_of_an_empty_table(spark, small):
 def test_names():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def kneser_ney(texts, order=4, d=0.75):
+    """log P_1 / P_0 of every byte of every word, by plain counting; ``texts``: (text, toxic)."""
+    units = lambda text: [b" " + x + b" " for x in re.sub(rb"[^a-z\x80-\xff]+", b" ", text.encode().lower()).split()]
+    grams = lambda u: [u[max(0, k - order + 1) : k + 1] for k in range(1, len(u))]
+    count = [collections.Counter(), collections.Counter()]
+    for text, toxic in texts:
+        for u in units(text):
+            count[toxic].update(grams(u))
+    endings = {g[k:] for c in count for g in c for k in range(len(g))}
+    follows = collections.Counter(g[1:] for g in endings if len(g) > 1)
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        same = [n for x, n in follows.items() if x[:-1] == g[:-1] and len(x) == len(g)]
+        return (max(follows[g] - d, 0) + d * len(same) * shared(g[1:])) / sum(same) if same else shared(g[1:])
+
+    def ratio(g):
+        p = []
+        for c in count:
+            same = [n for x, n in c.items() if x[:-1] == g[:-1]]
+            p.append((max(c[g] - d, 0) + d * len(same) * shared(g[1:])) / sum(same) if same else shared(g[1:]))
+        return math.log(p[1] / p[0])
+
+    return lambda text: [sum(map(ratio, grams(u))) for u in units(text)]
+
+
+def test_toxicity_model(spark):
+    from linkgrain.llm import toxicity
+
+    texts = [("You are trash, you trash", 1), ("the trap is TRASH ñandú", 1), ("the train and the trap are here", 0), ("you and 3 thrushes", 0), ("ñandú there", 0), ("", 1)]
+    want = kneser_ney(texts)
+    learned = spark.createDataFrame(texts, "text string, toxic int")
+    ratios = written(toxicity.log_ratios(toxicity.gram_counts(learned, 4), 4), "test-ratios")
+    probes = ["trash trapper zzz", "you", "the ñandú is here", "", None, "qqq trash the trash and and trap", "12 !"]
+    docs = spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string")
+    by_join = {r.doc_id: r for r in toxicity.score_features(docs, ratios, order=4, held_rows=0).collect()}
+    held = {r.doc_id: r for r in toxicity.score_features(docs, ratios, order=4).collect()}
+    assert by_join == held
+    for k, text in enumerate(probes):
+        words_ = want(text or "")
+        assert abs(held[k].f0 - (sum(words_) / len(words_) if words_ else 0)) < 1e-5
+        assert abs(held[k].f1 - (max(words_) if words_ else 0)) < 1e-5
+        fours = [sum(words_[a : a + 4]) / 4 for a in range(len(words_))]
+        assert abs(held[k].f2 - (max(fours) if fours else 0)) < 1e-5
+
+
+def test_toxicity_query(spark):
+    rows = queries.op4_toxicity(spark, "/root/testdata/sf0.01").join(queries.table(spark, "/root/testdata/sf0.01", "labels").select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
+    toxic = [r for r in rows if r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.5 * len(toxic) and sum(r.predicted for r in rows if not r.toxic) <= 0.02 * len(rows)
