@@ -3,7 +3,10 @@
 Every language has a model of byte trigrams inside words.  A document's words
 are a mixture of languages; expectation-maximisation finds the proportions, and
 among the best sets of one, two, ... languages the penalised likelihood
-(half a logarithm of the number of words for each language) picks one.
+(half a logarithm of the number of words for each language) picks one: the set
+grows by the next largest proportion as long as that is better.  Every document
+stops by itself and word likelihoods add up in whole units, so its result does
+not depend on the rows around it.
 """
 
 from __future__ import annotations
@@ -18,8 +21,11 @@ from .common import text_chunks
 from .counting import SCHEMA, packed, summed
 
 SLOTS = 1 << 18
-MOST_LANGUAGES = 3
 ROUNDS = 12
+#: A document's EM ends when no proportion moves by so much; a language counts from this proportion on.
+MOVED, LEAST_PART = 1e-3, 0.01
+#: Log-probabilities are whole multiples of 1 / UNIT.
+UNIT = 1 << 16
 #: Pseudo-counts that the pooled model of all languages lends to each.
 PRIOR = 2000.0
 _U = np.uint64
@@ -57,7 +63,7 @@ class Model:
         self.langs = sorted(counts)
         pooled = sum((counts[x] for x in self.langs), np.zeros(SLOTS)) + 0.5
         pooled = pooled / pooled.sum()
-        self.table = np.stack([np.log((counts[x] + PRIOR * pooled) / (counts[x].sum() + PRIOR)) for x in self.langs]).astype(np.float32) if counts else np.zeros((0, SLOTS), np.float32)
+        self.table = np.stack([np.rint(np.log((counts[x] + PRIOR * pooled) / (counts[x].sum() + PRIOR)) * UNIT).astype(np.int32) for x in self.langs]) if counts else np.zeros((0, SLOTS), np.int32)
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[str, float, list[tuple[str, float]]]]:
         """(language, score, proportions of the chosen set) by text; ``und`` where there is no letter or no model."""
@@ -70,55 +76,64 @@ class Model:
         if not len(own) or not self.langs:
             return out
         n_langs = len(self.langs)
-        loglik = np.empty((len(starts), n_langs), np.float32)
+        loglik = np.empty((len(starts), n_langs))
         for k in range(n_langs):
-            sums = np.concatenate([[0.0], np.cumsum(self.table[k][slot], dtype=np.float64)])
-            loglik[:, k] = sums[ends] - sums[starts]
+            sums = np.concatenate([[0], np.cumsum(self.table[k][slot], dtype=np.int64)])
+            loglik[:, k] = (sums[ends] - sums[starts]) / UNIT
         top = loglik.max(axis=1, keepdims=True)
-        like = np.exp(loglik - top)
+        like = np.exp(loglik - top).astype(np.float32)
         first, count = at[:-1][own], n[own]
-        doc = np.repeat(np.arange(len(own)), count)
-        base = np.add.reduceat(top[:, 0].astype(np.float64), first)
-
-        def fit(allowed: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-            """Proportions and log-likelihood by document, with proportions 0 where not allowed."""
-            share = allowed / allowed.sum(axis=1, keepdims=True)
-            for _ in range(ROUNDS):
-                part = like * share[doc].astype(np.float32)
-                total = np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
-                new = np.add.reduceat(part / total, first, axis=0) / count[:, None]
-                done = np.abs(new - share).max() < 1e-3
-                share = new
-                if done:
-                    break
-            total = np.maximum((like * share[doc].astype(np.float32)).sum(axis=1), 1e-30)
-            return share, base + np.add.reduceat(np.log(total.astype(np.float64)), first)
-
-        share, _ = fit(np.ones((len(own), n_langs)))
+        base = np.add.reduceat(top[:, 0], first)
+        share, _ = fitted(like, count, np.ones((len(own), n_langs)))
         order = np.argsort(-share, axis=1, kind="stable")
-        single = np.add.reduceat(loglik.astype(np.float64), first, axis=0)
+        single = np.add.reduceat(loglik, first, axis=0)
         rows = np.arange(len(own))
         best = np.argmax(single, axis=1)
         chosen = np.zeros((len(own), n_langs))
         chosen[rows, best] = 1.0
         penalty = 0.5 * np.log(count + 1.0)
         value = single[rows, best] - penalty
-        for size in range(2, min(MOST_LANGUAGES, n_langs) + 1):
-            if not (share[rows, order[:, size - 1]] > 0.01).any():
+        doc = np.repeat(rows, count)
+        grows = np.ones(len(own), bool)
+        for size in range(2, n_langs + 1):
+            grows &= share[rows, order[:, size - 1]] > LEAST_PART
+            some = np.flatnonzero(grows)
+            if not len(some):
                 break
-            allowed = np.zeros((len(own), n_langs))
-            np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
-            got, fitted = fit(allowed)
-            better = fitted - size * penalty > value
-            chosen[better], value = got[better], np.where(better, fitted - size * penalty, value)
+            allowed = np.zeros((len(some), n_langs))
+            np.put_along_axis(allowed, order[some, :size], 1.0, axis=1)
+            got, fit = fitted(like[grows[doc]], count[some], allowed)
+            fit += base[some] - size * penalty[some]
+            better = fit > value[some]
+            chosen[some[better]], value[some[better]] = got[better], fit[better]
+            grows[some[~better]] = False
         win = np.argmax(chosen, axis=1)
         score = np.clip(share[rows, win], 0.0, 1.0)
         for j, d in enumerate(own.tolist()):
-            parts = [(self.langs[k], float(chosen[j, k])) for k in np.flatnonzero(chosen[j] > 0.01)]
+            parts = [(self.langs[k], float(chosen[j, k])) for k in np.flatnonzero(chosen[j] > LEAST_PART)]
             out[d] = self.langs[win[j]], float(score[j]), sorted(parts, key=lambda x: -x[1])
         return out
 
 
+def fitted(like: np.ndarray, count: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions, 0 where not ``allowed``, and log-likelihoods of documents of ``count`` rows each of ``like``."""
+    share = allowed / allowed.sum(axis=1, keepdims=True)
+    on, rows, n = np.arange(len(count)), like, count
+    for _ in range(ROUNDS):
+        doc = np.repeat(np.arange(len(on)), n)
+        part = rows * share[on][doc].astype(np.float32)
+        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
+        new = np.add.reduceat(part, np.cumsum(n) - n, axis=0) / n[:, None]
+        moved = np.abs(new - share[on]).max(axis=1) >= MOVED
+        share[on] = new
+        if not moved.any():
+            break
+        if not moved.all():
+            on, rows, n = on[moved], rows[moved[doc]], n[moved]
+    total = np.maximum((like * share[np.repeat(np.arange(len(count)), count)].astype(np.float32)).sum(axis=1), 1e-30)
+    return share, np.add.reduceat(np.log(total.astype(np.float64)), np.cumsum(count) - count)
+
+
 def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Trigram counts of all rows with text and language; SLOTS numbers a language come to the driver."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
