@@ -3,10 +3,11 @@
 A window is as long as a benchmark item and lies where a document shares a
 shingle with that item, aligned on it; any other window has similarity 0 and
 needs no fingerprint.  A window's 64-bit SimHash over its words goes through a
-multi-index of BLOCKS blocks, each filled with the items' neighbours within
+multi-index of BLOCKS blocks, asked in each for all values within
 RADIUS // BLOCKS bits: of BLOCKS blocks one differs in at most that many, so it
 shows every item within RADIUS bits.  Around what it shows, the weighted
-similarity of word shingles decides exactly.
+similarity of word shingles decides exactly.  A shingle's weight falls with the
+number of items that hold it, counted over all items in Spark.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import Words, doc_index, mix64, text_chunks
 
 BLOCKS, BLOCK_BITS = 4, 16
-RADIUS = 19
+RADIUS = 23
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Items whose tables go to the executors at once, about 40 KB an item; more items take more passes.
-ITEMS_AT_ONCE = 1024
+#: Items whose tables go to the executors at once, about 2 KB an item of 50 words; more items take more passes.
+ITEMS_AT_ONCE = 16_384
+#: Fingerprints whose items a task remembers.
+KNOWN_PRINTS = 100_000
 _BITMAP = 1 << 24
 _U = np.uint64
 
@@ -50,25 +53,25 @@ def _neighbours(width: int, within: int) -> np.ndarray:
 class ItemIndex:
     """Hashed items, their weights by shingle, and the block tables of their fingerprints."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], common: tuple[np.ndarray, np.ndarray]):
         order = sorted((t or "", i) for i, t in zip(ids, texts, strict=True))
         ids, texts = [i for _, i in order], pa.array([t for t, _ in order], pa.string())
         words = [w.of(i) for _, _, w in text_chunks(texts) for i in range(len(w))]
         keep = [k for k, w in enumerate(words) if len(w)]
         self.ids, self.words = [ids[k] for k in keep], [words[k] for k in keep]
         self.size = np.array([len(w) for w in self.words], np.int64)
-        self.shingles = [np.unique(roll(w, min(SHINGLE, len(w)))) for w in self.words]
-        seen, times = np.unique(np.concatenate([*self.shingles, np.zeros(0, np.uint64)]), return_counts=True)
-        #: A shingle's weight falls with the number of items that hold it.
-        self.known, self.weight = seen, 1.0 / (1.0 + np.log(np.maximum(times, 1)))
+        self.shingles = [item_shingles(w) for w in self.words]
+        #: Sorted shingles of two items or more, and their weights; any other weighs 1.
+        self.common, self.common_weight = common
         self.prints = np.array([fingerprint(w) for w in self.words], np.uint64)
-        near = _neighbours(BLOCK_BITS, RADIUS // BLOCKS)
+        self.known: dict[int, np.ndarray] = {}
+        self.around = _neighbours(BLOCK_BITS, RADIUS // BLOCKS)
         self.tables = []
         for block in range(BLOCKS):
-            slots = (self._slot(self.prints, block)[:, None] ^ near[None, :]).ravel()
+            slots = self._slot(self.prints, block)
             order = np.argsort(slots, kind="stable")
             begin = np.searchsorted(slots[order], np.arange((1 << BLOCK_BITS) + 1)).astype(np.int32)
-            self.tables.append((begin, np.repeat(np.arange(len(self.prints), dtype=np.int32), len(near))[order]))
+            self.tables.append((begin, order.astype(np.int32)))
         #: By shingle length, the places of each shingle in the items.
         self.places = {}
         for k in sorted({min(SHINGLE, n) for n in self.size.tolist()}):
@@ -87,13 +90,24 @@ class ItemIndex:
 
     def near(self, window: np.uint64) -> np.ndarray:
         """Items within RADIUS bits of a window's fingerprint."""
-        prints = np.array([window], np.uint64)
-        shown = []
-        for block, (begin, items) in enumerate(self.tables):
-            slot = self._slot(prints, block)[0]
-            shown.append(items[begin[slot] : begin[slot + 1]])
-        shown = np.unique(np.concatenate(shown))
-        return shown[np.bitwise_count(self.prints[shown] ^ window) <= RADIUS]
+        key = int(window)
+        if key not in self.known:
+            if len(self.known) >= KNOWN_PRINTS:
+                self.known.clear()
+            prints, shown = np.array([window], np.uint64), []
+            for block, (begin, items) in enumerate(self.tables):
+                slots = self._slot(prints, block)[0] ^ self.around
+                for s in slots[begin[slots + 1] > begin[slots]].tolist():
+                    shown.append(items[begin[s] : begin[s + 1]])
+            found = np.unique(np.concatenate([*shown, np.zeros(0, np.int32)]))
+            self.known[key] = found[np.bitwise_count(self.prints[found] ^ window) <= RADIUS]
+        return self.known[key]
+
+    def weights(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return np.ones(len(shingles))
+        at = np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)
+        return np.where(self.common[at] == shingles, self.common_weight[at], 1.0)
 
     def similarity(self, item: int, words: np.ndarray, at: int) -> tuple[float, int]:
         """The best weighted Jaccard of the item with a run of its size that starts near ``at``, and that start."""
@@ -106,15 +120,13 @@ class ItemIndex:
         shared = np.isin(rolled, own)
         if not shared.any():
             return best, where
-        own_weight = self.weight[np.searchsorted(self.known, own)]
+        own_weight = self.weights(own)
         for start in range(lo, max(lo, min(hi, len(words) - 1)) + 1):
             run = np.unique(rolled[start - lo : start - lo + n - k + 1])
             if not len(run):
                 continue
-            place = np.minimum(np.searchsorted(self.known, run), len(self.known) - 1)
-            weights = np.where(self.known[place] == run, self.weight[place], 1.0)
             both = own_weight[np.isin(own, run)].sum()
-            got = both / (own_weight.sum() + weights.sum() - both)
+            got = both / (own_weight.sum() + self.weights(run).sum() - both)
             if got > best:
                 best, where = float(got), start
         return best, where
@@ -131,6 +143,25 @@ def roll(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def item_shingles(words: np.ndarray) -> np.ndarray:
+    return np.unique(roll(words, min(SHINGLE, len(words))))
+
+
+def common_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of two or more of the items (``text``), sorted, and their weights: 1 / (1 + log of the number of items)."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, w in text_chunks(batch.column(0)):
+                found = [item_shingles(w.of(i)) for i in range(len(w)) if len(w.of(i))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], ["shingle"])
+
+    rows = items.select("text").mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").toArrow()
+    shingles, n = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], 1.0 / (1.0 + np.log(n[order]))
+
+
 def _windows(w: Words, index: ItemIndex) -> set[tuple[int, int, int]]:
     """(text, start, length) of the windows aligned on a shingle shared with an item."""
     found: set[tuple[int, int, int]] = set()
@@ -173,8 +204,9 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     A document holds an item if a run of its words of the item's length has a
     weighted Jaccard similarity of at least SIMILARITY with the item, over sets
     of SHINGLE-word shingles (of all words of a shorter item), A-Z lower-cased.
-    The benchmark is the stated query set: it passes through the driver
-    ITEMS_AT_ONCE items at a time, each pass over all documents.
+    A shingle of n items weighs 1 / (1 + log n), any other 1.  The benchmark is
+    the stated query set: it passes through the driver ITEMS_AT_ONCE items at a
+    time, each pass over all documents; the result does not depend on the passes.
 
     Null or empty texts and items without a word hold and match nothing;
     repeated rows each give their rows, and equal items are each reported; an
@@ -201,9 +233,9 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
         return run
 
     item_type = to_arrow_type(wanted.schema["item_id"].dataType)
-    found = None
+    found, common = None, common_shingles(wanted)
     for part in _portions(wanted):
-        index = ItemIndex([r[0] for r in part], [r[1] for r in part])
+        index = ItemIndex([r[0] for r in part], [r[1] for r in part], common)
         if not index.ids:
             continue
         got = rows.mapInArrow(job(context.broadcast(index)), schema)

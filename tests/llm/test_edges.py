@@ -253,13 +253,40 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.contaminated(rows, bench.limit(0)).count() == 0 and decontaminate.contaminated(none, bench).count() == 0
 
 
-def test_decontaminate_in_passes_equals_at_once(spark, monkeypatch):
-    items = [" ".join(rng.choice(WORDS) for _ in range(12)) for _ in range(7)]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    rows = docs(spark, [f"x {t} y" for t in items])
+@pytest.mark.parametrize("at_once", [1, 2, 5])
+def test_decontaminate_in_passes_equals_at_once(spark, monkeypatch, at_once):
+    shared = [rng.choice(WORDS) for _ in range(14)]
+    items = [" ".join(rng.choice(WORDS) for _ in range(12)) for _ in range(5)] + [" ".join([*shared, *(rng.choice(WORDS) for _ in range(10))]) for _ in range(4)]
+    bench = spark.createDataFrame([*enumerate(items), (20, items[6])], "item_id long, text string")
+    texts = [f"x {t} y" for t in items] + [" ".join([*t.split()[:-1], "other"]) for t in items] + [" ".join(["other", *t.split()[2:]]) for t in items]
+    rows = docs(spark, texts)
     want = sorted(map(tuple, decontaminate.contaminated(rows, bench).collect()))
-    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 2)
-    assert sorted(map(tuple, decontaminate.contaminated(rows, bench).collect())) == want and len(want) == 7
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", at_once)
+    assert sorted(map(tuple, decontaminate.contaminated(rows, bench).collect())) == want and len({x[2] for x in want}) > 2
+
+
+def test_fingerprints_of_similar_windows_lie_within_the_radius():
+    """Items of many sizes with as many words changed as similarity 0.8 bears."""
+    import numpy as np
+
+    own = np.random.default_rng(5)
+    seen = lost = 0
+    for n in (13, 17, 20, 25, 30, 40, 50, 80, 150, 300):
+        for _ in range(300):
+            item = own.integers(1, 1 << 63, n, dtype=np.uint64)
+            other = item.copy()
+            while True:
+                k, m = own.integers(0, n), own.integers(1, max(2, n // 10))
+                trial = other.copy()
+                trial[k : k + m] = own.integers(1, 1 << 63, len(trial[k : k + m]), dtype=np.uint64)
+                a, b = decontaminate.item_shingles(item), decontaminate.item_shingles(trial)
+                both = len(np.intersect1d(a, b))
+                if both < 0.8 * (len(a) + len(b) - both):
+                    break
+                other = trial
+            seen += 1
+            lost += np.bitwise_count(decontaminate.fingerprint(item) ^ decontaminate.fingerprint(other)) > decontaminate.RADIUS
+    assert seen == 3000 and lost == 0
 
 
 def test_warc_reads_back_through_the_index(spark, tmp_path, monkeypatch):
