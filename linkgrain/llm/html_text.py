@@ -3,7 +3,9 @@
 Every block element of a page has a hash over its tag, class, text and children.
 Spark counts in how many different pages of a host each hash lies; subtrees that
 recur in many of them are the site's template and are deleted, besides what tags,
-roles and class names mark as no part of the article.
+roles and class names mark as no part of the article.  Inside an article a text
+block that recurs is a quotation or a common line and stays; only named
+containers go there.
 """
 
 from __future__ import annotations
@@ -21,14 +23,12 @@ from .common import written
 
 #: A subtree is template from so many different pages of its host on, and from such a part of them.
 MIN_PAGES = 5
-MIN_SHARE = 0.2
-#: Inside an article template may be no more than this part of its text.
-MOST_INSIDE = 0.5
+MIN_SHARE = 0.02
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-DROPPED = frozenset("script style noscript template head title iframe object embed svg math canvas audio video form button input select textarea nav header footer aside dialog menu".split())
+DROPPED = frozenset("script style noscript template head title iframe object embed svg canvas audio video form button input select textarea nav header footer aside dialog menu".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
@@ -37,29 +37,45 @@ MARKS = re.compile(
     r"ads?|ad(?:vert\w*|box|slot|unit|sense|banner|space)|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notices?|alerts?|announcements?|newsletter\w*|subscri\w*|signup|popup|modal|overlay"
     r"|nav|navbar|navigation|menus?|breadcrumbs?|sidebar\w*|sidenav|widgets?|related|recommended|recommendations|share|sharing|social|comments?|commentlist|disqus|respond|replies|footer|masthead|toolbar|topbar|pagination|pager|login|paywall"
 )
+#: Words that a marked name may have besides: ``related-posts`` is marked, ``related-work`` is not.
+PLAIN = frozenset("area article bar block body bottom box btn button buttons col column container content count entry form global group header icon icons inner item items left link links list main media outer page panel placeholder popular post posts primary region right row secondary section site slot stories story text the to top unit us view wrap wrapper x".split())
+#: Text blocks; what recurs of them inside an article stays.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot table caption pre blockquote figcaption figure summary hr ol ul dl address".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
-_DIGITS = re.compile(r"\d+")
 
 
 class Page(HTMLParser):
-    """Elements in page order: tag, attributes, parent, and content of texts and element numbers."""
+    """Elements in page order: tag, attributes, parent, and content of texts and element numbers.
+
+    ``places`` has, by name, where elements of that name are among the open
+    ones, so a tag's end is found without a search.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.tags, self.attrs, self.parents, self.content = ["#root"], [{}], [-1], [[]]
+        self.inside = [False]
         self.open = [0]
+        self.places: dict[str, list[int]] = {}
         self.feed(html)
         self.close()
 
-    def _leave(self, names, until=frozenset()) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.tags[self.open[k]]
-            if tag in until:
-                return
-            if tag in names:
-                del self.open[k:]
-                return
+    def parse_marked_section(self, i, report=1):
+        """Sections such as ``<![if x]>`` are comments in HTML."""
+        return self.parse_bogus_comment(i, report)
+
+    def _last(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def _leave(self, names, until=frozenset()) -> bool:
+        """Ends the innermost open element of ``names``, and all inside, unless one of ``until`` lies in it."""
+        k = self._last(names)
+        if not k or k < self._last(until):
+            return False
+        while len(self.open) > k:
+            self.places[self.tags[self.open.pop()]].pop()
+        return True
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
@@ -67,23 +83,24 @@ class Page(HTMLParser):
         if tag in CLOSES:
             # All of an open cell, row or item that this one ends.
             for _ in range(3):
-                n = len(self.open)
-                self._leave(CLOSES[tag], HOLDS[tag])
-                if len(self.open) == n:
+                if not self._leave(CLOSES[tag], HOLDS[tag]):
                     break
         k = len(self.tags)
+        above = self.open[-1]
         self.tags.append(tag)
         self.attrs.append(dict(attrs))
-        self.parents.append(self.open[-1])
+        self.parents.append(above)
         self.content.append([])
-        self.content[self.open[-1]].append(k)
+        self.inside.append(self.inside[above] or _article(self.tags[above], self.attrs[above]))
+        self.content[above].append(k)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(k)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in ("p", "div", "a", "span", "b", "i", "li"):
-            self.open.pop()
+            self._leave({tag})
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -95,75 +112,56 @@ class Page(HTMLParser):
         self.content[self.open[-1]].append(data)
 
     def hashes(self) -> list[int]:
-        """Of every element's subtree; digits are alike, so counters and years don't part templates."""
+        """Of every element's subtree, its text as it is but for white space."""
         out = [0] * len(self.tags)
         for k in range(len(self.tags) - 1, -1, -1):
             a = self.attrs[k]
             parts = [self.tags[k], a.get("class") or "", a.get("id") or ""]
-            parts += [str(out[x]) if isinstance(x, int) else _DIGITS.sub("0", " ".join(x.split())) for x in self.content[k]]
+            parts += [str(out[x]) if isinstance(x, int) else " ".join(x.split()) for x in self.content[k]]
             out[k] = xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
         return out
 
-    def sizes(self) -> list[int]:
-        """Characters of text below every element."""
-        out = [sum(len(x) for x in c if isinstance(x, str)) for c in self.content]
-        for k in range(len(out) - 1, 0, -1):
-            out[self.parents[k]] += out[k]
-        return out
-
     def marked(self, k: int) -> bool:
         """Whether tag, role, visibility or name say that an element is no part of an article."""
         tag, a = self.tags[k], self.attrs[k]
-        names = {x.lower() for v in (a.get("class"), a.get("id")) if v for x in _TOKEN.findall(v)}
+        names = [frozenset(x.lower() for x in _TOKEN.findall(name)) for v in (a.get("class"), a.get("id")) if v for name in v.split()]
         if tag in ("article", "main", "body", "html"):
-            return bool(names & COMMENTS) and tag in ("article",)
-        if tag == "header" or "header" in names and tag in ("div", "section"):
+            return tag == "article" and any(n & COMMENTS for n in names)
+        if tag == "header" or tag in ("div", "section") and any("header" in n and n - {"header"} <= PLAIN for n in names):
             # An article's own header has its title.
-            return not any(self.tags[x] in ("article", "main") for x in self.above(k))
+            return not self.inside[k]
         if tag in DROPPED or a.get("role") in ROLES or "hidden" in a or a.get("aria-hidden") == "true":
             return True
-        return any(map(MARKS.fullmatch, names)) or "display:none" in (a.get("style") or "").replace(" ", "").lower()
-
-    def above(self, k: int):
-        k = self.parents[k]
-        while k > 0:
-            yield k
-            k = self.parents[k]
+        if any(n - PLAIN and all(map(MARKS.fullmatch, n - PLAIN)) for n in names):
+            return True
+        return "display:none" in (a.get("style") or "").replace(" ", "").lower()
 
     def text(self, template: frozenset | set) -> str:
         """The article's blocks, one a line."""
         n = len(self.tags)
+        own = self.hashes() if template else []
         gone = [False] * n
         for k in range(1, n):
-            gone[k] = gone[self.parents[k]] or self.marked(k)
-        sizes = None
-        inside = [False] * n
-        for k in range(1, n):
-            inside[k] = inside[self.parents[k]] or self.tags[k] in ("article", "main") or self.attrs[k].get("role") == "main"
-        if template:
-            own = self.hashes()
-            recurs = [k for k in range(1, n) if not gone[k] and counted(self.tags[k]) and own[k] in template]
-            top = [k for k in recurs if inside[k]]
-            if top:
-                sizes = self.sizes()
-                chosen = set(top)
-                outer = sum(sizes[k] for k in top if not any(x in chosen for x in self.above(k)))
-                whole = sum(sizes[k] for k in range(1, n) if inside[k] and not inside[self.parents[k]])
-                if outer > MOST_INSIDE * whole:
-                    recurs = [k for k in recurs if not inside[k]]
-            for k in recurs:
-                gone[k] = True
-        for k in range(1, n):
-            gone[k] = gone[k] or gone[self.parents[k]]
+            gone[k] = gone[self.parents[k]] or self.marked(k) or bool(template) and own[k] in template and counted(self.tags[k]) and not self._kept(k)
         for names in (("article",), ("main",), ()):
-            roots = [k for k in range(1, n) if not gone[k] and (self.tags[k] in names or names == ("main",) and self.attrs[k].get("role") == "main")] if names else [0]
-            chosen = set(roots)
-            roots = [k for k in roots if not any(x in chosen for x in self.above(k))]
+            if names:
+                chosen = [self.tags[k] in names or names == ("main",) and self.attrs[k].get("role") == "main" for k in range(n)]
+                chosen = [c and not g for c, g in zip(chosen, gone, strict=True)]
+                under = [False] * n
+                for k in range(1, n):
+                    under[k] = under[self.parents[k]] or chosen[self.parents[k]]
+                roots = [k for k in range(1, n) if chosen[k] and not under[k]]
+            else:
+                roots = [0]
             out = "\n".join(x for k in roots for x in self.blocks(k, gone))
             if out or not names:
                 return out
         return ""
 
+    def _kept(self, k: int) -> bool:
+        """Whether a recurring element stays: text blocks and containers without a name inside an article."""
+        return self.inside[k] and (self.tags[k] in TEXTS or not (self.attrs[k].get("class") or self.attrs[k].get("id")))
+
     def blocks(self, root: int, gone: list[bool]):
         line: list[str] = []
         todo: list = [root]
@@ -190,6 +188,10 @@ class Page(HTMLParser):
             yield text
 
 
+def _article(tag: str, attrs: dict) -> bool:
+    return tag in ("article", "main") or attrs.get("role") == "main"
+
+
 def counted(tag: str) -> bool:
     """Block elements below the page's frame; single inline elements recur in prose."""
     return tag not in INLINE and tag not in VOID and tag not in ("#root", "html", "head", "body", "article", "main", "script", "style", "title")
@@ -202,8 +204,8 @@ def host_of(url) -> Column:
 def site_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, template): the hashes of subtrees in many different pages of the host.
 
-    Equal pages count once.  A host's list is bounded by the subtrees of a page
-    over ``min_share``.
+    Equal pages count once.  A host's list has at most the subtrees of an average
+    page divided by ``min_share``.
     """
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter(F.col("html").isNotNull())
 
