@@ -1,11 +1,13 @@
 """Operator 9: WARC archives with a two-level capture index.
 
 Spark's text sink writes the archives, so they land through its committer in any
-store that Spark reaches.  The captures are read back through the index: tasks
-search its blocks for the wanted keys and read the records' ranges.  Each record
-is a gzip member of its own.  A member
-ends in its length, whose last byte is 0 below 16 MiB; the sink's line separator
-NUL supplies that byte, and so the files are plain ``.warc.gz`` files.
+store that Spark reaches, and are named ``.warc.gz`` then.  Each record is one
+gzip member.  The sink ends a row with its line separator, here NUL.  A member
+ends in its length, whose last byte is 0 below 16 MiB; the separator stands for
+it.  After a longer one NUL is padding between members, which gzip permits.
+Rows hold members of about ROW_BYTES, and files as many rows as keep them within
+FILE_BYTES.  The captures are read back through the index: tasks search its
+blocks for the wanted keys and read the records' ranges.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import uuid
 import zlib
 from urllib.parse import urlsplit
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -27,9 +30,9 @@ from pyspark.sql import types as T
 from .common import scratch_dir, written
 
 LEVEL = 3
-#: A member's raw length stays below 16 MiB.
-MEMBER_BYTES = 15 << 20
-RECORDS_PER_FILE = 20_000
+ROW_BYTES = 1 << 20
+#: A file is no longer, unless one record is.
+FILE_BYTES = 128 << 20
 BLOCK_CAPTURES = 1000
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -62,35 +65,30 @@ def record(page_id, url: str | None, payload: bytes, original) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def members(raw: bytes):
-    """Gzip members of a record without their last byte, which is 0."""
-    for at in range(0, len(raw), MEMBER_BYTES):
-        z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-        yield (z.compress(raw[at : at + MEMBER_BYTES]) + z.flush())[:-1]
+def member(raw: bytes) -> bytes:
+    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return z.compress(raw) + z.flush()
 
 
 def read_records(data: bytes):
     """(offset, length, headers, payload) of the records in an archive file's bytes."""
-    at, record_at, raw = 0, 0, b""
-    while at < len(data):
-        z = zlib.decompressobj(31)
-        parts = []
-        window = 1 << 16
-        pos = at
+    at = 0
+    while True:
+        while at < len(data) and not data[at]:  # padding
+            at += 1
+        if at >= len(data):
+            return
+        z, parts, pos = zlib.decompressobj(31), [], at
         while not z.eof:
             if pos >= len(data):
                 raise ValueError("a gzip member is cut short")
-            parts.append(z.decompress(data[pos : pos + window]))
-            pos += window
-        raw += b"".join(parts)
-        at = min(pos, len(data)) - len(z.unused_data)
-        head, gap, body = raw.partition(b"\r\n\r\n")
-        headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:]) if gap else {}
-        size = int(headers.get("Content-Length", -1))
-        if size < 0 or len(body) < size + 4:
-            continue  # the record goes on in the next member
-        yield record_at, at - record_at, headers, body[:size].partition(b"\r\n\r\n")[2]
-        record_at, raw = at, b""
+            parts.append(z.decompress(data[pos : pos + (1 << 16)]))
+            pos += 1 << 16
+        end = min(pos, len(data)) - len(z.unused_data)
+        head, _, body = b"".join(parts).partition(b"\r\n\r\n")
+        headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        yield at, end - at, headers, body[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2]
+        at = end
 
 
 def page_of(value: str | None) -> str | None:
@@ -134,18 +132,37 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).join(again, "page_id", "left")
 
     def run(batches):
+        row: list[bytes] = []
         for batch in batches:
-            out = []
             for page_id, url, html, original in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                # All members of a record in one row: each ends in the NUL that the next would lack.
-                parts = list(members(record(page_id, url, (html or "").encode(), original)))
-                out.append(b"\0".join(parts))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
-
-    rows.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+                row.append(member(record(page_id, url, (html or "").encode(), original)))
+                if sum(map(len, row)) >= ROW_BYTES:
+                    yield out(row)
+                    row = []
+        if row:
+            yield out(row)
+
+    def out(row):
+        # The separator stands for the last byte where that is 0.
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(row).removesuffix(b"\0")], pa.binary())], ["members"])
+
+    largest = pages.agg(F.max(F.octet_length(F.col(html_col)))).first()[0] or 0
+    rows_per_file = max(1, FILE_BYTES // (2 * ROW_BYTES + largest))
+    rows.mapInArrow(run, "members binary").select(F.col("members").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", rows_per_file).text(path)
+    named_archives(pages.sparkSession, path)
     return path
 
 
+def named_archives(spark, path: str) -> None:
+    """Gives the sink's part files the archives' extension."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.listStatus(folder):
+        file = status.getPath()
+        if file.getName().startswith("part-"):
+            store.rename(file, spark._jvm.org.apache.hadoop.fs.Path(folder, file.getName().removesuffix(".txt") + ".warc.gz"))
+
+
 def read_warc(spark, path: str, id_type: T.DataType) -> DataFrame:
     """A row per record of the archives: page_id, url, record_type, refers_to, payload_digest, n_bytes (stored), file, offset, length, sound.
 
@@ -204,7 +221,9 @@ def archived(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     return captures(written(through_index(pages.select(F.col(url_col).alias("url")), index, path, id_type), "captures-read"))
 
 
-surt_key = F.udf(surt, T.StringType(), useArrow=True)
+@F.pandas_udf(T.StringType())
+def surt_key(urls: pd.Series) -> pd.Series:
+    return pd.Series([surt(x) for x in urls])
 
 
 def write_index(records: DataFrame, path: str, block_captures: int = BLOCK_CAPTURES) -> str:
@@ -253,21 +272,36 @@ def lookup(spark, path: str, url: str) -> list[dict]:
 def places(urls: DataFrame, index: str) -> DataFrame:
     """(file, offset, length) of all captures of the keys of ``urls``.
 
-    The directory, a row for BLOCK_CAPTURES captures, is held by every task;
-    a search in it names the blocks of a key, one in each block its captures.
+    Every task knows the first and last key of the index's files, one row a
+    file.  A file's keys meet its part of the directory, whose search names the
+    blocks of a key; a search in each block names its captures.
     """
     spark = urls.sparkSession
-    directory = sorted(tuple(r) for r in spark.read.parquet(f"{index}/directory").select("first_key", "last_key", "file", "row").toLocalIterator())
-    held = spark.sparkContext.broadcast(tuple([r[k] for r in directory] for k in range(4)))
+    directory = spark.read.parquet(f"{index}/directory")
+    files = directory.groupBy("file").agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+    files = sorted(tuple(r) for r in files.select("first_key", "last_key", "file").toLocalIterator())
+    held = spark.sparkContext.broadcast(tuple([r[k] for r in files] for k in range(3)))
 
     def named(batches):
-        firsts, lasts, files, rows = held.value
+        firsts, lasts, names = held.value
         for batch in batches:
             found = set()
             for key in {surt(None if url is None else _clean(url)) for url in batch.column(0).to_pylist()}:
-                # Blocks overlap in equal keys alone, so both lists are sorted.
-                found.update((k, key) for k in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)))
-            yield pa.RecordBatch.from_arrays([pa.array([files[k] for k, _ in found], pa.string()), pa.array([rows[k] for k, _ in found], pa.int64()), pa.array([key for _, key in found], pa.string())], ["file", "row", "key"])
+                # Files, as blocks, overlap in equal keys alone, so both lists are sorted.
+                found.update((names[k], key) for k in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["file", "key"])
+
+    def blocks_of(keys: pa.Table, spans: pa.Table) -> pa.Table:
+        spans = sorted(zip(*(spans[k].to_pylist() for k in ("first_key", "last_key", "row")), strict=True))
+        firsts, lasts = [x[0] for x in spans], [x[1] for x in spans]
+        found: dict[int, list[str]] = {}
+        for key in set(keys["key"].to_pylist()):
+            for k in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)):
+                found.setdefault(spans[k][2], []).append(key)
+        return pa.table({"file": pa.array([keys["file"][0].as_py() for _ in found], pa.string()), "row": pa.array(list(found), pa.int64()), "keys": pa.array(list(found.values()), pa.list_(pa.string()))})
+
+    def met(keys: pa.Table, spans: pa.Table) -> pa.Table:
+        return blocks_of(keys, spans) if keys.num_rows else pa.table({"file": pa.array([], pa.string()), "row": pa.array([], pa.int64()), "keys": pa.array([], pa.list_(pa.string()))})
 
     def searched(batches):
         for batch in batches:
@@ -280,8 +314,9 @@ def places(urls: DataFrame, index: str) -> DataFrame:
             out.sort()
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "offset", "length"])
 
+    asked = urls.select("url").mapInArrow(named, "file string, key string").distinct()
     # At most BLOCK_CAPTURES keys a block.
-    wanted = urls.select("url").mapInArrow(named, "file string, row bigint, key string").groupBy("file", "row").agg(F.collect_set("key").alias("keys"))
+    wanted = asked.groupBy("file").cogroup(directory.groupBy("file")).applyInArrow(met, "file string, row bigint, keys array<string>")
     blocks = spark.read.parquet(f"{index}/blocks").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "block")
     return blocks.join(wanted, ["file", "row"]).select("block", "keys").mapInArrow(searched, "file string, offset bigint, length bigint")
 

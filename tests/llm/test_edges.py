@@ -437,3 +437,23 @@ def test_suffix_neighbours_in_batches(hot):
         assert passages == whole[0]
         # Slices of long runs leave more windows open, never fewer.
         assert windows >= whole[1] if hot == 5 else windows == whole[1]
+
+
+def test_warc_files_are_bounded_and_plain(spark, tmp_path, monkeypatch):
+    import gzip
+    import os
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    own = random.Random(4)
+    pages = spark.createDataFrame([(n, f"http://h.example/{n}", "<p>" + own.randbytes(150_000).hex()) for n in range(30)], "page_id long, url string, html string").coalesce(1)
+    path = tmp_path / "w"
+    got = warc.archived(pages, path=str(path))
+    assert got.count() == 30 and got.filter("not sound").count() == 0
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert len(files) > 5 and all(f.endswith(".warc.gz") for f in files)
+    text = b"".join(gzip.decompress((path / f).read_bytes()) for f in files)
+    assert text.count(b"WARC/1.1\r\n") == 30
+    big = spark.createDataFrame([(1, "http://a.example/", "z" * (17 << 20)), (2, "http://b.example/", "y")], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(big, str(tmp_path / "b"))
+    text = b"".join(gzip.decompress((tmp_path / "b" / f).read_bytes()) for f in os.listdir(tmp_path / "b") if f.startswith("part-"))
+    assert text.count(b"WARC/1.1\r\n") == 2
