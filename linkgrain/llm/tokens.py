@@ -2,18 +2,51 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: A space before other than white space: byte-level BPE always starts a new
-#: pre-token there, and no special token holds a space, so counts add up.
-SAFE = re.compile(r" (?=\S)")
+#: Where a byte-level BPE text may be cut: before white space after anything else, and
+#: between a letter and a digit, where a pre-token always begins.
+SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])")
+INNER = regex.compile(r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
+#: Pieces of more characters than this are cut inside words too.
+LONG_PIECE = 1 << 14
 BATCH_BYTES = 1 << 18
-CACHE_PIECES = 400_000
+CACHE_BYTES = 32 << 20
+
+
+def cutter(tokenizer):
+    """A function that cuts a text at safe boundaries, none inside a special string; a text stays whole where the vocabulary has other pre-tokens."""
+    made = json.loads(tokenizer.to_str())
+    before = made["pre_tokenizer"] or {}
+    if made["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return lambda text: [text] if text else []
+    if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in made["added_tokens"]):
+        return lambda text: [text] if text else []
+    special = re.compile("|".join(re.escape(x["content"]) for x in made["added_tokens"])) if made["added_tokens"] else None
+    return lambda text: pieces(text, special)
+
+
+def pieces(text: str, special: re.Pattern | None) -> list[str]:
+    out: list[str] = []
+    kept = [m.span() for m in special.finditer(text)] if special else []
+    at = 0
+    for start, end in [*kept, (len(text), len(text))]:
+        for piece in SAFE.split(text[at:start]):
+            if len(piece) > LONG_PIECE:
+                out += [x for x in INNER.split(piece) if x]
+            elif piece:
+                out.append(piece)
+        if end > start:
+            out.append(text[start:end])
+        at = end
+    return out
 
 
 def _counter(path: str):
@@ -21,31 +54,38 @@ def _counter(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    cut_up = cutter(tokenizer)
     known: dict[str, int] = {}
-
-    def encode(pieces: list[str]) -> None:
-        """Puts the lengths of ``pieces`` in ``known``, in batches of about BATCH_BYTES."""
-        at = 0
-        while at < len(pieces):
-            to, size = at, 0
-            while to < len(pieces) and (to == at or size + len(pieces[to]) <= BATCH_BYTES):
-                size += len(pieces[to])
-                to += 1
-            batch = pieces[at:to]
-            known.update(zip(batch, map(len, tokenizer.encode_batch_fast(batch, add_special_tokens=False)), strict=True))
-            at = to
+    held = 0
+
+    def encode(found: list[str]) -> None:
+        """Puts the lengths of ``found`` in ``known``, in batches of about BATCH_BYTES."""
+        batch, size = [], 0
+        for piece in found:
+            n = len(piece.encode())
+            if batch and size + n > BATCH_BYTES:
+                counted(batch)
+                batch, size = [], 0
+            batch.append(piece)
+            size += n
+        if batch:
+            counted(batch)
+
+    def counted(batch: list[str]) -> None:
+        nonlocal held
+        known.update(zip(batch, map(len, tokenizer.encode_batch_fast(batch, add_special_tokens=False)), strict=True))
+        held += sum(map(len, batch))
 
     def count(texts: list[str]) -> list[int]:
-        cut = []
-        for text in texts:
-            head, *rest = SAFE.split(text)
-            # The dropped space goes back to the piece that follows it.
-            cut.append([head, *[" " + x for x in rest]])
-        new = list({x for pieces in cut for x in pieces if x not in known})
-        encode(new)
-        out = [sum(map(known.__getitem__, pieces)) for pieces in cut]
-        if len(known) > CACHE_PIECES:
+        nonlocal held
+        cut = [cut_up(text) for text in texts]
+        encode(list({x for own in cut for x in own if x not in known}))
+        out = [sum(map(known.__getitem__, own)) for own in cut]
+        if held > CACHE_BYTES:
             known.clear()
+            held = 0
         return out
 
     return count
@@ -56,9 +96,10 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
 
     Lengths are those of the ``tokenizers`` library for the file ``vocabulary``
     without added special tokens, special strings inside texts as its default
-    has it, without truncation.  Texts are cut at safe boundaries, so a long
-    text never reaches the encoder whole; only lengths leave the task.  Rows
-    are encoded in groups of about BATCH_BYTES of text whatever their number.
+    has it, without truncation.  Byte-level BPE texts are cut at safe boundaries,
+    so of a long text only a run of letters without white space or digits
+    reaches the encoder whole; only lengths leave the task.  Pieces are encoded
+    in batches of about BATCH_BYTES, and a task remembers their lengths.
 
     Null or empty texts have 0 bytes and 0 tokens; repeated rows each give a
     row; an empty table gives an empty table; other columns are not read.

@@ -199,6 +199,34 @@ def kneser_ney(texts, order=4, d=0.75):
     return lambda text: [sum(map(ratio, grams(u))) for u in units(text)]
 
 
+def test_token_counts_query(spark, small):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = {r.doc_id: r.text or "" for r in queries.table(spark, small, "documents").collect()}
+    for r in queries.op3_token_counts(spark, small).collect():
+        n = len(t.encode(text[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text[r.doc_id].encode()), n, n > 512)
+
+
+def test_token_pieces_add_up():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from linkgrain.llm import tokens
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = random.Random(8)
+    parts = ["a", "B7", "12", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\u3000", "\u200b", "!", "'s", "'", "don't", "<|endoftext|>", "é", "漢字", "😀", "٣", "_", "."]
+    count = tokens._counter(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["".join(own.choice(parts) for _ in range(own.randint(0, 60))) for _ in range(2000)]
+    texts += ["漢字7" * 20_000, "ab1<|endoftext|>2c" * 5_000, "x" * 30_000, " " * 30_000]
+    assert count(texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_toxicity_model(spark):
     from linkgrain.llm import toxicity
 

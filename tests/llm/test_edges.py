@@ -179,6 +179,19 @@ def test_topk(spark):
     assert topk.search(v.filter("vec_id = 50")).count() == 0 and topk.search(v.limit(0)).count() == 0
 
 
+def test_topk_of_huge_components(spark):
+    rows = [(50, [1e12, 1.0]), (1, [1e12, 0.0]), (2, [1e12, 1.0 / 256]), (3, [-1e12, 0.0]), (4, [5.0, 5.0]), (100, [2.0**40, 0.0]), (5, [2.0**30 + 1, 0.0])]
+    beyond = spark.createDataFrame([(50, [1e300]), (1, [-1e300]), (2, [1e300])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.search(beyond).orderBy("rank").collect()] == [(2, 2**63 - 1), (1, -(2**63))]
+    got = {}
+    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = {i: [int(x * 256) for x in v] for i, v in rows}
+    for q in (50, 100):
+        want = sorted(((sum(a * b for a, b in zip(whole[q], v, strict=True)), -i) for i, v in whole.items() if i != q), reverse=True)[:5]
+        assert got[q] == [(-i, max(min(s, 2**63 - 1), -(2**63))) for s, i in want]
+
+
 def test_topk_stops_on_proof():
     import numpy as np
 
