@@ -309,9 +309,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     rows = keyed(docs, id_col, text_col)
     found = written(suffixes(rows, min_words), "suffixes")
-    many = found.groupBy("context").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # Written, so that the join's other side is a plain exchange of rows, which AQE can split at a hot context.
+    many = written(found.groupBy("context").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "suffix-contexts")
     runs = written(found.join(many, "context"), "suffix-runs")
-    released(found)
+    released(found, many)
     matches = written(compared(surrounded(rows, runs, min_words), min_words), "suffix-matches")
     released(runs)
     windows = matches.filter("window is not null").select("window", "check", "doc_id", "text_key", "start_word")
