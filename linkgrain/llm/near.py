@@ -3,11 +3,12 @@
 1. Each document's set of word shingles gives a digest, its size and the SKETCH
    smallest hashes.  Equal sets are one class from here on.
 2. Inverted lists of the retained values: a value that only one class retains
-   links nothing.  Of SKETCH retained values two sets of similarity 0.8 share
-   SHARED or more but once in about a million pairs (all that similarity asks
-   for where a set is retained whole), so a class with fewer values in common
-   with others is alone, and a pair must meet in a list of one of its rarest
-   values (the prefix filter).  Lines that many documents share are not rare.
+   links nothing.  Of the SKETCH smallest values of their union two sets of
+   similarity 0.8 share SHARED or more but twice in ten million (a binomial
+   tail, the larger the sets the closer); where a set is retained whole its size
+   says how many, without loss.  So a class with fewer values in common with
+   others is alone, and a pair must meet in a list of one of its rarest values
+   (the prefix filter).  Lines that many documents share are not rare.
 3. In each list the members meet its most central class; the estimate from the
    union's sketch filters, the exact similarity of the full sets decides.
 4. Members of one cluster of lists that are still in different components are
@@ -30,7 +31,7 @@ from .components import components
 
 SKETCH = 32
 SHARED = 13
-LEAST_ESTIMATE = 0.5
+LEAST_ESTIMATE = SHARED / SKETCH
 BLOCK = 256
 
 
@@ -54,7 +55,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, shingles) of the documents in ``ids``: sorted 8-byte hashes."""
+    """(id, shingles) of the documents in ``ids``: sorted 8-byte hashes, a row for each set of an id."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(ids, "id", "left_semi")
 
     def run(batches):
@@ -62,7 +63,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words
             sets = [np.sort(s.view(np.int64)).tobytes() for _, _, w in text_chunks(batch.column(1)) for s in shingles(w, words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return rows.mapInArrow(run, "id bigint, shingles binary").dropDuplicates(["id"])
+    return rows.mapInArrow(run, "id bigint, shingles binary").repartition("id").dropDuplicates(["id", "shingles"])
 
 
 def least_shared(n):
@@ -77,7 +78,8 @@ def least_shared(n):
 def candidates(classes: DataFrame) -> DataFrame:
     """Classes that share enough retained values with others: id, n, sketch, centre, keys (their rarest values)."""
     values = classes.select("id", "n", F.explode("sketch").alias("v"))
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # Written, so that the join's other side is a plain exchange of rows, which AQE can split at a hot value.
+    counts = written(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-counts")
     own = values.join(counts, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
     own = own.withColumn("prefix", F.size("held") - least_shared(F.col("n")) + 1).filter("prefix > 0")
     centre = F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + x["df"])
@@ -176,9 +178,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of at least 0.8; ``component_id`` is the smallest id reachable by links.
 
     A null or empty text, or one without words, has an empty set and is linked
-    with nothing; repeated rows have one id and each give a row; a null id is
-    linked with nothing, with a null component and kept; an empty table gives
-    an empty table; other columns are not read.  Ids are whole numbers.
+    with nothing; repeated rows have one id and each give a row; rows of one id
+    with different texts are one document, linked to what any of them is linked
+    to, each row with the size of its own set; a null id is linked with nothing,
+    with a null component and kept; an empty table gives an empty table; other
+    columns are not read.  Ids are whole numbers.
     """
     own = written(signatures(docs, id_col, text_col, words), "near-signatures")
     usable = own.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())

@@ -470,3 +470,27 @@ def test_warc_files_are_bounded_and_plain(spark, tmp_path, monkeypatch):
     warc.write_warc(big, str(tmp_path / "b"))
     text = b"".join(gzip.decompress((tmp_path / "b" / f).read_bytes()) for f in os.listdir(tmp_path / "b") if f.startswith("part-"))
     assert text.count(b"WARC/1.1\r\n") == 2
+
+
+def test_near_sketches_lose_few_links():
+    import math
+
+    shared = sum(math.comb(near.SKETCH, k) * 0.8**k * 0.2 ** (near.SKETCH - k) for k in range(near.SHARED))
+    assert shared < 1e-6
+    import numpy as np
+
+    own, least = np.random.default_rng(6), near.SKETCH
+    for _ in range(3000):
+        n = int(own.integers(50, 1200))
+        values = own.integers(0, 1 << 63, n, dtype=np.int64)
+        k = n // 10  # two sets of similarity 0.8 or a little more
+        a, b = np.sort(values[k:]), np.sort(values[: n - k])
+        union = np.sort(values)[: near.SKETCH]
+        least = min(least, len(np.intersect1d(np.intersect1d(a[: near.SKETCH], b[: near.SKETCH]), union)))
+    assert least >= near.SHARED
+
+
+def test_near_rows_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{n}" for n in range(60)) for x in "abc")
+    out = near.near_duplicates(docs(spark, [a, b, a + " x", b + " y", c, c], [5, 5, 7, 8, 9, 9])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == [(5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True), (9, 9, True)]
