@@ -9,9 +9,9 @@ ID_PATTERN = r"^[A-Za-z0-9._:/\-]+$"
 
 # The first prefix that fits gives the type.
 TYPE_PREFIXES = (
-    ("goal.", "goal"), ("GOAL-", "goal"), ("PRD-", "prd"), ("REQ-", "requirement"), ("NFR-", "nfr"), ("ADR-", "decision"), ("DEC-", "decision"),
-    ("WORK-", "work"), ("PLAN-", "plan"), ("impl.", "implementation"), ("config.", "config"), ("op.", "operation"), ("data.", "data"),
-    ("prompt.", "prompt"), ("test.", "test"), ("doc.", "document"), ("DOC-", "document"), ("runbook.", "runbook"), ("evidence.", "evidence"), ("ext.", "external"),
+    ("REQ-", "requirement"), ("NFR-", "nfr"), ("ADR-", "decision"), ("WORK-", "work"), ("PLAN-", "plan"), ("impl.", "implementation"), ("test.", "test"),
+    ("ops.", "operation"), ("doc.", "document"), ("runbook.", "runbook"), ("prompt.", "prompt"), ("config.", "config"), ("data.", "data"),
+    ("PRD-", "prd"), ("prd.", "prd"), ("GOAL-", "goal"), ("goal.", "goal"), ("EV-", "evidence"), ("EVIDENCE-", "evidence"), ("CI-", "ci_run"),
 )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import CURRENT, STALE
+from ..schema import CURRENT, HISTORICAL, STALE
+from .rules import live
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,16 +33,17 @@ def drift(versions: DataFrame) -> DataFrame:
 
 
 def staleness(nodes: DataFrame, edges: DataFrame, changed_ids: DataFrame) -> DataFrame:
-    """Nodes with the status after a change: sources of declared edges into changed nodes go stale, one hop.
+    """Nodes with the status after a change: sources of declared, active edges into changed nodes go stale, one hop, and their evidence is historical.
 
     That comes after the changed nodes' own reset, so a changed node can end
     stale itself.
     """
-    sources = edges.join(changed_ids.select(F.col("trace_id").alias("t")), "t", "left_semi").select(F.col("f").alias("trace_id"), F.lit(True).alias("hit")).distinct()
+    declared = live(edges).filter("kind = 'declared'") if "kind" in edges.columns else live(edges)
+    sources = declared.join(changed_ids.select(F.col("trace_id").alias("t")), "t", "left_semi").select(F.col("f").alias("trace_id"), F.lit(True).alias("hit")).distinct()
     reset = changed_ids.select("trace_id", F.lit(True).alias("changed"))
     rows = nodes.join(reset, "trace_id", "left").join(sources, "trace_id", "left")
     hit = F.col("active") & F.col("hit")
-    return rows.withColumn("status", F.when(hit, STALE).when(F.col("changed"), CURRENT).otherwise(F.col("status"))).withColumn("changed", F.coalesce("changed", F.lit(False))).drop("hit")
+    return rows.withColumn("was", F.when(F.col("changed"), CURRENT).otherwise(F.col("status"))).withColumn("status", F.when(hit, STALE).when(F.col("changed"), CURRENT).otherwise(F.col("status"))).withColumn("changed", F.coalesce("changed", F.lit(False))).withColumn("evidence_status", F.when(hit & (F.col("was") != STALE), HISTORICAL)).drop("hit", "was")
 
 
 def first_declarations(declared: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rules import latest_run, proof_levels  # noqa: F401
+from .structure import BUCKET, _buckets, covered_lines
 
 
 def latest_outcomes(results: DataFrame, runs: DataFrame) -> DataFrame:
@@ -46,14 +47,14 @@ def currency(nodes: DataFrame, bindings: DataFrame, runs: DataFrame, revision: s
 
 def coverage_edges(hit_lines: DataFrame, implementations: DataFrame) -> DataFrame:
     """Suite evidence (impl, hits) from covered lines (path, line) in implementation spans (path, id, s, e)."""
-    from .structure import covered_lines
-
     return covered_lines(hit_lines, implementations).select(F.col("id").alias("impl"), F.col("lines").alias("hits"))
 
 
 def per_test_edges(contexts: DataFrame, implementations: DataFrame) -> DataFrame:
     """Per-test evidence (test, impl, hits) from (test, path, line) in implementation spans."""
-    hit = contexts.join(implementations, "path").filter("line between s and e")
+    covered = implementations.select("path", "id", "s", "e", _buckets(F.col("s"), F.col("e")).alias("b"))
+    at = contexts.select("test", "path", "line", F.floor(F.col("line") / BUCKET).cast("int").alias("b"))
+    hit = at.join(covered, ["path", "b"]).filter("line between s and e")
     return hit.groupBy("test", F.col("id").alias("impl")).agg(F.count(F.lit(1)).alias("hits"))
 
 

@@ -29,19 +29,19 @@ def walk(start: DataFrame, nodes: DataFrame, edges: DataFrame, *, direction: str
 
     Breadth first over all edges, whatever their status; nodes that are not in
     ``nodes`` are not entered.  ``max_nodes`` keeps the first by depth and id.
-    Each hop joins the frontier with the moves and leaves out what is visited;
-    the moves' shuffle by ``here`` is the plan's one large exchange a hop.
+    Each hop joins the frontier, a written table of known size, with the moves
+    and leaves out what is visited; a small frontier is broadcast by its size, a
+    large one shuffles the moves by ``here``, the plan's one large exchange.
     """
     if depth < 0 or (max_nodes is not None and max_nodes < 1):
         raise ValueError("depth and max_nodes must be positive")
-    moves = steps(edges, direction, predicates).select("here", "there").distinct()
+    moves = steps(edges, direction, predicates).select("here", "there")
     there = nodes.select("trace_id")
-    seen = start.select("trace_id").distinct().join(there, "trace_id", "left_semi").withColumn("depth", F.lit(0))
-    frontier = seen
+    frontier = seen = kept(start.select("trace_id").distinct().join(there, "trace_id", "left_semi").withColumn("depth", F.lit(0)), "hop")
     for hop in range(1, depth + 1):
         reached = frontier.select(F.col("trace_id").alias("here")).join(moves, "here").select(F.col("there").alias("trace_id")).distinct()
-        reached = reached.join(there, "trace_id", "left_semi").join(seen.select("trace_id"), "trace_id", "left_anti")
-        frontier = kept(reached.withColumn("depth", F.lit(hop)), "hop")
+        reached = reached.join(seen.select("trace_id"), "trace_id", "left_anti").join(there, "trace_id")
+        frontier = kept(reached.distinct().withColumn("depth", F.lit(hop)), "hop")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -65,11 +65,12 @@ def impact(start: DataFrame, nodes: DataFrame, edges: DataFrame, *, depth: int =
     return found.join(kinds, "trace_id").select("trace_id", "depth", "node_type", (F.col("node_type") == "test").alias("is_test"), (F.col("status") != "current").alias("stale"))
 
 
-def why_paths(start: DataFrame, nodes: DataFrame, edges: DataFrame, *, hops: int = 8, max_paths: int = 5) -> DataFrame:
+def why_paths(start: DataFrame, nodes: DataFrame, edges: DataFrame, *, hops: int = 8, max_paths: int = 5, expansions: int = 200) -> DataFrame:
     """Best simple paths from each start to its origins: (trace_id, chain root first, hops, score, rank).
 
     A path grows by one hop a round until it has no move left or ``hops`` hops;
-    score, length and chain order the paths of each start.
+    of each start the first ``expansions`` paths by chain grow on in a round.
+    Score, length and chain order the paths of each start.
     """
     kinds = nodes.select(F.col("trace_id").alias("there"), F.col("node_type").alias("kind"))
     moves = edges.filter(F.col("p").isin(*WHY_PREDICATES)).select(F.col("f").alias("at"), F.col("t").alias("there")).distinct().join(kinds, "there")
@@ -83,6 +84,8 @@ def why_paths(start: DataFrame, nodes: DataFrame, edges: DataFrame, *, hops: int
         ended = grown.filter("more = 0").select("trace_id", "chain", "types").distinct()
         done = ended if done is None else done.unionByName(ended)
         paths = grown.filter("fresh").select("trace_id", F.col("there").alias("at"), F.concat("chain", F.array("there")).alias("chain"), F.concat("types", F.array("kind")).alias("types"))
+        turn = F.row_number().over(Window.partitionBy("trace_id").orderBy("chain"))
+        paths = kept(paths.distinct().withColumn("turn", turn).filter(F.col("turn") <= expansions).drop("turn"), "why-paths")
         if paths.isEmpty():
             break
     else:

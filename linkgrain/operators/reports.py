@@ -10,7 +10,7 @@ from ..schema import SEMANTIC, STALE
 from .evidence import proof_levels
 
 # Words of a request that say nothing about its subject.
-STOP_WORDS = tuple("a an and are as at be by can do for from how i in is it me my now of on or our please so that the this to us want we with you continue".split())
+STOP_WORDS = tuple("the a an and or for with to it this that of in on is are was be make add fix change continue work also ignore using use so then now but not what when how".split())
 
 
 def status(nodes: DataFrame, edges: DataFrame, runs: DataFrame) -> DataFrame:

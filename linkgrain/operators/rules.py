@@ -1,6 +1,7 @@
-"""Policy rules: each takes a graph and gives findings (rule, trace_id, path, detail).
+"""Policy rules: each takes a graph and gives findings (rule, trace_id, path, line, detail).
 
-Nodes: trace_id, node_type, path, s, e, status, active.  Edges: f, p, t.  A rule
+Nodes: trace_id, node_type, path, s, e, status, active.  Edges: f, p, t, and
+status, of which rules read the active ones.  A rule
 reads only the columns it needs, and anti and semi joins keep one shuffle of
 narrow keys.  ``scope`` limits a rule to changed ids.
 """
@@ -38,33 +39,46 @@ class Context:
     per_test: bool = False
     audit: dict | None = None
     exclusions: list[str] = field(default_factory=list)
-    enforcement: tuple[str, ...] = ("policy.toml", "trace.toml", ".github/workflows/")
+    # Files, and folders that end in a slash, whose change alters enforcement.
+    enforcement: tuple[str, ...] = (".trace/policy.toml", ".trace/trace.toml", ".trace/policy/", ".trace/schema/")
 
     def scoped(self) -> DataFrame:
         nodes = self.nodes.filter("active")
         return nodes if self.scope is None else nodes.join(self.scope.select("trace_id"), "trace_id", "left_semi")
 
+    @property
+    def live(self) -> DataFrame:
+        return live(self.edges)
+
     def of_type(self, kind: str) -> DataFrame:
         return self.scoped().filter(F.col("node_type") == kind)
 
 
-def findings(rows: DataFrame, rule: str, trace_id="trace_id", path="path", detail: Column | None = None) -> DataFrame:
+def live(edges: DataFrame) -> DataFrame:
+    """Edges that count: the active ones, where they have a status."""
+    return edges.filter("status = 'active'") if "status" in edges.columns else edges
+
+
+def findings(rows: DataFrame, rule: str, trace_id="trace_id", path="path", detail: Column | None = None, line: str | None = None) -> DataFrame:
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     none = F.lit(None).cast("string")
-    return rows.select(F.lit(rule).alias("rule"), (none if trace_id is None else as_col(trace_id)).alias("trace_id"), (none if path is None else as_col(path)).alias("path"), (none if detail is None else detail).cast("string").alias("detail"))
+    return rows.select(
+        F.lit(rule).alias("rule"), (none if trace_id is None else as_col(trace_id)).alias("trace_id"), (none if path is None else as_col(path)).alias("path"),
+        (none if line is None else F.col(line)).cast("int").alias("line"), (none if detail is None else detail).cast("string").alias("detail"),
+    )
 
 
 def stored(rule: str) -> Callable[[Context], DataFrame]:
     """Findings of the last index run, given again."""
 
     def run(ctx: Context) -> DataFrame | None:
-        return None if ctx.stored is None else ctx.stored.filter(F.col("rule") == rule).select("rule", "trace_id", "path", "detail")
+        return None if ctx.stored is None else ctx.stored.filter(F.col("rule") == rule).select("rule", "trace_id", "path", "line", "detail")
 
     return run
 
 
 def missing_target(ctx: Context) -> DataFrame:
-    lost = ctx.edges.join(ctx.nodes.select(F.col("trace_id").alias("t")), "t", "left_anti")
+    lost = ctx.live.join(ctx.nodes.select(F.col("trace_id").alias("t")), "t", "left_anti")
     return findings(lost.join(ctx.nodes.select(F.col("trace_id").alias("f"), "path"), "f", "left"), "TL002", "f", detail=F.concat("p", F.lit(" -> "), "t"))
 
 
@@ -72,18 +86,18 @@ def detached(ctx: Context) -> DataFrame | None:
     if "attachment" not in ctx.nodes.columns:
         return None
     loose = F.col("attachment").isin("file", "ambiguous") & F.col("parser").isNotNull() & (F.col("parser") != "generic")
-    return findings(ctx.nodes.filter("active").filter(F.coalesce(F.col("detached"), F.lit(False)) | loose), "TL003", detail=F.col("attachment"))
+    return findings(ctx.nodes.filter("active").filter(F.coalesce(F.col("detached"), F.lit(False)) | loose), "TL003", detail=F.col("attachment"), line="s")
 
 
 def no_ancestry(ctx: Context) -> DataFrame:
-    have = ctx.edges.filter(F.col("p").isin("work", "satisfies")).select(F.col("f").alias("trace_id"))
-    return findings(ctx.of_type("implementation").join(have, "trace_id", "left_anti"), "TL010")
+    have = ctx.live.filter(F.col("p").isin("work", "satisfies")).select(F.col("f").alias("trace_id"))
+    return findings(ctx.of_type("implementation").join(have, "trace_id", "left_anti"), "TL010", line="s")
 
 
 def stale_downstream(ctx: Context) -> DataFrame:
     sources = ctx.nodes.filter(F.col("status") == STALE).select(F.col("trace_id").alias("f"))
-    hit = ctx.edges.filter(F.col("p").isin(*SEMANTIC)).join(sources, "f", "left_semi").withColumnRenamed("t", "trace_id")
-    return findings(ctx.of_type("requirement").join(hit, "trace_id"), "TL011", detail=F.concat("f", F.lit(" "), "p"))
+    hit = ctx.live.filter(F.col("p").isin(*SEMANTIC)).join(sources, "f", "left_semi").withColumnRenamed("t", "trace_id")
+    return findings(ctx.of_type("requirement").join(hit, "trace_id"), "TL011", detail=F.concat("f", F.lit(" "), "p"), line="s")
 
 
 def unclaimed_path(ctx: Context) -> DataFrame | None:
@@ -98,24 +112,24 @@ def untraced_boundary(ctx: Context) -> DataFrame | None:
     if ctx.boundaries is None:
         return None
     rest = ctx.boundaries.filter(F.col("changed") & ~F.col("traced")).filter(~any_glob(F.col("path"), ctx.exclusions, loose_glob))
-    return findings(rest, "TL013", None, detail=F.concat("name", F.lit(":"), F.col("line").cast("string")))
+    return findings(rest, "TL013", None, detail=F.col("name"), line="line")
 
 
 def plan_gap(ctx: Context) -> DataFrame | None:
     """``expects``: plan, expected."""
     if ctx.expects is None:
         return None
-    plans = ctx.nodes.filter("active and node_type = 'plan'").select(F.col("trace_id").alias("plan"), "path")
+    plans = ctx.nodes.filter("active and node_type = 'plan'").select(F.col("trace_id").alias("plan"), "path", "s")
     there = ctx.nodes.filter("active").select(F.col("trace_id").alias("expected"), F.lit(True).alias("exists"))
-    linked = ctx.edges.filter("p = 'implements'").select(F.col("f").alias("expected"), F.col("t").alias("plan"), F.lit(True).alias("linked")).distinct()
+    linked = ctx.live.filter("p = 'implements'").select(F.col("f").alias("expected"), F.col("t").alias("plan"), F.lit(True).alias("linked")).distinct()
     rows = ctx.expects.join(plans, "plan").join(there, "expected", "left").join(linked, ["expected", "plan"], "left")
     why = F.when(F.col("exists").isNull(), "missing").when(F.col("linked").isNull(), "unlinked")
-    return findings(rows.filter(why.isNotNull()), "TL014", "plan", detail=F.concat("expected", F.lit(" "), why))
+    return findings(rows.filter(why.isNotNull()), "TL014", "plan", detail=F.concat("expected", F.lit(" "), why), line="s")
 
 
 def unverified(ctx: Context) -> DataFrame:
-    have = ctx.edges.filter("p = 'verifies'").select(F.col("t").alias("trace_id"))
-    return findings(ctx.of_type("requirement").join(have, "trace_id", "left_anti"), "TL020")
+    have = ctx.live.filter("p = 'verifies'").select(F.col("t").alias("trace_id"))
+    return findings(ctx.of_type("requirement").join(have, "trace_id", "left_anti"), "TL020", line="s")
 
 
 def latest_run(runs: DataFrame, revision: str | None) -> DataFrame:
@@ -133,8 +147,8 @@ def test_not_passed(ctx: Context) -> DataFrame | None:
     if ctx.runs is None or ctx.results is None:
         return None
     reqs = ctx.of_type("requirement").select(F.col("trace_id").alias("t"))
-    linked = ctx.edges.filter("p = 'verifies'").join(reqs, "t", "left_semi").groupBy("f").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("reqs"))
-    tests = linked.join(ctx.nodes.filter("node_type is not null").select(F.col("trace_id").alias("f"), "path", *([F.col("framework_test_id")] if "framework_test_id" in ctx.nodes.columns else [])), "f")
+    linked = ctx.live.filter("p = 'verifies'").join(reqs, "t", "left_semi").groupBy("f").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("reqs"))
+    tests = linked.join(ctx.nodes.filter("node_type is not null").select(F.col("trace_id").alias("f"), "path", "s", *([F.col("framework_test_id")] if "framework_test_id" in ctx.nodes.columns else [])), "f")
     run = F.broadcast(latest_run(ctx.runs, ctx.revision).select("run_id"))
     results = ctx.results.join(run, "run_id", "left_semi")
     bound = "test" in results.columns
@@ -144,7 +158,7 @@ def test_not_passed(ctx: Context) -> DataFrame | None:
     by_name = tests.select("f", F.explode(names).alias("fid")).join(free, "fid").groupBy("f").agg(F.min_by("outcome", "fid").alias("named"))
     out = tests.join(by_name, "f", "left")
     out = out.join(by_uid, "f", "left") if by_uid is not None else out.withColumn("own", F.lit(None).cast("string"))
-    return findings(out.filter(F.coalesce("own", "named", F.lit("none")) != "pass"), "TL021", "f", detail=F.col("reqs"))
+    return findings(out.filter(F.coalesce("own", "named", F.lit("none")) != "pass"), "TL021", "f", detail=F.col("reqs"), line="s")
 
 
 def proof_levels(pairs: DataFrame, executions: DataFrame) -> DataFrame:
@@ -159,18 +173,18 @@ def weak_evidence(ctx: Context) -> DataFrame | None:
         return None
     required = 2 if ctx.per_test else 1
     current = ctx.revision is None or not latest_run(ctx.runs, ctx.revision).isEmpty()
-    impls = ctx.of_type("implementation").select(F.col("trace_id").alias("impl"), "path")
-    pairs = ctx.edges.filter("p = 'exercises'").select(F.col("f").alias("test"), F.col("t").alias("impl")).join(impls.select("impl"), "impl", "left_semi")
+    impls = ctx.of_type("implementation").select(F.col("trace_id").alias("impl"), "path", "s")
+    pairs = ctx.live.filter("p = 'exercises'").select(F.col("f").alias("test"), F.col("t").alias("impl")).join(impls.select("impl"), "impl", "left_semi")
     weak = proof_levels(pairs, ctx.executions).filter((F.col("level") < required) | F.lit(not current))
-    return findings(weak.join(impls, "impl"), "TL022", "impl", detail=F.concat("test", F.lit(" "), F.col("level").cast("string")))
+    return findings(weak.join(impls, "impl"), "TL022", "impl", detail=F.concat("test", F.lit(" "), F.col("level").cast("string")), line="s")
 
 
 def deleted_but_linked(ctx: Context) -> DataFrame:
-    gone = ctx.nodes.filter("not active").select(F.col("trace_id").alias("t"), "path")
+    gone = ctx.nodes.filter("not active").select(F.col("trace_id").alias("t"), "path", "s")
     gone = gone if ctx.scope is None else gone.join(ctx.scope.select(F.col("trace_id").alias("t")), "t", "left_semi")
-    live = ctx.edges.filter(~F.col("p").isin(*OBSERVED))
-    first = live.join(gone, "t").groupBy("t").agg(F.first("path").alias("path"), F.min(F.struct("f", "p")).alias("e"))
-    return findings(first, "TL030", "t", detail=F.concat("e.f", F.lit(" "), "e.p"))
+    live = ctx.live.filter(~F.col("p").isin(*OBSERVED))
+    first = live.join(gone, "t").groupBy("t").agg(F.first("path").alias("path"), F.first("s").alias("s"), F.min(F.struct("f", "p")).alias("e"))
+    return findings(first, "TL030", "t", detail=F.concat("e.f", F.lit(" "), "e.p"), line="s")
 
 
 def other_revision(ctx: Context) -> DataFrame | None:
@@ -202,20 +216,20 @@ def enforcement_changed(ctx: Context) -> DataFrame | None:
         return None
     hit = F.lit(False)
     for p in ctx.enforcement:
-        hit = hit | (F.col("path").startswith(p) if p.endswith("/") else F.col("path").endswith(p))
+        hit = hit | (F.col("path").startswith(p) if p.endswith("/") else F.col("path") == p)
     return findings(ctx.changed_paths.select("path").distinct().filter(hit), "TL063", None)
 
 
 def stale_blocks(ctx: Context) -> DataFrame | None:
     if ctx.lifecycle not in ("merge", "release"):
         return None
-    return findings(ctx.scoped().filter(F.col("status") == STALE), "TL110", detail=F.lit(ctx.lifecycle))
+    return findings(ctx.scoped().filter(F.col("status") == STALE), "TL110", detail=F.lit(ctx.lifecycle), line="s")
 
 
 def duplicate_ids(declared: DataFrame) -> DataFrame:
     """TL001: every declaration of an id that is declared more than once."""
     more = declared.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return findings(declared.join(more, "trace_id"), "TL001", detail=F.col("n"))
+    return findings(declared.join(more, "trace_id"), "TL001", detail=F.col("n"), line="s")
 
 
 REGISTRY: dict[str, Callable[[Context], DataFrame | None]] = {

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..scratch import kept
 
 K1, B = 1.2, 0.75
 
@@ -31,14 +32,29 @@ def bm25(docs: DataFrame, columns: list[str], query: str, k: int = 20) -> DataFr
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
     text = F.concat_ws(" ", *columns)
     words = docs.select("id", tokens(text).alias("w")).withColumn("length", F.size("w"))
-    totals = words.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
     counts = [F.size(F.filter("w", _is(t))) for t in wanted]
     rows = words.select("id", "length", *[c.alias(f"n{i}") for i, c in enumerate(counts)])
-    df = rows.agg(*[F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in range(len(wanted))])
+    totals = rows.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in range(len(wanted))])
     rows = rows.filter(" and ".join(f"n{i} > 0" for i in range(len(wanted))))
-    rows = rows.join(F.broadcast(totals)).join(F.broadcast(df))  # one row each
+    return _best(rows.join(F.broadcast(totals)), len(wanted), k)  # one row
+
+
+def bm25_indexed(terms: DataFrame, lengths: DataFrame, query: str, k: int = 20) -> DataFrame:
+    """``bm25`` from a stored index of ``postings``: only rows of the query's words are read, and one aggregate over the lengths."""
+    wanted = sorted({w.lower() for w in re.findall("[A-Za-z0-9]+", query)})
+    if not wanted or k < 1:
+        return lengths.select("id", F.lit(0.0).alias("score")).limit(0)
+    met = terms.filter(F.col("term").isin(*wanted))
+    rows = met.groupBy("id").agg(*[F.coalesce(F.max(F.when(F.col("term") == t, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, t in enumerate(wanted)])
+    df = met.agg(*[F.count_if(F.col("term") == t).alias(f"d{i}") for i, t in enumerate(wanted)])
+    totals = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
+    rows = rows.filter(" and ".join(f"n{i} > 0" for i in range(len(wanted)))).join(lengths, "id")
+    return _best(rows.join(F.broadcast(totals)).join(F.broadcast(df)), len(wanted), k)  # one row each
+
+
+def _best(rows: DataFrame, n_words: int, k: int) -> DataFrame:
     score = F.lit(0.0)
-    for i in range(len(wanted)):
+    for i in range(n_words):
         n, d = F.col(f"n{i}"), F.col(f"d{i}")
         idf = F.greatest(F.lit(1e-6), F.log((F.col("docs") - d + 0.5) / (d + 0.5)))
         score = score - idf * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -62,7 +78,7 @@ def search(docs: DataFrame, columns: list[str], query: str, k: int = 20) -> Data
     if not query.strip() or k < 1:
         return docs.select("id").limit(0)
     if re.fullmatch(r"[A-Za-z0-9\s]+", query):
-        ranked = bm25(docs, columns, query, k)
+        ranked = kept(bm25(docs, columns, query, k), "ranked")
         if not ranked.isEmpty():
             return ranked.select("id")
     return by_substring(docs, columns, query, k)

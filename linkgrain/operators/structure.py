@@ -34,20 +34,39 @@ def narrowest(points: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def node_at_line(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """The span that holds each point and starts last, ties to the larger id."""
+    """The span that holds each point and starts last, ties to the larger id; else the path's first span by start, then id."""
     covered = spans.select("path", "id", "s", "e", _buckets(F.col("s"), F.col("e")).alias("b"))
     at = points.select("path", "line", "point", F.floor(F.col("line") / BUCKET).cast("int").alias("b"))
     hit = at.join(covered, ["path", "b"]).filter("line between s and e")
-    return hit.groupBy("path", "point").agg(F.max(F.struct("s", "id")).alias("m")).select("path", "point", F.col("m.id").alias("id"))
+    best = hit.groupBy("path", "point").agg(F.max(F.struct("s", "id")).alias("m"))
+    first = spans.groupBy("path").agg(F.min(F.struct("s", "id")).alias("first"))
+    rows = points.select("path", "point").join(first, "path").join(best, ["path", "point"], "left")
+    return rows.select("path", "point", F.coalesce("m.id", "first.id").alias("id"))
 
 
 def overlapping(ranges: DataFrame, spans: DataFrame) -> DataFrame:
     """The first span by id that overlaps each range (path, rid, s, e)."""
-    a = ranges.select("path", "rid", F.col("s").alias("rs"), F.col("e").alias("re"))
-    hit = a.join(spans, "path").filter("s <= re and e >= rs")
+    a = ranges.select("path", "rid", F.col("s").alias("rs"), F.col("e").alias("re"), _buckets(F.col("s"), F.col("e")).alias("b"))
+    hit = a.join(spans.select("path", "id", "s", "e", _buckets(F.col("s"), F.col("e")).alias("b")), ["path", "b"]).filter("s <= re and e >= rs")
     return hit.groupBy("path", "rid").agg(F.min("id").alias("id"))
 
 
+def intersecting(symbols: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Symbols (path, id, s, e) that one of the changed ranges (path, s, e) of their path meets."""
+    a = symbols.select("path", "id", "s", "e", _buckets(F.col("s"), F.col("e")).alias("b"))
+    r = ranges.select("path", F.col("s").alias("rs"), F.col("e").alias("re"), _buckets(F.col("s"), F.col("e")).alias("b"))
+    hit = a.join(r, ["path", "b"]).filter("s <= re and rs <= e").select("path", "id").distinct()
+    return symbols.join(hit, ["path", "id"], "left_semi")
+
+
+def sections_at(markers: DataFrame, sections: DataFrame) -> DataFrame:
+    """Every section (path, key, s, e) whose lines hold a marker (path, marker, line), in the order of start, key and marker line."""
+    covered = sections.select("path", "key", "s", "e", _buckets(F.col("s"), F.col("e")).alias("b"))
+    at = markers.select("path", "marker", "line", F.floor(F.col("line") / BUCKET).cast("int").alias("b"))
+    rows = at.join(covered, ["path", "b"]).filter("line between s and e")
+    return rows.select("path", "marker", "key", F.row_number().over(Window.partitionBy("path", "marker").orderBy("s", "key", "line")).alias("position"))
+
+
 def covered_lines(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """How many of the hit lines (path, line) lie in each span."""
     covered = spans.select("path", "id", "s", "e", _buckets(F.col("s"), F.col("e")).alias("b"))
@@ -61,9 +80,11 @@ def following(markers: DataFrame, symbols: DataFrame, lines: DataFrame, within:
     ``markers``: path, marker, line; ``symbols``: path, id, s; ``lines``: path,
     line, skippable.  ``ambiguous`` if more than one symbol is eligible.
     """
-    near = markers.join(symbols, "path").filter((F.col("s") > F.col("line")) & (F.col("s") <= F.col("line") + within + 1))
-    solid = lines.filter("not skippable").select("path", F.col("line").alias("solid"))
-    blocked = near.join(solid, "path").filter("solid > line and solid < s").select("path", "marker", "id").distinct()
+    at = markers.select("path", "marker", "line", _buckets(F.col("line") + 1, F.col("line") + within + 1).alias("b"))
+    near = at.join(symbols.select("path", "id", "s", F.floor(F.col("s") / BUCKET).cast("int").alias("b")), ["path", "b"]).filter((F.col("s") > F.col("line")) & (F.col("s") <= F.col("line") + within + 1)).drop("b")
+    solid = lines.filter("not skippable").select("path", F.col("line").alias("solid"), F.floor(F.col("line") / BUCKET).cast("int").alias("b"))
+    between = near.select("path", "marker", "id", "line", "s", _buckets(F.col("line"), F.col("s")).alias("b"))
+    blocked = between.join(solid, ["path", "b"]).filter("solid > line and solid < s").select("path", "marker", "id").distinct()
     free = near.join(blocked, ["path", "marker", "id"], "left_anti")
     return free.groupBy("path", "marker").agg(F.min(F.struct("s", "id")).alias("m"), (F.count(F.lit(1)) > 1).alias("ambiguous")).select("path", "marker", F.col("m.id").alias("id"), "ambiguous")
 
@@ -78,10 +99,12 @@ def coalesced(ranges: DataFrame, key: str = "path") -> DataFrame:
 
 
 def unmarked(symbols: DataFrame, added: DataFrame, markers: DataFrame) -> DataFrame:
-    """Symbols whose first line was added and that no marker precedes or lies in."""
+    """Symbols (path, id, s, e) whose first line was added and that no marker precedes or lies in."""
     fresh = symbols.join(added.select("path", F.col("line").alias("s")), ["path", "s"], "left_semi")
-    m = markers.select(F.col("path").alias("mp"), F.col("line").alias("ml"))
-    return fresh.join(m, (F.col("path") == F.col("mp")) & F.col("ml").between(F.col("s") - 1, F.col("e")), "left_anti")
+    m = markers.select("path", F.col("line").alias("ml"), F.floor(F.col("line") / BUCKET).cast("int").alias("b"))
+    spans = fresh.select("path", "id", "s", "e", _buckets(F.col("s") - 1, F.col("e")).alias("b"))
+    marked = spans.join(m, ["path", "b"]).filter("ml between s - 1 and e").select("path", "id").distinct()
+    return fresh.join(marked, ["path", "id"], "left_anti")
 
 
 def added_lines(diff: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.rules import REGISTRY, Context
@@ -18,7 +18,6 @@ PROFILES = {
 GATES = {"TL010": "work_ancestry", "TL011": "requirement", "TL020": "verifying_test", "TL021": "test_pass", "TL022": "execution_evidence", "TL060": "semantic_audit", "TL110": "block_stale"}
 MERGE_GATES = {"minimal": (), "standard": ("work_ancestry", "requirement", "verifying_test", "test_pass", "block_stale")}
 MERGE_GATES["strict"] = MERGE_GATES["safety-critical"] = (*MERGE_GATES["standard"], "execution_evidence")
-FEW_WAIVERS = 100
 LIFECYCLES = ("draft", "wip", "review", "merge", "release")
 
 
@@ -46,38 +45,44 @@ def enabled(profile: str, lifecycle: str, overrides: dict[str, bool] | None = No
 
 
 def waived(found: DataFrame, waivers: DataFrame | None, today: str) -> DataFrame:
-    """Findings with severity; an unexpired waiver of the rule, and of the id and path where it names them, makes it INFO. The first waiver counts; TL061 cannot be waived."""
+    """Findings with severity; an unexpired waiver of the rule, and of the id and path where it names them, makes it INFO.
+
+    The first waiver by ``pos`` counts and ``waiver`` names its owner, else its
+    reason; TL061 cannot be waived.  Waivers meet the findings' distinct keys by
+    equality: each key asks with its id and path or without them.
+    """
     severity = F.when(F.col("rule").isin(*WARNINGS), "WARNING").otherwise("ERROR")
     found = found.withColumn("severity", severity)
     if waivers is None:
         return found.withColumn("waiver", F.lit(None).cast("string"))
-    open_ = waivers.filter(F.col("expires").isNull() | (F.col("expires") >= F.lit(today).cast("date"))).filter("rule <> 'TL061'")
-    few = open_.orderBy("pos").limit(FEW_WAIVERS + 1).collect()
-    if len(few) <= FEW_WAIVERS:  # a policy file's worth: one expression, no join
-        owner = F.lit(None).cast("string")
-        for w in reversed(few):
-            fits = F.col("rule") == w["rule"]
-            for c in ("trace_id", "path"):
-                fits = fits & F.col(c).eqNullSafe(F.lit(w[c])) if w[c] is not None else fits
-            owner = F.when(fits, w["owner"]).otherwise(owner)
-        return found.withColumn("waiver", owner).withColumn("severity", F.when(F.col("waiver").isNotNull(), "INFO").otherwise(F.col("severity")))
-    w = open_.select(F.col("rule").alias("w_rule"), F.col("trace_id").alias("w_id"), F.col("path").alias("w_path"), "owner", "pos")
-    found = found.withColumn("_k", F.xxhash64("rule", "trace_id", "path", "detail"))
-    fits = (F.col("rule") == F.col("w_rule")) & (F.col("w_id").isNull() | (F.col("w_id") == F.col("trace_id"))) & (F.col("w_path").isNull() | (F.col("w_path") == F.col("path")))
-    rows = found.join(w, fits, "left").withColumn("_n", F.row_number().over(Window.partitionBy("_k", "rule", "trace_id", "path", "detail").orderBy(F.col("pos").asc_nulls_last())))
-    return rows.filter("_n = 1").select("rule", "trace_id", "path", "detail", F.when(F.col("owner").isNotNull(), "INFO").otherwise(F.col("severity")).alias("severity"), F.col("owner").alias("waiver"))
-
-
-def evaluate(ctx: Context, profile: str, overrides: dict[str, bool] | None = None) -> DataFrame:
-    """The union of all enabled rules' findings with severities and waivers."""
+    said = F.coalesce("owner", "reason") if "reason" in waivers.columns else F.col("owner")
+    w = waivers.filter(F.col("expires").isNull() | (F.col("expires") >= F.lit(today).cast("date"))).filter("rule <> 'TL061'")
+    w = w.select("rule", F.col("trace_id").alias("w_id"), F.col("path").alias("w_path"), F.struct(said.alias("by")).alias("w"), "pos")
+    keys = found.select("rule", "trace_id", "path").distinct()
+    none = F.lit(None).cast("string")
+    ways = F.array_distinct(F.array(*[F.struct(i.alias("w_id"), p.alias("w_path")) for i in (F.col("trace_id"), none) for p in (F.col("path"), none)]))
+    asked = keys.select("*", F.explode(ways).alias("x")).select("rule", "trace_id", "path", F.col("x.w_id").alias("i"), F.col("x.w_path").alias("p"))
+    met = asked.join(w.withColumnRenamed("rule", "r"), (F.col("rule") == F.col("r")) & F.col("i").eqNullSafe(F.col("w_id")) & F.col("p").eqNullSafe(F.col("w_path")))
+    met = met.groupBy(F.col("rule").alias("r"), F.col("trace_id").alias("i"), F.col("path").alias("p")).agg(F.min_by("w", F.struct(F.col("pos").isNull(), "pos")).alias("w"))
+    rows = found.join(met, (F.col("rule") == F.col("r")) & F.col("trace_id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p")), "left")
+    return rows.select(*[c for c in found.columns if c != "severity"], F.when(F.col("w").isNotNull(), "INFO").otherwise(F.col("severity")).alias("severity"), F.col("w.by").alias("waiver"))
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """Findings by rule, id, path, line and detail, null before all."""
+    return found.orderBy("rule", F.coalesce("trace_id", F.lit("")), F.coalesce("path", F.lit("")), F.coalesce("line", F.lit(-1)), "detail")
+
+
+def evaluate(ctx: Context, profile: str, overrides: dict[str, bool] | None = None, allow_waivers: bool = True) -> DataFrame:
+    """The union of all enabled rules' findings with severities, and with waivers where the policy allows them."""
     found = None
     for rule in enabled(profile, ctx.lifecycle, overrides):
         rows = REGISTRY[rule](ctx)
         if rows is not None:
             found = rows if found is None else found.unionByName(rows)
     if found is None:
-        found = ctx.nodes.sparkSession.createDataFrame([], "rule string, trace_id string, path string, detail string")
-    return waived(found, ctx.waivers, ctx.today)
+        found = ctx.nodes.sparkSession.createDataFrame([], "rule string, trace_id string, path string, line int, detail string")
+    return waived(found, ctx.waivers if allow_waivers else None, ctx.today)
 
 
 def blocking(found: DataFrame) -> DataFrame:

@@ -88,7 +88,10 @@ def id01_uids(b):
 
 # ------------------------------------------------------------ text extraction
 
-@query("select path, cast(1 as int) as line, 'id=doc.' || cast(doc_id as varchar) || ' documents=impl.o' || cast(doc_id % 500 as varchar) || ',impl.o' || cast(doc_id % 700 as varchar) || ' title=\"' || lang || ' page\"' as payload from {files} where text is not null")
+FAULTY = "case doc_id % 10 when 3 then ' owner=me' when 4 then ' title=again' when 5 then ' calls=impl.o1' when 6 then ' note=\"open' else '' end"
+
+
+@query("select path, cast(1 as int) as line, 'id=doc.' || cast(doc_id as varchar) || ' documents=impl.o' || cast(doc_id % 500 as varchar) || ',impl.o' || cast(doc_id % 700 as varchar) || ' title=\"' || lang || ' page\"' || " + FAULTY + " as payload from {files} where text is not null")
 def x02_marker_lines(b):
     return extract.marker_lines(b.files)
 
@@ -98,19 +101,22 @@ def x05_declared_edges(b):
     return extract.declared_edges(extract.marker_lines(b.files))
 
 
-@query("select path, cast(1 as int) as line, 'doc.' || cast(doc_id as varchar) as trace_id, 'document' as type, lang || ' page' as title, cast(2 as int) as n_edges, cast(0 as int) as n_problems from {files} where text is not null")
+@query("select path, cast(1 as int) as line, 'doc.' || cast(doc_id as varchar) as trace_id, 'document' as type, lang || ' page' as title, cast(2 as int) as n_edges, case when doc_id % 10 in (3, 4, 5) then 'TL040' || case doc_id % 10 when 3 then ' unknown owner' when 4 then '' else ' derived calls' end when doc_id % 10 = 6 then 'TL004 unterminated quote' end as problem from {files} where text is not null".replace("'TL040' || case", "case doc_id % 10 when 4 then 'TL006 repeated title' else 'TL040' end || case"))
 def x04_parsed_markers(b):
     rows = extract.parsed_markers(extract.marker_lines(b.files))
-    return rows.select("path", "line", "trace_id", "type", "title", F.size("edges").alias("n_edges"), F.size("problems").alias("n_problems"))
+    return rows.select("path", "line", "trace_id", "type", "title", F.size("edges").alias("n_edges"), F.concat_ws(" ", F.get("problems", F.lit(0))["rule"], F.get("problems", F.lit(0))["message"]).alias("problem")).withColumn("problem", F.nullif("problem", F.lit("")))
+
 
+BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
 
-@query("select doc_id, cast(len(regexp_split_to_array(text, chr(10))) - case when text like '%' || chr(10) then 1 else 0 end as int) as n_lines from {documents} where text is not null and not regexp_matches(text, '[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85]')")
+
+@query(f"select doc_id, cast(len(regexp_split_to_array(text, '{BREAKS}')) - case when regexp_matches(text, '(?:{BREAKS})$') then 1 else 0 end as int) as n_lines from {{documents}} where text is not null".replace("{85}", "{{85}}").replace("{2028}", "{{2028}}").replace("{2029}", "{{2029}}"))
 def x01_line_counts(b):
-    rows = b.documents.filter("text is not null").filter(~F.col("text").rlike("[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85]"))
+    rows = b.documents.filter("text is not null")
     return rows.select("doc_id", F.size(tx.lines(F.col("text"))).alias("n_lines"))
 
 
-@query("select conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x not in ({stop})))), ' ') as words from {conversations} where text is not null".replace("{stop}", ", ".join(f"'{w}'" for w in reports.STOP_WORDS)))
+@query("select conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x not in ({stop})))), ' ') as words from {conversations} where text is not null".replace("{stop}", "'the', 'a', 'an', 'and', 'or', 'for', 'with', 'to', 'it', 'this', 'that', 'of', 'in', 'on', 'is', 'are', 'was', 'be', 'make', 'add', 'fix', 'change', 'continue', 'work', 'also', 'ignore', 'using', 'use', 'so', 'then', 'now', 'but', 'not', 'what', 'when', 'how'"))
 def x17_request_tokens(b):
     return b.conversations.filter("text is not null").select("conv_id", "turn", F.array_join(F.array_sort(reports.request_tokens(F.col("text"))), " ").alias("words"))
 
@@ -127,23 +133,25 @@ def f01_fingerprints(b):
 
 # -------------------------------------------------------------------- rules
 
-def diag(rule, rest, id="cast(null as varchar)", path="cast(null as varchar)", detail="cast(null as varchar)"):
-    return f"select '{rule}' as rule, {id} as trace_id, {path} as path, {detail} as detail {rest}"
+def diag(rule, rest, id="cast(null as varchar)", path="cast(null as varchar)", detail="cast(null as varchar)", line="cast(null as integer)"):
+    return f"select '{rule}' as rule, {id} as trace_id, {path} as path, {line} as line, {detail} as detail {rest}"
 
 
 RULE_SQL = {
-    "TL002": diag("TL002", "from {edges} e left join {nodes} n on n.trace_id = e.f where not exists (select 1 from {nodes} x where x.trace_id = e.t)", "e.f", "n.path", "e.p || ' -> ' || e.t"),
-    "TL010": diag("TL010", "from {nodes} n where active and node_type = 'implementation' and not exists (select 1 from {edges} e where e.f = n.trace_id and e.p in ('work', 'satisfies'))", "trace_id", "path"),
-    "TL011": diag("TL011", "from {nodes} n join {edges} e on e.t = n.trace_id join {nodes} s on s.trace_id = e.f where n.active and n.node_type = 'requirement' and s.status = 'stale_review_required'", "n.trace_id", "n.path", "e.f || ' ' || e.p"),
+    "TL002": diag("TL002", "from {live} e left join {nodes} n on n.trace_id = e.f where not exists (select 1 from {nodes} x where x.trace_id = e.t)", "e.f", "n.path", "e.p || ' -> ' || e.t"),
+    "TL010": diag("TL010", "from {nodes} n where active and node_type = 'implementation' and not exists (select 1 from {live} e where e.f = n.trace_id and e.p in ('work', 'satisfies'))", "trace_id", "path", line="s"),
+    "TL011": diag("TL011", "from {nodes} n join {live} e on e.t = n.trace_id join {nodes} s on s.trace_id = e.f where n.active and n.node_type = 'requirement' and s.status = 'stale_review_required' and e.p <> 'contains'", "n.trace_id", "n.path", "e.f || ' ' || e.p", "n.s"),
     "TL012": diag("TL012", "from {changes} c where not exists (select 1 from {nodes} n where n.active and n.path = c.path)", path="c.path"),
-    "TL014": diag("TL014", "from {expects} x join {nodes} p on p.trace_id = x.plan and p.active left join {nodes} n on n.trace_id = x.expected and n.active left join (select distinct f, t from {edges} where p = 'implements') l on l.f = x.expected and l.t = x.plan where n.trace_id is null or l.f is null", "x.plan", "p.path", "x.expected || case when n.trace_id is null then ' missing' else ' unlinked' end"),
-    "TL020": diag("TL020", "from {nodes} n where active and node_type = 'requirement' and not exists (select 1 from {edges} e where e.t = n.trace_id and e.p = 'verifies')", "trace_id", "path"),
-    "TL021": diag("TL021", "from (select e.f, string_agg(distinct e.t, ',' order by e.t) as reqs from {edges} e join {nodes} r on r.trace_id = e.t and r.active and r.node_type = 'requirement' where e.p = 'verifies' group by e.f) l join {nodes} t on t.trace_id = l.f left join (select fid, min_by(outcome, fid) as outcome from {results} where run_id = (select run_id from {runs} where revision = 'rev1' order by started_at desc nulls last, run_id desc limit 1) group by fid) o on o.fid = l.f where coalesce(o.outcome, 'none') <> 'pass'", "l.f", "t.path", "l.reqs"),
-    "TL022": diag("TL022", "from (select x.f as test, x.t as impl, coalesce((select max(case when behavioral then 3 else 2 end) from {executions} y where y.test = x.f and y.impl = x.t), (select max(1) from {executions} y where y.kind = 'suite' and y.impl = x.t), 0) as level from {edges} x where x.p = 'exercises') q join {nodes} n on n.trace_id = q.impl and n.active and n.node_type = 'implementation' where q.level < 2", "q.impl", "n.path", "q.test || ' ' || cast(q.level as varchar)"),
-    "TL030": diag("TL030", "from (select n.trace_id, n.path, min(struct_pack(f := e.f, p := e.p)) as m from {nodes} n join {edges} e on e.t = n.trace_id where not n.active group by n.trace_id, n.path) q", "trace_id", "path", "m.f || ' ' || m.p"),
+    "TL014": diag("TL014", "from {expects} x join {nodes} p on p.trace_id = x.plan and p.active left join {nodes} n on n.trace_id = x.expected and n.active left join (select distinct f, t from {live} where p = 'implements') l on l.f = x.expected and l.t = x.plan where n.trace_id is null or l.f is null", "x.plan", "p.path", "x.expected || case when n.trace_id is null then ' missing' else ' unlinked' end", "p.s"),
+    "TL020": diag("TL020", "from {nodes} n where active and node_type = 'requirement' and not exists (select 1 from {live} e where e.t = n.trace_id and e.p = 'verifies')", "trace_id", "path", line="s"),
+    "TL021": diag("TL021", "from (select e.f, string_agg(distinct e.t, ',' order by e.t) as reqs from {live} e join {nodes} r on r.trace_id = e.t and r.active and r.node_type = 'requirement' where e.p = 'verifies' group by e.f) l join {nodes} t on t.trace_id = l.f left join (select fid, min(outcome) as outcome from {results} join (select run_id from {runs} where revision = 'rev1' order by started_at desc nulls last, run_id desc limit 1) lr using (run_id) group by fid) o on o.fid = l.f where coalesce(o.outcome, 'none') <> 'pass'", "l.f", "t.path", "l.reqs", "t.s"),
+    "TL022": diag("TL022", "from (select x.f as test, x.t as impl, coalesce(o.level, u.level, 0) as level from {live} x left join (select test, impl, max(case when behavioral then 3 else 2 end) as level from {executions} group by test, impl) o on o.test = x.f and o.impl = x.t left join (select impl, 1 as level from {executions} where kind = 'suite' group by impl) u on u.impl = x.t where x.p = 'exercises') q join {nodes} n on n.trace_id = q.impl and n.active and n.node_type = 'implementation' where q.level < 2", "q.impl", "n.path", "q.test || ' ' || cast(q.level as varchar)", "n.s"),
+    "TL030": diag("TL030", "from (select n.trace_id, n.path, n.s, min(struct_pack(f := e.f, p := e.p)) as m from {nodes} n join {live} e on e.t = n.trace_id where not n.active group by n.trace_id, n.path, n.s) q", "trace_id", "path", "m.f || ' ' || m.p", "s"),
     "TL050": diag("TL050", "from {runs} where revision <> 'rev1'", detail="run_id || ' ' || revision"),
     "TL062": diag("TL062", "from {runs} where revision is null", detail="run_id"),
-    "TL110": diag("TL110", "from {nodes} where active and status = 'stale_review_required'", "trace_id", "path", "'release'"),
+    "TL110": diag("TL110", "from {nodes} where active and status = 'stale_review_required'", "trace_id", "path", "'release'", "s"),
+    "TL060": diag("TL060", "", detail="'no audit result'"),
+    "TL063": diag("TL063", "from (select distinct path from {changes}) c where path in ('.trace/policy.toml', '.trace/trace.toml') or path like '.trace/policy/%' or path like '.trace/schema/%'", path="path"),
 }
 
 
@@ -156,7 +164,7 @@ def _rule(rule: str, **more):
     QUERIES[name], SQL[name] = QUERIES.pop("run"), SQL.pop("run")
 
 
-for _r in ("TL002", "TL010", "TL011", "TL012", "TL014", "TL020", "TL030"):
+for _r in ("TL002", "TL010", "TL011", "TL012", "TL014", "TL020", "TL030", "TL060", "TL063"):
     _rule(_r)
 _rule("TL021", revision="rev1")
 _rule("TL022", per_test=True)
@@ -165,23 +173,44 @@ _rule("TL062", revision="rev1")
 _rule("TL110", lifecycle="release")
 
 
-@query(diag("TL001", "from {decl} d join (select trace_id, count(*) as n from {decl} group by trace_id having count(*) > 1) m on m.trace_id = d.trace_id", "d.trace_id", "d.path", "cast(m.n as varchar)"))
+ATTACHED = "(select *, case when trace_id like '%3' then 'file' when trace_id like '%4' then 'ambiguous' else 'symbol' end as attachment, case when trace_id like '%33' then 'generic' when trace_id like '%43' then null else 'ast' end as parser, trace_id like '%55' as detached from {nodes})"
+
+
+@query(diag("TL003", f"from {ATTACHED} a where active and (detached or (attachment in ('file', 'ambiguous') and parser <> 'generic'))", "trace_id", "path", "attachment", "s"))
+def tl003_detached(b):
+    id_ = F.col("trace_id")
+    attachment = F.when(id_.endswith("3"), "file").when(id_.endswith("4"), "ambiguous").otherwise("symbol")
+    parser = F.when(id_.endswith("33"), "generic").when(~id_.endswith("43"), "ast")
+    return rules.detached(rules.Context(b.nodes.withColumns({"attachment": attachment, "parser": parser, "detached": id_.endswith("55")}), b.edges))
+
+
+BOUNDARIES = "(select 'src/m' || cast(o_custkey % 200 as varchar) || '.py' as path, 'f' || cast(o_orderkey as varchar) as name, cast(o_orderkey % 300 as int) as line, o_orderkey % 3 = 0 as changed, o_orderkey % 7 = 0 as traced from {orders})"
+
+
+@query(diag("TL013", f"from {BOUNDARIES} q where changed and not traced and path not like 'src/m1%'", path="path", detail="name", line="line"))
+def tl013_untraced_boundary(b):
+    key = F.col("o_orderkey")
+    rows = b.orders.select(F.concat(F.lit("src/m"), (F.col("o_custkey") % 200).cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("f"), key.cast("string")).alias("name"), (key % 300).cast("int").alias("line"), (key % 3 == 0).alias("changed"), (key % 7 == 0).alias("traced"))
+    return rules.untraced_boundary(rules.Context(b.nodes, b.edges, boundaries=rows, exclusions=["src/m1*"]))
+
+
+@query(diag("TL001", "from {decl} d join (select trace_id, count(*) as n from {decl} group by trace_id having count(*) > 1) m on m.trace_id = d.trace_id", "d.trace_id", "d.path", "cast(m.n as varchar)", "d.s"))
 def tl001_duplicate_ids(b):
     return rules.duplicate_ids(b.decl)
 
 
-VERIFIED = "select rule, trace_id, path, detail, case when rule = 'TL020' and path = 'docs/req7.md' then 'INFO' when rule in ('TL003', 'TL013', 'TL050', 'TL062', 'TL063') then 'WARNING' else 'ERROR' end as severity, case when rule = 'TL020' and path = 'docs/req7.md' then 'platform' end as waiver from ({rows}) f"
+VERIFIED = "select rule, trace_id, path, line, detail, case when rule = 'TL020' and path = 'docs/req7.md' then 'INFO' when rule = 'TL012' then 'INFO' when rule in ('TL003', 'TL013', 'TL050', 'TL062', 'TL063') then 'WARNING' else 'ERROR' end as severity, case when rule = 'TL020' and path = 'docs/req7.md' then 'platform' when rule = 'TL012' then 'generated files' end as waiver from ({rows}) f"
 RELEASE_RULES = ("TL002", "TL010", "TL011", "TL012", "TL014", "TL020", "TL021", "TL022", "TL030", "TL110")
 
 
 def release_findings(b):
     b.stored("nodes", "edges")
-    waivers = b.spark.createDataFrame([("TL020", None, "docs/req7.md", "platform", "2030-01-01", 0), ("TL010", None, None, "late", "2020-01-01", 1)], "rule string, trace_id string, path string, owner string, expires string, pos int").withColumn("expires", F.col("expires").cast("date"))
-    # The audit gate has its own query: its finding is one constant row.
+    waivers = b.spark.createDataFrame([("TL020", None, "docs/req7.md", "platform", None, "2030-01-01", 0), ("TL010", None, None, "late", None, "2020-01-01", 1), ("TL012", None, None, None, "generated files", None, 2), ("TL012", None, None, "second", None, None, 3)], "rule string, trace_id string, path string, owner string, reason string, expires string, pos int").withColumn("expires", F.col("expires").cast("date"))
+    # The audit gate, whose finding is one constant row, is tl060_audit_missing.
     return policy.evaluate(context(b, revision="rev1", per_test=True, lifecycle="release", waivers=waivers, audit={"schema": "audit-result/v1"}), "strict")
 
 
-EXPIRED = "select 'TL061' as rule, cast(null as varchar) as trace_id, cast(null as varchar) as path, 'TL010 2020-01-01' as detail"
+EXPIRED = "select 'TL061' as rule, cast(null as varchar) as trace_id, cast(null as varchar) as path, cast(null as integer) as line, 'TL010 2020-01-01' as detail"
 WHOLE = VERIFIED.replace("{rows}", " union all ".join([RULE_SQL[r] for r in RELEASE_RULES] + [EXPIRED]))
 
 
@@ -191,6 +220,13 @@ def q08_verify_release(b):
     return release_findings(b)
 
 
+@query("select rule, trace_id, path, line, detail, cast(row_number() over (partition by rule order by coalesce(trace_id, ''), coalesce(path, ''), coalesce(line, -1), detail) as integer) as position from (" + WHOLE + ") z where rule in ('TL014', 'TL020', 'TL061')")
+def s01_finding_order(b):
+    rows = release_findings(b).filter(F.col("rule").isin("TL014", "TL020", "TL061"))
+    order = Window.partitionBy("rule").orderBy(F.coalesce("trace_id", F.lit("")), F.coalesce("path", F.lit("")), F.coalesce("line", F.lit(-1)), "detail")
+    return policy.ordered(rows).withColumn("position", F.row_number().over(order)).select("rule", "trace_id", "path", "line", "detail", "position")
+
+
 @query("select count_if(severity = 'ERROR') as error, count_if(severity = 'WARNING') as warning, count_if(severity = 'INFO') as info, coalesce(bool_or(severity = 'ERROR'), false) as blocking from (" + WHOLE + ") z")
 def a08_blocking(b):
     return policy.blocking(release_findings(b))
@@ -218,7 +254,7 @@ def a05_hit_counts(b):
     return evidence.hit_counts(b.executions)
 
 
-@query("select x.f as test, x.t as impl, cast(coalesce((select max(case when behavioral then 3 else 2 end) from {executions} y where y.test = x.f and y.impl = x.t), (select max(1) from {executions} y where y.kind = 'suite' and y.impl = x.t), 0) as int) as level from {edges} x where x.p = 'exercises'")
+@query("select x.f as test, x.t as impl, cast(coalesce(o.level, u.level, 0) as int) as level from {edges} x left join (select test, impl, max(case when behavioral then 3 else 2 end) as level from {executions} group by test, impl) o on o.test = x.f and o.impl = x.t left join (select impl, 1 as level from {executions} where kind = 'suite' group by impl) u on u.impl = x.t where x.p = 'exercises'")
 def a06_proof_levels(b):
     return rules.proof_levels(b.edges.filter("p = 'exercises'").select(F.col("f").alias("test"), F.col("t").alias("impl")), b.executions)
 
@@ -231,7 +267,7 @@ def f06_evidence_currency(b):
     return evidence.currency(own, bindings, b.runs, "rev1")
 
 
-LEVELS = "(select x.f as test, x.t as impl, coalesce((select max(case when behavioral then 3 else 2 end) from {executions} y where y.test = x.f and y.impl = x.t), (select max(1) from {executions} y where y.kind = 'suite' and y.impl = x.t), 0) as level from {edges} x where x.p = 'exercises')"
+LEVELS = "(select x.f as test, x.t as impl, coalesce(o.level, u.level, 0) as level from {edges} x left join (select test, impl, max(case when behavioral then 3 else 2 end) as level from {executions} group by test, impl) o on o.test = x.f and o.impl = x.t left join (select impl, 1 as level from {executions} where kind = 'suite' group by impl) u on u.impl = x.t where x.p = 'exercises')"
 
 
 @query("select l.impl, l.test, cast(l.level as int) as level, o.outcome, coalesce(o.outcome = 'pass' and n.status = 'current', false) as current from " + LEVELS + " l join {nodes} n on n.trace_id = l.impl left join (select 'test.l' || cast(cast(substr(fid, 2) as bigint) * 3 as varchar) || '-1' as test, arg_max(outcome, run_id) as outcome from {results} group by fid) o on o.test = l.test")
@@ -263,7 +299,7 @@ def j12_narrowest(b):
     return structure.narrowest(points(b), spans(b))
 
 
-@query(f"select path, point, arg_max(id, struct_pack(s := s, id := id)) as id from (select p.path, p.point, n.id, n.s from {LINES} p join {IMPLS} n on n.path = p.path and p.line between n.s and n.e) x group by path, point")
+@query(f"select p.path, p.point, coalesce(x.id, y.id) as id from {LINES} p join (select path, arg_min(id, struct_pack(s := s, id := id)) as id from {IMPLS} i group by path) y on y.path = p.path left join (select point, arg_max(id, struct_pack(s := s, id := id)) as id from (select p.point, n.id, n.s from {LINES} p join {IMPLS} n on n.path = p.path and p.line between n.s and n.e) x group by point) x on x.point = p.point")
 def p08_node_at_line(b):
     return structure.node_at_line(points(b), spans(b))
 
@@ -273,9 +309,9 @@ def j10_covered_lines(b):
     return structure.covered_lines(points(b), spans(b))
 
 
-@query(f"select r.path, r.rid, min(n.id) as id from (select path, point as rid, line as s, line + 4 as e from {LINES} q where point % 3 = 0) r join {IMPLS} n on n.path = r.path and n.s <= r.e and n.e >= r.s group by r.path, r.rid")
+@query(f"select r.path, r.rid, min(n.id) as id from (select path, point as rid, line as s, line + 4 as e from {LINES} q) r join {IMPLS} n on n.path = r.path and n.s <= r.e and n.e >= r.s group by r.path, r.rid")
 def j09_overlap(b):
-    return structure.overlapping(points(b).filter("point % 3 = 0").select("path", F.col("point").alias("rid"), F.col("line").alias("s"), (F.col("line") + 4).alias("e")), spans(b))
+    return structure.overlapping(points(b).select("path", F.col("point").alias("rid"), F.col("line").alias("s"), (F.col("line") + 4).alias("e")), spans(b))
 
 
 @query(f"""select path, min(s) as s, max(e) as e from (
@@ -285,7 +321,7 @@ def w04_coalesced_ranges(b):
     return structure.coalesced(spans(b))
 
 
-MARKERS = "(select 'src/m' || cast(o_custkey % 200 as varchar) || '.py' as path, o_orderkey as marker, cast(o_orderkey % 299 as int) as line from {orders} where o_orderkey % 5 = 0)"
+MARKERS = "(select 'src/m' || cast(o_custkey % 200 as varchar) || '.py' as path, o_orderkey as marker, cast(o_orderkey % 299 as int) as line from {orders})"
 TEXT_LINES = "(select distinct 'src/m' || cast(o_custkey % 200 as varchar) || '.py' as path, cast(o_orderkey % 307 as int) as line, o_orderkey % 307 % 4 <> 0 as skippable from {orders})"
 
 
@@ -294,15 +330,15 @@ TEXT_LINES = "(select distinct 'src/m' || cast(o_custkey % 200 as varchar) || '.
  where not exists (select 1 from {TEXT_LINES} l where l.path = m.path and not l.skippable and l.line > m.line and l.line < n.s)) x group by path, marker""")
 def j14_following_symbol(b):
     path = F.concat(F.lit("src/m"), (F.col("o_custkey") % 200).cast("string"), F.lit(".py")).alias("path")
-    markers = b.orders.filter("o_orderkey % 5 = 0").select(path, F.col("o_orderkey").alias("marker"), (F.col("o_orderkey") % 299).cast("int").alias("line"))
+    markers = b.orders.select(path, F.col("o_orderkey").alias("marker"), (F.col("o_orderkey") % 299).cast("int").alias("line"))
     lines = b.orders.select(path, (F.col("o_orderkey") % 307).cast("int").alias("line"), (F.col("o_orderkey") % 307 % 4 != 0).alias("skippable")).distinct()
     return structure.following(markers, spans(b), lines)
 
 
-@query(f"select n.path, n.id, n.s, n.e from {IMPLS} n where n.s % 2 = 0 and not exists (select 1 from {MARKERS} m where m.path = n.path and m.line between n.s - 1 and n.e)")
+@query(f"select n.path, n.id, n.s, n.e from {IMPLS} n where not exists (select 1 from {MARKERS} m where m.path = n.path and m.line between n.s - 1 and n.e)")
 def j24_unmarked_symbols(b):
-    markers = b.orders.filter("o_orderkey % 5 = 0").select(F.concat(F.lit("src/m"), (F.col("o_custkey") % 200).cast("string"), F.lit(".py")).alias("path"), (F.col("o_orderkey") % 299).cast("int").alias("line"))
-    added = spans(b).filter("s % 2 = 0").select("path", F.col("s").alias("line")).distinct()
+    markers = b.orders.select(F.concat(F.lit("src/m"), (F.col("o_custkey") % 200).cast("string"), F.lit(".py")).alias("path"), (F.col("o_orderkey") % 299).cast("int").alias("line"))
+    added = spans(b).select("path", F.col("s").alias("line")).distinct()
     return structure.unmarked(spans(b), added, markers).select("path", "id", "s", "e")
 
 
@@ -322,7 +358,7 @@ def w03_fingerprint_history(b):
 CHANGED = "(select 'REQ-C' || cast(c_custkey as varchar) as trace_id from {customer} where c_custkey % 13 = 0)"
 
 
-@query("select n.trace_id, case when n.active and exists (select 1 from {edges} e join " + CHANGED + " c on c.trace_id = e.t where e.f = n.trace_id) then 'stale_review_required' when c2.trace_id is not null then 'current' else n.status end as status, c2.trace_id is not null as changed from {nodes} n left join " + CHANGED + " c2 on c2.trace_id = n.trace_id")
+@query("select n.trace_id, case when n.active and exists (select 1 from {edges} e join " + CHANGED + " c on c.trace_id = e.t where e.f = n.trace_id and e.status = 'active' and e.kind = 'declared') then 'stale_review_required' when c2.trace_id is not null then 'current' else n.status end as status, c2.trace_id is not null as changed from {nodes} n left join " + CHANGED + " c2 on c2.trace_id = n.trace_id")
 def g06_staleness(b):
     ids_ = b.customer.filter("c_custkey % 13 = 0").select(F.concat(F.lit("REQ-C"), F.col("c_custkey").cast("string")).alias("trace_id"))
     return change.staleness(b.nodes, b.edges, ids_).select("trace_id", "status", "changed")
@@ -376,13 +412,19 @@ def g01_walk_in(b):
     return graph.walk(b.nodes.filter("trace_id = 'PRD-N3'"), b.nodes, b.edges, direction="in", depth=3, max_nodes=None)
 
 
+@query("select trace_id, depth from (" + walk_sql("'PRD-N3'", "in", 5) + ") w order by depth, trace_id limit 500")
+def s05_walk_cap(b):
+    b.stored("nodes", "edges")
+    return graph.walk(b.nodes.filter("trace_id = 'PRD-N3'"), b.nodes, b.edges, direction="in")
+
+
 @query(walk_sql("'impl.o7', 'impl.o14'", "both", 2))
 def g02_subgraph(b):
     b.stored("nodes", "edges")
     return graph.walk(b.nodes.filter("trace_id in ('impl.o7', 'impl.o14')"), b.nodes, b.edges, direction="both", depth=2, max_nodes=None)
 
 
-@query("select w.trace_id, w.depth, n.node_type, n.node_type = 'test' as is_test, n.status <> 'current' as stale from (" + walk_sql("'REQ-C5', 'REQ-C11', 'PRD-N7'", "in", 3) + ") w join {nodes} n on n.trace_id = w.trace_id where w.depth > 0")
+@query("select w.trace_id, w.depth, n.node_type, n.node_type = 'test' as is_test, n.status <> 'current' as stale from (" + walk_sql("'REQ-C5', 'REQ-C11', 'PRD-N7'", "in", 3, " where p <> 'contains'") + ") w join {nodes} n on n.trace_id = w.trace_id where w.depth > 0")
 def g03_impact(b):
     b.stored("nodes", "edges")
     return graph.impact(b.nodes.filter("trace_id in ('REQ-C5', 'REQ-C11', 'PRD-N7')"), b.nodes, b.edges, depth=3, max_nodes=None)
@@ -402,10 +444,10 @@ def g04_why_paths(b):
     return graph.why_paths(b.nodes.filter("node_type = 'implementation' and path = 'src/m7.py'"), b.nodes, b.edges)
 
 
-@query("select n.trace_id, case when n.status = 'stale_review_required' and w.trace_id is not null then 'reviewed_needs_verification' else n.status end as status from {nodes} n left join (" + walk_sql("'REQ-C5'", "both", 2) + ") w on w.trace_id = n.trace_id")
+@query("select n.trace_id, case when n.status = 'stale_review_required' and w.trace_id is not null then 'reviewed_needs_verification' else n.status end as status from {nodes} n left join (" + walk_sql("'REQ-C5'", "both", 5) + ") w on w.trace_id = n.trace_id")
 def g07_review(b):
     b.stored("nodes", "edges")
-    return graph.review(b.nodes.filter("trace_id = 'REQ-C5'"), b.nodes, b.edges, depth=2).select("trace_id", "status")
+    return graph.review(b.nodes.filter("trace_id = 'REQ-C5'"), b.nodes, b.edges).select("trace_id", "status")
 
 
 @query("select e.t as trace_id, array_to_string(list_sort(list(distinct e.f))[1:8], ',') as sources from {edges} e join {nodes} s on s.trace_id = e.f and s.active join {nodes} n on n.trace_id = e.t and n.node_type in ('requirement', 'prd', 'goal') group by e.t")
@@ -457,7 +499,7 @@ def ft03_substring(b):
 
 # -------------------------------------------------------------------- reports
 
-@query("select (select count(*) from {nodes}) as nodes, (select count(*) from {nodes} where active) as active, (select count(*) from {nodes} where active and status = 'stale_review_required') as stale, (select count(*) from {edges}) as edges, (select count(*) from {edges}) as semantic, (select count(*) from {edges} e where not exists (select 1 from {nodes} n where n.trace_id = e.t)) as broken, (select count(*) from {runs}) as runs")
+@query("select (select count(*) from {nodes}) as nodes, (select count(*) from {nodes} where active) as active, (select count(*) from {nodes} where active and status = 'stale_review_required') as stale, (select count(*) from {edges}) as edges, (select count(*) from {edges} where p <> 'contains') as semantic, (select count(*) from {edges} e where not exists (select 1 from {nodes} n where n.trace_id = e.t)) as broken, (select count(*) from {runs}) as runs")
 def q01_status(b):
     return reports.status(b.nodes, b.edges, b.runs)
 
@@ -487,7 +529,7 @@ def q15_plan_status(b):
     return reports.plan_status(b.expects, b.nodes, b.edges)
 
 
-@query("select f, p, t from {edges} where f in (select trace_id from {nodes} where active order by trace_id limit 5000) and t in (select trace_id from {nodes} where active order by trace_id limit 5000)")
+@query("select f, p, t from {edges} where p <> 'contains' and f in (select trace_id from {nodes} where active order by trace_id limit 5000) and t in (select trace_id from {nodes} where active order by trace_id limit 5000)")
 def snk09_graph_payload(b):
     return reports.graph_payload(b.nodes, b.edges)[1].select("f", "p", "t")
 

@@ -1,18 +1,11 @@
-"""Schemas, as DDL, and closed vocabularies of the traceability graph."""
+"""Closed vocabularies of the traceability graph."""
 
 from __future__ import annotations
 
-NODES = "uid string, trace_id string, node_type string, title string, path string, start_line int, end_line int, symbol string, fingerprint string, revision string, status string, changed boolean, attachment string, parser string, detached boolean, expects array<string>, framework_test_id string, work_label string, summary string, metadata string, active boolean"
-EDGES = "uid string, from_uid string, predicate string, to_uid string, source_kind string, source_path string, source_line int, confidence double, revision string, status string"
-DIAGNOSTICS = "rule string, severity string, trace_id string, path string, line int, message string"
-RUNS = "run_id string, revision string, provider string, started_at string, completed_at string, status string"
-RESULTS = "run_id string, framework_test_id string, test_uid string, outcome string, duration_ms double"
-EXECUTIONS = "run_id string, test_uid string, implementation_uid string, coverage_kind string, hit_count bigint, behavioral boolean"
-VERSIONS = "trace_id string, fingerprint string, revision string, observed_at string"
-
 # The vocabularies of the marker protocol.
 NODE_TYPES = ("goal", "prd", "requirement", "nfr", "decision", "work", "plan", "implementation", "config", "operation", "data", "prompt", "test", "document", "runbook", "evidence", "commit", "pull_request", "ci_run", "external")
 SEMANTIC = ("work", "derived_from", "addresses", "satisfies", "implements", "verifies", "exercises", "documents", "deploys", "depends_on", "supersedes", "produces", "consumes", "blocks")
 STRUCTURAL = ("contains", "calls", "imports", "inherits", "references_symbol", "reads", "writes", "changed_by", "owned_by")
 OBSERVED = ("executed", "passed", "failed", "built_in", "deployed_in", "attested_by")
 STALE, REVIEWED, CURRENT = "stale_review_required", "reviewed_needs_verification", "current"
+HISTORICAL = "historical_not_current"

@@ -20,9 +20,22 @@ union all select 'REQ-C'||cast(c_custkey as string),'requirement','docs/req'||ca
 union all select 'WORK-S'||cast(s_suppkey as string),'work','.trace/work.toml',null,null,'current',true from {supplier}
 union all select 'PLAN-P'||cast(p_partkey as string),'plan','docs/plan.md',cast(p_partkey*10+1 as int),cast(p_partkey*10+9 as int),'current',true from {part}
 union all select 'impl.o'||cast(o_orderkey as string),'implementation','src/m'||cast(o_custkey%200 as string)||'.py',cast(o_orderkey%300 as int),cast(o_orderkey%300+o_orderkey%37 as int),case when o_orderkey%11=0 then 'stale_review_required' else 'current' end,true from {orders}
-union all select 'test.l'||cast(l_orderkey as string)||'-'||cast(l_linenumber as string),'test','tests/t'||cast(l_suppkey as string)||'.py',cast(l_linenumber*10 as int),cast(l_linenumber*10+5 as int),'current',true from {lineitem}""",
+union all select 'test.l'||cast(l_orderkey as string)||'-'||cast(l_linenumber as string),'test','tests/t'||cast(l_suppkey as string)||'.py',cast(l_linenumber*10 as int),cast(l_linenumber*10+5 as int),'current',true from {lineitem}
+union all select 'NFR-R'||cast(r_regionkey as string),'nfr','docs/misc.md',cast(r_regionkey*100+0*3+1 as int),cast(r_regionkey*100+0*3+2 as int),'current',true from {region}
+union all select 'ADR-R'||cast(r_regionkey as string),'decision','docs/misc.md',cast(r_regionkey*100+1*3+1 as int),cast(r_regionkey*100+1*3+2 as int),'current',true from {region}
+union all select 'ops.r'||cast(r_regionkey as string),'operation','docs/misc.md',cast(r_regionkey*100+2*3+1 as int),cast(r_regionkey*100+2*3+2 as int),'current',true from {region}
+union all select 'doc.r'||cast(r_regionkey as string),'document','docs/misc.md',cast(r_regionkey*100+3*3+1 as int),cast(r_regionkey*100+3*3+2 as int),'current',true from {region}
+union all select 'runbook.r'||cast(r_regionkey as string),'runbook','docs/misc.md',cast(r_regionkey*100+4*3+1 as int),cast(r_regionkey*100+4*3+2 as int),'current',true from {region}
+union all select 'prompt.r'||cast(r_regionkey as string),'prompt','docs/misc.md',cast(r_regionkey*100+5*3+1 as int),cast(r_regionkey*100+5*3+2 as int),'current',true from {region}
+union all select 'config.r'||cast(r_regionkey as string),'config','docs/misc.md',cast(r_regionkey*100+6*3+1 as int),cast(r_regionkey*100+6*3+2 as int),'current',true from {region}
+union all select 'data.r'||cast(r_regionkey as string),'data','docs/misc.md',cast(r_regionkey*100+7*3+1 as int),cast(r_regionkey*100+7*3+2 as int),'current',true from {region}
+union all select 'prd.r'||cast(r_regionkey as string),'prd','docs/misc.md',cast(r_regionkey*100+8*3+1 as int),cast(r_regionkey*100+8*3+2 as int),'current',true from {region}
+union all select 'GOAL-R'||cast(r_regionkey as string),'goal','docs/misc.md',cast(r_regionkey*100+9*3+1 as int),cast(r_regionkey*100+9*3+2 as int),'current',true from {region}
+union all select 'EV-R'||cast(r_regionkey as string),'evidence','docs/misc.md',cast(r_regionkey*100+10*3+1 as int),cast(r_regionkey*100+10*3+2 as int),'current',true from {region}
+union all select 'EVIDENCE-R'||cast(r_regionkey as string),'evidence','docs/misc.md',cast(r_regionkey*100+11*3+1 as int),cast(r_regionkey*100+11*3+2 as int),'current',true from {region}
+union all select 'CI-R'||cast(r_regionkey as string),'ci_run','docs/misc.md',cast(r_regionkey*100+12*3+1 as int),cast(r_regionkey*100+12*3+2 as int),'current',true from {region}""",
     "nodes": "select trace_id,min(node_type) node_type,min(path) path,min(s) s,min(e) e,min(status) status,min(cast(active as int))=1 active,count(*) n from {decl} group by trace_id",
-    "edges": """
+    "links": """
 select 'impl.o'||cast(o_orderkey as string) f,'satisfies' p,'REQ-C'||cast(o_custkey as string) t from {orders} where o_orderstatus<>'P'
 union select 'REQ-C'||cast(c_custkey as string),'derived_from','PRD-N'||cast(c_nationkey as string) from {customer} where c_custkey%89<>88
 union select 'PRD-N'||cast(n_nationkey as string),'derived_from','goal.r'||cast(n_regionkey as string) from {nation}
@@ -30,7 +43,10 @@ union select 'impl.o'||cast(l_orderkey as string),'work','WORK-S'||cast(l_suppke
 union select 'impl.o'||cast(l_orderkey as string),'implements','PLAN-P'||cast(l_partkey as string) from {lineitem} where l_linenumber=1
 union select 'test.l'||cast(l_orderkey as string)||'-'||cast(l_linenumber as string),'exercises','impl.o'||cast(l_orderkey as string) from {lineitem}
 union select 'test.l'||cast(l_orderkey as string)||'-'||cast(l_linenumber as string),'verifies','REQ-C'||cast(o_custkey as string) from {lineitem} join {orders} on o_orderkey=l_orderkey where l_linestatus='F' and o_custkey%5<>0
-union select 'WORK-S'||cast(s_suppkey as string),'addresses','PRD-N'||cast(s_nationkey as string) from {supplier}""",
+union select 'WORK-S'||cast(s_suppkey as string),'addresses','PRD-N'||cast(s_nationkey as string) from {supplier}
+union select 'goal.r'||cast(n_regionkey as string),'contains','PRD-N'||cast(n_nationkey as string) from {nation}""",
+    "edges": "select f, p, t, case when p in ('satisfies', 'verifies', 'implements') and f like '%7' then 'superseded' else 'active' end status, case when p='contains' then 'structural' when p='exercises' and f like '%-5' then 'inferred' else 'declared' end kind from {links}",
+    "live": "select f, p, t from {edges} where status='active'",
     "runs": "select 'run-'||cast(cast(ts as date) as string) run_id, case when extract(day from ts)%5=0 then null else cast(cast(ts as date) as string) end started_at, case when extract(day from ts)%7=0 then null else 'rev'||cast(extract(day from ts)%3 as string) end revision from {events} group by cast(ts as date), extract(day from ts)",
     "results": """
 select run_id, fid, case event_type when 'error' then 'fail' when 'signup' then 'skip' else 'pass' end outcome from (
@@ -42,11 +58,12 @@ select 'impl.o'||cast(o_orderkey as string) trace_id, 'fp'||cast(o_custkey%7 as
 union select 'impl.o'||cast(o_orderkey as string), 'fp-old', cast('1990-01-01' as date) from {orders} where o_orderkey%13=0""",
     "changes": """
 select distinct 'src/m'||cast(o_custkey%200 as string)||'.py' path from {orders} where o_custkey%200<10
-union select 'src/unclaimed'||cast(n_nationkey as string)||'.py' from {nation}""",
+union select 'src/unclaimed'||cast(n_nationkey as string)||'.py' from {nation}
+union select case cast(r_regionkey as int) when 0 then '.trace/policy.toml' when 1 then '.trace/schema/node.json' when 2 then 'docs/policy.toml' when 3 then '.github/workflows/ci.yml' else '.trace/policy/strict.toml' end from {region}""",
     "expects": """
 select 'PLAN-P'||cast(p_partkey as string) plan, 'impl.o'||cast(p_partkey*3+k as string) expected from {part} cross join (select 0 k union all select 1 union all select 2) ks where p_partkey%5=0""",
     "files": """
-select 'docs/d'||cast(doc_id as string)||'.md' path, '<!-- trace:v1 id=doc.'||cast(doc_id as string)||' documents=impl.o'||cast(doc_id%500 as string)||',impl.o'||cast(doc_id%700 as string)||' title="'||lang||' page" -->'||chr(10)||text as text, lang, doc_id from {documents}""",
+select 'docs/d'||cast(doc_id as string)||'.md' path, '<!-- trace:v1 id=doc.'||cast(doc_id as string)||' documents=impl.o'||cast(doc_id%500 as string)||',impl.o'||cast(doc_id%700 as string)||' title="'||lang||' page"'||case cast(doc_id%10 as int) when 3 then ' owner=me' when 4 then ' title=again' when 5 then ' calls=impl.o1' when 6 then ' note="open' else '' end||' -->'||chr(10)||'# Page '||cast(doc_id as string)||chr(10)||text as text, lang, doc_id from {documents}""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,15 @@ MAX_FILE, MAX_REPORT = 2 << 20, 10 << 20
 ALWAYS_IGNORED = (".git/**", "**/__pycache__/**", "**/.pytest_cache/**", "**/node_modules/**")
 # Kind and language by extension.
 EXTENSIONS = {
-    "py": ("code", "python"), "pyi": ("code", "python"), "ts": ("code", "typescript"), "tsx": ("code", "typescript"), "js": ("code", "javascript"), "jsx": ("code", "javascript"), "mjs": ("code", "javascript"), "cjs": ("code", "javascript"),
-    "go": ("code", "go"), "rs": ("code", "rust"), "java": ("code", "java"), "kt": ("code", "kotlin"), "c": ("code", "c"), "h": ("code", "c"), "cpp": ("code", "cpp"), "hpp": ("code", "cpp"), "cs": ("code", "csharp"), "rb": ("code", "ruby"), "php": ("code", "php"),
-    "swift": ("code", "swift"), "scala": ("code", "scala"), "sh": ("code", "shell"), "sql": ("code", "sql"), "md": ("markdown", "markdown"), "mdx": ("markdown", "markdown"), "yaml": ("yaml", "yaml"), "yml": ("yaml", "yaml"), "toml": ("config", "toml"), "json": ("config", "json"), "ini": ("config", "ini"), "xml": ("config", "xml"), "tf": ("config", "terraform"), "html": ("code", "html"), "css": ("code", "css"),
+    "py": ("source", "python"), "pyi": ("source", "python"),
+    "ts": ("source", "typescript"), "tsx": ("source", "typescript"), "mts": ("source", "typescript"), "cts": ("source", "typescript"),
+    "js": ("source", "javascript"), "jsx": ("source", "javascript"), "mjs": ("source", "javascript"), "cjs": ("source", "javascript"),
+    "go": ("source", "go"), "rs": ("source", "rust"), "java": ("source", "java"),
+    "c": ("source", "c"), "h": ("source", "c"), "cpp": ("source", "cpp"), "cc": ("source", "cpp"), "cxx": ("source", "cpp"), "hpp": ("source", "cpp"),
+    "sh": ("source", "shell"), "bash": ("source", "shell"), "zsh": ("source", "shell"), "sql": ("source", "sql"),
+    "yaml": ("config", "yaml"), "yml": ("config", "yaml"), "json": ("config", "json"), "toml": ("config", "toml"),
+    "md": ("doc", "markdown"), "markdown": ("doc", "markdown"), "rst": ("doc", "text"), "txt": ("doc", "text"),
+    "csv": ("data", "text"), "tsv": ("data", "text"), "jsonl": ("data", "json"),
 }
 
 
@@ -113,9 +121,10 @@ def write_snapshot(frames: dict[str, DataFrame], root: str, version: str) -> Non
     spark = next(iter(frames.values())).sparkSession
     for name, df in frames.items():
         df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    spark.createDataFrame([(version, time.time_ns())], "version string, at long").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.parquet(f"{root}/pointer").agg(F.max("version")).first()[0]
+    """A table of the version that was written last."""
+    version = spark.read.parquet(f"{root}/pointer").agg(F.max_by("version", "at")).first()[0]
     return spark.read.parquet(f"{root}/{version}/{name}")

@@ -44,18 +44,25 @@ def outcome_windows(results: DataFrame, size: str = "1 hour", delay: str = "1 ho
     return results.withWatermark("at", delay).groupBy(F.window("at", size), "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def obligations(events: DataFrame) -> DataFrame:
-    """State of each (path, symbol) from a stream of (path, symbol, traced): pending until a traced event satisfies it."""
+def obligations(events: DataFrame, idle: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """State of each (path, symbol) from a stream of (path, symbol, traced): pending until a traced event satisfies it.
+
+    A symbol without an event for ``idle`` milliseconds is forgotten.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         done, seen = state.get if state.exists else (False, 0)
         for frame in frames:
             done = done or bool(frame["traced"].any())
             seen += len(frame)
         state.update((done, seen))
+        state.setTimeoutDuration(idle)
         yield pd.DataFrame({"path": [key[0]], "symbol": [key[1]], "state": ["satisfied" if done else "pending"], "events": [seen]})
 
-    return events.groupBy("path", "symbol").applyInPandasWithState(step, "path string, symbol string, state string, events long", "done boolean, seen long", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("path", "symbol").applyInPandasWithState(step, "path string, symbol string, state string, events long", "done boolean, seen long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def ledger(events: DataFrame) -> DataFrame:
