@@ -76,3 +76,40 @@ def sole_satisfier(edges: DataFrame) -> DataFrame:
     """The implementation that alone satisfies a requirement, else null."""
     per = edges.filter("p = 'satisfies'").groupBy(F.col("t").alias("req")).agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("one"))
     return per.select("req", F.when(F.col("n") == 1, F.col("one")).alias("impl"))
+
+
+def patched(rows: DataFrame, updates: DataFrame, key: str = "trace_id") -> DataFrame:
+    """``rows`` with the values of ``updates``, which has a row a key: a null leaves a value as it is."""
+    columns = [c for c in updates.columns if c != key]
+    new = updates.select(key, *[F.col(c).alias(f"new_{c}") for c in columns])
+    out = rows.join(new, key, "left")
+    return out.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def edge_status(edges: DataFrame, ids: DataFrame, status: str) -> DataFrame:
+    """``edges`` with a status for those from the nodes ``ids``."""
+    hit = ids.select(F.col("trace_id").alias("f"), F.lit(status).alias("new")).distinct()
+    return edges.join(hit, "f", "left").select(*[F.coalesce("new", c).alias(c) if c == "status" else F.col(c) for c in edges.columns])
+
+
+def recorded_versions(old: DataFrame, seen: DataFrame) -> DataFrame:
+    """Versions (trace_id, fingerprint, observed): one row a fingerprint with the latest observation."""
+    return old.unionByName(seen).groupBy("trace_id", "fingerprint").agg(F.max("observed").alias("observed"))
+
+
+def recorded_findings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Findings by uid, each once, the new ones in place of old ones with their uid."""
+    from ..functions.ids import diagnostic_uid
+
+    uid = diagnostic_uid(F.col("rule"), F.col("trace_id"), F.col("path"), F.col("line"), F.col("detail"))
+    keyed = lambda rows: rows.withColumn("uid", uid).dropDuplicates(["uid"])
+    return upsert(keyed(old), keyed(new), ["uid"])
+
+
+def carried(nodes: DataFrame, before: DataFrame, clean: bool = False) -> DataFrame:
+    """``nodes`` with the status that an unchanged node had before, unless that was current or the run is a ``clean`` one."""
+    if clean:
+        return nodes
+    old = before.select("trace_id", F.col("status").alias("was"), F.col("fingerprint").alias("then"))
+    keep = F.col("was").isNotNull() & (F.col("was") != CURRENT) & F.col("then").eqNullSafe(F.col("fingerprint"))
+    return nodes.join(old, "trace_id", "left").withColumn("status", F.when(keep, F.col("was")).otherwise(F.col("status"))).drop("was", "then")

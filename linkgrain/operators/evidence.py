@@ -65,3 +65,22 @@ def verification_rows(nodes: DataFrame, edges: DataFrame, outcomes: DataFrame, e
     own = outcomes.select(F.col("fid").alias("test"), "outcome")
     rows = levels.join(own, "test", "left").join(nodes.select(F.col("trace_id").alias("impl"), "status"), "impl")
     return rows.select("impl", "test", "level", "outcome", F.coalesce((F.col("outcome") == "pass") & (F.col("status") == "current"), F.lit(False)).alias("current"))
+
+
+def ingested(reports: DataFrame, tests: DataFrame, runs: DataFrame, results: DataFrame, executions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, results, executions) after the normalised ``reports`` (of ``readers.read_evidence``) came in.
+
+    A report replaces what its run had.  ``tests``: trace_id and
+    framework_test_id, which bind results to nodes; a result that names a node
+    itself is bound to that.  A status that the report states counts.
+    """
+    from .change import upsert
+
+    new_runs = reports.select("run_id", "revision", "provider", "started_at", "completed_at", "status").dropDuplicates(["run_id"])
+    rows = reports.select("run_id", F.explode("tests").alias("x")).select("run_id", F.col("x.framework_id").alias("fid"), "x.outcome", "x.duration_ms", F.col("x.trace_id").alias("named"))
+    known = tests.select(F.col("framework_test_id").alias("fid"), F.col("trace_id").alias("bound")).groupBy("fid").agg(F.min("bound").alias("bound"))
+    rows = rows.join(known, "fid", "left").select("run_id", "fid", F.coalesce("named", "bound").alias("test"), "outcome", "duration_ms")
+    rows = rows.groupBy("run_id", "fid").agg(F.max_by(F.struct("test", "outcome", "duration_ms"), F.struct("outcome", "duration_ms")).alias("r")).select("run_id", "fid", "r.*")
+    edges = reports.select("run_id", F.explode("execution_edges").alias("x")).select("run_id", F.col("x.test_uid").alias("test"), F.col("x.implementation_uid").alias("impl"), F.col("x.coverage_kind").alias("kind"), F.col("x.hit_count").alias("hits")).distinct()
+    rest = lambda old: old.join(new_runs.select("run_id"), "run_id", "left_anti")
+    return upsert(runs, new_runs.select(runs.columns), ["run_id"]), rest(results).unionByName(rows.select(results.columns)), rest(executions).unionByName(edges.select(executions.columns))

@@ -245,27 +245,72 @@ def brace_symbols(text: str, language: str) -> list[tuple[str, str, int, int, st
 SYMBOLS = "path string, kind string, name string, s int, e int, hash string, parser string"
 
 
+def _brace(language: str):
+    return lambda text: [(*x, "pattern") for x in brace_symbols(text, language)]
+
+
+#: Parsers by language: each gives (kind, name, first line, last line, hash, parser) of a text; ``register`` adds one.
+PARSERS = {
+    "python": lambda text: [(*x, "ast") for x in python_symbols(text)],
+    "markdown": lambda text: [("heading", t, a, b, None, "markdown") for _, a, b, t in markdown_headings(text)],
+    "yaml": lambda text: [("key", k, a, b, None, "yaml") for k, a, b in yaml_sections(text)],
+    **{language: _brace(language) for language in DECLARATIONS},
+}
+
+
+def register(language: str, parser) -> None:
+    """Adds a parser, or puts it in place of the one before; jobs planned from here on use it."""
+    PARSERS[language] = parser
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """Symbols and sections of ``files`` (path, language, text); ``parser`` says what read them."""
+    parsers = dict(PARSERS)
 
     def run(frames):
         for frame in frames:
             rows = []
             for path, language, text in frame[["path", "language", "text"]].itertuples(index=False):
-                text = text or ""
-                if language == "python":
-                    rows += [(path, *x, "ast") for x in python_symbols(text)]
-                elif language in DECLARATIONS:
-                    rows += [(path, *x, "pattern") for x in brace_symbols(text, language)]
-                elif language == "markdown":
-                    rows += [(path, "heading", t, a, b, None, "markdown") for _, a, b, t in markdown_headings(text)]
-                elif language == "yaml":
-                    rows += [(path, "key", k, a, b, None, "yaml") for k, a, b in yaml_sections(text)]
+                if language in parsers:
+                    rows += [(path, *x) for x in parsers[language](text or "")]
             yield pd.DataFrame(rows, columns=["path", "kind", "name", "s", "e", "hash", "parser"])
 
     return files.select("path", "language", "text").mapInPandas(run, SYMBOLS)
 
 
+BLOCKS = "path string, trace_id string, node_type string, title string, s int, e int, body string, edges array<struct<p: string, t: string>>"
+
+
+def markdown_blocks(text: str) -> list[tuple]:
+    """(id, title, first line, last line, body, edges) of headings whose first word is an id; markers within five lines with that id add their edges, each once."""
+    lines, out = text.splitlines(), []
+    marks = [(n, parse(p)) for n, line in enumerate(lines, 1) if tx.MARKER in line and (p := _payload(line)) is not None]
+    for _, a, b, title in markdown_headings(text):
+        own = title.split(None, 1)[0].rstrip(":") if title else ""
+        if re.match(ID_PATTERN, own):
+            edges = list(dict.fromkeys(e for n, m in marks if a <= n <= a + 5 and m["id"] == own for e in m["edges"]))
+            rest = title.split(None, 1)
+            out.append((own, rest[1] if len(rest) > 1 else own, a, b, "\n".join(lines[a - 1 : b]), edges))
+    return out
+
+
+def _payload(line: str) -> str | None:
+    m = re.match(r"^\s*(?:<!--|/\*|//|#|--|%|;|\*)?\s*" + re.escape(tx.MARKER) + r"(?:\s+(.*?))?\s*(?:-->|\*/)?\s*$", line)
+    return (m[1] or "") if m else None
+
+
+def blocks(files: DataFrame) -> DataFrame:
+    """Typed Markdown blocks of ``files`` (path, text): those whose id has a known type; ``fingerprint`` is the body's."""
+
+    def run(frames):
+        for frame in frames:
+            rows = [(path, i, None, t, a, b, body, [{"p": p, "t": x} for p, x in edges]) for path, text in frame[["path", "text"]].itertuples(index=False) for i, t, a, b, body, edges in markdown_blocks(text or "")]
+            yield pd.DataFrame(rows, columns=["path", "trace_id", "node_type", "title", "s", "e", "body", "edges"])
+
+    rows = files.select("path", "text").mapInPandas(run, BLOCKS).withColumn("node_type", type_of(F.col("trace_id"))).filter("node_type is not null")
+    return rows.withColumn("fingerprint", tx.fingerprint(F.col("body")))
+
+
 def legacy_fields(files: DataFrame, marker: str = "codeops:trace") -> DataFrame:
     """(path, line, key, value) of an older annotation's fields; a text with a NUL in its first 8192 characters is binary."""
     rows = files.filter(F.col("text").contains(marker) & ~F.substring("text", 1, 8192).contains("\0")).select("path", F.posexplode(tx.lines(F.col("text"))).alias("n", "l")).filter(F.col("l").contains(marker))

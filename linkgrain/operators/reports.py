@@ -92,21 +92,42 @@ def request_tokens(text):
     return F.array_except(F.array_distinct(tokens(text)), F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
-def resolve(prompts: DataFrame, work: DataFrame) -> DataFrame:
-    """Score of each open work item for each prompt; a work item meets a prompt only through a word that they share.
+def as_json(rows: DataFrame) -> DataFrame:
+    """A row of JSON for each row, fields in the order of the columns, null fields left out."""
+    return rows.select(F.to_json(F.struct("*")).alias("json"))
 
-    ``prompts``: prompt, text; ``work``: trace_id, title, status, boundary
-    (text), reqs (array of titles).  Title words weigh 2, requirement titles 1.5
-    between them, boundary words 0.5, an active status 0.3.
+
+def context_text(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(trace_id, position, text): the lines that tell a node's surroundings: itself, then what it rests on, then what rests on it."""
+    own = nodes.join(starts.select("trace_id").distinct(), "trace_id", "left_semi")
+    state = F.concat(F.lit(" ["), F.upper("status"), F.lit("]"))
+    head = own.select("trace_id", F.lit(0).alias("part"), F.lit("").alias("key"), F.concat(F.col("trace_id"), F.lit(" ("), "node_type", F.lit(")"), state).alias("text"))
+    around = context(starts, nodes, edges)
+    rows = around.select("trace_id", F.when(F.col("side") == "upstream", 1).otherwise(2).alias("part"), F.concat_ws(" ", "p", "other").alias("key"), F.concat(F.when(F.col("side") == "upstream", "  -> ").otherwise("  <- "), "p", F.lit(" "), "other", state).alias("text"))
+    order = Window.partitionBy("trace_id").orderBy("part", "key")
+    return head.unionByName(rows.distinct()).withColumn("position", F.row_number().over(order)).select("trace_id", "position", "text")
+
+
+def audit_package(work: str, nodes: DataFrame, edges: DataFrame, changed: DataFrame, found: DataFrame, outcomes: DataFrame, most: int = 50) -> DataFrame:
+    """Sections of the bundle that an auditor of one work item gets: (section, rank, trace_id, detail), at most ``most`` rows each.
+
+    What the work item's own edges reach comes first, then by id; tests carry
+    their latest outcome, findings their rule, implementations their chain.
     """
-    p = prompts.select("prompt", request_tokens(F.col("text")).alias("want")).filter(F.size("want") > 0)
-    w = work.filter("status <> 'done'").select("trace_id", "status", request_tokens(F.col("title")).alias("title"), request_tokens(F.coalesce("boundary", F.lit(""))).alias("boundary"), F.transform("reqs", request_tokens).alias("reqs"))
-    words = w.select("trace_id", F.explode(F.array_distinct(F.concat("title", "boundary", F.flatten("reqs")))).alias("word"))
-    pairs = p.select("prompt", F.explode("want").alias("word")).join(words, "word").select("prompt", "trace_id").distinct()
-    rows = pairs.join(p, "prompt").join(w, "trace_id")
-    n = F.size("want")
-    score = 2.0 * F.size(F.array_intersect("want", "title")) / n + 0.5 * F.size(F.array_intersect("want", "boundary")) / n
-    score = score + F.when(F.size("reqs") > 0, 1.5 * F.size(F.filter("reqs", lambda r: F.arrays_overlap("want", r))) / F.greatest(F.size("reqs"), F.lit(1))).otherwise(0.0)
-    score = score + F.when(F.col("status") == "active", 0.3).otherwise(0.0)
-    best = Window.partitionBy("prompt").orderBy(F.col("score").desc(), "trace_id")
-    return rows.withColumn("score", score).withColumn("rank", F.row_number().over(best)).select("prompt", "trace_id", "score", "rank", (F.least(F.lit(1.0), F.col("score")) >= 0.55).alias("resume"))
+    own = edges.filter((F.col("p") == "work") & (F.col("t") == work)).select(F.col("f").alias("trace_id"))
+    near = own.unionByName(edges.join(own.withColumnRenamed("trace_id", "f"), "f", "left_semi").select(F.col("t").alias("trace_id")))
+    near = near.unionByName(edges.filter(F.col("p").isin("exercises", "verifies")).join(near.select(F.col("trace_id").alias("t")).distinct(), "t", "left_semi").select(F.col("f").alias("trace_id"))).distinct()
+    rows = nodes.filter("active").join(near.withColumn("near", F.lit(True)), "trace_id", "left").select("trace_id", "node_type", F.coalesce("near", F.lit(False)).alias("near"))
+    none = F.lit(None).cast("string")
+    parts = [rows.filter(F.col("node_type") == kind).select(F.lit(name).alias("section"), "trace_id", "near", none.alias("detail")) for name, kind in (("requirements", "requirement"), ("decisions", "decision"))]
+    chains = audit_paths(nodes, edges).select(F.col("impl").alias("trace_id"), F.col("chain").alias("detail"))
+    parts.append(rows.filter("node_type = 'implementation'").join(chains, "trace_id").select(F.lit("implementations").alias("section"), "trace_id", "near", "detail"))
+    parts.append(rows.filter("node_type = 'test'").join(outcomes.select(F.col("fid").alias("trace_id"), F.col("outcome").alias("detail")), "trace_id", "left").select(F.lit("tests").alias("section"), "trace_id", "near", "detail"))
+    parts.append(changed.join(nodes.filter("active").select("path"), "path", "left_anti").select(F.lit("unexpected").alias("section"), F.col("path").alias("trace_id"), F.lit(True).alias("near"), none.alias("detail")))
+    known = rows.select("trace_id", "near")
+    parts.append(found.join(known, "trace_id", "left").select(F.lit("findings").alias("section"), "trace_id", F.coalesce("near", F.lit(False)).alias("near"), F.concat_ws(" ", "rule", "path", "detail").alias("detail")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    order = Window.partitionBy("section").orderBy(F.col("near").desc(), F.coalesce("trace_id", F.lit("")), F.coalesce("detail", F.lit("")))
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("section", "rank", "trace_id", "detail")

@@ -534,13 +534,6 @@ def snk09_graph_payload(b):
     return reports.graph_payload(b.nodes, b.edges)[1].select("f", "p", "t")
 
 
-@query()
-def q16_resolve(b):
-    prompts = b.conversations.filter("turn = 0 and text is not null").select(F.col("conv_id").alias("prompt"), "text")
-    work = b.supplier.select(F.concat(F.lit("WORK-S"), F.col("s_suppkey").cast("string")).alias("trace_id"), F.lit("the thing of supplier").alias("title"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("boundary"), F.expr("cast(array() as array<string>)").alias("reqs"))
-    return reports.resolve(prompts, work)
-
-
 @query("select node_type, count(*) as n, count_if(active) as active from {nodes} group by node_type")
 def a01_type_counts(b):
     return b.nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("active")).alias("active"))
@@ -560,3 +553,6 @@ def w06_ranked_sections(b):
 @query("select expected from (select distinct expected from {expects} except select f from {edges} where p = 'implements') x")
 def set05_unimplemented(b):
     return b.expects.select("expected").distinct().subtract(b.edges.filter("p = 'implements'").select(F.col("f").alias("expected")))
+
+
+from . import task_queries  # noqa: E402, F401  (registers its queries here)

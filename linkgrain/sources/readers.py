@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 import time
+import tomllib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import ID_PATTERN
 from ..functions.text import any_glob
 
 MAX_FILE, MAX_REPORT = 2 << 20, 10 << 20
@@ -128,3 +133,37 @@ def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the version that was written last."""
     version = spark.read.parquet(f"{root}/pointer").agg(F.max_by("version", "at")).first()[0]
     return spark.read.parquet(f"{root}/{version}/{name}")
+
+
+def work_items(files: DataFrame) -> DataFrame:
+    """Work items that TOML files (path, text) declare as ``[work."ID"]``: path, trace_id, title, mirrors (JSON), problem (TL100) or null."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for path, text in frame[["path", "text"]].itertuples(index=False):
+                try:
+                    made = tomllib.loads(text or "").get("work", {})
+                except tomllib.TOMLDecodeError as e:
+                    rows.append((path, None, None, None, f"not TOML: {e}"))
+                    continue
+                for key, entry in made.items() if isinstance(made, dict) else ():
+                    if isinstance(entry, dict):
+                        title, mirrors = entry.get("title"), entry.get("mirrors")
+                        bad = None if re.match(ID_PATTERN, key) else "invalid id"
+                        rows.append((path, key, title if isinstance(title, str) else None, json.dumps(mirrors if isinstance(mirrors, dict) else {}, default=str), bad))
+            yield pd.DataFrame(rows, columns=["path", "trace_id", "title", "mirrors", "problem"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, trace_id string, title string, mirrors string, problem string")
+
+
+SIDECAR = "entries array<struct<line: int, key: string, marker: string>>"
+
+
+def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """(path, key, line, marker) of the entries in sidecar files ``root``/<path>.json; files that do not parse have none."""
+    raw = spark.read.schema(SIDECAR).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(root)
+    base = root.rstrip("/") + "/"
+    rows = raw.withColumn("file", F.col("_metadata.file_path")).withColumn("path", F.expr(f"substring(file, locate('{base}', file) + {len(base)})"))
+    rows = rows.select(F.regexp_replace("path", r"\.json$", "").alias("path"), F.explode("entries").alias("x"))
+    return rows.select("path", "x.key", "x.line", "x.marker")

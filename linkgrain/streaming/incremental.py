@@ -44,25 +44,33 @@ def outcome_windows(results: DataFrame, size: str = "1 hour", delay: str = "1 ho
     return results.withWatermark("at", delay).groupBy(F.window("at", size), "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def obligations(events: DataFrame, idle: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+def obligations(events: DataFrame, delay: str = "1 hour", idle_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
     """State of each (path, symbol) from a stream of (path, symbol, traced): pending until a traced event satisfies it.
 
-    A symbol without an event for ``idle`` milliseconds is forgotten.
+    Where the events have a time ``at``, a symbol without an event for
+    ``idle_ms`` of event time is forgotten, so the state is bounded by the
+    symbols in use.
     """
+    timed = "at" in events.columns
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         done, seen = state.get if state.exists else (False, 0)
+        last = 0
         for frame in frames:
             done = done or bool(frame["traced"].any())
             seen += len(frame)
+            last = max(last, int(frame["at"].max().timestamp() * 1000)) if timed else last
         state.update((done, seen))
-        state.setTimeoutDuration(idle)
+        if timed:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"path": [key[0]], "symbol": [key[1]], "state": ["satisfied" if done else "pending"], "events": [seen]})
 
-    return events.groupBy("path", "symbol").applyInPandasWithState(step, "path string, symbol string, state string, events long", "done boolean, seen long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.withWatermark("at", delay) if timed else events
+    ends = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return rows.groupBy("path", "symbol").applyInPandasWithState(step, "path string, symbol string, state string, events long", "done boolean, seen long", "update", ends)
 
 
 def ledger(events: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from linkgrain import session
 from linkgrain.functions import ids, text
-from linkgrain.operators import change, evidence, extract, graph, reports, rules, search, structure
+from linkgrain.operators import boundaries, change, evidence, extract, graph, index, reports, rules, search, structure, tasks
 from linkgrain.plans import policy
 from linkgrain.sources import readers
 
@@ -237,16 +238,133 @@ def test_scan_files(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs/r.md").write_text("# A\n")
     got = readers.with_scope(readers.scan_files(spark, str(tmp_path), exclude=["docs/private/**"]), {"core": ["src"], "all": ["docs", "src/x"]})
-    assert sorted((r.path, r.kind, r.language, r.scope) for r in got.collect()) == [("docs/r.md", "markdown", "markdown", "all"), ("src/a.py", "code", "python", "core")]
+    assert sorted((r.path, r.kind, r.language, r.scope) for r in got.collect()) == [("docs/r.md", "doc", "markdown", "all"), ("src/a.py", "source", "python", "core")]
 
 
 def test_snapshot(spark, tmp_path):
-    readers.write_snapshot({"nodes": spark.range(2)}, str(tmp_path), "v1")
-    readers.write_snapshot({"nodes": spark.range(5)}, str(tmp_path), "v2")
+    readers.write_snapshot({"nodes": spark.range(2)}, str(tmp_path), "v9")
+    readers.write_snapshot({"nodes": spark.range(5)}, str(tmp_path), "v10")
     assert readers.read_snapshot(spark, str(tmp_path), "nodes").count() == 5
 
 
 def test_resolve(spark):
-    work = spark.createDataFrame([("WORK-1", "rotate refresh tokens", "active", "auth", ["token rotation"]), ("WORK-2", "billing", "active", None, []), ("WORK-3", "rotate logs", "done", None, [])], "trace_id string, title string, status string, boundary string, reqs array<string>")
-    got = reports.resolve(spark.createDataFrame([("p", "please rotate the tokens")], "prompt string, text string"), work).collect()
-    assert [(r.trace_id, r.resume) for r in got] == [("WORK-1", True)]
+    work = spark.createDataFrame([("WORK-1", "rotate refresh tokens", "active", [("REQ-1", "token rotation")], "auth", False, False), ("WORK-2", "billing", "active", [], None, True, False), ("WORK-3", "rotate logs", "done", [], None, True, True)], "trace_id string, title string, status string, reqs array<struct<id: string, title: string>>, boundary string, changed boolean, recent boolean")
+    prompts = spark.createDataFrame([("p", "please rotate the tokens", None), ("q", "something else", None), ("r", "the", None), ("s", "no match", "work-1-branch")], "prompt string, text string, branch string")
+    hits = spark.createDataFrame([("s", "REQ-1")], "prompt string, trace_id string")
+    got = {r.prompt: (r.work, r.confidence, r.resolution) for r in tasks.resolved(prompts, work, hits).collect()}
+    # The second resumes what is being changed right now.
+    assert got == {"p": ("WORK-1", 1.0, "resume"), "q": ("WORK-2", 0.7, "resume"), "r": (None, 0.0, "new"), "s": ("WORK-1", 1.0, "resume")}
+
+
+def test_waivers(spark):
+    found = spark.createDataFrame([("TL010", "a", "p", 1, None), ("TL010", "a", "p", 1, None), ("TL020", "b", None, None, None), ("TL061", None, None, None, None)], "rule string, trace_id string, path string, line int, detail string")
+    waivers = spark.createDataFrame([("TL010", "a", None, None, "known", None, 1), ("TL010", None, None, "late", None, None, 2), ("TL020", None, "p", "x", None, None, 0), ("TL061", None, None, "x", None, None, 0)], "rule string, trace_id string, path string, owner string, reason string, expires date, pos int")
+    rows = [(r.rule, r.severity, r.waiver) for r in policy.waived(found, waivers, "2024-01-01").orderBy("rule").collect()]
+    assert rows == [("TL010", "INFO", "known"), ("TL010", "INFO", "known"), ("TL020", "ERROR", None), ("TL061", "ERROR", None)]
+
+
+def test_work_items_and_sidecars(spark, tmp_path):
+    files = spark.createDataFrame([(".trace/work.toml", '[work."WORK-1"]\ntitle = "One"\nmirrors = {jira = "J-1"}\n[work."bad id"]\ntitle = 3\n'), ("x.toml", "= no")], "path string, text string")
+    got = {(r.path, r.trace_id): (r.title, r.mirrors, r.problem) for r in readers.work_items(files).collect()}
+    assert got[".trace/work.toml", "WORK-1"] == ("One", '{"jira": "J-1"}', None) and got[".trace/work.toml", "bad id"][2] == "invalid id" and got["x.toml", None][2].startswith("not TOML")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "c.json.json").write_text('{"entries": [{"line": 4, "key": "k", "marker": "# trace:v1 id=a"}]}')
+    cars = readers.read_sidecars(spark, str(tmp_path))
+    assert [tuple(r) for r in cars.collect()] == [("a/c.json", "k", 4, "# trace:v1 id=a")]
+
+
+def test_blocks(spark):
+    text = "# REQ-1 First thing\n<!-- trace:v1 id=REQ-1 derived_from=PRD-1,PRD-1 -->\nbody\n```\n# REQ-9 code\n```\n## Notes\nmore\n# ADR-2: Second\nx\n"
+    rows = {r.trace_id: r for r in extract.blocks(spark.createDataFrame([("a.md", text)], "path string, text string")).collect()}
+    assert rows.keys() == {"REQ-1", "ADR-2"}
+    assert (rows["REQ-1"].node_type, rows["REQ-1"].title, rows["REQ-1"].s, rows["REQ-1"].e, [tuple(e) for e in rows["REQ-1"].edges]) == ("requirement", "First thing", 1, 8, [("derived_from", "PRD-1")])
+    assert (rows["ADR-2"].node_type, rows["ADR-2"].title) == ("decision", "Second")
+
+
+def test_parser_registry(spark):
+    extract.register("lines", lambda text: [("line", x, n, n, None, "lines") for n, x in enumerate(text.splitlines(), 1)])
+    try:
+        rows = extract.symbols(spark.createDataFrame([("a", "lines", "x\ny"), ("b", "none", "z")], "path string, language string, text string"))
+        assert sorted((r.name, r.s, r.parser) for r in rows.collect()) == [("x", 1, "lines"), ("y", 2, "lines")]
+    finally:
+        del extract.PARSERS["lines"]
+
+
+def test_index_runs(spark):
+    def run(texts, **more):
+        files = spark.createDataFrame(list(texts.items()), "path string, text string")
+        found = extract.symbols(files.withColumn("language", F.lit("python")))
+        return index.run(files, found.withColumn("id", F.concat_ws(":", "name", "s")), **more)
+
+    a = "# trace:v1 id=impl.a work=WORK-1 depends_on=impl.b\ndef a():\n    return 1\n"
+    b = "class B:\n    # trace:v1 id=impl.b\n    def b(self):\n        return 2\n"
+    one = run({"a.py": a, "b.py": b})
+    nodes = {r.trace_id: r for r in one.nodes.collect()}
+    assert (nodes["impl.a"].attachment, nodes["impl.a"].s, nodes["impl.b"].s, nodes["impl.b"].e, nodes["impl.b"].parser) == ("symbol", 2, 1, 4, "ast")
+    assert {(r.f, r.p, r.t) for r in one.edges.collect()} == {("impl.a", "work", "WORK-1"), ("impl.a", "depends_on", "impl.b")}
+    assert [(r.rule, r.detail) for r in one.findings.collect()] == [("TL002", "work -> WORK-1")]
+    paths = spark.createDataFrame([("b.py",)], "path string")
+    two = run({"a.py": a, "b.py": b.replace("2", "3") + "# trace:v1 id=impl.a\n"}, previous=one, changed_paths=paths, at="1")
+    assert {r.trace_id: r.status for r in two.nodes.collect()}["impl.b"] == "current"
+    three = run({"b.py": b.replace("2", "4")}, previous=one, changed_paths=paths, at="1")
+    state = {r.trace_id: (r.status, r.changed, r.active) for r in three.nodes.collect()}
+    assert state == {"impl.a": ("stale_review_required", False, True), "impl.b": ("current", True, True)}
+    four = run({"b.py": "x = 1\n"}, previous=three, changed_paths=paths, at="2")
+    state = {r.trace_id: (r.status, r.active) for r in four.nodes.collect()}
+    assert state == {"impl.a": ("stale_review_required", True), "impl.b": ("current", False)}
+    assert four.report(spark.range(2)).first().files == 2
+
+
+def test_ingest(spark):
+    reports_ = spark.createDataFrame([("r1", "pass", "rev", "ci", None, None, [("t.one", "pass", 1.0, None), ("t.two", "fail", 2.0, "test.x")], [("test.one", "impl.a", "per_test", 3)])], "run_id string, status string, revision string, provider string, started_at string, completed_at string, tests array<struct<framework_id: string, outcome: string, duration_ms: double, trace_id: string>>, execution_edges array<struct<test_uid: string, implementation_uid: string, coverage_kind: string, hit_count: bigint>>")
+    tests = spark.createDataFrame([("test.one", "t.one")], "trace_id string, framework_test_id string")
+    runs = spark.createDataFrame([("r1", "old", "fail"), ("r0", "old", "pass")], "run_id string, revision string, status string")
+    results = spark.createDataFrame([("r1", "t.gone", None, "pass", 0.0)], "run_id string, fid string, test string, outcome string, duration_ms double")
+    executions = spark.createDataFrame([("r0", "a", "b", "suite", 1)], "run_id string, test string, impl string, kind string, hits long")
+    a, b, c = evidence.ingested(reports_, tests, runs, results, executions)
+    assert sorted(map(tuple, a.collect())) == [("r0", "old", "pass"), ("r1", "rev", "pass")]
+    assert sorted(map(tuple, b.collect())) == [("r1", "t.one", "test.one", "pass", 1.0), ("r1", "t.two", "test.x", "fail", 2.0)]
+    assert c.count() == 2
+
+
+def test_suggested_markers(spark):
+    marked = spark.createDataFrame([("src/a.py", "app.Service.save", "method", "python", 3), ("src/b.py", "app.Service.save", "method", "python", 9), ("tests/test_a.py", "test_it", "function", "python", 1), ("docs/r.md", "REQ-1 Title", "heading", "markdown", 1)], "path string, name string, kind string, language string, s int")
+    taken = spark.createDataFrame([("test.test-it",)], "trace_id string")
+    got = {(r.path, r.role): r.marker for r in boundaries.suggested(marked, taken, work="WORK-1", requirement="REQ-2").collect()}
+    assert got == {
+        ("src/a.py", "impl"): "# trace:v1 id=impl.app-service.save work=WORK-1 satisfies=REQ-2", ("src/b.py", "impl"): "# trace:v1 id=impl.app-service.save-2 work=WORK-1 satisfies=REQ-2",
+        ("tests/test_a.py", "test"): "# trace:v1 id=test.test-it-2 work=WORK-1 verifies=REQ-2", ("docs/r.md", "requirement"): "<!-- trace:v1 id=requirement.req-1-title work=WORK-1 -->",
+    }
+
+
+def test_bundle_faults():
+    sound = {"title": "T", "kind": "new feature", "requirements": [{"title": "R"}]}
+    assert tasks.faults(json.dumps(sound)) == [] and tasks.faults("[]") == tasks.faults("{") == tasks.faults(None) == ["bundle: no JSON object"]
+    assert tasks.faults(json.dumps(sound | {"requirements": []})) == ["requirements: none for new behaviour"] and tasks.faults(json.dumps(sound | {"kind": "refactor", "requirements": None})) == []
+    assert tasks.faults(json.dumps({"kind": 3, "requirements": [1, {"title": "a"}, {"title": " a"}], "plan": [], "intent": 2})) == ["title: missing", "kind: unknown", "requirements[0]: no object", "requirements[2].title: repeated", "plan: no object", "intent: no text"]
+
+
+def test_session(spark, tmp_path):
+    nodes = spark.createDataFrame([("impl.a", "implementation", "a.py", 1, 3, "current", True), ("WORK-1", "work", "w", None, None, "current", True)], "trace_id string, node_type string, path string, s int, e int, status string, active boolean")
+    edges = spark.createDataFrame([("impl.a", "work", "WORK-1", "active")], "f string, p string, t string, status string")
+    session.Traceability(nodes, edges).write(str(tmp_path), "1")
+    own = session.Traceability.read(spark, str(tmp_path))
+    assert [r.chain for r in own.why("impl.a").collect()] == ["WORK-1-impl.a"] and [r.trace_id for r in own.impact("WORK-1").collect()] == ["impl.a"]
+    assert own.verify("standard").count() == 0 and own.context("impl.a").count() == 1 and [r.id for r in own.search("impl").collect()] == ["impl.a"]
+
+
+def test_indexed_search_equals_the_scan(spark):
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "b c d"), (3, "a d")], "id int, text string")
+    terms, lengths = search.postings(docs, ["text"])
+    scan = [(r.id, round(r.score, 9)) for r in search.bm25(docs, ["text"], "b c").collect()]
+    assert scan == [(r.id, round(r.score, 9)) for r in search.bm25_indexed(terms, lengths, "b c").collect()] and len(scan) == 2
+
+
+def test_audit_package(spark):
+    nodes = spark.createDataFrame([("impl.a", "implementation", "a.py"), ("impl.z", "implementation", "z.py"), ("REQ-1", "requirement", "r.md"), ("test.a", "test", "t.py")], "trace_id string, node_type string, path string").withColumn("active", F.lit(True))
+    edges = spark.createDataFrame([("impl.z", "work", "WORK-1"), ("impl.z", "satisfies", "REQ-1"), ("test.a", "exercises", "impl.z")], "f string, p string, t string")
+    found = spark.createDataFrame([("TL010", "impl.a", "a.py", "x")], "rule string, trace_id string, path string, detail string")
+    changed = spark.createDataFrame([("new.py",), ("a.py",)], "path string")
+    outcomes = spark.createDataFrame([("test.a", "fail")], "fid string, outcome string")
+    rows = reports.audit_package("WORK-1", nodes, edges, changed, found, outcomes).orderBy("section", "rank").collect()
+    assert [(r.section, r.trace_id, r.detail) for r in rows] == [("findings", "impl.a", "TL010 a.py x"), ("implementations", "impl.z", "WORK-1 > REQ-1 > impl.z > test.a"), ("implementations", "impl.a", "impl.a"), ("requirements", "REQ-1", None), ("tests", "test.a", "fail"), ("unexpected", "new.py", None)]
