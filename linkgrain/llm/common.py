@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
