@@ -145,7 +145,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
     return node.select(F.col("lo").alias("shard"), F.explode("qs").alias("q")).select("shard", "q._source", "q.first", F.col("q.n").alias("count")).filter("count > 0")
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST, block_rows: int = BLOCK_ROWS, words_per_shard: int = 2_000_000, max_shards: int = 1 << 12, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST, block_rows: int = BLOCK_ROWS, words_per_shard: int = 2_000_000, max_shards: int | None = None, seed: str = "mix") -> DataFrame:
     """A row per input row: id, source, size, source_size, target, taken, placements.
 
     ``size`` counts the words of the whole text (null text: 0).  ``placements``
@@ -158,12 +158,16 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     an empty table gives an empty table; repeated rows each count and are told
     apart only by their place, ties in the permutation going by id and size;
     columns that the input has besides the three are not read.  Ids may be null.
+    Shards grow in number with the words, about ``words_per_shard`` each, up to
+    ``max_shards`` where that is given.
     """
     sizes = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        # Rows without an id are told apart, and dealt over the blocks, by their text.
+        F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("_t"),
     )
-    sizes = written(sizes.withColumn("_h", unit_hash(seed, F.col("_id"))), "mix-sizes")
+    sizes = written(sizes.withColumn("_h", F.when(F.col("_id").isNotNull(), unit_hash(seed, F.col("_id"))).otherwise(unit_hash(seed, F.col("_t")))).drop("_t"), "mix-sizes")
     sources = written(source_targets(sizes, weights, most, block_rows), "mix-sources")
     same = lambda a, b: a["_source"].eqNullSafe(b["_source"])
     block = F.least(F.col("n_blocks") - 1, F.floor(F.col("_h").cast("double") / float(HASH_SPACE) * F.col("n_blocks"))).cast("long")
@@ -178,7 +182,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # Permuted places of a source's pairs: ranks of a hash.
     place = F.row_number().over(Window.partitionBy("_source").orderBy(unit_hash(seed + "-pairs", F.col("_source"), F.col("_epoch"), F.col("_block")), "_epoch", "_block")) - 1
     words = pairs.agg(F.sum("_share")).first()[0] or 0
-    shards = max(1, min(max_shards, 1 << math.ceil(math.log2(max(1.0, words / words_per_shard)))))
+    shards = 1 << math.ceil(math.log2(max(1.0, words / words_per_shard)))
+    shards = shards if max_shards is None else max(1, min(max_shards, shards))
     leaves = written(split_quotas(pairs.groupBy("_source").agg(F.count(F.lit(1)).alias("quota")), shards, seed), "mix-leaves")
     ranked = pairs.withColumn("_place", place)
     # Each leaf's range, expanded to its places: a row per pair, so this equals the quota exactly.

@@ -230,7 +230,9 @@ def test_mix(spark, odd, none):
     assert all(abs(taken[s] - want[s]) <= 0.5 for s in want)
     assert sorted(map(str, mix.mix_sources(rows, block_rows=7, words_per_shard=1500).collect())) == sorted(map(str, plan.collect()))
     shards = mix.mixed_rows(plan)
-    assert shards.select("shard").distinct().count() == 16 and shards.agg(F.sum("words")).first()[0] == sum(taken.values())
+    import math
+
+    assert shards.select("shard").distinct().count() == 1 << math.ceil(math.log2(sum(taken.values()) / 1500)) and shards.agg(F.sum("words")).first()[0] == sum(taken.values())
     assert mix.mix_sources(odd).count() == odd.count() and mix.mix_sources(none).count() == 0
     assert {r.taken for r in mix.mix_sources(docs(spark, ["", None])).collect()} == {0}
 
