@@ -40,3 +40,12 @@ def test_obligations(spark, tmp_path):
     incremental.obligations(stream).writeStream.format("memory").queryName("obligations").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     want = sorted(map(tuple, incremental.ledger(spark.createDataFrame(rows, "path string, symbol string, traced boolean").withColumn("at", F.lit(0))).collect()))
     assert sorted((r.path, r.symbol, r.state, r.events) for r in spark.table("obligations").collect()) == want
+
+
+def test_obligations_with_a_time_end(spark, tmp_path):
+    rows = [("a.py", "f", False, "2024-01-01 00:00:00"), ("a.py", "f", True, "2024-01-01 01:00:00"), ("a.py", "g", False, "2024-01-01 02:00:00")]
+    events = spark.createDataFrame(rows, "path string, symbol string, traced boolean, at string").withColumn("at", F.col("at").cast("timestamp"))
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    incremental.obligations(stream, idle_ms=1000).writeStream.format("memory").queryName("timed").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r.path, r.symbol, r.state, r.events) for r in spark.table("timed").collect()) == [("a.py", "f", "satisfied", 2), ("a.py", "g", "pending", 1)]
