@@ -105,4 +105,5 @@ def suggested(marked: DataFrame, taken: DataFrame, *, work: str | None = None, r
 
 
 def _slug(text: Column) -> Column:
-    return F.coalesce(F.nullif(slug(text), F.lit("")), F.lit("boundary"))
+    """Words of a name, also those that only a capital letter begins, joined by hyphens."""
+    return F.coalesce(F.nullif(slug(F.regexp_replace(text, "(?<=.)(?=[A-Z][a-z])", "-")), F.lit("")), F.lit("boundary"))

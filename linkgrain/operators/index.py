@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..schema import CURRENT
 from ..scratch import kept
-from .change import staleness
+from .change import carried, recorded_versions, staleness
+from .change import changed as altered_ids
 from .extract import marker_lines, parsed_markers
 from .rules import findings
 from .structure import containment, following, narrowest
@@ -87,37 +88,69 @@ def kept_edges(previous: DataFrame, redeclared: DataFrame) -> DataFrame:
     return previous.filter("kind <> 'structural'").join(redeclared.select(F.col("trace_id").alias("f")), "f", "left_anti")
 
 
-def run(files: DataFrame, symbols: DataFrame, previous: Index | None = None, changed_paths: DataFrame | None = None, *, at: str = "0") -> Index:
+def merged_nodes(previous: DataFrame, parsed: DataFrame, changed_paths: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, trace_id of the deleted ones) after ``parsed`` came in.
+
+    A declaration wins over the node before, wherever that was.  A node of a
+    changed path that is not declared any more stays as an inactive row; one that
+    was inactive already goes with the next change of its path.  Nodes of other
+    paths stay.  Without ``changed_paths`` the files are all there are, so every
+    id that is not declared is inactive.
+    """
+    gone = previous.join(parsed.select("trace_id"), "trace_id", "left_anti")
+    if changed_paths is None:
+        return parsed.unionByName(gone.withColumn("active", F.lit(False)).select(parsed.columns)), gone.select("trace_id")
+    touched = changed_paths.select("path").distinct()
+    deleted = gone.filter("active").join(touched, "path", "left_semi").withColumn("active", F.lit(False))
+    stays = gone.join(touched, "path", "left_anti")
+    return parsed.unionByName(deleted.select(parsed.columns)).unionByName(stays.select(parsed.columns)), deleted.select("trace_id")
+
+
+def merged_findings(previous: DataFrame, fresh: DataFrame, changed_paths: DataFrame | None) -> DataFrame:
+    """Findings after ``fresh`` came in: those of paths that have not changed stay, each once.
+
+    Missing targets (TL002) depend on all nodes and are never carried.
+    """
+    if changed_paths is None:
+        return fresh.distinct()
+    stays = previous.filter("rule <> 'TL002'").join(changed_paths.select("path").distinct(), "path", "left_anti")
+    return fresh.unionByName(stays.select(fresh.columns)).distinct()
+
+
+def lost_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """TL002 of the index: active edges whose target is missing or inactive, where they are declared."""
+    there = nodes.filter("active").select(F.col("trace_id").alias("t"))
+    lost = edges.filter("status = 'active'").join(there, "t", "left_anti")
+    return findings(lost, "TL002", None, "path", F.concat("f", F.lit(" "), "p", F.lit(" -> "), "t"), "line")
+
+
+def run(files: DataFrame, symbols: DataFrame, previous: Index | None = None, changed_paths: DataFrame | None = None, *, at: str = "0", clean: bool = False) -> Index:
     """The index after a run over ``files`` (path, text).
 
     Without ``changed_paths`` the files are all there are; with it, only files of
-    those paths are read, nodes of changed paths that are not declared any more
-    become inactive, other nodes and their edges stay.  A node whose
-    fingerprint is new is current again and makes the sources of its declared
-    edges stale; a node that has not changed keeps its status.
+    those paths are read (a path without a file is a deleted one) and nodes,
+    edges, findings and versions merge with the index before: see
+    ``merged_nodes``, ``kept_edges`` and ``merged_findings``.  A node that has
+    another fingerprint on record is changed: it is current, and makes the
+    sources of its declared edges stale.  Others keep a status that was not
+    current, but for a ``clean`` run.  ``structural`` edges are derived anew.
+    The result does not depend on how changes are dealt over runs, but for
+    repeated declarations, which are looked for among the files of one run.
     """
     if changed_paths is not None:
         files = files.join(changed_paths.select("path").distinct(), "path", "left_semi")
     nodes, edges, found = (kept(x, "index") for x in declared(files, symbols))
+    versions = nodes.select("trace_id", "fingerprint", F.lit(at).alias("observed"))
     if previous is None:
-        merged, links, known = nodes, edges, None
+        merged, links = nodes, edges
     else:
-        gone = previous.nodes.join(nodes.select("trace_id"), "trace_id", "left_anti")
-        touched = changed_paths.select("path").distinct() if changed_paths is not None else previous.nodes.select("path").distinct()
-        deleted = kept(gone.join(touched, "path", "left_semi").withColumn("active", F.lit(False)), "deleted")
-        stays = gone.join(touched, "path", "left_anti")
-        old = previous.nodes.select("trace_id", F.col("status").alias("was"))
-        current = nodes.join(old, "trace_id", "left").withColumn("status", F.coalesce("was", "status")).drop("was")
-        merged = current.unionByName(deleted.select(nodes.columns)).unionByName(stays.select(nodes.columns))
-        links = kept_edges(previous.edges, nodes.select("trace_id").unionByName(deleted.select("trace_id"))).select(edges.columns).unionByName(edges)
-        known = previous.versions
-    now = nodes.select("trace_id", "fingerprint")
-    fresh = now if known is None else now.join(known.select("trace_id", "fingerprint").distinct(), ["trace_id", "fingerprint"], "left_anti")
-    altered = fresh.join(known.select("trace_id").distinct(), "trace_id", "left_semi").select("trace_id") if known is not None else fresh.select("trace_id").limit(0)
+        merged, deleted = merged_nodes(previous.nodes, nodes, changed_paths)
+        replaced = nodes.select("trace_id").unionByName(deleted)
+        links = edges if changed_paths is None else kept_edges(previous.edges, replaced).select(edges.columns).unionByName(edges)
+        merged = carried(merged, previous.nodes, clean)
+        versions = recorded_versions(previous.versions, versions)
+        found = merged_findings(previous.findings, found, changed_paths)
     merged = kept(merged, "merged")
-    links = links.unionByName(structural(merged)).distinct()
-    merged = staleness(merged, links, altered)
-    versions = fresh.withColumn("observed", F.lit(at)) if known is None else known.unionByName(fresh.withColumn("observed", F.lit(at)))
-    lost = links.join(merged.select(F.col("trace_id").alias("t")), "t", "left_anti").filter("status = 'active'")
-    found = found.unionByName(findings(lost, "TL002", "f", "path", F.concat("p", F.lit(" -> "), "t"), "line"))
-    return Index(merged, links, versions, found)
+    links = kept(links.unionByName(structural(merged)).distinct(), "links")
+    altered = altered_ids(merged.filter("fingerprint is not null"), previous.versions) if previous is not None else merged.select("trace_id").limit(0)
+    return Index(staleness(merged, links, altered), links, versions, found.unionByName(lost_targets(merged, links)).distinct())

@@ -78,7 +78,12 @@ def stored(rule: str) -> Callable[[Context], DataFrame]:
 
 
 def missing_target(ctx: Context) -> DataFrame:
+    """Active edges to no node, at the place that declares them; where edges have no path, at their source's."""
     lost = ctx.live.join(ctx.nodes.select(F.col("trace_id").alias("t")), "t", "left_anti")
+    if "path" in ctx.edges.columns:
+        known = F.when(F.col("own").isNotNull(), F.col("f"))
+        lost = lost.join(ctx.nodes.select(F.col("trace_id").alias("f"), F.lit(True).alias("own")), "f", "left")
+        return findings(lost, "TL002", known, detail=F.concat("p", F.lit(" -> "), "t"), line="line" if "line" in lost.columns else None)
     return findings(lost.join(ctx.nodes.select(F.col("trace_id").alias("f"), "path"), "f", "left"), "TL002", "f", detail=F.concat("p", F.lit(" -> "), "t"))
 
 

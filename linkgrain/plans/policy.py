@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.rules import REGISTRY, Context
+from ..operators.rules import REGISTRY, Context, findings
 
 # Severities by rule, rules by profile (each adds to the one before), gates.
 WARNINGS = ("TL003", "TL013", "TL050", "TL062", "TL063")
@@ -74,8 +74,13 @@ def ordered(found: DataFrame) -> DataFrame:
 
 
 def evaluate(ctx: Context, profile: str, overrides: dict[str, bool] | None = None, allow_waivers: bool = True) -> DataFrame:
-    """The union of all enabled rules' findings with severities, and with waivers where the policy allows them."""
+    """The union of all enabled rules' findings with severities, and with waivers where the policy allows them.
+
+    A profile that there is not gives TL100, and the minimal rules run.
+    """
     found = None
+    if profile not in PROFILES:
+        found = findings(ctx.nodes.sparkSession.range(1), "TL100", None, None, F.lit(f"unknown profile {profile}"))
     for rule in enabled(profile, ctx.lifecycle, overrides):
         rows = REGISTRY[rule](ctx)
         if rows is not None:

@@ -110,7 +110,7 @@ def with_views(text: str) -> str:
 
     visit(text)
     plain = lambda t: t.format(**{n: n for n in (*TABLES, *VIEWS)})
-    head = ", ".join(f"{n} as ({plain(VIEWS[n])})" for n in need)
+    head = ", ".join(f"{n} as materialized ({plain(VIEWS[n])})" for n in need)
     text = plain(text).strip()
     recursive = text.lower().startswith("with recursive")
     body = text[len("with recursive") :] if recursive else text[len("with") :] if text.lower().startswith("with ") else None

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import time
 import tomllib
 
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import ID_PATTERN
 from ..functions.text import any_glob
+from . import snapshots
 
 MAX_FILE, MAX_REPORT = 2 << 20, 10 << 20
 ALWAYS_IGNORED = (".git/**", "**/__pycache__/**", "**/.pytest_cache/**", "**/node_modules/**")
@@ -122,17 +122,14 @@ def diff_ranges(diff: DataFrame) -> DataFrame:
 
 
 def write_snapshot(frames: dict[str, DataFrame], root: str, version: str) -> None:
-    """A new version's folder of tables, then the pointer to it: readers see the old version or the new one whole."""
+    """Publishes ``frames`` as a new version: readers see the old one or the new one whole."""
     spark = next(iter(frames.values())).sparkSession
-    for name, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
-    spark.createDataFrame([(version, time.time_ns())], "version string, at long").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    snapshots.publish(frames, root, snapshots.current(spark, root)[0], version)
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the version that was written last."""
-    version = spark.read.parquet(f"{root}/pointer").agg(F.max_by("version", "at")).first()[0]
-    return spark.read.parquet(f"{root}/{version}/{name}")
+    """A table of the version that was published last."""
+    return snapshots.read(spark, root, name)[0]
 
 
 def work_items(files: DataFrame) -> DataFrame:

@@ -56,10 +56,10 @@ def test_rules_respect_scope(spark, ctx):
 
 def test_changed_paths(spark, ctx):
     assert rules.unclaimed_path(ctx) is None
-    ctx.changed_paths = spark.createDataFrame([("a.py",), ("new.py",), ("docs/x/y.md",), ("policy.toml",)], "path string")
+    ctx.changed_paths = spark.createDataFrame([("a.py",), ("new.py",), ("docs/x/y.md",), (".trace/policy.toml",), ("docs2/policy.toml",)], "path string")
     ctx.exclusions = ["docs/*"]
-    assert found(rules.unclaimed_path(ctx)) == ["new.py", "policy.toml"]
-    assert found(rules.enforcement_changed(ctx)) == ["policy.toml"]
+    assert found(rules.unclaimed_path(ctx)) == [".trace/policy.toml", "docs2/policy.toml", "new.py"]
+    assert found(rules.enforcement_changed(ctx)) == [".trace/policy.toml"]
 
 
 def test_plan_gaps(spark, ctx):
@@ -96,6 +96,17 @@ def test_profiles():
     assert policy.enabled("unknown", "wip") == policy.enabled("minimal", "wip")
 
 
+def test_unknown_profile_is_told(ctx):
+    rows = policy.evaluate(ctx, "odd").collect()
+    assert [(r.rule, r.severity, r.detail) for r in rows if r.rule == "TL100"] == [("TL100", "ERROR", "unknown profile odd")]
+    assert {r.rule for r in rows} == {"TL002", "TL100"} and "TL100" not in {r.rule for r in policy.evaluate(ctx, "minimal").collect()}
+
+
+def test_missing_targets_stand_where_they_are_declared(ctx):
+    ctx.edges = ctx.edges.withColumns({"path": F.concat("p", F.lit(".md")), "line": F.length("t")})
+    assert [(r.trace_id, r.path, r.line) for r in rules.missing_target(ctx).collect()] == [("impl.a", "implements.md", 6)]
+
+
 def test_walk_bounds(spark):
     n = nodes(spark, *[(x,) for x in "abcde"])
     e = edges(spark, ("a", "work", "b"), ("b", "work", "c"), ("c", "work", "a"), ("c", "blocks", "d"), ("d", "work", "zz"), ("e", "work", "e"))
@@ -302,7 +313,7 @@ def test_index_runs(spark):
     nodes = {r.trace_id: r for r in one.nodes.collect()}
     assert (nodes["impl.a"].attachment, nodes["impl.a"].s, nodes["impl.b"].s, nodes["impl.b"].e, nodes["impl.b"].parser) == ("symbol", 2, 1, 4, "ast")
     assert {(r.f, r.p, r.t) for r in one.edges.collect()} == {("impl.a", "work", "WORK-1"), ("impl.a", "depends_on", "impl.b")}
-    assert [(r.rule, r.detail) for r in one.findings.collect()] == [("TL002", "work -> WORK-1")]
+    assert [(r.rule, r.detail) for r in one.findings.collect()] == [("TL002", "impl.a work -> WORK-1")]
     paths = spark.createDataFrame([("b.py",)], "path string")
     two = run({"a.py": a, "b.py": b.replace("2", "3") + "# trace:v1 id=impl.a\n"}, previous=one, changed_paths=paths, at="1")
     assert {r.trace_id: r.status for r in two.nodes.collect()}["impl.b"] == "current"
@@ -328,12 +339,13 @@ def test_ingest(spark):
 
 
 def test_suggested_markers(spark):
-    marked = spark.createDataFrame([("src/a.py", "app.Service.save", "method", "python", 3), ("src/b.py", "app.Service.save", "method", "python", 9), ("tests/test_a.py", "test_it", "function", "python", 1), ("docs/r.md", "REQ-1 Title", "heading", "markdown", 1)], "path string, name string, kind string, language string, s int")
+    marked = spark.createDataFrame([("src/a.py", "app.Service.save", "method", "python", 3), ("src/b.py", "app.Service.save", "method", "python", 9), ("tests/test_a.py", "test_it", "function", "python", 1), ("docs/r.md", "REQ-1 Title", "heading", "markdown", 1), ("src/c.ts", "handleHTTPRequest", "function", "typescript", 1)], "path string, name string, kind string, language string, s int")
     taken = spark.createDataFrame([("test.test-it",)], "trace_id string")
     got = {(r.path, r.role): r.marker for r in boundaries.suggested(marked, taken, work="WORK-1", requirement="REQ-2").collect()}
     assert got == {
         ("src/a.py", "impl"): "# trace:v1 id=impl.app-service.save work=WORK-1 satisfies=REQ-2", ("src/b.py", "impl"): "# trace:v1 id=impl.app-service.save-2 work=WORK-1 satisfies=REQ-2",
         ("tests/test_a.py", "test"): "# trace:v1 id=test.test-it-2 work=WORK-1 verifies=REQ-2", ("docs/r.md", "requirement"): "<!-- trace:v1 id=requirement.req-1-title work=WORK-1 -->",
+        ("src/c.ts", "impl"): "// trace:v1 id=impl.handlehttp-request work=WORK-1 satisfies=REQ-2",
     }
 
 
