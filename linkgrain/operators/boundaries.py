@@ -1,4 +1,4 @@
-"""Behaviour boundaries: what they are, whether they are traced, and the marker that each would take.
+"""Behaviour boundaries: what they are, how they changed, whether they are traced, and the marker that each would take.
 
 Boundaries: path, name (qualified), kind, language, s, e, and ``traced_by``, the
 id of the marker that is attached to it, or null.
@@ -9,12 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import slug
-from .structure import BUCKET, _buckets
+from ..functions import text as tx
+from ..functions.ids import ID_PATTERN, slug, type_of
+from ..scratch import kept
+from .extract import symbols as read_symbols
+from .structure import BUCKET, _buckets, boundary_changes
 
 # How a comment begins, by language; JSON takes markers in sidecar files.
 COMMENTS = {"python": "#", "yaml": "#", "toml": "#", "go": "//", "rust": "//", "java": "//", "typescript": "//", "javascript": "//", "markdown": "<!--"}
-CODE = ("function", "method", "class")
+# Line beginnings that may stand between a marker and what it is attached to.
+GAPS = {"python": ("#", "@"), "yaml": ("#",), "toml": ("#",), "markdown": ("<!--",)} | dict.fromkeys(("go", "rust", "java", "typescript", "javascript"), ("//", "/*", "*"))
+MAX_GAP = 3
+CODE = ("function", "method", "class", "constructor", "struct", "enum", "interface", "trait", "impl", "type_alias")
 REASON = r"reason=\s*\S"
 
 
@@ -24,6 +30,135 @@ def boundaries(symbols: DataFrame) -> DataFrame:
     return symbols.filter(F.col("kind").isin(*CODE, "heading") | top).select("path", "name", "kind", "s", "e", F.col("hash").alias("fingerprint"))
 
 
+def numbered_lines(files: DataFrame) -> DataFrame:
+    """(path, line, text) of ``files`` (path, text)."""
+    return files.select("path", F.posexplode(tx.lines(F.col("text"))).alias("n", "text")).select("path", (F.col("n") + 1).alias("line"), "text")
+
+
+def of_files(files: DataFrame) -> DataFrame:
+    """Boundaries of ``files`` (path, language, text): path, language, name, kind, s, e, fingerprint.
+
+    Code and headings come from the parsers, with the fingerprint of their lines.
+    YAML and TOML have the keys that are indented like the first one, JSON its
+    top-level keys, each with its line.
+    """
+    parsed = read_symbols(files.filter(~F.coalesce("language", F.lit("")).isin("yaml", "toml", "json"))).filter(F.col("kind").isin(*CODE, "heading"))
+    parsed = parsed.join(files.select("path", "language"), "path").select("path", "language", "name", "kind", "s", "e", F.col("block").alias("fingerprint"))
+    plain = files.filter(F.col("language").isin("yaml", "toml"))
+    rows = numbered_lines(plain).withColumn("t", F.trim("text")).filter(F.col("t").rlike("[:=]") & ~F.col("t").rlike(r"^(?:#|//|\[|---)"))
+    rows = rows.withColumn("indent", F.length("text") - F.length(F.ltrim("text")))
+    first = rows.groupBy("path").agg(F.min_by("indent", "line").alias("first"))
+    rows = rows.join(first, "path").filter("indent <= first").join(plain.select("path", "language"), "path")
+    key = F.regexp_replace(F.trim(F.regexp_extract("t", "^([^:=]*)", 1)), "^[\"']+|[\"']+$", "")
+    keys = rows.select("path", "language", key.alias("name"), F.lit("key").alias("kind"), F.col("line").alias("s"), F.col("line").alias("e"), tx.fingerprint(F.col("text")).alias("fingerprint"))
+    json = files.filter("language = 'json'").select("path", "language", "text", F.explode(F.json_object_keys("text")).alias("name"))
+    before = F.expr("substring(text, 1, locate(concat('\"', name, '\"'), text) - 1)")
+    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    json = json.withColumn("s", line.cast("int")).withColumn("own", F.get(tx.lines(F.col("text")), F.col("s") - 1))
+    json = json.select("path", "language", "name", F.lit("key").alias("kind"), "s", F.col("s").alias("e"), tx.fingerprint(F.col("own")).alias("fingerprint"))
+    return parsed.unionByName(keys).unionByName(json)
+
+
+def _at(offset: int) -> Column:
+    """The line ``offset`` lines from a boundary's first, empty beyond the file."""
+    return F.coalesce(F.element_at("window", F.lit(offset)), F.lit(""))
+
+
+def windowed(bounds: DataFrame, lines: DataFrame) -> DataFrame:
+    """``bounds`` with ``window``: the lines near their first by offset, those that markers and directives can stand on."""
+    asked = bounds.select("path", "name", "s", F.explode(F.sequence(F.lit(-MAX_GAP), F.lit(6))).alias("offset")).distinct()
+    met = asked.withColumn("line", F.col("s") + F.col("offset")).join(lines.select("path", "line", "text"), ["path", "line"])
+    near = met.groupBy("path", "name", "s").agg(F.map_from_entries(F.collect_list(F.struct("offset", "text"))).alias("window"))
+    return bounds.join(near, ["path", "name", "s"], "left").withColumn("window", F.coalesce("window", F.expr("cast(map() as map<int, string>)")))
+
+
+def _free(offset: int) -> Column:
+    """Whether a line may stand between a marker and its boundary."""
+    t = F.trim(_at(offset))
+    starts = F.lit(False)
+    for language, prefixes in GAPS.items():
+        fits = F.lit(False)
+        for p in prefixes:
+            fits = fits | t.startswith(p)
+        starts = starts | ((F.col("language") == language) & fits)
+    return (t == "") | starts
+
+
+def _marked(offset: int) -> Column:
+    return _at(offset).contains(tx.MARKER)
+
+
+def attached_id() -> Column:
+    """The id of the marker attached to a windowed boundary: above code and keys with a free gap, in the six lines below a heading."""
+    own = F.lit(None).cast("string")
+    for offset in reversed(range(-MAX_GAP, 1)):  # the first line counts, so it is asked last
+        free = F.lit(True)
+        for k in range(offset + 1, 0):
+            free = free & _free(k)
+        found = F.nullif(F.regexp_extract(_at(offset), r"id=([A-Za-z0-9._:/\-]+)", 1), F.lit(""))
+        own = F.when(_marked(offset) & free & found.isNotNull(), found).otherwise(own)
+    below = F.coalesce(*[F.when(_marked(k), F.nullif(F.regexp_extract(_at(k), r"id=([A-Za-z0-9._:/\-]+)", 1), F.lit(""))) for k in range(1, 7)])
+    return F.when(F.col("language") == "markdown", below).otherwise(own)
+
+
+def _attached() -> Column:
+    """Whether any marker is attached: as ``attached_id`` asks, but directly below or above a heading, or below one blank line."""
+    near = F.lit(False)
+    for offset in range(-MAX_GAP, 1):
+        free = F.lit(True)
+        for k in range(offset + 1, 0):
+            free = free & _free(k)
+        near = near | (_marked(offset) & free)
+    heading = _marked(1) | _marked(-1) | (_marked(2) & (F.trim(_at(1)) == ""))
+    key = F.col("language").isin("yaml", "toml") & (_marked(-1) | _marked(0))
+    return F.when(F.col("language") == "markdown", heading).otherwise(near | key)
+
+
+def _exempted() -> Column:
+    opened = F.concat(_opener(F.col("language")), F.lit(" trace:exempt reason="))
+    says = lambda k: _at(k).contains(opened) & _at(k).rlike(r"^(?:(?!reason=).)*reason=\s*\S")
+    return F.coalesce(says(-1) | says(0), F.lit(False))
+
+
+def _asked_parent() -> Column:
+    """The id that a directive line of a boundary asks to inherit from; the first such line counts."""
+    target = lambda k: F.when(_at(k).contains(_opener(F.col("language"))) & _at(k).contains("reason="), F.nullif(F.regexp_extract(_at(k), r"trace:inherit\s+([A-Za-z0-9._:/\-]+)", 1), F.lit("")))
+    return F.coalesce(target(-1), target(0))
+
+
+def untraced_changes(now: DataFrame, before: DataFrame, nodes: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
+    """(path, name, kind, line, state, changed, traced) of the boundaries of ``now`` (path, language, text).
+
+    ``state`` is new, modified or unchanged against ``before``, by qualified name
+    and the fingerprint of the boundary's lines; of several there with one name
+    the last counts, and a heading with a name that was there is unchanged.  Only
+    changed boundaries are asked whether they are traced: by a marker attached
+    to them, an exemption with a reason, a heading that is a node, a sidecar
+    entry, or inheritance from the marker on the narrowest boundary around them.
+    The lines near them come in one join by path and line.
+    """
+    present = kept(of_files(now), "boundaries")
+    then = of_files(before).groupBy("path", "name").agg(F.max_by("fingerprint", F.struct("s", "e")).alias("fingerprint"))
+    states = boundary_changes(present.select("path", "name", "kind", "fingerprint").distinct(), then).select("path", "name", "kind", "state", "fingerprint")
+    keys = ["path", "name", "kind", "fingerprint"]
+    rows = present.join(states, keys)
+    altered = windowed(rows.filter("state <> 'unchanged'"), numbered_lines(now))
+    first = F.regexp_extract("name", r"^(\S+)", 1)
+    is_node = (F.col("language") == "markdown") & first.rlike(ID_PATTERN) & type_of(first).isNotNull()
+    altered = kept(altered.select("path", "name", "kind", "language", "s", "e", F.coalesce(_attached() | _exempted() | is_node, F.lit(False)).alias("own"), _asked_parent().alias("target")), "altered")
+    asked = altered.filter("target is not null and not own").join(nodes.filter("active").select("path", F.col("trace_id").alias("target")).distinct(), ["path", "target"], "left_semi")
+    parents = enclosing(present.join(asked.select("path").distinct(), "path", "left_semi").withColumn("traced_by", F.col("kind")))
+    parents = asked.join(parents.select("path", "name", "s", "parent", "os", "oe"), ["path", "name", "s"])
+    around = windowed(parents.select("path", "language", F.col("parent").alias("name"), F.col("os").alias("s"), "oe").distinct(), numbered_lines(now)).select("path", F.col("name").alias("parent"), F.col("s").alias("os"), attached_id().alias("target"))
+    inherited = parents.join(around, ["path", "parent", "os", "target"], "left_semi").select("path", "name", "s", F.lit(True).alias("inherits")).distinct()
+    out = altered.join(inherited, ["path", "name", "s"], "left")
+    if sidecars is not None:
+        out = out.join(in_sidecars(altered.filter("language = 'json'"), sidecars).distinct().withColumn("beside", F.lit(True)), ["path", "name", "s"], "left")
+    traced = F.col("own") | F.coalesce("inherits", F.lit(False)) | (F.coalesce("beside", F.lit(False)) if sidecars is not None else F.lit(False))
+    changed = out.select("path", "name", "kind", F.col("s").alias("line"), F.lit(True).alias("changed"), traced.alias("traced"))
+    return changed.unionByName(rows.filter("state = 'unchanged'").select("path", "name", "kind", F.col("s").alias("line"), F.lit(False).alias("changed"), F.lit(None).cast("boolean").alias("traced")))
+
+
 def _opener(language: Column) -> Column:
     return F.coalesce(*[F.when(language == k, v) for k, v in COMMENTS.items()])
 
@@ -47,8 +182,8 @@ def enclosing(marked: DataFrame) -> DataFrame:
     outer = marked.select("path", F.col("name").alias("parent"), F.col("s").alias("os"), F.col("e").alias("oe"), "traced_by", _buckets(F.col("s"), F.col("e")).alias("b"))
     inner = marked.select("path", "name", "s", "e", F.floor(F.col("s") / BUCKET).cast("int").alias("b"))
     hit = inner.join(outer, ["path", "b"]).filter("os <= s and oe >= e and not (parent = name and os = s and oe = e)")
-    best = hit.groupBy("path", "name", "s").agg(F.min_by(F.struct("parent", "traced_by"), F.struct(F.col("oe") - F.col("os"), "os", "parent")).alias("m"))
-    return best.select("path", "name", "s", "m.parent", "m.traced_by")
+    best = hit.groupBy("path", "name", "s").agg(F.min_by(F.struct("parent", "traced_by", "os", "oe"), F.struct(F.col("oe") - F.col("os"), "os", "parent")).alias("m"))
+    return best.select("path", "name", "s", "m.parent", "m.traced_by", "m.os", "m.oe")
 
 
 def inheriting(marked: DataFrame, lines: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -107,9 +107,9 @@ def recorded_findings(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def carried(nodes: DataFrame, before: DataFrame, clean: bool = False) -> DataFrame:
-    """``nodes`` with the status that an unchanged node had before, unless that was current or the run is a ``clean`` one."""
+    """``nodes`` with the status that they had before, unless that was current or the run is a ``clean`` one; ``staleness`` resets the changed ones after it."""
     if clean:
         return nodes
-    old = before.select("trace_id", F.col("status").alias("was"), F.col("fingerprint").alias("then"))
-    keep = F.col("was").isNotNull() & (F.col("was") != CURRENT) & F.col("then").eqNullSafe(F.col("fingerprint"))
-    return nodes.join(old, "trace_id", "left").withColumn("status", F.when(keep, F.col("was")).otherwise(F.col("status"))).drop("was", "then")
+    old = before.select("trace_id", F.col("status").alias("was"))
+    keep = F.col("was").isNotNull() & (F.col("was") != CURRENT)
+    return nodes.join(old, "trace_id", "left").withColumn("status", F.when(keep, F.col("was")).otherwise(F.col("status"))).drop("was")

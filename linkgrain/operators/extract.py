@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.ids import ID_PATTERN, type_of, valid_id
+from ..functions.lexing import declarations
 from ..schema import NODE_TYPES, OBSERVED, SEMANTIC, STRUCTURAL
 
 KEYS = frozenset(("id", "type", "title", "policy", "expects", "plan", *SEMANTIC))
@@ -215,38 +216,20 @@ def python_symbols(text: str) -> list[tuple[str, str, int, int, str]]:
     return sorted(out, key=lambda x: (x[2], x[1]))
 
 
-# How declarations look in languages without a parser here.
-DECLARATIONS = {
-    "go": r"^(?:func\s+(?:\([^)]*\)\s*)?(?P<function>\w+)|type\s+(?P<class>\w+)\s+(?:struct|interface))",
-    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:fn\s+(?P<function>\w+)|(?:struct|enum|trait)\s+(?P<class>\w+))",
-    "java": r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?:(?:class|interface|enum|record)\s+(?P<class>\w+)|[\w<>\[\], ]+\s+(?P<function>\w+)\s*\([^;]*\{)",
-    "javascript": r"^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?(?:function\*?\s+(?P<function>\w+)|class\s+(?P<class>\w+)|(?:const|let)\s+(?P<arrow>\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>)",
-}
-DECLARATIONS["typescript"] = DECLARATIONS["javascript"]
-
-
-def brace_symbols(text: str, language: str) -> list[tuple[str, str, int, int, str]]:
-    """Symbols of a language with braces, by how declarations look; a body ends where its braces balance."""
-    pattern, lines, out = re.compile(DECLARATIONS[language]), text.splitlines(), []
-    for n, line in enumerate(lines):
-        m = pattern.match(line)
-        if m:
-            kind, name = next((k, v) for k, v in m.groupdict().items() if v)
-            depth, seen, end = 0, False, n
-            for end in range(n, len(lines)):
-                depth += lines[end].count("{") - lines[end].count("}")
-                seen = seen or "{" in lines[end]
-                if seen and depth <= 0 or not seen and lines[end].rstrip().endswith(";"):
-                    break
-            out.append(("class" if kind == "class" else "function", name, n + 1, end + 1, hashlib.sha256("\n".join(lines[n : end + 1]).encode()).hexdigest()))
-    return out
+SYMBOLS = "path string, kind string, name string, s int, e int, hash string, parser string, block string"
 
 
-SYMBOLS = "path string, kind string, name string, s int, e int, hash string, parser string"
+def _block_hash(lines: list[str], s: int, e: int) -> str:
+    """``tx.fingerprint`` of the lines ``s`` to ``e``."""
+    own = [x.rstrip(" \t\v\f") for x in lines[s - 1 : e]]
+    while own and not own[-1]:
+        own.pop()
+    first = next((k for k, x in enumerate(own) if x), 0)
+    return hashlib.sha256("\n".join(own[first:]).encode("utf-8", "replace")).hexdigest()
 
 
-def _brace(language: str):
-    return lambda text: [(*x, "pattern") for x in brace_symbols(text, language)]
+def _tokens_of(language: str):
+    return lambda text: [(*x, "tokens") for x in declarations(text, language)]
 
 
 #: Parsers by language: each gives (kind, name, first line, last line, hash, parser) of a text; ``register`` adds one.
@@ -254,7 +237,7 @@ PARSERS = {
     "python": lambda text: [(*x, "ast") for x in python_symbols(text)],
     "markdown": lambda text: [("heading", t, a, b, None, "markdown") for _, a, b, t in markdown_headings(text)],
     "yaml": lambda text: [("key", k, a, b, None, "yaml") for k, a, b in yaml_sections(text)],
-    **{language: _brace(language) for language in DECLARATIONS},
+    **{language: _tokens_of(language) for language in ("go", "rust", "java", "javascript", "typescript")},
 }
 
 
@@ -264,7 +247,12 @@ def register(language: str, parser) -> None:
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """Symbols and sections of ``files`` (path, language, text); ``parser`` says what read them."""
+    """Symbols and sections of ``files`` (path, language, text); ``parser`` says what read them.
+
+    ``name`` holds the names of what encloses a symbol; ``qualified`` the
+    module's before them.  ``hash`` does not change with the layout of a symbol's
+    code, ``block`` does: it is the fingerprint of its lines.
+    """
     parsers = dict(PARSERS)
 
     def run(frames):
@@ -272,10 +260,12 @@ def symbols(files: DataFrame) -> DataFrame:
             rows = []
             for path, language, text in frame[["path", "language", "text"]].itertuples(index=False):
                 if language in parsers:
-                    rows += [(path, *x) for x in parsers[language](text or "")]
-            yield pd.DataFrame(rows, columns=["path", "kind", "name", "s", "e", "hash", "parser"])
+                    lines = re.split("\r\n|\r|\n", text or "")
+                    rows += [(path, *x, _block_hash(lines, x[2], x[3])) for x in parsers[language](text or "")]
+            yield pd.DataFrame(rows, columns=["path", "kind", "name", "s", "e", "hash", "parser", "block"])
 
-    return files.select("path", "language", "text").mapInPandas(run, SYMBOLS)
+    module = F.translate(F.regexp_replace("path", r"(?<=[^/.])[.][^./]*$", ""), "/", ".")
+    return files.select("path", "language", "text").mapInPandas(run, SYMBOLS).withColumn("qualified", F.concat(module, F.lit("."), "name"))
 
 
 BLOCKS = "path string, trace_id string, node_type string, title string, s int, e int, body string, edges array<struct<p: string, t: string>>"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids
 from .functions import text as tx
-from .operators import change, evidence, extract, graph, reports, rules, search, structure
+from .operators import boundaries, change, evidence, extract, graph, reports, rules, search, structure
 from .plans import policy
 from .sources.bridge import Bridge, with_views
 
@@ -194,6 +194,32 @@ def tl013_untraced_boundary(b):
     return rules.untraced_boundary(rules.Context(b.nodes, b.edges, boundaries=rows, exclusions=["src/m1*"]))
 
 
+CODE = "(select *, length(body) - length(replace(body, chr(10), '')) as nl from {code})"
+FIRST = "cast(case when language = 'go' then 6 else 5 end + nl as integer)"
+NAMED = "case when language = 'go' then 'F' else 'f' end || cast(doc_id as varchar)"
+
+
+@query(f"select path, 'function' as kind, {NAMED} as name, {FIRST} as s, {FIRST} + 3 + cast(nl as integer) as e, replace(left(path, length(path) - 3), '/', '.') || '.' || {NAMED} as qualified, 'tokens' as parser from {CODE} c")
+def x11_code_symbols(b):
+    """Functions of Go and TypeScript texts whose comments and strings hold whole documents."""
+    return extract.symbols(b.code).select("path", "kind", "name", "s", "e", "qualified", "parser")
+
+
+@query(f"select {NAMED} as name, (a.doc_id % 7 <> 0 and a.doc_id % 5 <> 0) as same from {{code}} a")
+def x12_layout_free_hashes(b):
+    """Whether a function's hash is that of the text before, which is laid out anew."""
+    looser = F.regexp_replace(F.regexp_replace("text", "\\n  return ", "\n\n      return   /* { */ "), "\\) *int *\\{\\n", ")  int  { // }\n")
+    now, then = extract.symbols(b.code), extract.symbols(b.code_before.withColumn("text", looser)).select("path", F.col("name"), F.col("hash").alias("was"))
+    return now.join(then, ["path", "name"], "left").select("name", F.coalesce(F.col("hash") == F.col("was"), F.lit(False)).alias("same"))
+
+
+@query(diag("TL013", f"from {CODE} c where (doc_id % 7 = 0 or doc_id % 5 = 0) and doc_id % 3 <> 0 and not (doc_id % 3 = 1 and doc_id % 2 = 0) and path not like 'src/d1%'", path="path", detail=NAMED, line=FIRST))
+def tl013_from_texts(b):
+    """Coverage of changed boundaries from the texts of now and before."""
+    rows = boundaries.untraced_changes(b.code, b.code_before, b.nodes)
+    return rules.untraced_boundary(rules.Context(b.nodes, b.edges, boundaries=rows, exclusions=["src/d1*"]))
+
+
 @query(diag("TL001", "from {decl} d join (select trace_id, count(*) as n from {decl} group by trace_id having count(*) > 1) m on m.trace_id = d.trace_id", "d.trace_id", "d.path", "cast(m.n as varchar)", "d.s"))
 def tl001_duplicate_ids(b):
     return rules.duplicate_ids(b.decl)

@@ -64,6 +64,10 @@ union select case cast(r_regionkey as int) when 0 then '.trace/policy.toml' when
 select 'PLAN-P'||cast(p_partkey as string) plan, 'impl.o'||cast(p_partkey*3+k as string) expected from {part} cross join (select 0 k union all select 1 union all select 2) ks where p_partkey%5=0""",
     "files": """
 select 'docs/d'||cast(doc_id as string)||'.md' path, '<!-- trace:v1 id=doc.'||cast(doc_id as string)||' documents=impl.o'||cast(doc_id%500 as string)||',impl.o'||cast(doc_id%700 as string)||' title="'||lang||' page"'||case cast(doc_id%10 as int) when 3 then ' owner=me' when 4 then ' title=again' when 5 then ' calls=impl.o1' when 6 then ' note="open' else '' end||' -->'||chr(10)||'# Page '||cast(doc_id as string)||chr(10)||text as text, lang, doc_id from {documents}""",
+    "code": """select case when doc_id%2=0 then 'src/d'||cast(doc_id as string)||'.go' else 'web/d'||cast(doc_id as string)||'.ts' end path, case when doc_id%2=0 then 'go' else 'typescript' end as language, case when doc_id%2=0 then 'package d'||chr(10)||'/*'||chr(10)||replace(coalesce(text,''),'*/','')||chr(10)||'*/'||chr(10)||case doc_id%3 when 0 then '// trace:v1 id=impl.f'||cast(doc_id as string) when 1 then '// trace:exempt reason='||case when doc_id%2=0 then 'helper' else '' end else '' end||chr(10)||'func F'||cast(doc_id as string)||'() int {{'||chr(10)||'  s := `'||replace(coalesce(text,''),'`','')||' `'||chr(10)||'  return '||cast(n_chars as string)||chr(10)||'}}'||chr(10) else '/*'||chr(10)||replace(coalesce(text,''),'*/','')||chr(10)||'*/'||chr(10)||case doc_id%3 when 0 then '// trace:v1 id=impl.f'||cast(doc_id as string) when 1 then '// trace:exempt reason='||case when doc_id%2=0 then 'helper' else '' end else '' end||chr(10)||'export function f'||cast(doc_id as string)||'(a: {{b: number}}): number {{'||chr(10)||'  const s = `'||replace(replace(coalesce(text,''),'`',''),'$','')||' `'||chr(10)||'  return '||cast(n_chars as string)||chr(10)||'}}'||chr(10) end as text, doc_id, coalesce(text,'') as body from {documents}""",
+    "repo": """select 'src/d'||cast(doc_id as string)||'.py' path, '# trace:v1 id=impl.d'||cast(doc_id as string)||' work=WORK-'||cast(doc_id%50 as string)||' depends_on=impl.d'||cast(doc_id%90 as string)||case cast(doc_id%10 as int) when 3 then ' odd=me' when 4 then ' title=a title=b' else '' end||chr(10)||'def f'||cast(doc_id as string)||'():'||chr(10)||'    return '||cast(n_chars as string)||chr(10) as text, doc_id from {documents}""",
+    "repo_next": """select case when doc_id%12=3 then 'lib/d' else 'src/d' end||cast(doc_id as string)||'.py' path, '# trace:v1 id=impl.d'||cast(doc_id as string)||' work=WORK-'||cast(doc_id%50 as string)||' depends_on=impl.d'||cast(case when doc_id%4=1 then doc_id%80 else doc_id%90 end as string)||case cast(doc_id%10 as int) when 3 then ' odd=me' when 4 then ' title=a title=b' else '' end||chr(10)||'def f'||cast(doc_id as string)||'():'||chr(10)||'    return '||cast(n_chars+case when doc_id%4=1 then 1 else 0 end as string)||chr(10) as text, doc_id from {documents} where doc_id%12<>6""",
+    "code_before": """select case when doc_id%2=0 then 'src/d'||cast(doc_id as string)||'.go' else 'web/d'||cast(doc_id as string)||'.ts' end path, case when doc_id%2=0 then 'go' else 'typescript' end as language, case when doc_id%2=0 then 'package d'||chr(10)||'/*'||chr(10)||replace(coalesce(text,''),'*/','')||chr(10)||'*/'||chr(10)||case doc_id%3 when 0 then '// trace:v1 id=impl.f'||cast(doc_id as string) when 1 then '// trace:exempt reason='||case when doc_id%2=0 then 'helper' else '' end else '' end||chr(10)||'func F'||cast(doc_id as string)||'() int {{'||chr(10)||'  s := `'||replace(coalesce(text,''),'`','')||' `'||chr(10)||'  return '||cast(n_chars+case when doc_id%5=0 then 1 else 0 end as string)||chr(10)||'}}'||chr(10) else '/*'||chr(10)||replace(coalesce(text,''),'*/','')||chr(10)||'*/'||chr(10)||case doc_id%3 when 0 then '// trace:v1 id=impl.f'||cast(doc_id as string) when 1 then '// trace:exempt reason='||case when doc_id%2=0 then 'helper' else '' end else '' end||chr(10)||'export function f'||cast(doc_id as string)||'(a: {{b: number}}): number {{'||chr(10)||'  const s = `'||replace(replace(coalesce(text,''),'`',''),'$','')||' `'||chr(10)||'  return '||cast(n_chars+case when doc_id%5=0 then 1 else 0 end as string)||chr(10)||'}}'||chr(10) end as text, doc_id, coalesce(text,'') as body from {documents} where doc_id%7<>0""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import boundaries, change, doctor, history, index, migration, reports, structure, tasks
+from .operators import boundaries, change, doctor, extract, history, index, migration, reports, structure, tasks
 from .queries import IMPLS, query, spans
 
 
@@ -243,6 +243,38 @@ def q21_index_nodes(b):
     return whole_index(b).nodes.select("trace_id", "status", "active", "changed")
 
 
+# Files of a second run: edited (a quarter), deleted, and moved to another folder.
+LAST = "(select doc_id, 'impl.d' || cast(doc_id as varchar) as id, case when doc_id % 12 = 3 then 'lib/d' else 'src/d' end || cast(doc_id as varchar) || '.py' as path, case when doc_id % 4 = 1 then doc_id % 80 else doc_id % 90 end as target from {documents} where doc_id % 12 <> 6)"
+LINKS = f"(select id as f, 'work' as p, 'WORK-' || cast(doc_id % 50 as varchar) as t, path from {LAST} a union all select id, 'depends_on', 'impl.d' || cast(target as varchar), path from {LAST} c)"
+
+
+def second_run(b):
+    """The index after a run over all files and one over the paths that changed since."""
+    spans = lambda files: extract.symbols(files.withColumn("language", F.lit("python"))).withColumn("id", F.concat_ws(":", "name", "s"))
+    one = index.run(b.repo.select("path", "text"), spans(b.repo), at="1")
+    n = F.col("doc_id")
+    moved = b.repo.filter((n % 4 == 1) | (n % 12 == 6) | (n % 12 == 3)).select("path").unionByName(b.repo_next.filter(n % 12 == 3).select("path"))
+    return index.run(b.repo_next.select("path", "text"), spans(b.repo_next), one, moved, at="2")
+
+
+@query(f"""with changed as (select 'impl.d' || cast(doc_id as varchar) as id from {{documents}} where doc_id % 4 = 1)
+ select l.id as trace_id, l.path, 2 as s, 3 as e, true as active, case when exists (select 1 from {LINKS} k join changed c on c.id = k.t where k.f = l.id) then 'stale_review_required' else 'current' end as status, l.doc_id % 4 = 1 as changed from {LAST} l
+ union all select 'impl.d' || cast(doc_id as varchar), 'src/d' || cast(doc_id as varchar) || '.py', 2, 3, false, 'current', false from {{documents}} where doc_id % 12 = 6""")
+def q21_second_run_nodes(b):
+    return second_run(b).nodes.select("trace_id", "path", "s", "e", "active", "status", "changed")
+
+
+@query(f"select f, p, t, 'declared' as kind, path, 1 as line from {LINKS} k")
+def q21_second_run_edges(b):
+    return second_run(b).edges.select("f", "p", "t", "kind", "path", "line")
+
+
+@query(f"""select 'TL002' as rule, cast(null as varchar) as trace_id, k.path, 1 as line, k.f || ' ' || k.p || ' -> ' || k.t as detail from {LINKS} k left join {LAST} l on l.id = k.t where l.id is null
+ union all select case when doc_id % 10 = 3 then 'TL040' else 'TL006' end, id, path, 1, case when doc_id % 10 = 3 then 'unknown odd' else 'repeated title' end from {LAST} a where doc_id % 10 in (3, 4)""")
+def q21_second_run_findings(b):
+    return second_run(b).findings
+
+
 @query("""select distinct * from (
  select 'TL002' as rule, 'ERROR' as severity, f as trace_id, cast(null as varchar) as path, cast(null as integer) as line, p || ' misses ' || t as detail from {live} e where t not in (select trace_id from {nodes})
  union all select 'TL002', 'ERROR', f, null, null, p || ' misses ' || f from {live} e where t in (select trace_id from {nodes}) and f not in (select trace_id from {nodes})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linkgrain import session
 from linkgrain.functions import ids, text
+from linkgrain.functions.lexing import declarations
 from linkgrain.operators import boundaries, change, evidence, extract, graph, index, reports, rules, search, structure, tasks
 from linkgrain.plans import policy
 from linkgrain.sources import readers
@@ -224,7 +225,7 @@ def test_symbols_and_sections(spark):
     md = "# A\n```\n# no\n```\n## B\ntext\n# C\n"
     assert extract.markdown_headings(md) == [(1, 1, 6, "A"), (2, 5, 6, "B"), (1, 7, 7, "C")]
     assert extract.yaml_sections("a:\n  b: 1\nc: 2\n") == [("a", 1, 2), ("a.b", 2, 2), ("c", 3, 3)] and extract.yaml_sections("a: [") == []
-    assert [(k, n, a, b) for k, n, a, b, _ in extract.brace_symbols("func (t T) Do() {\n  x\n}\ntype T struct {\n}\n", "go")] == [("function", "Do", 1, 3), ("class", "T", 4, 5)]
+    assert [(k, n, a, b) for k, n, a, b, _ in declarations("func (t T) Do() {\n  x\n}\ntype T struct {\n}\n", "go")] == [("method", "T.Do", 1, 3), ("struct", "T", 4, 5)]
     files = spark.createDataFrame([("a.py", "python", py), ("b.md", "markdown", md), ("c.bin", None, None)], "path string, language string, text string")
     assert extract.symbols(files).groupBy("parser").count().count() == 2
 
