@@ -11,7 +11,7 @@ containers go there.
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 import xxhash
@@ -27,7 +27,9 @@ MIN_SHARE = 0.02
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+#: Elements that part a text into blocks; all others, unknown ones too, stand in a line.
+BLOCKS = frozenset("#root html body head title address article aside blockquote button canvas caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr iframe legend li main menu nav noscript object ol optgroup option p plaintext pre search section select summary table tbody td template textarea tfoot th thead tr ul video xmp".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd semantics annotation picture nobr slot output meter progress ruby rb rtc wbr source blink marquee a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 DROPPED = frozenset("script style noscript template head title iframe object embed svg canvas audio video form button input select textarea nav header footer aside dialog menu".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -41,29 +43,85 @@ MARKS = re.compile(
 PLAIN = frozenset("area article bar block body bottom box btn button buttons col column container content count entry form global group header icon icons inner item items left link links list main media outer page panel placeholder popular post posts primary region right row secondary section site slot stories story text the to top unit us view wrap wrapper x".split())
 #: Text blocks; what recurs of them inside an article stays.
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot table caption pre blockquote figcaption figure summary hr ol ul dl address".split())
-COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+COMMENTS = frozenset("comment comments commentlist commenting commenter disqus respond replies".split())
+#: Words that say how comments stand rather than that these are some.
+STATES = frozenset("no enabled disabled open opened closed allowed count off on has with without code".split())
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
-class Page(HTMLParser):
+_TAG = re.compile(r"<([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_COMMENT_END = re.compile(r"--!?>")
+#: Elements whose content has no tags; that of ``plaintext`` goes to the end.
+RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
+
+
+def _attributes(text: str) -> dict[str, str | None]:
+    """Attributes by name, the first of each; values without quotes, references decoded."""
+    out: dict[str, str | None] = {}
+    for m in _ATTR.finditer(text):
+        v = m[2]
+        if v and v[0] in "\"'" and v[-1] == v[0] and len(v) > 1:
+            v = v[1:-1]
+        out.setdefault(m[1].lower(), v if v is None else unescape(v))
+    return out
+
+
+class Page:
     """Elements in page order: tag, attributes, parent, and content of texts and element numbers.
 
     ``places`` has, by name, where elements of that name are among the open
-    ones, so a tag's end is found without a search.
+    ones, so a tag's end is found without a search.  Markup is read in one pass:
+    what no ``>`` follows is text, a comment without end takes the rest, and once
+    a quote in a tag is never closed, tags end at the next ``>``.
     """
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.tags, self.attrs, self.parents, self.content = ["#root"], [{}], [-1], [[]]
-        self.inside = [False]
+        self.inside, self.code = [False], [False]
         self.open = [0]
         self.places: dict[str, list[int]] = {}
-        self.feed(html)
-        self.close()
-
-    def parse_marked_section(self, i, report=1):
-        """Sections such as ``<![if x]>`` are comments in HTML."""
-        return self.parse_bogus_comment(i, report)
+        self._read(html)
+
+    def _read(self, html: str) -> None:
+        at, last, quotes = 0, html.rfind(">"), True
+        while at < len(html):
+            begin = html.find("<", at)
+            if begin < 0 or begin > last:
+                break
+            if begin > at:
+                self.handle_data(unescape(html[at:begin]))
+            sign = html[begin + 1 : begin + 2]
+            if "a" <= sign.lower() <= "z":
+                m = _TAG.match(html, begin) if quotes else None
+                if m is None:
+                    quotes = False
+                    end = html.find(">", begin)
+                    tag = _NAME.match(html, begin)[1].lower()
+                    rest = html[begin + 1 + len(tag) : end]
+                else:
+                    end, tag, rest = m.end() - 1, m[1].lower(), m[2]
+                at = end + 1
+                (self.handle_startendtag if rest.endswith("/") else self.handle_starttag)(tag, _attributes(rest))
+                if tag in RAW and self.tags[self.open[-1]] == tag:
+                    close = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(html, at) if tag != "plaintext" else None
+                    to = close.start() if close else len(html)
+                    self.handle_data(unescape(html[at:to]) if tag in ("textarea", "title") else html[at:to])
+                    at = to
+            elif sign == "/" and (m := _NAME.match(html, begin)):
+                at = html.find(">", begin) + 1
+                self.handle_endtag(m[1].lower())
+            elif html.startswith("<!--", begin):
+                m = _COMMENT_END.search(html, begin + 2 if html.startswith(("<!-->", "<!--->"), begin) else begin + 4)
+                at = m.end() if m else len(html)
+            elif sign in ("!", "?", "/"):
+                at = html.find(">", begin) + 1
+            else:
+                self.handle_data("<")
+                at = begin + 1
+        if at < len(html):
+            self.handle_data(unescape(html[at:].partition("<!--")[0]))
 
     def _last(self, names) -> int:
         return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
@@ -88,10 +146,11 @@ class Page(HTMLParser):
         k = len(self.tags)
         above = self.open[-1]
         self.tags.append(tag)
-        self.attrs.append(dict(attrs))
+        self.attrs.append(attrs)
         self.parents.append(above)
         self.content.append([])
         self.inside.append(self.inside[above] or _article(self.tags[above], self.attrs[above]))
+        self.code.append(self.code[above] or self.tags[above] in ("pre", "code"))
         self.content[above].append(k)
         if tag not in VOID:
             self.places.setdefault(tag, []).append(len(self.open))
@@ -125,15 +184,20 @@ class Page(HTMLParser):
         """Whether tag, role, visibility or name say that an element is no part of an article."""
         tag, a = self.tags[k], self.attrs[k]
         names = [frozenset(x.lower() for x in _TOKEN.findall(name)) for v in (a.get("class"), a.get("id")) if v for name in v.split()]
+        if self.code[k] and tag in INLINE:
+            return False  # a highlighted comment, say
+        comments = any(n & COMMENTS and not n & STATES for n in names)
         if tag in ("article", "main", "body", "html"):
-            return tag == "article" and any(n & COMMENTS for n in names)
+            return tag == "article" and comments
         if tag == "header" or tag in ("div", "section") and any("header" in n and n - {"header"} <= PLAIN for n in names):
             # An article's own header has its title.
             return not self.inside[k]
         if tag in DROPPED or a.get("role") in ROLES or "hidden" in a or a.get("aria-hidden") == "true":
             return True
-        if any(n - PLAIN and all(map(MARKS.fullmatch, n - PLAIN)) for n in names):
+        if comments or any(n - PLAIN and all(map(MARKS.fullmatch, n - PLAIN)) for n in names):
             return True
+        if any(name.lower() in ("discussion", "discussions") for name in (a.get("class") or "").split()):
+            return True  # as an id it may be a chapter's
         return "display:none" in (a.get("style") or "").replace(" ", "").lower()
 
     def text(self, template: frozenset | set) -> str:
@@ -177,7 +241,7 @@ class Page(HTMLParser):
             elif self.tags[x] == "br":
                 line.append(" ")
             elif not gone[x]:
-                block = self.tags[x] not in INLINE
+                block = self.tags[x] in BLOCKS
                 if block:
                     todo.append(None)
                 todo.extend(reversed(self.content[x]))
@@ -242,7 +306,10 @@ def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     its site's template; references decoded, white space inside a block made
     one space, blocks joined by a line feed in page order.
 
-    A null or empty html gives an empty text; a null url belongs to a host of
+    Readers' comments go whatever their container's name has besides, but for
+    names that only say whether there are any.  Markup that ends nowhere is
+    read in linear time: an unfinished tag is text, an unfinished comment has no
+    end.  A null or empty html gives an empty text; a null url belongs to a host of
     its own without a name; repeated rows each give a row; an empty table an
     empty table; other columns are not read.
     """

@@ -21,7 +21,6 @@ from .common import text_chunks
 from .counting import SCHEMA, packed, summed
 
 SLOTS = 1 << 18
-ROUNDS = 12
 #: A document's EM ends when no proportion moves by so much; a language counts from this proportion on.
 MOVED, LEAST_PART = 1e-3, 0.01
 #: Log-probabilities are whole multiples of 1 / UNIT.
@@ -116,10 +115,14 @@ class Model:
 
 
 def fitted(like: np.ndarray, count: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions, 0 where not ``allowed``, and log-likelihoods of documents of ``count`` rows each of ``like``."""
+    """Proportions, 0 where not ``allowed``, and log-likelihoods of documents of ``count`` rows each of ``like``.
+
+    A document's rounds go on until no proportion moves by MOVED; each raises its
+    likelihood, so there is an end.
+    """
     share = allowed / allowed.sum(axis=1, keepdims=True)
     on, rows, n = np.arange(len(count)), like, count
-    for _ in range(ROUNDS):
+    while True:
         doc = np.repeat(np.arange(len(on)), n)
         part = rows * share[on][doc].astype(np.float32)
         part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)

@@ -51,14 +51,15 @@ def record(page_id, url: str | None, payload: bytes, original) -> bytes:
     """A WARC/1.1 record: a response, or a revisit of ``original`` without the payload."""
     revisit = original is not None
     body = HTTP if revisit else HTTP + payload
+    digest = sha1_base32(payload)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <{PREFIX}{page_id}>",
+        f"WARC-Record-ID: <{PREFIX}{page_id}/{digest}>",
         *([f"WARC-Target-URI: {_clean(url)}"] if url is not None else []),
         f"WARC-Date: {DATE}",
-        f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}",
-        *([f"WARC-Refers-To: <{PREFIX}{original}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []),
+        f"WARC-Payload-Digest: sha1:{digest}",
+        *([f"WARC-Refers-To: <{PREFIX}{original}/{digest}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(body)}",
     ]
@@ -92,7 +93,8 @@ def read_records(data: bytes):
 
 
 def page_of(value: str | None) -> str | None:
-    return value[len(PREFIX) + 1 : -1] if value else None
+    """The page in a record's id, which ends in a slash and the payload's digest."""
+    return value[len(PREFIX) + 1 : -1].rpartition("/")[0] if value else None
 
 
 def surt(url: str | None) -> str:
@@ -110,12 +112,12 @@ def surt(url: str | None) -> str:
 
 
 def revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(page_id, refers_to) of each page whose payload a page with a smaller id has."""
+    """(page_id, same, refers_to), once each, of pages whose payload, with the hash ``same``, a page with a smaller id has."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     ids = pages.select(F.col(id_col).alias("page_id"), F.sha2(payload, 256).alias("_same"), F.length(payload).alias("_n"))
     ids = ids.filter(F.col("_n") >= min_bytes).drop("_n")
     first = ids.groupBy("_same").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
-    return ids.join(first, "_same").filter(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to")
+    return ids.join(first, "_same").filter(F.col("page_id") != F.col("refers_to")).select("page_id", F.col("_same").alias("same"), "refers_to").distinct()
 
 
 def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> str:
@@ -125,11 +127,14 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     the smallest id is a response and the others revisit it; smaller payloads
     are all responses.  A null html is an empty payload and a null url leaves
     the target header out.  Rows with one id and one payload that are repeated
-    are all responses if theirs is the smallest id.  Null ids are kept, as
-    responses.  Executors write through Spark's sink alone.
+    are all responses if theirs is the smallest id; rows with one id and other
+    payloads are told apart by their payloads.  Null ids are kept, as
+    responses.  A record's id names page and payload.  Pages of more than
+    ROW_BYTES have files of their own, so that they do not make others' smaller.  Executors write through Spark's sink alone.
     """
-    again = revisits(pages, id_col, html_col, min_bytes).dropDuplicates(["page_id"])
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).join(again, "page_id", "left")
+    again = revisits(pages, id_col, html_col, min_bytes)
+    same = F.sha2(F.coalesce(F.col(html_col), F.lit("")).cast("binary"), 256).alias("same")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), same).join(again, ["page_id", "same"], "left").drop("same")
 
     def run(batches):
         row: list[bytes] = []
@@ -146,9 +151,12 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
         # The separator stands for the last byte where that is 0.
         return pa.RecordBatch.from_arrays([pa.array([b"".join(row).removesuffix(b"\0")], pa.binary())], ["members"])
 
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
     largest = pages.agg(F.max(F.octet_length(F.col(html_col)))).first()[0] or 0
-    rows_per_file = max(1, FILE_BYTES // (2 * ROW_BYTES + largest))
-    rows.mapInArrow(run, "members binary").select(F.col("members").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", rows_per_file).text(path)
+    parts = [(rows, largest)] if largest <= ROW_BYTES else [(rows.filter(size <= ROW_BYTES), ROW_BYTES), (rows.filter(size > ROW_BYTES), largest)]
+    for part, most in parts:
+        rows_per_file = max(1, FILE_BYTES // (ROW_BYTES + most))
+        part.mapInArrow(run, "members binary").select(F.col("members").cast("string").alias("value")).write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", rows_per_file).text(path)
     named_archives(pages.sparkSession, path)
     return path
 
@@ -203,16 +211,23 @@ def _named(got: DataFrame, id_type: T.DataType) -> DataFrame:
 def captures(records: DataFrame) -> DataFrame:
     """A row per record as read back: page_id, payload_bytes, payload_digest, record_type, refers_to, place in the archives.
 
-    A revisit's length is that of the response it refers to.
+    A revisit's length is that of the response it refers to, which has its digest too.
     """
-    lengths = records.filter("record_type = 'response'").groupBy(F.col("page_id").alias("_of")).agg(F.max("stored_bytes").alias("_n"))
+    lengths = records.filter("record_type = 'response'").groupBy(F.col("page_id").alias("_of"), F.col("payload_digest").alias("_digest")).agg(F.max("stored_bytes").alias("_n"))
     again = records.filter("record_type = 'revisit'")
-    again = again.join(lengths, again["refers_to"] == lengths["_of"], "left").withColumn("stored_bytes", F.col("_n")).drop("_of", "_n")
+    again = again.join(lengths, (again["refers_to"] == lengths["_of"]) & (again["payload_digest"] == lengths["_digest"]), "left").withColumn("stored_bytes", F.col("_n")).drop("_of", "_digest", "_n")
     return records.filter("record_type = 'response'").unionByName(again).withColumnRenamed("stored_bytes", "payload_bytes")
 
 
 def archived(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, path: str | None = None) -> DataFrame:
-    """Writes the archives and their index (``path``-index), reads every url's captures through it, and returns ``captures``; an empty table gives no rows."""
+    """Writes the archives and their index (``path``-index), reads every url's captures through it, and returns ``captures``.
+
+    A null html is an empty payload, a null url has an empty key, null ids are
+    kept; rows of one id are told apart by their payloads, and each repeated row
+    has a record; ties between equal payloads go to the smallest id.  Pages of
+    any length are one record.  An empty table gives no rows, other columns are
+    not read.
+    """
     spark = pages.sparkSession
     path = path or f"{scratch_dir(spark)}/linkgrain/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, id_col=id_col, url_col=url_col, html_col=html_col, min_bytes=min_bytes)
