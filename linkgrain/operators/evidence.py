@@ -58,6 +58,44 @@ def per_test_edges(contexts: DataFrame, implementations: DataFrame) -> DataFrame
     return hit.groupBy("test", F.col("id").alias("impl")).agg(F.count(F.lit(1)).alias("hits"))
 
 
+def linked_tests(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(impl, test): the tests that verify a requirement which an implementation satisfies, or that exercise it; those that are nodes."""
+    own = nodes.filter("node_type = 'implementation'").select(F.col("trace_id").alias("impl"))
+    reqs = edges.filter("p = 'satisfies'").select(F.col("f").alias("impl"), F.col("t").alias("req")).distinct()
+    verify = edges.filter("p = 'verifies'").select(F.col("f").alias("test"), F.col("t").alias("req")).distinct()
+    pairs = reqs.join(verify, "req").select("impl", "test").unionByName(edges.filter("p = 'exercises'").select(F.col("t").alias("impl"), F.col("f").alias("test")))
+    return pairs.join(own, "impl", "left_semi").join(nodes.select(F.col("trace_id").alias("test")), "test", "left_semi").select("impl", "test").distinct()
+
+
+def context_lines(bits: DataFrame) -> DataFrame:
+    """(test, path, s, e) from coverage contexts (context, path, numbits): runs of the lines whose bits are set, lowest bit of the first byte line 0.
+
+    A context names its test before ``|``, which parts off the phase; an empty
+    context is no test's.  Bits become runs within each row, so no line is a row.
+    """
+    test = F.nullif(F.split_part("context", F.lit("|"), F.lit(1)), F.lit(""))
+    rows = bits.select(test.alias("test"), "path", F.hex("numbits").alias("h")).filter("test is not null and h <> ''")
+    rows = rows.withColumn("bytes", F.transform(F.sequence(F.lit(0), (F.length("h") / 2).cast("int") - 1), lambda i: F.conv(F.substring(F.col("h"), 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
+    set_ = F.flatten(F.transform("bytes", lambda b, i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.getbit(b.cast("long"), k) == 1), lambda k: i * 8 + k)))
+    rows = rows.select("test", "path", set_.alias("lines")).filter(F.size("lines") > 0)
+    starts = F.filter(F.col("lines"), lambda x, i: (i == 0) | (F.element_at(F.col("lines"), F.greatest(i, F.lit(1))) != x - 1))
+    ends = F.filter(F.col("lines"), lambda x, i: (i + 1 == F.size("lines")) | (F.element_at(F.col("lines"), F.least(i + 2, F.size("lines"))) != x + 1))
+    return rows.select("test", "path", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("r")).select("test", "path", F.col("r.s").alias("s"), F.col("r.e").alias("e"))
+
+
+def context_edges(runs: DataFrame, implementations: DataFrame) -> DataFrame:
+    """Per-test evidence (test, impl, hits): the lines of each test's runs (test, path, s, e) that lie in implementation spans (path, id, s, e), each line once."""
+    from .structure import coalesced
+
+    own = coalesced(runs.withColumn("key", F.struct("test", "path")).select("key", "s", "e"), "key").select("key.test", "key.path", F.col("s").alias("rs"), F.col("e").alias("re"))
+    covered = implementations.select("path", "id", "s", "e", _buckets(F.col("s"), F.col("e")).alias("b"))
+    at = own.select("test", "path", "rs", "re", _buckets(F.col("rs"), F.col("re")).alias("b"))
+    # A pair that meets in several buckets counts in the first that both are in.
+    hit = at.join(covered, ["path", "b"]).filter("rs <= e and s <= re").filter(F.col("b") == F.floor(F.greatest("rs", "s") / BUCKET))
+    shared = F.least("re", "e") - F.greatest("rs", "s") + 1
+    return hit.groupBy("test", F.col("id").alias("impl")).agg(F.sum(shared.cast("long")).alias("hits"))
+
+
 def verification_rows(nodes: DataFrame, edges: DataFrame, outcomes: DataFrame, executions: DataFrame) -> DataFrame:
     """Per implementation and exercising test: latest outcome, proof level, whether it is current."""
     pairs = edges.filter("p = 'exercises'").select(F.col("f").alias("test"), F.col("t").alias("impl"))

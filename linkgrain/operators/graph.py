@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import REVIEWED, SEMANTIC, STALE
+from ..schema import CURRENT, REVIEWED, SEMANTIC, STALE, STRUCTURAL
 from ..scratch import kept
 
 WHY_PREDICATES = ("work", "satisfies", "implements", "addresses", "derived_from")
@@ -65,31 +66,114 @@ def impact(start: DataFrame, nodes: DataFrame, edges: DataFrame, *, depth: int =
     return found.join(kinds, "trace_id").select("trace_id", "depth", "node_type", (F.col("node_type") == "test").alias("is_test"), (F.col("status") != "current").alias("stale"))
 
 
-def why_paths(start: DataFrame, nodes: DataFrame, edges: DataFrame, *, hops: int = 8, max_paths: int = 5, expansions: int = 200) -> DataFrame:
+def impact_summary(start: DataFrame, nodes: DataFrame, edges: DataFrame, commits: DataFrame | None = None, *, depth: int = 3, max_nodes: int | None = 500, most_commits: int = 20) -> DataFrame:
+    """What a change of ``start`` touches: (part, trace_id, depth, detail).
+
+    ``semantic`` and ``structural`` dependents come from two walks over their
+    kinds of edges, ``test`` from the semantic ones; ``stale`` has what of them is
+    not current, once, with its status.  ``history``, with ``commits`` (of
+    ``history.file_history``), has the last commits of the starts' own files: the
+    path, the rank for depth, and the commit.
+    """
+    walks = {kind: walk(start, nodes, edges, direction="in", predicates=of, depth=depth, max_nodes=max_nodes).filter("depth > 0") for kind, of in (("semantic", SEMANTIC), ("structural", STRUCTURAL))}
+    kinds = nodes.select("trace_id", "node_type", "status")
+    reached = {kind: kept(rows.join(kinds, "trace_id"), f"impact-{kind}") for kind, rows in walks.items()}
+    out = None
+    for kind, rows in reached.items():
+        part = rows.select(F.lit(kind).alias("part"), "trace_id", "depth", F.col("node_type").alias("detail"))
+        out = part if out is None else out.unionByName(part)
+    out = out.unionByName(reached["semantic"].filter("node_type = 'test'").select(F.lit("test").alias("part"), "trace_id", "depth", F.col("status").alias("detail")))
+    either = reached["semantic"].unionByName(reached["structural"]).filter(F.col("status") != CURRENT)
+    out = out.unionByName(either.groupBy("trace_id", "status").agg(F.min("depth").alias("depth")).select(F.lit("stale").alias("part"), "trace_id", "depth", F.col("status").alias("detail")))
+    if commits is not None:
+        from .history import file_history
+
+        paths = nodes.join(start.select("trace_id").distinct(), "trace_id", "left_semi").filter("path is not null").select("path").distinct()
+        past = file_history(paths, commits, most_commits)
+        out = out.unionByName(past.select(F.lit("history").alias("part"), F.col("path").alias("trace_id"), F.col("rank").cast("int").alias("depth"), F.col("sha").alias("detail")))
+    return out
+
+
+def _ways(start: str, kind: str, known: dict, hops: int, expansions: int, candidates: int) -> tuple[list, list]:
+    """(paths, nodes to be told of) of a depth-first search over ``known``: node to its moves (there, kind) in order.
+
+    At most ``candidates`` paths come from a node, and ``expansions`` moves are
+    made in all; a path that meets a bound ends where it is.  A node that is not
+    known yet counts as an end.
+    """
+    wanted, spent, out = {}, 0, []
+    # A frame: node, its remaining moves, its paths so far.
+    chain, frames = [(start, kind)], [[iter(known.get(start) or ()), []]]
+    if start not in known:
+        return [], [start]
+    while frames:
+        moves, own = frames[-1]
+        step = None if len(own) >= candidates else next((m for m in moves if all(m[0] != c[0] for c in chain)), None)
+        if step is None:
+            frames.pop()
+            paths = own or [[]]
+            at = chain.pop()
+            if frames:
+                above = frames[-1][1]
+                above.extend([[at, *p] for p in paths][: candidates - len(above)])
+            else:
+                out = [[at, *p] for p in own]
+            continue
+        spent += 1
+        chain.append(step)
+        if len(chain) > hops or spent >= expansions:
+            frames.append([iter(()), []])
+        else:
+            if step[0] not in known:
+                wanted[step[0]] = None
+            frames.append([iter(known.get(step[0]) or ()), []])
+    return out, list(wanted)
+
+
+def why_paths(start: DataFrame, nodes: DataFrame, edges: DataFrame, *, hops: int = 8, max_paths: int = 5, expansions: int = 200, factor: int = 4) -> DataFrame:
     """Best simple paths from each start to its origins: (trace_id, chain root first, hops, score, rank).
 
-    A path grows by one hop a round until it has no move left or ``hops`` hops;
-    of each start the first ``expansions`` paths by chain grow on in a round.
-    Score, length and chain order the paths of each start.
+    A start's paths are found depth first, work before requirements before
+    plans, with ``expansions`` moves in all and ``factor * max_paths`` paths a
+    node.  The searches of all starts go on together: each round every start
+    searches what it knows of the graph, as grouped state, and asks for the moves
+    of nodes that it came to; those join with the edges.  As a node's paths are
+    bounded, so are the moves that a search can make from it, and only these are
+    told.  Rounds end when no search asks, about one a hop.  Score, length and
+    chain order the paths of each start.
     """
+    from ..functions.ids import node_uid
+
+    candidates = factor * max(1, max_paths)
+    most = candidates + len(WHY_PREDICATES) * (hops + 1)  # moves to nodes on the path are passed over
+    rank = F.array_position(F.array(*[F.lit(p) for p in WHY_PREDICATES]), F.col("p"))
     kinds = nodes.select(F.col("trace_id").alias("there"), F.col("node_type").alias("kind"))
-    moves = edges.filter(F.col("p").isin(*WHY_PREDICATES)).select(F.col("f").alias("at"), F.col("t").alias("there")).distinct().join(kinds, "there")
-    paths = start.select("trace_id").distinct().join(nodes.select("trace_id", "node_type"), "trace_id")
-    paths = paths.select("trace_id", F.col("trace_id").alias("at"), F.array("trace_id").alias("chain"), F.array("node_type").alias("types"))
-    done = None
-    for _ in range(hops):
-        grown = paths.join(moves, "at", "left").withColumn("fresh", F.col("there").isNotNull() & ~F.array_contains("chain", F.col("there")))
-        more = F.max(F.col("fresh").cast("int")).over(Window.partitionBy("trace_id", "chain"))
-        grown = kept(grown.withColumn("more", more), "why")
-        ended = grown.filter("more = 0").select("trace_id", "chain", "types").distinct()
+    moves = edges.filter(F.col("p").isin(*WHY_PREDICATES) & (F.col("f") != F.col("t"))).select(F.col("f").alias("at"), F.col("t").alias("there"), rank.alias("turn")).distinct()
+    first = start.select("trace_id").distinct().join(nodes.select("trace_id", "node_type"), "trace_id").select("trace_id", F.col("node_type").alias("kind"))
+    first = kept(first, "why-starts")
+    wanted, known, done = first.select("trace_id", F.col("trace_id").alias("at")), None, None
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        steps = {at: [] if m is None else [(x["there"], x["kind"]) for x in m] for at, m in zip(group["at"], group["moves"], strict=True)}
+        own = group["trace_id"].iloc[0]
+        paths, asked = _ways(own, group["kind"].iloc[0], steps, hops, expansions, candidates)
+        rows = [(own, None, [x[0] for x in p], [x[1] for x in p]) for p in ([] if asked else paths)] + [(own, x, None, None) for x in asked]
+        return pd.DataFrame(rows, columns=["trace_id", "at", "chain", "types"])
+
+    while True:
+        # Each wanted node's moves once, however many starts ask.
+        told = moves.join(wanted.select("at").distinct(), "at", "left_semi").join(kinds, "there")
+        told = told.withColumn("n", F.row_number().over(Window.partitionBy("at").orderBy("turn", node_uid(F.col("there"))))).filter(F.col("n") <= most)
+        told = told.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("n", "there", "kind"))).alias("moves"))
+        fresh = kept(wanted.join(told, "at", "left").select("trace_id", "at", "moves"), "why-known")
+        known = fresh if known is None else known.unionByName(fresh)
+        open_ = known.join(wanted.select("trace_id").distinct(), "trace_id", "left_semi").join(first, "trace_id")
+        found = kept(open_.groupBy("trace_id").applyInPandas(search, "trace_id string, at string, chain array<string>, types array<string>"), "why-found")
+        ended = found.filter("at is null").select("trace_id", "chain", "types")
         done = ended if done is None else done.unionByName(ended)
-        paths = grown.filter("fresh").select("trace_id", F.col("there").alias("at"), F.concat("chain", F.array("there")).alias("chain"), F.concat("types", F.array("kind")).alias("types"))
-        turn = F.row_number().over(Window.partitionBy("trace_id").orderBy("chain"))
-        paths = kept(paths.distinct().withColumn("turn", turn).filter(F.col("turn") <= expansions).drop("turn"), "why-paths")
-        if paths.isEmpty():
+        wanted = found.filter("at is not null").select("trace_id", "at")
+        if wanted.isEmpty():
             break
-    else:
-        done = done.unionByName(paths.select("trace_id", "chain", "types"))
     done = done.filter(F.size("chain") > 1).select("trace_id", F.reverse("chain").alias("chain"), F.reverse("types").alias("types"))
     place = F.transform("types", lambda t: F.coalesce(*[F.when(t == k, v) for k, v in POSITION.items()], F.lit(5)))
     score = F.lit(0)

@@ -13,13 +13,14 @@ from .evidence import proof_levels
 STOP_WORDS = tuple("the a an and or for with to it this that of in on is are was be make add fix change continue work also ignore using use so then now but not what when how".split())
 
 
-def status(nodes: DataFrame, edges: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row of counts; inactive nodes count too."""
+def status(nodes: DataFrame, edges: DataFrame, runs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row of counts; inactive nodes count too. With findings (and their severity) also how many of them warn."""
     n = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("active")).alias("active"), F.count_if(F.col("active") & (F.col("status") == STALE)).alias("stale"))
     e = edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("p").isin(*SEMANTIC)).alias("semantic"))
     broken = edges.join(nodes.select(F.col("trace_id").alias("t")), "t", "left_anti").agg(F.count(F.lit(1)).alias("broken"))
     r = runs.agg(F.count(F.lit(1)).alias("runs"))
-    return n.crossJoin(e).crossJoin(broken).crossJoin(r)  # one row each
+    rows = n.crossJoin(e).crossJoin(broken).crossJoin(r)  # one row each
+    return rows if found is None else rows.crossJoin(found.agg(F.count_if(F.col("severity") == "WARNING").alias("warnings")))
 
 
 def context(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

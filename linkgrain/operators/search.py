@@ -1,16 +1,27 @@
-"""Full-text search over nodes: ranked by BM25, else by substring."""
+"""Full-text search over nodes: ranked by BM25, else by substring; for one query by a scan, for many through a stored index.
+
+The index holds postings dealt over BUCKETS folders by a hash of the term, so a
+search reads the folders of its terms alone, and documents with length and
+generation.  An update appends the postings of the changed documents under a new
+generation and publishes a new table of documents; a posting counts while its
+document has its generation, so readers see one state whole.
+"""
 
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..scratch import kept
+from ..sources import snapshots
 
 K1, B = 1.2, 0.75
+BUCKETS = 64
+PLAIN = r"^[A-Za-z0-9\s]+$"
 
 
 def postings(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -82,3 +93,81 @@ def search(docs: DataFrame, columns: list[str], query: str, k: int = 20) -> Data
         if not ranked.isEmpty():
             return ranked.select("id")
     return by_substring(docs, columns, query, k)
+
+
+class StoredIndex:
+    """An index of documents (id, columns of text) below ``root``."""
+
+    def __init__(self, spark: SparkSession, root: str, columns: list[str]):
+        self.spark, self.root, self.columns = spark, root, columns
+
+    def update(self, docs: DataFrame, removed: DataFrame | None = None) -> int:
+        """Puts ``docs`` in place of those with their ids, and takes ``removed`` (id) out; the first call builds the index."""
+        base, _ = snapshots.current(self.spark, self.root)
+        terms, lengths = postings(docs, self.columns)
+        generation = f"{base + 1}-{uuid.uuid4().hex}"
+        where = f"{self.root}/postings/generation={generation}"
+        terms = terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        terms.repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(where)
+        shown = docs.select("id", F.concat_ws("\n", *self.columns).alias("shown"))
+        now = lengths.join(shown, "id").withColumn("generation", F.lit(generation))
+        if base:
+            before = self.documents().join(now.select("id"), "id", "left_anti")
+            before = before if removed is None else before.join(removed.select("id"), "id", "left_anti")
+            now = now.unionByName(before)
+        return snapshots.publish({"documents": now}, self.root, base)
+
+    def documents(self) -> DataFrame:
+        return snapshots.read(self.spark, self.root, "documents")[0]
+
+    def postings(self, buckets: list[int]) -> DataFrame:
+        """Postings of some buckets that count: (id, term, n)."""
+        rows = self.spark.read.option("basePath", f"{self.root}/postings").parquet(f"{self.root}/postings").filter(F.col("bucket").isin(*buckets))
+        return rows.join(self.documents().select("id", "generation"), ["id", "generation"]).select("id", "term", "n")
+
+    def best(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(query, id, score, rank): the ``k`` best documents of each of ``queries`` (query, text) that hold all its words; smaller scores are better.
+
+        All queries are asked at once.  A query's documents are those of its
+        rarest word, which then meet its other words by document and term, so a
+        common word costs nothing where a rare one stands beside it.
+        """
+        words = queries.filter(F.col("text").rlike(PLAIN)).select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+        words = kept(words.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")), "query-words")
+        buckets = sorted(r["bucket"] for r in words.select("bucket").distinct().collect())  # at most BUCKETS
+        empty = self.documents().select(F.lit(None).cast("string").alias("query"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        if not buckets or k < 1:
+            return empty.select(F.col("query").cast(queries.schema["query"].dataType), "id", "score", "rank")
+        met = self.postings(buckets).join(words.select("term").distinct(), "term", "left_semi")
+        met = kept(met, "query-postings")
+        df = met.groupBy("term").agg(F.count(F.lit(1)).alias("d"))
+        asked = words.select("query", "term").join(df, "term", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+        per = asked.groupBy("query").agg(F.count(F.lit(1)).alias("words"), F.min(F.struct("d", "term")).alias("rarest")).filter("rarest.d > 0")
+        asked = asked.join(per, "query")
+        found = asked.filter("term = rarest.term").join(met, "term").select("query", "id", "words", "term", "d", "n")
+        rest = found.select("query", "id").join(asked.filter("term <> rarest.term").select("query", "term", "d", "words"), "query").join(met, ["id", "term"]).select("query", "id", "words", "term", "d", "n")
+        held = found.unionByName(rest).groupBy("query", "id", "words").agg(F.array_sort(F.collect_list(F.struct("term", "d", "n"))).alias("terms")).filter(F.size("terms") == F.col("words"))
+        totals = self.documents().agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
+        rows = held.join(self.documents().select("id", "length"), "id").join(F.broadcast(totals))  # one row
+        idf = lambda x: F.greatest(F.lit(1e-6), F.log((F.col("docs") - x["d"] + 0.5) / (x["d"] + 0.5)))
+        part = lambda x: idf(x) * x["n"] * (K1 + 1) / (x["n"] + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        score = F.aggregate("terms", F.lit(0.0), lambda a, x: a - part(x))
+        order = Window.partitionBy("query").orderBy("score", "id")
+        return rows.select("query", "id", score.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def found(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(query, id, rank): ``best``, and for queries without any the documents that hold the whole query in a column, letter case aside, by id.
+
+        Those meet by the query's first characters, up to three, and the
+        documents' runs of as many.
+        """
+        ranked = kept(self.best(queries, k).select("query", "id", "rank"), "ranked")
+        left = queries.filter(F.trim("text") != "").join(ranked.select("query").distinct(), "query", "left_anti").select("query", F.lower("text").alias("text"))
+        left = left.withColumn("size", F.least(F.length("text"), F.lit(3))).withColumn("gram", F.expr("substring(text, 1, size)"))
+        shown = self.documents().select("id", F.explode(F.split(F.lower("shown"), "\n")).alias("shown"))
+        sizes = F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: n <= F.length("shown"))
+        grams = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("shown") - n + 1), lambda i: F.substring(F.col("shown"), i, n)))))
+        hit = shown.select("id", "shown", F.explode(grams).alias("gram")).join(left, "gram").filter(F.col("shown").contains(F.col("text"))).select("query", "id").distinct()
+        order = Window.partitionBy("query").orderBy("id")
+        hit = hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return ranked.unionByName(hit)

@@ -149,9 +149,12 @@ def owners(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def resolved(prompts: DataFrame, work: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """The task that each request resumes: prompt, work, confidence, resolution (``resume`` or ``new``).
+    """The task that each request resumes: prompt, work, confidence, resolution (``resume`` or ``new``), requirements, sources.
 
-    ``prompts``: prompt, text, branch.  ``work``: trace_id, title, status, reqs
+    ``prompts``: prompt, text, branch, and ``active``, the work of the request's
+    session, where there are sessions.  An active one is resumed for sure where
+    the request shares a word with its title or those of its requirements, says
+    ``keep`` or ``again``, or points with ``this``, ``that`` or ``it``.  ``work``: trace_id, title, status, reqs
     (array of id and title), boundary (names at the paths that it changed),
     changed and recent (whether it owns paths of the present change or of the
     last commits).  ``hits``: prompt and trace_id of a text search.  Words of the
@@ -163,13 +166,16 @@ def resolved(prompts: DataFrame, work: DataFrame, hits: DataFrame | None = None)
     A request meets work items that share a word, a hit or a branch word, and the
     one that is best without any: no other can win.
     """
-    p = prompts.select("prompt", request_tokens(F.col("text")).alias("want"), request_tokens(F.coalesce("branch", F.lit(""))).alias("on"))
+    active = F.col("active") if "active" in prompts.columns else F.lit(None).cast("string")
+    low = F.lower("text")
+    points = low.rlike(r"\b(?:this|that|it)\b") & ~low.rlike(r"\b(?:its|itself|this_|that_)\b")
+    p = prompts.select("prompt", request_tokens(F.col("text")).alias("want"), request_tokens(F.coalesce("branch", F.lit(""))).alias("on"), active.alias("active"), (points & (F.trim("text") != "")).alias("points"))
     asked = p.filter(F.size("want") > 0)
     title = F.coalesce("title", "trace_id")
     base = F.when(F.col("changed"), 0.4).otherwise(0.0) + F.when(F.col("recent"), 0.3).otherwise(0.0) + F.when(F.col("status") == "active", 0.3).otherwise(0.0)
     w = work.filter("coalesce(status, '') <> 'done'").select(
         "trace_id", request_tokens(title).alias("title"), F.array_union(request_tokens(title), request_tokens(F.col("trace_id"))).alias("names"), request_tokens(F.coalesce("boundary", F.lit(""))).alias("boundary"),
-        F.transform("reqs", lambda r: request_tokens(F.coalesce(r["title"], r["id"]))).alias("reqs"), F.array_append(F.transform("reqs", lambda r: r["id"]), F.col("trace_id")).alias("ids"), base.alias("base"),
+        F.transform("reqs", lambda r: request_tokens(F.coalesce(r["title"], r["id"]))).alias("reqs"), F.array_append(F.transform("reqs", lambda r: r["id"]), F.col("trace_id")).alias("ids"), base.alias("base"), "changed", "recent", (F.coalesce("status", F.lit("")) == "active").alias("open"),
     )
     words = w.select("trace_id", F.explode(F.array_distinct(F.concat("title", "boundary", F.flatten("reqs")))).alias("word"))
     pairs = asked.select("prompt", F.explode("want").alias("word")).join(words, "word").select("prompt", "trace_id")
@@ -187,7 +193,24 @@ def resolved(prompts: DataFrame, work: DataFrame, hits: DataFrame | None = None)
     score = 2.0 * F.size(F.array_intersect("want", "title")) / n + 0.5 * F.size(F.array_intersect("want", "boundary")) / n
     score = score + F.when(F.size("reqs") > 0, 1.5 * F.size(F.filter("reqs", lambda r: F.arrays_overlap("want", r))) / F.greatest(F.size("reqs"), F.lit(1))).otherwise(0.0)
     score = score + F.coalesce("hit", F.lit(0.0)) + F.when(F.arrays_overlap("on", "names"), 0.4).otherwise(0.0) + F.col("base")
-    best = rows.withColumn("score", F.round(score, 9)).filter("score > 0").withColumn("n", F.row_number().over(Window.partitionBy("prompt").orderBy(F.col("score").desc(), "trace_id"))).filter("n = 1")
+    named = [
+        ("work_title", F.arrays_overlap("want", "title")), ("requirement_title", F.exists("reqs", lambda r: F.arrays_overlap("want", r))), ("fts", F.coalesce("hit", F.lit(0.0)) > 0), ("branch", F.arrays_overlap("on", "names")),
+        ("receipts", F.arrays_overlap("want", "boundary")), ("changed_boundaries", F.col("changed")), ("git_history", F.col("recent")), ("open_work", F.col("open")),
+    ]
+    sources = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), name) for name, c in named]), lambda x: x.isNotNull())
+    best = rows.withColumn("score", F.round(score, 9)).withColumn("sources", sources).filter("score > 0").withColumn("n", F.row_number().over(Window.partitionBy("prompt").orderBy(F.col("score").desc(), "trace_id"))).filter("n = 1")
     sure = F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0)))
-    out = p.select("prompt").join(best.select("prompt", "trace_id", "score"), "prompt", "left")
-    return out.select("prompt", F.when(sure >= RESUME, F.col("trace_id")).alias("work"), F.round(sure, 2).alias("confidence"), F.when(sure >= RESUME, "resume").otherwise("new").alias("resolution"))
+    out = p.join(best.select("prompt", "trace_id", "score", "sources", F.col("ids").alias("best_ids")), "prompt", "left")
+    # What a session works on is asked by its own words, done or not.
+    own = work.select(F.col("trace_id").alias("active"), F.array_union(request_tokens(title), F.flatten(F.transform("reqs", lambda r: request_tokens(F.coalesce(r["title"], r["id"]))))).alias("active_words"), F.transform("reqs", lambda r: r["id"]).alias("active_reqs"))
+    out = out.join(own, "active", "left")
+    on = F.col("active").isNotNull() & (F.coalesce(F.arrays_overlap("want", "active_words"), F.lit(False)) | F.arrays_overlap("want", F.array(F.lit("keep"), F.lit("again"))) | F.col("points"))
+    out = out.withColumn("on_active", F.coalesce(on, F.lit(False)))
+    resumes = F.col("on_active") | (sure >= RESUME)
+    ids = lambda c: F.array_sort(F.coalesce(c, F.expr("cast(array() as array<string>)")))
+    reqs = F.filter("best_ids", lambda x: x != F.col("trace_id"))
+    return out.select(
+        "prompt", F.when(F.col("on_active"), F.col("active")).when(sure >= RESUME, F.col("trace_id")).alias("work"), F.when(F.col("on_active"), 1.0).otherwise(F.round(sure, 2)).alias("confidence"), F.when(resumes, "resume").otherwise("new").alias("resolution"),
+        F.when(F.col("on_active"), ids(F.col("active_reqs"))).when(sure >= RESUME, ids(reqs)).otherwise(F.expr("cast(array() as array<string>)")).alias("requirements"),
+        F.when(F.col("on_active"), F.array(F.lit("active_session"))).otherwise(F.coalesce("sources", F.expr("cast(array() as array<string>)"))).alias("sources"),
+    )

@@ -90,6 +90,18 @@ def evaluate(ctx: Context, profile: str, overrides: dict[str, bool] | None = Non
     return waived(found, ctx.waivers if allow_waivers else None, ctx.today)
 
 
+def both_scopes(changed: Context, whole: Context, profile: str, overrides: dict[str, bool] | None = None) -> DataFrame:
+    """What a stop gate asks: the findings of the change and those of the whole graph, each once; an error of either blocks."""
+    return evaluate(changed, profile, overrides).unionByName(evaluate(whole, profile, overrides)).distinct()
+
+
+def of_kind(found: DataFrame, *, rules: tuple[str, ...] = (), severities: tuple[str, ...] = (), paths: DataFrame | None = None) -> DataFrame:
+    """Findings of some rules, severities and paths; what is not given does not limit."""
+    for column, values in (("rule", rules), ("severity", severities)):
+        found = found.filter(F.col(column).isin(*values)) if values else found
+    return found if paths is None else found.join(paths.select("path").distinct(), "path", "left_semi")
+
+
 def blocking(found: DataFrame) -> DataFrame:
     """One row: findings by severity, and whether an ERROR is left."""
     return found.agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("ERROR", "WARNING", "INFO")], F.coalesce(F.bool_or(F.col("severity") == "ERROR"), F.lit(False)).alias("blocking"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import boundaries, change, doctor, extract, history, index, migration, reports, structure, tasks
-from .queries import IMPLS, query, spans
+from .operators import boundaries, change, doctor, evidence, extract, graph, history, index, migration, reports, rules, search, structure, tasks
+from .plans import policy
+from .queries import IMPLS, RULE_SQL, context, query, spans, walk_sql
+from .scratch import scratch_path
 
 
 def col(text: str):
@@ -189,12 +191,71 @@ SHARE = "len(list_intersect(p.want, {}))"
  m as (select prompt, arg_min(id, struct_pack(s := -round(score, 9), i := id)) as id, max(round(score, 9)) as score from s where round(score, 9) > 0 group by prompt)
  select p.prompt, case when least(1.0, m.score) >= 0.55 then m.id end as work, round(least(1.0, coalesce(m.score, 0.0)), 2) as confidence, case when least(1.0, m.score) >= 0.55 then 'resume' else 'new' end as resolution from p left join m on m.prompt = p.prompt""")
 def q16_resolve(b):
+    prompts, work = requests(b)
+    return tasks.resolved(prompts, work).select("prompt", "work", "confidence", "resolution")
+
+
+def requests(b):
+    """Requests, and the work items that they may resume."""
     prompts = b.conversations.filter("text is not null").select(col("concat(conv_id, '-', turn)").alias("prompt"), "text", col("case when turn = 1 then 's3' end").alias("branch"))
     work = b.supplier.join(b.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(
         col("concat('WORK-S', s_suppkey)").alias("trace_id"), col("concat(n_name, ' ', s_suppkey % 17, ' can please user')").alias("title"), col("case when s_suppkey % 3 = 0 then 'active' when s_suppkey % 13 = 1 then 'done' end").alias("status"),
         col("array(struct(concat('REQ-WORK-S', s_suppkey) as id, concat('Write summary ', n_name) as title))").alias("reqs"), col("case when s_suppkey % 4 = 0 then concat('table ', n_name) end").alias("boundary"), col("s_suppkey % 9 = 2").alias("changed"), col("s_suppkey % 8 = 3").alias("recent"),
     )
-    return tasks.resolved(prompts, work)
+    return prompts, work
+
+
+def found_sql(docs, prompts, k):
+    """Ranked (query, id, score, rank) of all ``prompts`` (query, text) over ``docs`` (id, text)."""
+    return f"""with dw as (select id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from {docs} x), tot as (select count(*) as docs, avg(len(w)) as mean from dw),
+ post as (select id, length, term, count(*) as n from (select id, len(w) as length, unnest(w) as term from dw) u group by id, length, term), df as (select term, count(*) as d from post group by term),
+ q as (select query, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as term from {prompts} y where regexp_matches(text, '^[A-Za-z0-9\\s]+$')), nq as (select query, count(*) as k from q group by query),
+ s as (select q.query, post.id, count(*) as m, -sum(greatest(1e-6, ln((docs - d + 0.5) / (d + 0.5))) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean))) as score from q join post on post.term = q.term join df on df.term = q.term, tot group by q.query, post.id)
+ select query, id, score, rank from (select s.query, id, round(score, 6) as score, cast(row_number() over (partition by s.query order by round(score, 9), id) as integer) as rank from s join nq on nq.query = s.query and nq.k = s.m) z where rank <= {k}"""
+
+
+PROMPTS = "(select conv_id || '-' || cast(turn as varchar) as query, regexp_extract(text, '[A-Za-z0-9]+') || ' ' || regexp_extract(regexp_replace(text, '^[^A-Za-z0-9]*[A-Za-z0-9]+', ''), '[A-Za-z0-9]+') as text from {conversations} where text is not null)"
+
+
+def two_words(b):
+    """The first two words of each turn, as queries."""
+    rest = F.regexp_replace("text", "^[^A-Za-z0-9]*[A-Za-z0-9]+", "")
+    return b.conversations.filter("text is not null").select(col("concat(conv_id, '-', turn)").alias("query"), F.concat(F.regexp_extract("text", "[A-Za-z0-9]+", 0), F.lit(" "), F.regexp_extract(rest, "[A-Za-z0-9]+", 0)).alias("text"))
+
+
+@query(found_sql("(select doc_id as id, case when doc_id % 5 = 0 then lang || ' now ' || text else text end as text from {documents} where text is not null and doc_id % 11 <> 0)", PROMPTS, 10))
+def ft05_batched_search(b):
+    """All queries at once over a stored index, after an update of some documents and the removal of others."""
+    docs = b.documents.filter("text is not null").select(F.col("doc_id").alias("id"), "lang", "text")
+    index_ = search.StoredIndex(b.spark, scratch_path(b.spark, "search"), ["text"])
+    index_.update(docs)
+    index_.update(docs.filter("id % 5 = 0 and id % 11 <> 0").withColumn("text", F.concat("lang", F.lit(" now "), "text")), docs.filter("id % 11 = 0").select("id"))
+    return index_.best(two_words(b), 10).withColumn("score", F.round("score", 6))
+
+
+HIT_DOCS = "(select id, title as text from " + WORKS + " x union all select 'REQ-' || id, req from " + WORKS + " y)"
+
+
+@query(f"""with h as ({found_sql(HIT_DOCS, PROMPTS, 10)}), p as (select conv_id || '-' || cast(turn as varchar) as prompt, lower(text) as low, {TOKENS.replace('{}', 'text')} as want, case when turn = 1 then ['s3'] else [] end as on_, case when conv_id % 3 = 0 then 'WORK-S' || cast(conv_id % 7 as varchar) end as active from {{conversations}} where text is not null),
+ a as (select *, {TOKENS.replace('{}', 'title')} as tt, {TOKENS.replace('{}', 'req')} as rt, {TOKENS.replace('{}', "coalesce(boundary, '')")} as bt, {TOKENS.replace('{}', 'id')} as it, 'REQ-' || id as rid from {WORKS} x), w as (select * from a where coalesce(status, '') <> 'done'),
+ f as (select distinct h.query as prompt, w.id from h join w on h.id in (w.id, w.rid)),
+ s as (select p.prompt, w.id, w.rid, 2.0 * {SHARE.replace('{}', 'w.tt')} / len(p.want) + 0.5 * {SHARE.replace('{}', 'w.bt')} / len(p.want) + case when {SHARE.replace('{}', 'w.rt')} > 0 then 1.5 else 0 end + case when len(list_intersect(p.on_, list_concat(w.it, w.tt))) > 0 then 0.4 else 0 end
+   + case when f.id is not null then 0.6 else 0 end + case when changed then 0.4 else 0 end + case when recent then 0.3 else 0 end + case when status = 'active' then 0.3 else 0 end as score,
+   concat_ws(',', case when {SHARE.replace('{}', 'w.tt')} > 0 then 'work_title' end, case when {SHARE.replace('{}', 'w.rt')} > 0 then 'requirement_title' end, case when f.id is not null then 'fts' end, case when len(list_intersect(p.on_, list_concat(w.it, w.tt))) > 0 then 'branch' end, case when {SHARE.replace('{}', 'w.bt')} > 0 then 'receipts' end, case when changed then 'changed_boundaries' end, case when recent then 'git_history' end, case when status = 'active' then 'open_work' end) as src
+   from p join w on len(p.want) > 0 left join f on f.prompt = p.prompt and f.id = w.id),
+ m as (select prompt, arg_min(id, k) as id, arg_min(rid, k) as rid, arg_min(src, k) as src, max(round(score, 9)) as score from (select *, struct_pack(s := -round(score, 9), i := id) as k from s) z where round(score, 9) > 0 group by prompt),
+ o as (select p.*, a.rid as arid, coalesce(p.active is not null and (len(list_intersect(p.want, list_concat(a.tt, a.rt))) > 0 or list_contains(p.want, 'keep') or list_contains(p.want, 'again') or (regexp_matches(low, '\\b(this|that|it)\\b') and not regexp_matches(low, '\\b(its|itself|this_|that_)\\b'))), p.active is not null and regexp_matches(low, '\\b(this|that|it)\\b') and not regexp_matches(low, '\\b(its|itself|this_|that_)\\b')) as on_active from p left join a on a.id = p.active)
+ select o.prompt, case when on_active then active when least(1.0, m.score) >= 0.55 then m.id end as work, case when on_active then 1.0 else round(least(1.0, coalesce(m.score, 0.0)), 2) end as confidence, case when on_active or least(1.0, m.score) >= 0.55 then 'resume' else 'new' end as resolution,
+  case when on_active then coalesce(arid, '') when least(1.0, m.score) >= 0.55 then m.rid else '' end as requirements, case when on_active then 'active_session' else coalesce(m.src, '') end as sources from o left join m on m.prompt = o.prompt""")
+def q16_resolve_session(b):
+    prompts, work = requests(b)
+    prompts = prompts.join(b.conversations.select(col("concat(conv_id, '-', turn)").alias("prompt"), col("case when conv_id % 3 = 0 then concat('WORK-S', conv_id % 7) end").alias("active")), "prompt")
+    docs = work.select(F.col("trace_id").alias("id"), F.col("title").alias("text")).unionByName(work.select(F.concat(F.lit("REQ-"), "trace_id").alias("id"), F.col("reqs")[0]["title"].alias("text")))
+    index_ = search.StoredIndex(b.spark, scratch_path(b.spark, "search"), ["text"])
+    index_.update(docs)
+    hits = index_.best(two_words(b), 10).select(F.col("query").alias("prompt"), F.col("id").alias("trace_id"))
+    rows = tasks.resolved(prompts, work, hits)
+    return rows.withColumn("requirements", F.array_join("requirements", ",")).withColumn("sources", F.array_join("sources", ","))
 
 
 @query("select distinct e.t as work from {live} e join {nodes} n on n.trace_id = e.f and n.active where e.p = 'work' and n.path in (select path from {changes})")
@@ -326,3 +387,64 @@ def s06_edges_by_uid(b):
 
     uid = edge_uid(node_uid(F.col("f")), F.col("p"), node_uid(F.col("t")), F.col("kind"), F.lit(None), F.lit(None))
     return b.edges.select(uid.alias("uid"), "f", "p", "t").orderBy("uid").limit(500)
+
+
+# -------------------------------------------------- impact, linked tests, scopes
+
+PAST = "(select n.path, c.sha, row_number() over (partition by n.path order by c.seq desc, c.sha, n.name) as rank from (" + NAMES.replace("(values ('src/m7.py'), ('src/m8.py'), ('src/none.py')) v(path)", "(select distinct path from {nodes} where trace_id in ('PRD-N7', 'impl.o7', 'impl.o207')) v") + ") n join " + COMMITS + " c on c.path = n.name)"
+TOUCHED = "'PRD-N7', 'impl.o7', 'impl.o207'"
+
+
+def _part(name, edges, columns, where=""):
+    return f"select '{name}' as part, w.trace_id, w.depth, {columns} as detail from ({walk_sql(TOUCHED, 'in', 3, edges)}) w join {{nodes}} n on n.trace_id = w.trace_id where w.depth > 0{where}"
+
+
+SEM, STRUCT = " where p <> 'contains'", " where p = 'contains'"
+
+
+@query(" union all ".join([_part("semantic", SEM, "n.node_type"), _part("structural", STRUCT, "n.node_type"), _part("test", SEM, "n.status", " and n.node_type = 'test'"), "select part, trace_id, min(depth), detail from (" + _part("stale", SEM, "n.status", " and n.status <> 'current'") + " union all " + _part("stale", STRUCT, "n.status", " and n.status <> 'current'") + ") z group by part, trace_id, detail", "select 'history', path, cast(rank as int), sha from " + PAST + " h where rank <= 20 and path in (select path from {nodes} where trace_id in (" + TOUCHED + "))"]))
+def g03_impact_parts(b):
+    """Semantic and structural dependents, tests, what is stale, and the files' last commits."""
+    b.stored("nodes", "edges")
+    return graph.impact_summary(b.nodes.filter(f"trace_id in ({TOUCHED})"), b.nodes, b.edges, commits(b), max_nodes=None)
+
+
+@query("select distinct impl, test from (select s.f as impl, v.f as test from {edges} s join {edges} v on v.t = s.t and v.p = 'verifies' where s.p = 'satisfies' union all select t, f from {edges} where p = 'exercises') x join {nodes} i on i.trace_id = x.impl and i.node_type = 'implementation' join {nodes} t on t.trace_id = x.test")
+def j23_linked_tests(b):
+    return evidence.linked_tests(b.nodes, b.edges)
+
+
+BITS = "(select distinct 'test.s' || cast(l_suppkey as varchar) as test, 'src/m' || cast(l_partkey % 200 as varchar) || '.py' as path, cast(k as int) as line from {lineitem}, range(32) r(k) where (cast(l_orderkey * 2654435761 % 4294967296 as bigint) >> k) & 1 = 1)"
+
+
+@query(f"select b.test, n.id as impl, count(*) as hits from {BITS} b join {IMPLS} n on n.path = b.path and b.line between n.s and n.e group by b.test, n.id")
+def src11_per_test_coverage(b):
+    """Line sets of coverage contexts, as bits, met with implementations."""
+    h = F.lpad(F.hex((F.col("l_orderkey") * 2654435761 % 4294967296).cast("long")), 8, "0")
+    little = F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
+    bits = b.lineitem.select(F.concat(F.lit("test.s"), F.col("l_suppkey").cast("string"), F.lit("|run")).alias("context"), col("concat('src/m', l_partkey % 200, '.py')").alias("path"), F.unhex(little).alias("numbits"))
+    return evidence.context_edges(evidence.context_lines(bits), spans(b))
+
+
+SCOPED = [RULE_SQL[r] for r in ("TL002", "TL012", "TL020")]
+
+
+@query("select rule, trace_id, path, line, detail, 'ERROR' as severity, cast(null as varchar) as waiver from (" + " union ".join(SCOPED) + ") x")
+def set04_both_scopes(b):
+    """Findings of the change and of the whole graph, each once."""
+    scope = b.nodes.join(b.changes, "path", "left_semi").select("trace_id")
+    changed = context(b, scope=scope)
+    return policy.both_scopes(rules.Context(b.nodes, b.edges, changed_paths=changed.changed_paths, scope=scope), rules.Context(b.nodes, b.edges), "standard", {"verifying_test": True})
+
+
+@query("select rule, trace_id, path, line, detail, 'ERROR' as severity, cast(null as varchar) as waiver from (" + RULE_SQL["TL002"] + " union all " + RULE_SQL["TL012"] + ") x where path in (select path from {changes})")
+def p05_findings_of_paths(b):
+    found = policy.evaluate(rules.Context(b.nodes, b.edges, changed_paths=b.changes), "standard", {"verifying_test": True})
+    return policy.of_kind(found, rules=("TL002", "TL012"), severities=("ERROR",), paths=b.changes)
+
+
+@query("select (select count(*) from {nodes}) as nodes, (select count(*) from {nodes} where active) as active, (select count(*) from {nodes} where active and status = 'stale_review_required') as stale, (select count(*) from {edges}) as edges, (select count(*) from {edges} where p <> 'contains') as semantic, (select count(*) from {edges} e where not exists (select 1 from {nodes} n where n.trace_id = e.t)) as broken, (select count(*) from {runs}) as runs, (select count(*) from {runs} where revision is null or revision <> 'rev1') as warnings")
+def a02_status_warnings(b):
+    ctx = context(b, revision="rev1")
+    found = policy.waived(rules.other_revision(ctx).unionByName(rules.unbound_run(ctx)), None, ctx.today)
+    return reports.status(b.nodes, b.edges, b.runs, found)
