@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..schema import SEMANTIC, STALE
+from ..scratch import kept
 from .evidence import proof_levels
+from .rules import live
 
 # Words of a request that say nothing about its subject.
 STOP_WORDS = tuple("the a an and or for with to it this that of in on is are was be make add fix change continue work also ignore using use so then now but not what when how".split())
@@ -132,3 +134,61 @@ def audit_package(work: str, nodes: DataFrame, edges: DataFrame, changed: DataFr
         out = out.unionByName(x)
     order = Window.partitionBy("section").orderBy(F.col("near").desc(), F.coalesce("trace_id", F.lit("")), F.coalesce("detail", F.lit("")))
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("section", "rank", "trace_id", "detail")
+
+
+def excerpts(selected: DataFrame, texts: DataFrame, most_lines: int = 400, most: int = 2000) -> DataFrame:
+    """(trace_id, excerpt) of nodes (trace_id, path, s, e): their lines in ``texts`` (path, text), at most so many lines and characters, no white space at the ends."""
+    own = selected.filter("path is not null").select("trace_id", "path", F.greatest(F.lit(1), F.coalesce("s", F.lit(1))).alias("s"), "e")
+    rows = own.join(texts.select("path", "text"), "path")
+    count = F.greatest(F.lit(0), F.least(F.coalesce("e", F.size("lines")) - F.col("s") + 1, F.lit(most_lines)))
+    rows = rows.withColumn("lines", F.split("text", "\n")).withColumn("cut", F.array_join(F.slice("lines", F.col("s"), count), "\n"))
+    return rows.select("trace_id", F.substring(F.regexp_replace("cut", r"^\s+|\s+$", ""), 1, most).alias("excerpt"))
+
+
+def suspects(nodes: DataFrame, edges: DataFrame, listed: DataFrame, expects: DataFrame, symbol=None, most: int = 50) -> DataFrame:
+    """(section, rank, trace_id, detail): what an auditor must judge, in the order of kind and ids, at most ``most``.
+
+    ``misleading_test``: a test whose first exercised implementation among
+    ``listed`` (section, trace_id, excerpt) is named by neither id nor ``symbol``
+    in the test's excerpt; ``drift``: an implementation that awaits a review;
+    ``plan_gap``: something that a plan expects and no implements edge links.
+    """
+    active = nodes.filter("active")
+    impls = listed.filter("section = 'implementations'").select(F.col("trace_id").alias("impl"))
+    named = active.select(F.col("trace_id").alias("impl"), F.coalesce(symbol if symbol is not None else F.lit(None).cast("string"), F.lit("")).alias("symbol"))
+    pairs = edges.filter("p = 'exercises'").select(F.col("f").alias("trace_id"), F.col("t").alias("impl")).join(impls, "impl", "left_semi")
+    first = pairs.join(active.filter("node_type = 'test'").select("trace_id"), "trace_id", "left_semi").groupBy("trace_id").agg(F.min("impl").alias("impl")).join(named, "impl")
+    seen = listed.filter("section = 'tests'").select("trace_id", F.col("excerpt").alias("said"))
+    first = first.join(seen, "trace_id", "left").withColumn("said", F.coalesce("said", F.lit("")))
+    misleading = first.filter((F.col("symbol") != "") & ~F.col("said").contains(F.col("symbol")) & ~F.col("said").contains(F.col("impl"))).select(F.lit(0).alias("kind"), "trace_id", F.concat(F.lit("misleading_test "), "impl").alias("detail"))
+    drift = active.filter((F.col("node_type") == "implementation") & (F.col("status") == STALE)).select(F.lit(1).alias("kind"), "trace_id", F.lit("drift").alias("detail"))
+    linked = live(edges).filter("p = 'implements'").select(F.col("f").alias("expected"), F.col("t").alias("plan")).join(nodes.select(F.col("trace_id").alias("expected")), "expected", "left_semi").distinct()
+    plans = active.filter("node_type = 'plan'").select(F.col("trace_id").alias("plan"))
+    gaps = expects.join(plans, "plan", "left_semi").join(linked, ["plan", "expected"], "left_anti").select(F.lit(2).alias("kind"), F.col("plan").alias("trace_id"), F.concat(F.lit("plan_gap "), "expected").alias("detail"))
+    # The first rows by order, merged from each task's first ones.
+    rows = misleading.unionByName(drift).unionByName(gaps).distinct().orderBy("kind", "trace_id", "detail").limit(most)
+    return rows.select(F.lit("suspects").alias("section"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("kind", "trace_id", "detail")).alias("rank"), "trace_id", "detail")
+
+
+def audit_bundle(work: str, nodes: DataFrame, edges: DataFrame, texts: DataFrame, changed: DataFrame, found: DataFrame, outcomes: DataFrame, expects: DataFrame, *, symbol=None, most: int = 50, most_lines: int = 400, most_chars: int = 2000) -> DataFrame:
+    """What an auditor of one work item gets: (section, rank, trace_id, detail, excerpt).
+
+    ``audit_package``, with the source of each requirement, decision,
+    implementation and test that it lists cut from ``texts``, and the
+    ``suspects``.  Only listed nodes meet the texts.
+    """
+    rows = kept(audit_package(work, nodes, edges, changed, found, outcomes, most), "audit")
+    own = rows.filter(F.col("section").isin("requirements", "decisions", "implementations", "tests")).select("trace_id").distinct()
+    cut = excerpts(nodes.join(F.broadcast(own), "trace_id", "left_semi"), texts, most_lines, most_chars)
+    shown = rows.filter(F.col("section").isin("requirements", "decisions", "implementations", "tests")).join(cut, "trace_id", "left").unionByName(rows.filter(~F.col("section").isin("requirements", "decisions", "implementations", "tests")).withColumn("excerpt", F.lit(None).cast("string")))
+    shown = kept(shown.select("section", "rank", "trace_id", "detail", "excerpt"), "audit-shown")
+    return shown.unionByName(suspects(nodes, edges, shown, expects, symbol, most).withColumn("excerpt", F.lit(None).cast("string")))
+
+
+def bundle_json(bundle: DataFrame, work: str) -> DataFrame:
+    """The bundle as one JSON document: schema, work, status and a list a section; bounded by its sections' caps."""
+    item = F.struct(F.col("trace_id").alias("id"), "detail", "excerpt")
+    per = bundle.groupBy("section").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("x")))), lambda r: r["x"]).alias("items"))
+    failed = F.coalesce(F.bool_or(F.col("section") == "findings"), F.lit(False))
+    rows = per.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "items")))).alias("sections"), failed.alias("failed"))
+    return rows.select(F.to_json(F.struct(F.lit("audit-package/v1").alias("schema"), F.lit(work).alias("work"), F.when(F.col("failed"), "fail").otherwise("pass").alias("status"), "sections")).alias("json"))

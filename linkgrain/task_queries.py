@@ -448,3 +448,34 @@ def a02_status_warnings(b):
     ctx = context(b, revision="rev1")
     found = policy.waived(rules.other_revision(ctx).unionByName(rules.unbound_run(ctx)), None, ctx.today)
     return reports.status(b.nodes, b.edges, b.runs, found)
+
+
+# ---------------------------------------------------------------- audit bundle
+
+SOURCES = "(select 'src/m' || cast(doc_id as varchar) || '.py' as path, coalesce(text, '') as text from {documents} union all select 'tests/t' || cast(doc_id as varchar) || '.py', coalesce(text, '') from {documents} union all select 'docs/req' || cast(doc_id as varchar) || '.md', coalesce(text, '') from {documents})"
+WORK = "WORK-S3"
+NEAR = f"(with own as (select f as id from {{edges}} where p = 'work' and t = '{WORK}'), one as (select id from own union select t from {{edges}} where f in (select id from own)) select id from one union select f from {{edges}} where p in ('exercises', 'verifies') and t in (select id from one))"
+LISTED = f"(select * from (select section, trace_id, detail, path, s, e, row_number() over (partition by section order by near desc, trace_id, coalesce(detail, '')) as rank from (select case node_type when 'requirement' then 'requirements' when 'decision' then 'decisions' when 'implementation' then 'implementations' else 'tests' end as section, n.trace_id, case node_type when 'implementation' then c.chain when 'test' then o.outcome end as detail, path, s, e, k.id is not null as near from {{nodes}} n left join {NEAR} k on k.id = n.trace_id left join ({{chains}}) c on c.impl = n.trace_id left join (select fid, arg_max(outcome, fid) as outcome from {{results}} where false group by fid) o on o.fid = n.trace_id where active and node_type in ('requirement', 'decision', 'implementation', 'test')) z) y where rank <= 50)"
+
+
+CHAINS = "select n.trace_id as impl, array_to_string(list_concat(list_concat(list_concat(case when w.work is null then [] else [w.work] end, coalesce(r.reqs, [])), [n.trace_id]), coalesce(t.tests, [])), ' > ') as chain from {nodes} n left join (select f, min(t) as work from {edges} where p = 'work' group by f) w on w.f = n.trace_id left join (select f, list_sort(list(distinct t)) as reqs from {edges} where p = 'satisfies' group by f) r on r.f = n.trace_id left join (select t, list_sort(list(distinct f)) as tests from {edges} where p = 'exercises' group by t) t on t.t = n.trace_id where n.active and n.node_type = 'implementation'"
+LISTED = LISTED.replace("{chains}", CHAINS)
+SHOWN = f"(select l.*, case when x.path is not null then regexp_replace(array_to_string(string_split(x.text, chr(10))[greatest(1, coalesce(l.s, 1)):least(greatest(1, coalesce(l.s, 1)) + 399, coalesce(l.e, 1000000000))], chr(10)), '^\\s+|\\s+$', '', 'g')[1:2000] end as excerpt from {LISTED} l left join {SOURCES} x on x.path = l.path)"
+
+
+@query(f"""with shown as materialized {SHOWN}, first as (select e.f as trace_id, min(e.t) as impl from {{edges}} e join shown i on i.section = 'implementations' and i.trace_id = e.t join {{nodes}} n on n.trace_id = e.f and n.active and n.node_type = 'test' where e.p = 'exercises' group by e.f),
+ sus as (select 0 as kind, f.trace_id, 'misleading_test ' || f.impl as detail from first f left join shown t on t.section = 'tests' and t.trace_id = f.trace_id where not contains(coalesce(t.excerpt, ''), f.impl) and not contains(coalesce(t.excerpt, ''), split_part(f.impl, '.', 2))
+  union select 1, trace_id, 'drift' from {{nodes}} where active and node_type = 'implementation' and status = 'stale_review_required'
+  union select 2, x.plan, 'plan_gap ' || x.expected from {{expects}} x join {{nodes}} p on p.trace_id = x.plan and p.active and p.node_type = 'plan' where not exists (select 1 from {{live}} l join {{nodes}} n on n.trace_id = l.f where l.p = 'implements' and l.f = x.expected and l.t = x.plan))
+ select section, cast(rank as integer) as rank, trace_id, detail, excerpt from shown
+ union all select 'suspects', cast(rank as integer), trace_id, detail, null from (select *, row_number() over (order by kind, trace_id, detail) as rank from sus) z where rank <= 50
+ union all select 'unexpected', cast(rank as integer), path, null, null from (select path, row_number() over (order by path) as rank from (select distinct path from {{changes}} where path not in (select path from {{nodes}} where active)) c) v where rank <= 50""")
+def q12_audit_bundle(b):
+    """Sections with excerpts and suspects for one work item."""
+    b.stored("nodes", "edges")
+    name = lambda kind: F.concat(F.lit(kind), F.col("doc_id").cast("string"))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    texts = b.documents.select(F.concat(name("src/m"), F.lit(".py")).alias("path"), text).unionByName(b.documents.select(F.concat(name("tests/t"), F.lit(".py")).alias("path"), text)).unionByName(b.documents.select(F.concat(name("docs/req"), F.lit(".md")).alias("path"), text))
+    none = b.spark.createDataFrame([], "rule string, trace_id string, path string, detail string")
+    outcomes = b.spark.createDataFrame([], "fid string, outcome string")
+    return reports.audit_bundle(WORK, b.nodes, b.edges, texts, b.changes.distinct(), none, outcomes, b.expects, symbol=F.split_part(F.col("trace_id"), F.lit("."), F.lit(2)))

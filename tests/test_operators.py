@@ -381,3 +381,21 @@ def test_audit_package(spark):
     outcomes = spark.createDataFrame([("test.a", "fail")], "fid string, outcome string")
     rows = reports.audit_package("WORK-1", nodes, edges, changed, found, outcomes).orderBy("section", "rank").collect()
     assert [(r.section, r.trace_id, r.detail) for r in rows] == [("findings", "impl.a", "TL010 a.py x"), ("implementations", "impl.z", "WORK-1 > REQ-1 > impl.z > test.a"), ("implementations", "impl.a", "impl.a"), ("requirements", "REQ-1", None), ("tests", "test.a", "fail"), ("unexpected", "new.py", None)]
+
+
+def test_audit_bundle(spark):
+    nodes = spark.createDataFrame([("impl.a", "implementation", "a.py", 2, 3, "stale_review_required", "alpha"), ("impl.z", "implementation", "z.py", 0, 900, "current", "omega"), ("REQ-1", "requirement", "r.md", None, None, "current", None), ("test.a", "test", "t.py", 1, 1, "current", None), ("test.b", "test", "t.py", 2, 2, "current", None), ("PLAN-1", "plan", "p.md", 1, 1, "current", None)], "trace_id string, node_type string, path string, s int, e int, status string, symbol string").withColumn("active", F.lit(True))
+    edges = spark.createDataFrame([("impl.z", "work", "WORK-1", "active"), ("impl.z", "satisfies", "REQ-1", "active"), ("test.a", "exercises", "impl.z", "active"), ("test.b", "exercises", "impl.z", "active"), ("impl.a", "implements", "PLAN-1", "active"), ("impl.z", "implements", "PLAN-1", "superseded")], "f string, p string, t string, status string")
+    texts = spark.createDataFrame([("a.py", "one\n  two\nthree \nfour"), ("z.py", "\n".join(f"line {k}" for k in range(900))), ("t.py", "calls omega\ncalls nothing"), ("r.md", "# R\n")], "path string, text string")
+    expects = spark.createDataFrame([("PLAN-1", "impl.a"), ("PLAN-1", "impl.z"), ("PLAN-1", "impl.gone")], "plan string, expected string")
+    found = spark.createDataFrame([("TL010", "impl.a", "a.py", "x")], "rule string, trace_id string, path string, detail string")
+    outcomes = spark.createDataFrame([("test.a", "pass")], "fid string, outcome string")
+    bundle = reports.audit_bundle("WORK-1", nodes, edges, texts, spark.createDataFrame([("new.py",)], "path string"), found, outcomes, expects, symbol=F.col("symbol"), most_lines=3)
+    rows = {(r.section, r.rank): (r.trace_id, r.detail, r.excerpt) for r in bundle.collect()}
+    assert rows == {
+        ("implementations", 1): ("impl.z", "WORK-1 > REQ-1 > impl.z > test.a > test.b", "line 0\nline 1\nline 2"), ("implementations", 2): ("impl.a", "impl.a", "two\nthree"), ("requirements", 1): ("REQ-1", None, "# R"),
+        ("tests", 1): ("test.a", "pass", "calls omega"), ("tests", 2): ("test.b", None, "calls nothing"), ("findings", 1): ("impl.a", "TL010 a.py x", None), ("unexpected", 1): ("new.py", None, None),
+        ("suspects", 1): ("test.b", "misleading_test impl.z", None), ("suspects", 2): ("impl.a", "drift", None), ("suspects", 3): ("PLAN-1", "plan_gap impl.gone", None), ("suspects", 4): ("PLAN-1", "plan_gap impl.z", None),
+    }
+    made = json.loads(reports.bundle_json(bundle, "WORK-1").first().json)
+    assert made["status"] == "fail" and [x["id"] for x in made["sections"]["tests"]] == ["test.a", "test.b"] and made["sections"]["implementations"][1]["excerpt"] == "two\nthree"
