@@ -11,9 +11,9 @@
    (the prefix filter).  Lines that many documents share are not rare.
 3. In each list the members meet its most central class; the estimate from the
    union's sketch filters, the exact similarity of the full sets decides.
-4. Members of one cluster of lists that are still in different components are
-   compared in blocks with their full sets, so no link between them is lost,
-   while what is linked already is not compared again.
+4. Members of one cluster of lists that are still in different components meet
+   where they share one of the rarest values of their full sets, so no link
+   between them is lost, while what is linked already is not compared again.
 """
 
 from __future__ import annotations
@@ -26,13 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shingles, text_chunks, written
+from .common import released, shingles, text_chunks, written
 from .components import components
 
 SKETCH = 32
 SHARED = 13
 LEAST_ESTIMATE = SHARED / SKETCH
-BLOCK = 256
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -113,61 +112,50 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def block_links(table: pa.Table, left: int, right: int) -> list[tuple[int, int]]:
-    """Links that join different components among the rows of block ``left`` and of block ``right``."""
-    ids, comp, block = (table[c].to_pylist() for c in ("id", "component", "block"))
-    sets = [np.frombuffer(x.as_buffer(), np.int64) for x in table["shingles"]]
-    parent = {c: c for c in comp}
-
-    def root(c):
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    theirs = [k for k in range(len(ids)) if block[k] == right]
-    sizes = np.array([len(sets[k]) for k in theirs])
-    values = np.concatenate([np.zeros(0, np.int64), *[sets[k] for k in theirs]])
-    owner = np.repeat(np.arange(len(theirs)), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    out = []
-    for k in (k for k in range(len(ids)) if block[k] == left):
-        a, b = np.searchsorted(values, sets[k]), np.searchsorted(values, sets[k], "right")
-        n = b - a
-        at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        inter = np.bincount(owner[at], minlength=len(theirs))
-        for j in np.flatnonzero(100 * inter >= 80 * (sizes + len(sets[k]) - inter)).tolist():
-            x, y = root(comp[k]), root(comp[theirs[j]])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((ids[k], ids[theirs[j]]))
-    return out
-
-
-def remaining_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between different components of a cluster; ``members``: id, cluster, component.
-
-    The cluster's largest component has blocks of its own, of about BLOCK rows
-    by hash; the other rows' blocks meet each other and those.
-    """
-    per = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    per = per.select("cluster", F.col("most.component").alias("main"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("others"))
-    rows = members.join(per, "cluster")
-    here = F.col("component") == F.col("main")
-    spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    rows = rows.withColumn("block", F.when(here, spread(F.col("mains"))).otherwise(F.col("mains") + spread(F.col("others"))))
-    rest = F.sequence(F.col("mains"), F.col("mains") + F.col("others") - 1)
-    rows = rows.withColumn("meets", F.when(here, rest).otherwise(F.concat(F.sequence(F.lit(0), F.col("mains") - 1), rest)))
-    rows = rows.join(sets, "id").select("id", "component", "shingles", "cluster", "block", F.explode("meets").alias("other"))
-    rows = rows.withColumn("left", F.greatest("block", "other")).withColumn("right", F.least("block", "other")).drop("other")
+def open_pairs(rows: DataFrame) -> DataFrame:
+    """A table of pairs (a, b) of different components that can be alike; ``rows``: id, component, shingles.
 
-    def run(key, table):
-        found = block_links(table, key[1].as_py(), key[2].as_py())
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+    Alike sets share four fifths of either, so of the values of each but so many,
+    in one order for all, one is common to both: with the rarest values first
+    these lie in short lists.  Values of one set alone count and meet nothing.
+    """
 
-    return rows.groupBy("cluster", "left", "right").applyInArrow(run, "a bigint, b bigint")
+    def exploded(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+                n = np.array([len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(part.column(1).to_numpy(), n)), pa.array(np.repeat(n, n).astype(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["id", "component", "n", "v"])
+
+    values = rows.select("id", "component", "shingles").mapInArrow(exploded, "id bigint, component bigint, n bigint, v bigint")
+    counts = written(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-open-counts")
+    held = values.join(counts, "v").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    held = held.withColumn("prefix", F.size("held") - F.ceil(F.col("n") * 0.8 - 1e-9) + 1).filter("prefix > 0")
+    lists = written(held.select("id", "component", "n", F.explode(F.slice("held", F.lit(1), F.col("prefix").cast("int"))).alias("x")).select("id", "component", "n", "x.v"), "near-open-lists")
+    sides = [lists.select("v", F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
+    pairs = sides[0].join(sides[1], "v").filter("a < b and ca <> cb and 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct()
+    pairs = written(pairs, "near-open-pairs")
+    released(counts, lists)
+    return pairs
+
+
+def remaining_links(members: DataFrame, sets: DataFrame, brief: DataFrame) -> DataFrame:
+    """A table of links (a, b) between different components of a cluster; ``members``: id, cluster, component; ``brief``: id, sketch.
+
+    Only clusters of several components take part.  Pairs come from
+    ``open_pairs``, pass the estimate as all others do, and are confirmed on
+    full sets, so the work follows the sets' sizes and the pairs that share one
+    of their rarest values, not the square of a cluster.
+    """
+    per = members.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("cluster")
+    rows = members.join(written(per, "near-open-clusters"), "cluster", "left_semi").select("id", "component")
+    rows = written(rows.join(sets, "id").select("id", "component", "shingles"), "near-open")
+    pairs = open_pairs(rows)
+    sided = pairs.join(brief.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(brief.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    links = written(confirmed(sided.filter(estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE).select("a", "b"), sets), "near-more")
+    released(rows, pairs)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -209,7 +197,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = components(links.unionByName(found.select(F.col("id").alias("a"), F.col("id").alias("b"))), "near-first")
     first = written(first, "near-first")
     members = clusters.select("id", F.col("component").alias("cluster")).join(first, "id")
-    more = written(remaining_links(members, sets), "near-more")
+    more = remaining_links(members, sets, brief)
+    released(sets, stars, links)
     named = first.withColumnRenamed("component", "c")
     joined = more.join(named.select(F.col("id").alias("a"), F.col("c").alias("x")), "a").join(named.select(F.col("id").alias("b"), F.col("c").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     merged = components(joined, "near-merged")
