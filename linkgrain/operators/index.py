@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..schema import CURRENT
 from ..scratch import kept
-from .change import carried, recorded_versions, staleness
+from .change import carried, recorded_findings, recorded_versions, staleness
 from .change import changed as altered_ids
 from .extract import marker_lines, parsed_markers
 from .rules import findings
@@ -114,7 +114,7 @@ def merged_findings(previous: DataFrame, fresh: DataFrame, changed_paths: DataFr
     if changed_paths is None:
         return fresh.distinct()
     stays = previous.filter("rule <> 'TL002'").join(changed_paths.select("path").distinct(), "path", "left_anti")
-    return fresh.unionByName(stays.select(fresh.columns)).distinct()
+    return recorded_findings(stays.select(fresh.columns), fresh).select(fresh.columns)
 
 
 def lost_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ class Context:
     lifecycle: str = "wip"
     today: str = "2024-02-01"
     per_test: bool = False
-    audit: dict | None = None
+    audit: dict | DataFrame | None = None
     exclusions: list[str] = field(default_factory=list)
     # Files, and folders that end in a slash, whose change alters enforcement.
     enforcement: tuple[str, ...] = (".trace/policy.toml", ".trace/trace.toml", ".trace/policy/", ".trace/schema/")
@@ -199,9 +199,14 @@ def other_revision(ctx: Context) -> DataFrame | None:
 
 
 def audit_missing(ctx: Context) -> DataFrame | None:
-    if ctx.audit and str(ctx.audit.get("schema", "")).endswith("audit-result/v1"):
+    """``audit``: a result with its ``schema``, or a table of such; one of the known schema is enough."""
+    known, one = "audit-result/v1", ctx.nodes.sparkSession.range(1)
+    if isinstance(ctx.audit, DataFrame):
+        sound = ctx.audit.filter(F.col("schema").endswith(known)).select(F.lit(0).cast("long").alias("id")).limit(1)
+        one = one.join(sound, "id", "left_anti")
+    elif ctx.audit and str(ctx.audit.get("schema", "")).endswith(known):
         return None
-    return findings(ctx.nodes.sparkSession.range(1), "TL060", None, None, F.lit("no audit result"))
+    return findings(one, "TL060", None, None, F.lit("no audit result"))
 
 
 def expired_waiver(ctx: Context) -> DataFrame | None:

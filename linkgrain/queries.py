@@ -150,7 +150,7 @@ RULE_SQL = {
     "TL050": diag("TL050", "from {runs} where revision <> 'rev1'", detail="run_id || ' ' || revision"),
     "TL062": diag("TL062", "from {runs} where revision is null", detail="run_id"),
     "TL110": diag("TL110", "from {nodes} where active and status = 'stale_review_required'", "trace_id", "path", "'release'", "s"),
-    "TL060": diag("TL060", "", detail="'no audit result'"),
+    "TL060": diag("TL060", "where not exists (select 1 from {events} where props like '%audit-result/v1')", detail="'no audit result'"),
     "TL063": diag("TL063", "from (select distinct path from {changes}) c where path in ('.trace/policy.toml', '.trace/trace.toml') or path like '.trace/policy/%' or path like '.trace/schema/%'", path="path"),
 }
 
@@ -164,8 +164,16 @@ def _rule(rule: str, **more):
     QUERIES[name], SQL[name] = QUERIES.pop("run"), SQL.pop("run")
 
 
-for _r in ("TL002", "TL010", "TL011", "TL012", "TL014", "TL020", "TL030", "TL060", "TL063"):
+for _r in ("TL002", "TL010", "TL011", "TL012", "TL014", "TL020", "TL030", "TL063"):
     _rule(_r)
+
+
+@query(RULE_SQL["TL060"])
+def tl060_audit_missing(b):
+    """Asks the events' properties for an audit result; there is none."""
+    return rules.audit_missing(context(b, audit=b.events.select(F.col("props").alias("schema"))))
+
+
 _rule("TL021", revision="rev1")
 _rule("TL022", per_test=True)
 _rule("TL050", revision="rev1")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import ID_PATTERN
 from ..functions.text import any_glob
+from ..operators.structure import coalesced
 from . import snapshots
 
 MAX_FILE, MAX_REPORT = 2 << 20, 10 << 20
@@ -38,8 +39,8 @@ def classified(path: Column) -> tuple[Column, Column]:
     return F.coalesce(F.split_part(found, F.lit("|"), F.lit(1)), F.lit("other")), F.nullif(F.split_part(F.coalesce(found, F.lit("|")), F.lit("|"), F.lit(2)), F.lit(""))
 
 
-def scan_files(spark: SparkSession, root: str, *, include=("**",), exclude=(), generated=(), most: int = MAX_FILE) -> DataFrame:
-    """path, kind, language, size, generated, text of the files below ``root`` that the globs let in; files over ``most`` bytes or not in UTF-8 are left out.
+def scan_files(spark: SparkSession, root: str, *, include=("**",), exclude=(), generated=(), ignored: DataFrame | None = None, most: int = MAX_FILE) -> DataFrame:
+    """path, kind, language, size, generated, text of the files below ``root`` that the globs let in; files over ``most`` bytes, not in UTF-8, or whose path is in ``ignored`` (path) are left out.
 
     Name and size filters run on the listing's metadata, before contents are decoded.
     """
@@ -47,6 +48,7 @@ def scan_files(spark: SparkSession, root: str, *, include=("**",), exclude=(), g
     base = root.rstrip("/") + "/"
     rows = raw.withColumn("rel", F.expr(f"substring(path, locate('{base}', path) + {len(base)})")).filter(F.col("length") <= most)
     rows = rows.filter(any_glob(F.col("rel"), include) & ~any_glob(F.col("rel"), (*ALWAYS_IGNORED, *exclude)))
+    rows = rows if ignored is None else rows.join(ignored.select(F.col("path").alias("rel")).distinct(), "rel", "left_anti")
     text = F.expr("try_validate_utf8(cast(content as string))")
     kind, language = classified(F.col("rel"))
     return rows.select(F.col("rel").alias("path"), kind.alias("kind"), language.alias("language"), F.col("length").alias("size"), any_glob(F.col("rel"), generated).alias("generated"), text.alias("text")).filter("text is not null")
@@ -79,12 +81,15 @@ COBERTURA = "_filename string, lines struct<line: array<struct<_number: int, _hi
 
 
 def read_cobertura(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line) of covered lines; those of methods count too."""
+    """(path, line) of covered lines; those of methods count too. Of several classes of one file in a report the last counts."""
     rows = spark.read.format("xml").option("rowTag", "class").schema(COBERTURA).load(path)
     nothing = F.expr("cast(array() as array<struct<_number: int, _hits: bigint>>)")
     inner = F.flatten(F.transform(F.coalesce("methods.method", F.expr("cast(array() as array<struct<lines: struct<line: array<struct<_number: int, _hits: bigint>>>>>)")), lambda m: F.coalesce(m["lines"]["line"], nothing)))
     lines = F.concat(F.coalesce("lines.line", nothing), inner)
-    return rows.select(F.col("_filename").alias("path"), F.explode(F.filter(lines, lambda x: x["_hits"] > 0)).alias("x")).select("path", F.col("x._number").alias("line")).distinct()
+    # A report is read in order by one task, so later classes have larger numbers.
+    classes = rows.select(F.col("_filename").alias("path"), lines.alias("lines"), F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_path").alias("report"))
+    last = classes.groupBy("report", "path").agg(F.max_by("lines", "n").alias("lines"))
+    return last.select("path", F.explode(F.filter("lines", lambda x: x["_hits"] > 0)).alias("x")).select("path", F.col("x._number").alias("line")).distinct()
 
 
 EVIDENCE = ("schema string, run_id string, status string, revision string, provider string, started_at string, completed_at string, "
@@ -114,11 +119,11 @@ def work_paths(receipts: DataFrame) -> DataFrame:
 
 
 def diff_ranges(diff: DataFrame) -> DataFrame:
-    """(path, s, e) of the new side of hunk headers; pure deletions have none. ``diff``: path, text."""
+    """(path, s, e) of the new side of hunk headers, adjacent ones as one; pure deletions have none. ``diff``: path, text."""
     spans = diff.select("path", F.explode(F.split("text", "\n")).alias("l")).filter(F.col("l").startswith("@@"))
     start = F.regexp_extract("l", r"\+(\d+)", 1).cast("int")
     n = F.coalesce(F.nullif(F.regexp_extract("l", r"\+\d+,(\d+)", 1), F.lit("")).cast("int"), F.lit(1))
-    return spans.select("path", start.alias("s"), (start + n - 1).alias("e"), n.alias("n")).filter("n > 0").drop("n")
+    return coalesced(spans.select("path", start.alias("s"), (start + n - 1).alias("e"), n.alias("n")).filter("n > 0").drop("n"))
 
 
 def write_snapshot(frames: dict[str, DataFrame], root: str, version: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linkgrain import session
 from linkgrain.functions import ids, text
 from linkgrain.functions.lexing import declarations
-from linkgrain.operators import boundaries, change, evidence, extract, graph, index, reports, rules, search, structure, tasks
+from linkgrain.operators import boundaries, change, doctor, evidence, extract, graph, index, reports, rules, search, structure, tasks
 from linkgrain.plans import policy
 from linkgrain.sources import readers
 
@@ -399,3 +399,38 @@ def test_audit_bundle(spark):
     }
     made = json.loads(reports.bundle_json(bundle, "WORK-1").first().json)
     assert made["status"] == "fail" and [x["id"] for x in made["sections"]["tests"]] == ["test.a", "test.b"] and made["sections"]["implementations"][1]["excerpt"] == "two\nthree"
+
+
+def test_doctor_tells_stored_findings_and_renames(spark):
+    nodes = spark.createDataFrame([("impl.a", "new.py", "current", True), ("impl.b", "old.py", "stale_review_required", True), ("impl.c", "new.py", "current", True)], "trace_id string, path string, status string, active boolean")
+    edges = spark.createDataFrame([("impl.a", "work", "impl.b")], "f string, p string, t string")
+    stored = spark.createDataFrame([("TL003", "impl.a", "new.py", 3, "file"), ("TL040", None, "x.md", 1, "unknown k"), ("TL020", "REQ-1", "r.md", 1, None)], "rule string, trace_id string, path string, line int, detail string")
+    commits = spark.createDataFrame([("new.py", "old.py")], "path string, old_path string")
+    rows = doctor.ordered(doctor.examined(nodes, edges, spark.createDataFrame([], "trace_id string, path string, line int"), stored=stored, commits=commits)).collect()
+    assert [(r.rule, r.severity, r.trace_id, r.path, r.line, r.detail) for r in rows] == [
+        ("TL003", "WARNING", "impl.a", "new.py", 3, "file"), ("TL005", "INFO", "impl.b", "new.py", None, "renamed from old.py; candidate impl.a"), ("TL005", "INFO", "impl.b", "new.py", None, "renamed from old.py; candidate impl.c"),
+        ("TL040", "ERROR", None, "x.md", 1, "unknown k"), ("TL110", "INFO", "impl.b", "old.py", None, "review"),
+    ]
+
+
+def test_ranges_unite_and_last_classes_count(spark, tmp_path):
+    diff = "@@ -1 +1,3 @@\n@@ -5 +4,2 @@\n@@ -9 +20,0 @@\n@@ -30 +30 @@"
+    assert sorted((r.s, r.e) for r in readers.diff_ranges(spark.createDataFrame([("p", diff)], "path string, text string")).collect()) == [(1, 5), (30, 30)]
+    line = lambda n: f'<line number="{n}" hits="1"/>'
+    (tmp_path / "c.xml").write_text(f'<coverage><packages><package><classes><class filename="a.py"><lines>{line(1)}{line(2)}</lines></class><class filename="b.py"><lines>{line(7)}</lines></class><class filename="a.py"><lines>{line(3)}</lines></class></classes></package></packages></coverage>')
+    assert sorted((r.path, r.line) for r in readers.read_cobertura(spark, f"{tmp_path}/c.xml").collect()) == [("a.py", 3), ("b.py", 7)]
+
+
+def test_ignored_paths_are_not_scanned(spark, tmp_path):
+    for name in ("a.py", "b.py"):
+        (tmp_path / name).write_text("x = 1\n")
+    ignored = spark.createDataFrame([("b.py",)], "path string")
+    assert [r.path for r in readers.scan_files(spark, str(tmp_path), ignored=ignored).collect()] == ["a.py"]
+
+
+def test_an_audit_table_counts_with_one_known_result(spark, ctx):
+    table = lambda *x: spark.createDataFrame([(v,) for v in x], "schema string")
+    ctx.audit = table("other", None)
+    assert rules.audit_missing(ctx).count() == 1
+    ctx.audit = table("other", "x/audit-result/v1")
+    assert rules.audit_missing(ctx).count() == 0
