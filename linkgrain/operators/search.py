@@ -9,9 +9,12 @@ document has its generation, so readers see one state whole.
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from ..sources import snapshots
 
 K1, B = 1.2, 0.75
 BUCKETS = 64
+DOCS, SETS = 4096, 1 << 15
 PLAIN = r"^[A-Za-z0-9\s]+$"
 
 
@@ -95,6 +99,40 @@ def search(docs: DataFrame, columns: list[str], query: str, k: int = 20) -> Data
     return by_substring(docs, columns, query, k)
 
 
+def _best_of_block(k: int):
+    """The ``k`` best documents of a block for each set of words: (key, id, score, turn), ``turn`` the score to nine places."""
+
+    def best(rows: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(rows["id"].to_numpy(), return_inverse=True)
+        order = np.lexsort((at, rows["term"].to_numpy()))
+        terms, at, part = rows["term"].to_numpy()[order], at[order], rows["part"].to_numpy()[order]
+        edges = [0, *(np.flatnonzero(terms[1:] != terms[:-1]) + 1), len(terms)] if len(terms) else [0]
+        held = {terms[i]: (at[i:j], part[i:j]) for i, j in itertools.pairwise(edges)}
+        out = []
+        for key in sets["key"]:
+            own = [held.get(w) for w in key.split(" ")]
+            if any(x is None for x in own):
+                continue
+            docs = min((x[0] for x in own), key=len)
+            spots = [np.minimum(np.searchsorted(x[0], docs), len(x[0]) - 1) for x in own]
+            fits = np.logical_and.reduce([x[0][i] == docs for x, i in zip(own, spots, strict=True)])
+            if not fits.any():
+                continue
+            docs, score = docs[fits], np.zeros(int(fits.sum()))
+            for (_, parts), i in zip(own, spots, strict=True):
+                score = score - parts[i[fits]]
+            turn = -np.floor(-score * 1e9 + 0.5) / 1e9
+            if len(docs) > k:
+                near = np.flatnonzero(turn <= np.partition(turn, k - 1)[k - 1])
+                docs, score, turn = docs[near], score[near], turn[near]
+            first = np.lexsort((docs, turn))[:k]
+            out.append((key, docs[first], score[first], turn[first]))
+        made = lambda n, kind: np.concatenate([x[n] for x in out]) if out else np.array([], kind)
+        return pd.DataFrame({"key": np.repeat(np.array([x[0] for x in out], object), [len(x[1]) for x in out]), "id": ids[made(1, int)], "score": made(2, float), "turn": made(3, float)})
+
+    return best
+
+
 class StoredIndex:
     """An index of documents (id, columns of text) below ``root``."""
 
@@ -128,32 +166,36 @@ class StoredIndex:
     def best(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query, id, score, rank): the ``k`` best documents of each of ``queries`` (query, text) that hold all its words; smaller scores are better.
 
-        All queries are asked at once.  A query's documents are those of its
-        rarest word, which then meet its other words by document and term, so a
-        common word costs nothing where a rare one stands beside it.
+        Queries of the same words are asked once.  Blocks of documents meet blocks
+        of sets of words, with no more than DOCS documents and SETS sets each on
+        average; of a set's documents in a block, those of its rarest word that
+        hold the others, only the best ``k`` leave it.  Scores count to nine
+        places; ties go to the smaller id.
         """
-        words = queries.filter(F.col("text").rlike(PLAIN)).select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-        words = kept(words.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")), "query-words")
-        buckets = sorted(r["bucket"] for r in words.select("bucket").distinct().collect())  # at most BUCKETS
+        words = queries.filter(F.col("text").rlike(PLAIN)).select("query", F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("terms"))
+        words = kept(words.filter(F.size("terms") > 0).withColumn("key", F.array_join("terms", " ")), "query-words")
+        sets = words.select("key", "terms").distinct()
+        asked = sets.select(F.explode("terms").alias("term")).distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        buckets = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())  # at most BUCKETS
         empty = self.documents().select(F.lit(None).cast("string").alias("query"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
         if not buckets or k < 1:
             return empty.select(F.col("query").cast(queries.schema["query"].dataType), "id", "score", "rank")
-        met = self.postings(buckets).join(words.select("term").distinct(), "term", "left_semi")
-        met = kept(met, "query-postings")
+        met = kept(self.postings(buckets).join(asked.select("term"), "term", "left_semi"), "query-postings")
         df = met.groupBy("term").agg(F.count(F.lit(1)).alias("d"))
-        asked = words.select("query", "term").join(df, "term", "left").withColumn("d", F.coalesce("d", F.lit(0)))
-        per = asked.groupBy("query").agg(F.count(F.lit(1)).alias("words"), F.min(F.struct("d", "term")).alias("rarest")).filter("rarest.d > 0")
-        asked = asked.join(per, "query")
-        found = asked.filter("term = rarest.term").join(met, "term").select("query", "id", "words", "term", "d", "n")
-        rest = found.select("query", "id").join(asked.filter("term <> rarest.term").select("query", "term", "d", "words"), "query").join(met, ["id", "term"]).select("query", "id", "words", "term", "d", "n")
-        held = found.unionByName(rest).groupBy("query", "id", "words").agg(F.array_sort(F.collect_list(F.struct("term", "d", "n"))).alias("terms")).filter(F.size("terms") == F.col("words"))
         totals = self.documents().agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
-        rows = held.join(self.documents().select("id", "length"), "id").join(F.broadcast(totals))  # one row
-        idf = lambda x: F.greatest(F.lit(1e-6), F.log((F.col("docs") - x["d"] + 0.5) / (x["d"] + 0.5)))
-        part = lambda x: idf(x) * x["n"] * (K1 + 1) / (x["n"] + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-        score = F.aggregate("terms", F.lit(0.0), lambda a, x: a - part(x))
-        order = Window.partitionBy("query").orderBy("score", "id")
-        return rows.select("query", "id", score.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        rows = met.join(df, "term").join(self.documents().select("id", "length"), "id").join(F.broadcast(totals))  # one row
+        idf = F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col("d") + 0.5) / (F.col("d") + 0.5)))
+        part = idf * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        across, down = (df.count() // size + 1 for df, size in ((self.documents(), DOCS), (sets, SETS)))
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = rows.select("id", "term", part.alias("part"), block("id", across).alias("a"), every(down).alias("b"))
+        right = sets.select("key", block("key", down).alias("b"), every(across).alias("a"))
+        kind = self.documents().schema["id"].dataType.simpleString()
+        top = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(_best_of_block(k), f"key string, id {kind}, score double, turn double")
+        order = Window.partitionBy("key").orderBy("turn", "id")
+        top = top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return words.select("query", "key").join(top, "key").select("query", "id", "score", "rank")
 
     def found(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query, id, rank): ``best``, and for queries without any the documents that hold the whole query in a column, letter case aside, by id.
