@@ -13,15 +13,21 @@ from ..scratch import kept
 
 
 def names(paths: DataFrame, commits: DataFrame) -> DataFrame:
-    """(path, name) for each asked path: itself and all names it was renamed from; a round a rename."""
-    moves = commits.filter("old_path is not null").select(F.col("path").alias("name"), F.col("old_path").alias("older")).distinct()
-    known = fresh = kept(paths.select("path", F.col("path").alias("name")).distinct(), "names")
+    """(path, name) for each asked path: itself and all names it was renamed from.
+
+    ``moves`` lead over 1, 2, 4, ... renames and ``known`` holds the names over
+    fewer, so a chain of n renames takes about log2(n) rounds.
+    """
+    moves = kept(commits.filter("old_path is not null").select(F.col("path").alias("name"), F.col("old_path").alias("older")).distinct(), "moves")
+    known = kept(paths.select("path", F.col("path").alias("name")).distinct(), "names")
     while True:
-        older = fresh.join(moves, "name").select("path", F.col("older").alias("name")).distinct()
-        fresh = kept(older.join(known, ["path", "name"], "left_anti"), "names")
-        if fresh.isEmpty():
+        older = known.join(moves, "name").select("path", F.col("older").alias("name"))
+        more = kept(known.unionByName(older).distinct(), "names")
+        if more.count() == known.count():
             return known
-        known = known.unionByName(fresh)
+        known = more
+        further = moves.select(F.col("name").alias("older"), F.col("older").alias("oldest"))
+        moves = kept(moves.join(further, "older").select("name", F.col("oldest").alias("older")).distinct(), "moves")
 
 
 def file_history(paths: DataFrame, commits: DataFrame, most: int | None = None) -> DataFrame:
