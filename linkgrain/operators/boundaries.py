@@ -166,7 +166,7 @@ def _opener(language: Column) -> Column:
 def _directives(lines: DataFrame, marked: DataFrame, word: str) -> DataFrame:
     """Boundaries with each directive line that is theirs: the line above their first or that line itself."""
     near = marked.select("path", "name", "s", "language", F.explode(F.array(F.col("s") - 1, F.col("s"))).alias("line"))
-    hit = near.join(lines.filter(F.col("text").contains(word)), ["path", "line"])
+    hit = near.join(lines.filter(F.col("text").contains(word)).select("path", "line", "text").distinct(), ["path", "line"])
     return hit.filter(F.col("text").contains(_opener(F.col("language")))).select("path", "name", "s", "line", "text")
 
 
@@ -178,12 +178,26 @@ def exempt(marked: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def enclosing(marked: DataFrame) -> DataFrame:
-    """(path, name, s, parent, traced_by): the narrowest other boundary around each, ties to the earlier start, then the name."""
-    outer = marked.select("path", F.col("name").alias("parent"), F.col("s").alias("os"), F.col("e").alias("oe"), "traced_by", _buckets(F.col("s"), F.col("e")).alias("b"))
-    inner = marked.select("path", "name", "s", "e", F.floor(F.col("s") / BUCKET).cast("int").alias("b"))
-    hit = inner.join(outer, ["path", "b"]).filter("os <= s and oe >= e and not (parent = name and os = s and oe = e)")
-    best = hit.groupBy("path", "name", "s").agg(F.min_by(F.struct("parent", "traced_by", "os", "oe"), F.struct(F.col("oe") - F.col("os"), "os", "parent")).alias("m"))
-    return best.select("path", "name", "s", "m.parent", "m.traced_by", "m.os", "m.oe")
+    """(path, name, s, parent, traced_by): the narrowest other boundary around each, ties to the earlier start, then the name.
+
+    Boundaries of the same lines have another of them for parent; else the first
+    of the narrowest lines around, which are looked for once for all of them.
+    """
+    named = marked.filter("s <= e").groupBy("path", "s", "e", "name").agg(F.min("traced_by").alias("traced_by"))
+    same = kept(named.groupBy("path", "s", "e").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("name").alias("parent"), "traced_by"))), 1, 2).alias("first")), "boundaries")
+    outer = same.select("path", F.col("s").alias("os"), F.col("e").alias("oe"), _buckets(F.col("s"), F.col("e")).alias("b"))
+    inner = same.select("path", "s", "e", F.floor(F.col("s") / BUCKET).cast("int").alias("b"))
+    hit = inner.join(outer, ["path", "b"]).filter("os <= s and oe >= e and (os < s or oe > e)")
+    # Width, then start, as one number.
+    rank = (F.col("oe").cast("long") - F.col("os")) * (1 << 32) + F.col("os") + (1 << 31)
+    around = hit.groupBy("path", "s", "e").agg(F.min(rank).alias("k")).withColumn("os", (F.pmod("k", F.lit(1 << 32)) - (1 << 31)).cast("int"))
+    around = around.withColumn("oe", (F.col("os") + F.floor(F.col("k") / F.lit(1 << 32))).cast("int"))
+    around = around.join(same.select("path", F.col("s").alias("os"), F.col("e").alias("oe"), F.col("first")[0].alias("next")), ["path", "os", "oe"]).select("path", "s", "e", "os", "oe", "next")
+    rows = marked.select("path", "name", "s", "e").join(same.join(around, ["path", "s", "e"], "left"), ["path", "s", "e"])
+    own = F.get(F.filter("first", lambda x: x["parent"] != F.col("name")), F.lit(0))
+    out = lambda x, s, e: F.when(x.isNotNull(), F.struct((e - s).alias("width"), s.alias("os"), x["parent"].alias("parent"), x["traced_by"].alias("traced_by"), e.alias("oe")))
+    rows = rows.withColumn("m", F.coalesce(out(own, F.col("s"), F.col("e")), out(F.col("next"), F.col("os"), F.col("oe")))).filter("m is not null")
+    return rows.groupBy("path", "name", "s").agg(F.min("m").alias("m")).select("path", "name", "s", "m.parent", "m.traced_by", "m.os", "m.oe")
 
 
 def inheriting(marked: DataFrame, lines: DataFrame, nodes: DataFrame) -> DataFrame:
