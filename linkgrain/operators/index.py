@@ -78,7 +78,7 @@ def declared(files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame
 
 def structural(nodes: DataFrame) -> DataFrame:
     """``contains`` edges from each node to those whose lines lie within its own."""
-    spans = nodes.filter("active and s is not null and e is not null").select("path", F.col("trace_id").alias("id"), "s", "e")
+    spans = nodes.filter("active and s is not null and e is not null").select("path", F.col("trace_id").alias("id"), "s", "e").distinct()
     none = F.lit(None)
     return containment(spans).select(F.col("outer").alias("f"), F.lit("contains").alias("p"), F.col("inner").alias("t"), F.lit("structural").alias("kind"), F.lit("active").alias("status"), none.cast("string").alias("path"), none.cast("int").alias("line"))
 
@@ -151,6 +151,7 @@ def run(files: DataFrame, symbols: DataFrame, previous: Index | None = None, cha
         versions = recorded_versions(previous.versions, versions)
         found = merged_findings(previous.findings, found, changed_paths)
     merged = kept(merged, "merged")
-    links = kept(links.unionByName(structural(merged)).distinct(), "links")
+    links = kept(links.distinct(), "links")
     altered = altered_ids(merged.filter("fingerprint is not null"), previous.versions) if previous is not None else merged.select("trace_id").limit(0)
-    return Index(staleness(merged, links, altered), links, versions, found.unionByName(lost_targets(merged, links)).distinct())
+    # Structural edges, which may be many more than all others, make nothing stale and lose no target, so only who reads the edges derives them.
+    return Index(staleness(merged, links, altered), links.unionByName(structural(merged)), versions, found.unionByName(lost_targets(merged, links)).distinct())
