@@ -99,6 +99,14 @@ def search(docs: DataFrame, columns: list[str], query: str, k: int = 20) -> Data
     return by_substring(docs, columns, query, k)
 
 
+def _counted(w):
+    """Words in order as (term, n), each once: where each begins, up to where the next does."""
+    begins = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.element_at(w, i) != F.element_at(w, F.greatest(i - 1, F.lit(1)))))
+    ends = F.concat(F.slice(begins, 2, F.size(w)), F.array(F.size(w) + 1))
+    counted = F.zip_with(begins, ends, lambda i, j: F.struct(F.element_at(w, i).alias("term"), (j - i).cast("long").alias("n")))
+    return F.when(F.size(w) > 0, counted)
+
+
 def _best_of_block(k: int):
     """The ``k`` best documents of a block for each set of words: (key, id, score, turn), ``turn`` the score to nine places."""
 
@@ -142,11 +150,14 @@ class StoredIndex:
     def update(self, docs: DataFrame, removed: DataFrame | None = None) -> int:
         """Puts ``docs`` in place of those with their ids, and takes ``removed`` (id) out; the first call builds the index."""
         base, _ = snapshots.current(self.spark, self.root)
-        terms, lengths = postings(docs, self.columns)
+        words = docs.select("id", F.array_sort(tokens(F.concat_ws(" ", *self.columns))).alias("w"))
+        lengths = words.select("id", F.size("w").alias("length"))
         generation = f"{base + 1}-{uuid.uuid4().hex}"
         where = f"{self.root}/postings/generation={generation}"
-        terms = terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        terms.repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(where)
+        # A document's words are counted where they are and dealt by bucket once.
+        terms = words.select("id", F.explode(_counted(F.col("w"))).alias("x")).select("id", "x.term", "x.n").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        terms = terms.repartition("bucket").groupBy("bucket", "id", "term").agg(F.sum("n").alias("n")).select("id", "term", "n", "bucket")
+        terms.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(where)
         shown = docs.select("id", F.concat_ws("\n", *self.columns).alias("shown"))
         now = lengths.join(shown, "id").withColumn("generation", F.lit(generation))
         if base:
