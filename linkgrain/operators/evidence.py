@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import kept
 from .rules import latest_run, proof_levels  # noqa: F401
 from .structure import BUCKET, _buckets, covered_lines
 
@@ -59,12 +60,23 @@ def per_test_edges(contexts: DataFrame, implementations: DataFrame) -> DataFrame
 
 
 def linked_tests(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(impl, test): the tests that verify a requirement which an implementation satisfies, or that exercise it; those that are nodes."""
+    """(impl, test): the tests that verify a requirement which an implementation satisfies, or that exercise it; those that are nodes.
+
+    A pair can only come again where implementation and test both have several
+    requirements; only those pairs are gathered, the others go out as they meet.
+    A pair that exercises is asked by its ends' requirements whether it met.
+    """
     own = nodes.filter("node_type = 'implementation'").select(F.col("trace_id").alias("impl"))
-    reqs = edges.filter("p = 'satisfies'").select(F.col("f").alias("impl"), F.col("t").alias("req")).distinct()
-    verify = edges.filter("p = 'verifies'").select(F.col("f").alias("test"), F.col("t").alias("req")).distinct()
-    pairs = reqs.join(verify, "req").select("impl", "test").unionByName(edges.filter("p = 'exercises'").select(F.col("t").alias("impl"), F.col("f").alias("test")))
-    return pairs.join(own, "impl", "left_semi").join(nodes.select(F.col("trace_id").alias("test")), "test", "left_semi").select("impl", "test").distinct()
+    there = nodes.select(F.col("trace_id").alias("test"))
+    reqs = edges.filter("p = 'satisfies' and t is not null").select(F.col("f").alias("impl"), F.col("t").alias("req")).join(own, "impl", "left_semi").groupBy("impl").agg(F.collect_set("req").alias("reqs"))
+    verify = edges.filter("p = 'verifies' and t is not null").select(F.col("f").alias("test"), F.col("t").alias("req")).join(there, "test", "left_semi").groupBy("test").agg(F.collect_set("req").alias("verified"))
+    reqs, verify = kept(reqs, "satisfied"), kept(verify, "verified")
+    each = lambda rows, key, of: rows.select(key, F.explode(of).alias("req"), (F.size(of) > 1).alias(f"{key}_many"))
+    met = each(reqs, "impl", "reqs").join(each(verify, "test", "verified"), "req")
+    again = F.col("impl_many") & F.col("test_many")
+    exercises = edges.filter("p = 'exercises'").select(F.col("t").alias("impl"), F.col("f").alias("test")).distinct().join(own, "impl", "left_semi").join(there, "test", "left_semi")
+    exercises = exercises.join(reqs, "impl", "left").join(verify, "test", "left").filter(~F.coalesce(F.arrays_overlap("reqs", "verified"), F.lit(False)))
+    return met.filter(~again).select("impl", "test").unionByName(met.filter(again).select("impl", "test").distinct()).unionByName(exercises.select("impl", "test"))
 
 
 def context_lines(bits: DataFrame) -> DataFrame:
