@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import slug
+from ..scratch import kept
 from .reports import request_tokens
 from .rules import live
 
@@ -164,7 +165,10 @@ def resolved(prompts: DataFrame, work: DataFrame, hits: DataFrame | None = None)
     smaller id.
 
     A request meets work items that share a word, a hit or a branch word, and the
-    one that is best without any: no other can win.
+    one that is best without any: no other can win.  Of work items with the same
+    words only one can win by them, that of the largest base and then the
+    smallest id, so pairs grow with the different words, not with the work items;
+    likewise of those whose ids share a word with the branch.
     """
     active = F.col("active") if "active" in prompts.columns else F.lit(None).cast("string")
     low = F.lower("text")
@@ -177,17 +181,25 @@ def resolved(prompts: DataFrame, work: DataFrame, hits: DataFrame | None = None)
         "trace_id", request_tokens(title).alias("title"), F.array_union(request_tokens(title), request_tokens(F.col("trace_id"))).alias("names"), request_tokens(F.coalesce("boundary", F.lit(""))).alias("boundary"),
         F.transform("reqs", lambda r: request_tokens(F.coalesce(r["title"], r["id"]))).alias("reqs"), F.array_append(F.transform("reqs", lambda r: r["id"]), F.col("trace_id")).alias("ids"), base.alias("base"), "changed", "recent", (F.coalesce("status", F.lit("")) == "active").alias("open"),
     )
-    words = w.select("trace_id", F.explode(F.array_distinct(F.concat("title", "boundary", F.flatten("reqs")))).alias("word"))
-    pairs = asked.select("prompt", F.explode("want").alias("word")).join(words, "word").select("prompt", "trace_id")
-    pairs = pairs.unionByName(asked.select("prompt", F.explode("on").alias("word")).join(w.select("trace_id", F.explode("names").alias("word")), "word").select("prompt", "trace_id"))
+    same = ["title", "boundary", "reqs"]
+    first = F.min_by("trace_id", F.struct(-F.col("base"), F.col("trace_id"))).alias("trace_id")
+    # Written, so that their size is known: where they are few, they go to the requests.
+    of_words = kept(w.groupBy(*same).agg(first).select("trace_id", F.explode(F.array_distinct(F.concat("title", "boundary", F.flatten("reqs")))).alias("word")), "words")
+    named = w.select("trace_id", "base", *same, F.explode("names").alias("word"))
+    asked_on = kept(asked.select(F.explode("on").alias("word")).distinct(), "branch-words")
+    of_names = kept(named.join(asked_on, "word", "left_semi").groupBy("word", *same).agg(first).select("trace_id", "word"), "names")
+    pairs = asked.select("prompt", F.explode("want").alias("word")).join(of_words, "word").select("prompt", "trace_id")
+    pairs = pairs.unionByName(asked.select("prompt", F.explode("on").alias("word")).join(of_names, "word").select("prompt", "trace_id"))
     found = None
     if hits is not None:
         by_id = w.select("trace_id", F.explode("ids").alias("hit"))
-        found = hits.select("prompt", F.col("trace_id").alias("hit")).join(by_id, "hit").select("prompt", "trace_id").distinct()
+        found = kept(hits.select("prompt", F.col("trace_id").alias("hit")).join(by_id, "hit").select("prompt", "trace_id").distinct(), "found")
         pairs = pairs.unionByName(found)
-    quiet = w.orderBy(F.col("base").desc(), "trace_id").limit(1).select("trace_id")
-    pairs = pairs.unionByName(asked.select("prompt").join(F.broadcast(quiet))).distinct()  # one row
-    rows = pairs.join(asked, "prompt").join(w, "trace_id")
+    # Very many requests may meet one work item: what they meet goes to them where it is small, and the quiet one always.
+    met = of_words.select("trace_id").unionByName(of_names.select("trace_id"))
+    met = kept(w.join((met if found is None else met.unionByName(found.select("trace_id"))).distinct(), "trace_id", "left_semi"), "met")
+    quiet = w.orderBy(F.col("base").desc(), "trace_id").limit(1)
+    rows = pairs.distinct().join(asked, "prompt").join(met, "trace_id").unionByName(asked.crossJoin(F.broadcast(quiet)))  # one row
     rows = rows.join(found.withColumn("hit", F.lit(0.6)), ["prompt", "trace_id"], "left") if found is not None else rows.withColumn("hit", F.lit(0.0))
     n = F.size("want")
     score = 2.0 * F.size(F.array_intersect("want", "title")) / n + 0.5 * F.size(F.array_intersect("want", "boundary")) / n
