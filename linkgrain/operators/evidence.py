@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import kept
 from .rules import latest_run, proof_levels  # noqa: F401
 from .structure import BUCKET, _buckets, covered_lines
 
+#: Lines whose coverage is one whole number.
+CELL = 64
+
 
 def latest_outcomes(results: DataFrame, runs: DataFrame) -> DataFrame:
     """(fid, outcome, run_id) by the latest ``coalesce(started_at, run_id)`` as text, then run id.
@@ -96,16 +99,37 @@ def context_lines(bits: DataFrame) -> DataFrame:
 
 
 def context_edges(runs: DataFrame, implementations: DataFrame) -> DataFrame:
-    """Per-test evidence (test, impl, hits): the lines of each test's runs (test, path, s, e) that lie in implementation spans (path, id, s, e), each line once."""
-    from .structure import coalesced
+    """Per-test evidence (test, impl, hits): the lines of each test's runs (test, path, s, e) that lie in implementation spans (path, id, s, e), each line once.
 
-    own = coalesced(runs.withColumn("key", F.struct("test", "path")).select("key", "s", "e"), "key").select("key.test", "key.path", F.col("s").alias("rs"), F.col("e").alias("re"))
-    covered = implementations.select("path", "id", "s", "e", _buckets(F.col("s"), F.col("e")).alias("b"))
-    at = own.select("test", "path", "rs", "re", _buckets(F.col("rs"), F.col("re")).alias("b"))
-    # A pair that meets in several buckets counts in the first that both are in.
-    hit = at.join(covered, ["path", "b"]).filter("rs <= e and s <= re").filter(F.col("b") == F.floor(F.greatest("rs", "s") / BUCKET))
-    shared = F.least("re", "e") - F.greatest("rs", "s") + 1
-    return hit.groupBy("test", F.col("id").alias("impl")).agg(F.sum(shared.cast("long")).alias("hits"))
+    Lines are bits of cells of 64.  A test's cells of a path stay together in
+    each of its rows, so that a pair is counted whole where it first meets and no
+    pair is gathered; only implementations with several spans are.
+    """
+    held = runs.filter("s <= e").select("test", "path", "s", "e", F.explode(F.sequence(F.floor(F.col("s") / CELL), F.floor(F.col("e") / CELL))).alias("cell"))
+    held = held.groupBy("test", "path", "cell").agg(F.bit_or(_bits(F.col("s"), F.col("e"), F.col("cell"))).alias("bits"))
+    cells = held.groupBy("test", "path").agg(F.collect_list(F.struct("cell", "bits")).alias("cells"))
+    at = cells.select("test", "path", "cells", F.inline("cells"))
+    spans = implementations.filter("s <= e").groupBy("id").agg(F.collect_list(F.struct("path", "s", "e")).alias("spans"))
+    spans = spans.select("id", (F.size("spans") > 1).alias("several"), F.inline("spans"))
+    spans = spans.groupBy("path", "s", "e", "several").agg(F.collect_list("id").alias("ids"))
+    covered = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / CELL), F.floor(F.col("e") / CELL))))
+    hit = at.join(covered, ["path", "cell"])
+    hit = hit.filter(F.col("bits").bitwiseAND(_bits(F.col("s"), F.col("e"), F.col("cell"))) != 0)
+    shared = lambda c: F.bit_count(c["bits"].bitwiseAND(_bits(F.col("s"), F.col("e"), c["cell"]))).cast("long")
+    wide = (F.size("cells") > 1) & (F.floor(F.col("s") / CELL) < F.floor(F.col("e") / CELL))
+    own = F.bit_count(F.col("bits").bitwiseAND(_bits(F.col("s"), F.col("e"), F.col("cell")))).cast("long")
+    within = F.filter("cells", lambda c: (c["cell"] >= F.floor(F.col("s") / CELL)) & (c["cell"] <= F.floor(F.col("e") / CELL)) & (shared(c) > 0))
+    first = ~wide | ~F.exists(within, lambda c: c["cell"] < F.col("cell"))
+    hits = F.when(wide, F.aggregate(within, F.lit(0).cast("long"), lambda n, c: n + shared(c))).otherwise(own)
+    rows = hit.filter(first).select("test", "ids", "several", hits.alias("hits"))
+    each = lambda x: x.select("test", F.explode("ids").alias("impl"), "hits")
+    return each(rows.filter("not several")).unionByName(each(rows.filter("several")).groupBy("test", "impl").agg(F.sum("hits").alias("hits")))
+
+
+def _bits(start: Column, end: Column, cell: Column) -> Column:
+    """The lines ``start`` to ``end`` of a cell as bits; all bits if they go beyond it on both sides."""
+    low, high = F.greatest(start - cell * CELL, F.lit(0)), F.least(end - cell * CELL, F.lit(CELL - 1))
+    return F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (CELL - 1 - (high - low)).cast("int")), low.cast("int"))
 
 
 def verification_rows(nodes: DataFrame, edges: DataFrame, outcomes: DataFrame, executions: DataFrame) -> DataFrame:
