@@ -6,6 +6,8 @@ id of the marker that is attached to it, or null.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ COMMENTS = {"python": "#", "yaml": "#", "toml": "#", "go": "//", "rust": "//", "
 # Line beginnings that may stand between a marker and what it is attached to.
 GAPS = {"python": ("#", "@"), "yaml": ("#",), "toml": ("#",), "markdown": ("<!--",)} | dict.fromkeys(("go", "rust", "java", "typescript", "javascript"), ("//", "/*", "*"))
 MAX_GAP = 3
+MAX_BELOW = 6
 CODE = ("function", "method", "class", "constructor", "struct", "enum", "interface", "trait", "impl", "type_alias")
 REASON = r"reason=\s*\S"
 
@@ -35,15 +38,20 @@ def numbered_lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(tx.lines(F.col("text"))).alias("n", "text")).select("path", (F.col("n") + 1).alias("line"), "text")
 
 
-def of_files(files: DataFrame) -> DataFrame:
+def of_files(files: DataFrame, asked: bool = False) -> DataFrame:
     """Boundaries of ``files`` (path, language, text): path, language, name, kind, s, e, fingerprint.
 
+    If ``asked``, also what the lines near each say (``_told``): the parsers give
+    these lines of code and headings with the boundary, so no text is dealt out.
+
     Code and headings come from the parsers, with the fingerprint of their lines.
     YAML and TOML have the keys that are indented like the first one, JSON its
     top-level keys, each with its line.
     """
-    parsed = read_symbols(files.filter(~F.coalesce("language", F.lit("")).isin("yaml", "toml", "json"))).filter(F.col("kind").isin(*CODE, "heading"))
-    parsed = parsed.join(files.select("path", "language"), "path").select("path", "language", "name", "kind", "s", "e", F.col("block").alias("fingerprint"))
+    below = lambda language: (-MAX_GAP, MAX_BELOW if language == "markdown" else 0)
+    none = lambda language: (0, -1)
+    parsed = read_symbols(files.filter(~F.coalesce("language", F.lit("")).isin("yaml", "toml", "json")), below if asked else none).filter(F.col("kind").isin(*CODE, "heading"))
+    parsed = parsed.filter("path is not null").withColumn("fingerprint", F.col("block"))
     plain = files.filter(F.col("language").isin("yaml", "toml"))
     rows = numbered_lines(plain).withColumn("t", F.trim("text")).filter(F.col("t").rlike("[:=]") & ~F.col("t").rlike(r"^(?:#|//|\[|---)"))
     rows = rows.withColumn("indent", F.length("text") - F.length(F.ltrim("text")))
@@ -56,7 +64,20 @@ def of_files(files: DataFrame) -> DataFrame:
     line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
     json = json.withColumn("s", line.cast("int")).withColumn("own", F.get(tx.lines(F.col("text")), F.col("s") - 1))
     json = json.select("path", "language", "name", F.lit("key").alias("kind"), "s", F.col("s").alias("e"), tx.fingerprint(F.col("own")).alias("fingerprint"))
-    return parsed.unionByName(keys).unionByName(json)
+    keys = keys.unionByName(json)
+    columns = ["path", "language", "name", "kind", "s", "e", "fingerprint"]
+    if not asked:
+        return parsed.select(columns).unionByName(keys)
+    parsed = parsed.withColumn("window", F.map_from_arrays(F.sequence(F.lit(-MAX_GAP), F.size("near") - MAX_GAP - 1), F.col("near")))
+    keys = windowed(keys, numbered_lines(files.filter(F.col("language").isin("yaml", "toml", "json"))))
+    return _told(parsed.select(*columns, "window").unionByName(keys.select(*columns, "window")))
+
+
+def _told(bounds: DataFrame) -> DataFrame:
+    """Windowed ``bounds`` with what their lines say in place of these: ``own``, whether they are traced by themselves, ``target``, the id that they ask to inherit from, and ``marker``, the id attached to them."""
+    first = F.regexp_extract("name", r"^(\S+)", 1)
+    is_node = (F.col("language") == "markdown") & first.rlike(ID_PATTERN) & type_of(first).isNotNull()
+    return bounds.withColumns({"own": F.coalesce(_attached() | _exempted() | is_node, F.lit(False)), "target": _asked_parent(), "marker": attached_id()}).drop("window")
 
 
 def _at(offset: int) -> Column:
@@ -66,7 +87,7 @@ def _at(offset: int) -> Column:
 
 def windowed(bounds: DataFrame, lines: DataFrame) -> DataFrame:
     """``bounds`` with ``window``: the lines near their first by offset, those that markers and directives can stand on."""
-    asked = bounds.select("path", "name", "s", F.explode(F.sequence(F.lit(-MAX_GAP), F.lit(6))).alias("offset")).distinct()
+    asked = bounds.select("path", "name", "s", F.explode(F.sequence(F.lit(-MAX_GAP), F.lit(MAX_BELOW))).alias("offset")).distinct()
     met = asked.withColumn("line", F.col("s") + F.col("offset")).join(lines.select("path", "line", "text"), ["path", "line"])
     near = met.groupBy("path", "name", "s").agg(F.map_from_entries(F.collect_list(F.struct("offset", "text"))).alias("window"))
     return bounds.join(near, ["path", "name", "s"], "left").withColumn("window", F.coalesce("window", F.expr("cast(map() as map<int, string>)")))
@@ -76,11 +97,9 @@ def _free(offset: int) -> Column:
     """Whether a line may stand between a marker and its boundary."""
     t = F.trim(_at(offset))
     starts = F.lit(False)
-    for language, prefixes in GAPS.items():
-        fits = F.lit(False)
-        for p in prefixes:
-            fits = fits | t.startswith(p)
-        starts = starts | ((F.col("language") == language) & fits)
+    for prefixes in dict.fromkeys(GAPS.values()):
+        own = F.col("language").isin(*[k for k, v in GAPS.items() if v == prefixes])
+        starts = starts | (own & t.rlike("^(?:" + "|".join(map(re.escape, prefixes)) + ")"))
     return (t == "") | starts
 
 
@@ -135,23 +154,14 @@ def untraced_changes(now: DataFrame, before: DataFrame, nodes: DataFrame, sideca
     changed boundaries are asked whether they are traced: by a marker attached
     to them, an exemption with a reason, a heading that is a node, a sidecar
     entry, or inheritance from the marker on the narrowest boundary around them.
-    The lines near them come in one join by path and line.
+    Both texts are read once; ``nodes`` only if a boundary asks to inherit.
     """
-    present = kept(of_files(now), "boundaries")
     then = of_files(before).groupBy("path", "name").agg(F.max_by("fingerprint", F.struct("s", "e")).alias("fingerprint"))
-    states = boundary_changes(present.select("path", "name", "kind", "fingerprint").distinct(), then).select("path", "name", "kind", "state", "fingerprint")
-    keys = ["path", "name", "kind", "fingerprint"]
-    rows = present.join(states, keys)
-    altered = windowed(rows.filter("state <> 'unchanged'"), numbered_lines(now))
-    first = F.regexp_extract("name", r"^(\S+)", 1)
-    is_node = (F.col("language") == "markdown") & first.rlike(ID_PATTERN) & type_of(first).isNotNull()
-    altered = kept(altered.select("path", "name", "kind", "language", "s", "e", F.coalesce(_attached() | _exempted() | is_node, F.lit(False)).alias("own"), _asked_parent().alias("target")), "altered")
-    asked = altered.filter("target is not null and not own").join(nodes.filter("active").select("path", F.col("trace_id").alias("target")).distinct(), ["path", "target"], "left_semi")
-    parents = enclosing(present.join(asked.select("path").distinct(), "path", "left_semi").withColumn("traced_by", F.col("kind")))
-    parents = asked.join(parents.select("path", "name", "s", "parent", "os", "oe"), ["path", "name", "s"])
-    around = windowed(parents.select("path", "language", F.col("parent").alias("name"), F.col("os").alias("s"), "oe").distinct(), numbered_lines(now)).select("path", F.col("name").alias("parent"), F.col("s").alias("os"), attached_id().alias("target"))
-    inherited = parents.join(around, ["path", "parent", "os", "target"], "left_semi").select("path", "name", "s", F.lit(True).alias("inherits")).distinct()
-    out = altered.join(inherited, ["path", "name", "s"], "left")
+    rows = kept(boundary_changes(of_files(now, asked=True), then), "boundaries")
+    altered = rows.filter("state <> 'unchanged'")
+    asked = altered.filter("target is not null and not own")
+    inherited = None if asked.isEmpty() else _inherited(rows, asked, nodes)
+    out = altered.withColumn("inherits", F.lit(False)) if inherited is None else altered.join(inherited, ["path", "name", "s"], "left")
     if sidecars is not None:
         out = out.join(in_sidecars(altered.filter("language = 'json'"), sidecars).distinct().withColumn("beside", F.lit(True)), ["path", "name", "s"], "left")
     traced = F.col("own") | F.coalesce("inherits", F.lit(False)) | (F.coalesce("beside", F.lit(False)) if sidecars is not None else F.lit(False))
@@ -159,6 +169,17 @@ def untraced_changes(now: DataFrame, before: DataFrame, nodes: DataFrame, sideca
     return changed.unionByName(rows.filter("state = 'unchanged'").select("path", "name", "kind", F.col("s").alias("line"), F.lit(False).alias("changed"), F.lit(None).cast("boolean").alias("traced")))
 
 
+def _inherited(present: DataFrame, asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path, name, s, inherits) of the boundaries ``asked`` whose target is an active node of their file and the marker on the narrowest of ``present`` around them."""
+    wanted = asked.select("path", "target").distinct()
+    there = nodes.filter("active").select("path", F.col("trace_id").alias("target")).join(wanted, ["path", "target"], "left_semi")
+    asked = asked.join(there, ["path", "target"], "left_semi")
+    parents = enclosing(present.join(asked.select("path").distinct(), "path", "left_semi").withColumn("traced_by", F.col("kind")))
+    parents = asked.join(parents.select("path", "name", "s", "parent", "os", "oe"), ["path", "name", "s"])
+    around = present.select("path", F.col("name").alias("parent"), F.col("s").alias("os"), F.col("marker").alias("target"))
+    return parents.join(around, ["path", "parent", "os", "target"], "left_semi").select("path", "name", "s", F.lit(True).alias("inherits")).distinct()
+
+
 def _opener(language: Column) -> Column:
     return F.coalesce(*[F.when(language == k, v) for k, v in COMMENTS.items()])
 

@@ -217,6 +217,7 @@ def python_symbols(text: str) -> list[tuple[str, str, int, int, str]]:
 
 
 SYMBOLS = "path string, kind string, name string, s int, e int, hash string, parser string, block string"
+NEAR = ", language string, near array<string>"
 
 
 def _block_hash(lines: list[str], s: int, e: int) -> str:
@@ -228,6 +229,12 @@ def _block_hash(lines: list[str], s: int, e: int) -> str:
     return hashlib.sha256("\n".join(own[first:]).encode("utf-8", "replace")).hexdigest()
 
 
+def _around(text: str, first: int, last: int):
+    """The lines of ``tx.lines`` at the offsets from a line, null beyond the text."""
+    lines = text.splitlines()
+    return lambda s: [lines[k - 1] if 0 < k <= len(lines) else None for k in range(s + first, s + last + 1)]
+
+
 def _tokens_of(language: str):
     return lambda text: [(*x, "tokens") for x in declarations(text, language)]
 
@@ -246,26 +253,31 @@ def register(language: str, parser) -> None:
     PARSERS[language] = parser
 
 
-def symbols(files: DataFrame) -> DataFrame:
+def symbols(files: DataFrame, near=None) -> DataFrame:
     """Symbols and sections of ``files`` (path, language, text); ``parser`` says what read them.
 
     ``name`` holds the names of what encloses a symbol; ``qualified`` the
     module's before them.  ``hash`` does not change with the layout of a symbol's
-    code, ``block`` does: it is the fingerprint of its lines.
+    code, ``block`` does: it is the fingerprint of its lines.  With ``near``, which
+    gives a language's first and last offset, also ``language`` and ``near``: the
+    lines at these offsets from a symbol's first, null beyond the file.
     """
     parsers = dict(PARSERS)
+    more = ["language", "near"] if near else []
 
     def run(frames):
         for frame in frames:
             rows = []
             for path, language, text in frame[["path", "language", "text"]].itertuples(index=False):
-                if language in parsers:
-                    lines = re.split("\r\n|\r|\n", text or "")
-                    rows += [(path, *x, _block_hash(lines, x[2], x[3])) for x in parsers[language](text or "")]
-            yield pd.DataFrame(rows, columns=["path", "kind", "name", "s", "e", "hash", "parser", "block"])
+                found = parsers[language](text or "") if language in parsers else []
+                if found:
+                    lines = re.split("\r\n|\r|\n", text) if "\r" in text else text.split("\n")
+                    around = _around(text, *near(language)) if near else None
+                    rows += [(path, *x, _block_hash(lines, x[2], x[3]), *((language, around(x[2])) if near else ())) for x in found]
+            yield pd.DataFrame(rows, columns=["path", "kind", "name", "s", "e", "hash", "parser", "block", *more])
 
     module = F.translate(F.regexp_replace("path", r"(?<=[^/.])[.][^./]*$", ""), "/", ".")
-    return files.select("path", "language", "text").mapInPandas(run, SYMBOLS).withColumn("qualified", F.concat(module, F.lit("."), "name"))
+    return files.select("path", "language", "text").mapInPandas(run, SYMBOLS + (NEAR if near else "")).withColumn("qualified", F.concat(module, F.lit("."), "name"))
 
 
 BLOCKS = "path string, trace_id string, node_type string, title string, s int, e int, body string, edges array<struct<p: string, t: string>>"

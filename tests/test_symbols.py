@@ -162,3 +162,17 @@ def test_changed_boundaries_from_texts(spark):
     ctx = rules.Context(nodes, spark.createDataFrame([], "f string, p string, t string"), boundaries=boundaries.untraced_changes(table(NOW), table(BEFORE), nodes, cars), exclusions=["c.*"])
     assert sorted((r.path, r.line) for r in rules.untraced_boundary(ctx).collect()) == [("a.py", 7), ("a.py", 17), ("a.py", 25), ("b.go", 10), ("f.json", 2)]
     assert boundaries.untraced_changes(table(NOW).limit(0), table(BEFORE), nodes).count() == 0
+
+
+def test_texts_are_read_once_and_nodes_only_if_a_boundary_asks_for_them(spark):
+    reads = spark.sparkContext.accumulator(0)
+    code = spark.createDataFrame([(f"{n}.go", "go", f"// trace:v1 id=impl.{n}\f\n\n\nfunc F() {{\n\n}}\nfunc G() {{}}\n") for n in range(3)], "path string, language string, text string")
+    now = code.withColumn("text", F.udf(lambda text: reads.add(1) or text, "string")("text"))
+    nodes = spark.range(3).select(F.lit("x").alias("trace_id"), F.concat("id", F.lit(".go")).alias("path"), F.expr("raise_error('read')").cast("boolean").alias("active"))
+    rows = boundaries.untraced_changes(now, code.filter("path = '0.go'"), nodes).collect()
+    assert sorted(rows) == [("0.go", n, "function", s, False, None) for n, s in (("F", 4), ("G", 7))] + [(f"{k}.go", n, "function", s, True, n == "F") for k in (1, 2) for n, s in (("F", 4), ("G", 7))]
+    assert reads.value == 3
+
+
+def test_template_that_ends_in_a_backslash():
+    assert [x.name for x in declarations("function a() { return 1 }\nconst b = `\\", "typescript")] == ["a"]
