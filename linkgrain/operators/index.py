@@ -19,7 +19,7 @@ from .change import carried, recorded_findings, recorded_versions, staleness
 from .change import changed as altered_ids
 from .extract import marker_lines, parsed_markers
 from .rules import findings
-from .structure import containment, following, narrowest
+from .structure import containment, following_at, narrowest_at
 
 WITHIN = 3
 
@@ -39,23 +39,22 @@ class Index:
 
 
 def attached(markers: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """``markers`` (path, line, ...) with what each is attached to: s, e, hash, parser, and ``attachment``.
+    """``markers`` (path, line, ...) with what each is attached to among the stored ``symbols``: s, e, hash, parser, and ``attachment``.
 
     A marker in a symbol is its narrowest symbol's; else the symbol's that follows
     with at most WITHIN lines of comments, decorators or blanks between, which is
     ``ambiguous`` if more are eligible; else the file's.
     """
-    keyed = markers.withColumn("marker", F.concat_ws("\0", "path", "line"))
-    points = keyed.select("path", "line", F.col("marker").alias("point"))
-    inside = narrowest(points, symbols).select(F.col("point").alias("marker"), F.col("id").alias("inside"))
-    lines = files.join(points.select("path").distinct(), "path", "left_semi").select("path", F.posexplode(tx.lines(F.col("text"))).alias("n", "l"))
+    at = markers.select("path", "line").distinct()
+    inside = narrowest_at(at, symbols).withColumnRenamed("id", "inside")
+    lines = files.join(at.select("path").distinct(), "path", "left_semi").select("path", F.posexplode(tx.lines(F.col("text"))).alias("n", "l"))
     lines = lines.select("path", (F.col("n") + 1).alias("line"), F.trim("l").rlike(r"^(?:$|#|//|/\*|\*|<!--|--|@|;|%)").alias("skippable"))
-    after = following(points.withColumnRenamed("point", "marker"), symbols, lines, WITHIN).select("marker", F.col("id").alias("after"), "ambiguous")
-    rows = keyed.join(inside, "marker", "left").join(after, "marker", "left")
+    after = following_at(at, symbols, lines, WITHIN).withColumnRenamed("id", "after")
+    rows = markers.join(inside, ["path", "line"], "left").join(after, ["path", "line"], "left")
     how = F.when(F.col("inside").isNotNull(), "symbol").when(F.col("ambiguous"), "ambiguous").when(F.col("after").isNotNull(), "symbol").otherwise("file")
     rows = rows.withColumn("attachment", how).withColumn("id", F.coalesce("inside", "after"))
     own = symbols.select("path", "id", "s", "e", "hash", "parser").dropDuplicates(["path", "id"])
-    return rows.join(own, ["path", "id"], "left").drop("marker", "inside", "after", "ambiguous")
+    return rows.join(own, ["path", "id"], "left").drop("inside", "after", "ambiguous")
 
 
 def declared(files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -67,8 +66,8 @@ def declared(files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame
     turn = Window.partitionBy("trace_id").orderBy("path", "line")
     sound = sound.withColumn("turn", F.row_number().over(turn)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("trace_id")))
     twice = findings(sound.filter("n > 1"), "TL001", detail=F.col("n"), line="line")
-    first = attached(sound.filter("turn = 1").drop("turn", "n"), symbols, files)
-    texts = first.join(files.select("path", "text"), "path")
+    first = sound.filter("turn = 1").drop("turn", "n")
+    texts = attached(first.drop("edges", "expects", "problems"), symbols, files).join(files.select("path", "text"), "path")
     # A symbol's own hash, or that of the marked text where there is none.
     block = F.when(F.col("s").isNull(), F.col("text")).otherwise(F.array_join(F.slice(tx.lines(F.col("text")), F.col("s"), F.col("e") - F.col("s") + 1), "\n"))
     nodes = texts.select("trace_id", F.col("type").alias("node_type"), "title", "path", F.coalesce("s", "line").cast("int").alias("s"), F.coalesce("e", "line").cast("int").alias("e"), F.coalesce("hash", tx.fingerprint(block)).alias("fingerprint"), "attachment", F.coalesce("parser", F.lit("generic")).alias("parser"), F.lit(CURRENT).alias("status"), F.lit(True).alias("active"))
@@ -100,7 +99,7 @@ def merged_nodes(previous: DataFrame, parsed: DataFrame, changed_paths: DataFram
     gone = previous.join(parsed.select("trace_id"), "trace_id", "left_anti")
     if changed_paths is None:
         return parsed.unionByName(gone.withColumn("active", F.lit(False)).select(parsed.columns)), gone.select("trace_id")
-    touched = changed_paths.select("path").distinct()
+    touched = changed_paths.select("path")
     deleted = gone.filter("active").join(touched, "path", "left_semi").withColumn("active", F.lit(False))
     stays = gone.join(touched, "path", "left_anti")
     return parsed.unionByName(deleted.select(parsed.columns)).unionByName(stays.select(parsed.columns)), deleted.select("trace_id")
@@ -113,7 +112,7 @@ def merged_findings(previous: DataFrame, fresh: DataFrame, changed_paths: DataFr
     """
     if changed_paths is None:
         return fresh.distinct()
-    stays = previous.filter("rule <> 'TL002'").join(changed_paths.select("path").distinct(), "path", "left_anti")
+    stays = previous.filter("rule <> 'TL002'").join(changed_paths.select("path"), "path", "left_anti")
     return recorded_findings(stays.select(fresh.columns), fresh).select(fresh.columns)
 
 
@@ -128,7 +127,7 @@ def run(files: DataFrame, symbols: DataFrame, previous: Index | None = None, cha
     """The index after a run over ``files`` (path, text).
 
     Without ``changed_paths`` the files are all there are; with it, only files of
-    those paths are read (a path without a file is a deleted one) and nodes,
+    those paths, and their symbols, are read (a path without a file is a deleted one) and nodes,
     edges, findings and versions merge with the index before: see
     ``merged_nodes``, ``kept_edges`` and ``merged_findings``.  A node that has
     another fingerprint on record is changed: it is current, and makes the
@@ -136,10 +135,14 @@ def run(files: DataFrame, symbols: DataFrame, previous: Index | None = None, cha
     current, but for a ``clean`` run.  ``structural`` edges are derived anew.
     The result does not depend on how changes are dealt over runs, but for
     repeated declarations, which are looked for among the files of one run.
+    Symbols, markers, nodes and edges are computed once and kept; what is left is planned where it is read.
     """
+    symbols = symbols.select("path", "id", "s", "e", "hash", "parser")
     if changed_paths is not None:
-        files = files.join(changed_paths.select("path").distinct(), "path", "left_semi")
-    nodes, edges, found = (kept(x, "index") for x in declared(files, symbols))
+        changed_paths = kept(changed_paths.select("path").distinct(), "paths")
+        files, symbols = (x.join(changed_paths, "path", "left_semi") for x in (files, symbols))
+    nodes, edges, found = declared(files, kept(symbols, "symbols"))
+    nodes = kept(nodes, "index")
     versions = nodes.select("trace_id", "fingerprint", F.lit(at).alias("observed"))
     if previous is None:
         merged, links = nodes, edges
@@ -150,7 +153,7 @@ def run(files: DataFrame, symbols: DataFrame, previous: Index | None = None, cha
         merged = carried(merged, previous.nodes, clean)
         versions = recorded_versions(previous.versions, versions)
         found = merged_findings(previous.findings, found, changed_paths)
-    merged = kept(merged, "merged")
+    merged = merged if previous is None else kept(merged, "merged")
     links = kept(links.distinct(), "links")
     altered = altered_ids(merged.filter("fingerprint is not null"), previous.versions) if previous is not None else merged.select("trace_id").limit(0)
     # Structural edges, which may be many more than all others, make nothing stale and lose no target, so only who reads the edges derives them.

@@ -101,3 +101,14 @@ def test_of_two_writers_one_publishes(spark, tmp_path):
     add = lambda tables: {n: t.unionByName(table(7)) for n, t in tables.items()}
     assert snapshots.updated(spark, root, ("a", "b"), add) == 3
     assert sorted(r.x for r in snapshots.read(spark, root, "a")[0].collect()) == sorted([now[0], 7])
+
+
+def test_symbols_are_computed_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+    files = spark.createDataFrame([(f"{n}.py", f"# trace:v1 id=impl.n{n} work=WORK-1\ndef f():\n    pass\n") for n in range(4)], "path string, text string")
+    found = spark.createDataFrame([(f"{n}.py", "f", 2, 3, "h", "ast") for n in range(4)], "path string, id string, s int, e int, hash string, parser string")
+    found = found.withColumn("s", F.udf(lambda s: reads.add(1) or s, "int")("s"))
+    one = index.run(files, found)
+    assert rows(one.nodes, "trace_id", "s", "attachment") == [f"('impl.n{n}', 2, 'symbol')" for n in range(4)]
+    assert rows(one.edges, "f", "t", "line") == [f"('impl.n{n}', 'WORK-1', 1)" for n in range(4)]
+    assert reads.value == 4
