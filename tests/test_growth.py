@@ -108,3 +108,11 @@ def test_ties_to_nine_places_go_to_the_smaller_id(spark, tmp_path):
         own_rows = sorted((r["rank"], round(r["score"], 9), r["id"]) for r in rows if r["query"] == q)
         assert [x[0] for x in own_rows] == list(range(1, 16))
         assert [x[1:] for x in own_rows] == sorted(x[1:] for x in own_rows)
+
+
+def test_lines_and_ranges_are_not_sent_through_the_driver(spark, crowd):
+    """Packed they are under any limit of size: here all of them would be broadcast."""
+    spans, points = crowd
+    for made in (structure.covered_lines(points, spans), structure.narrowest(points, spans), structure.overlapping(points.select("path", F.col("point").alias("rid"), F.col("line").alias("s"), F.col("line").alias("e")), spans)):
+        made.collect()
+        assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
