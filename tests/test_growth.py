@@ -113,6 +113,6 @@ def test_ties_to_nine_places_go_to_the_smaller_id(spark, tmp_path):
 def test_lines_and_ranges_are_not_sent_through_the_driver(spark, crowd):
     """Packed they are under any limit of size: here all of them would be broadcast."""
     spans, points = crowd
-    for made in (structure.covered_lines(points, spans), structure.narrowest(points, spans), structure.overlapping(points.select("path", F.col("point").alias("rid"), F.col("line").alias("s"), F.col("line").alias("e")), spans)):
+    for made in (structure.covered_lines(points, spans), structure.unmarked(spans, spans.select("path", F.col("s").alias("line")), points.select("path", "line")), structure.narrowest(points, spans), structure.overlapping(points.select("path", F.col("point").alias("rid"), F.col("line").alias("s"), F.col("line").alias("e")), spans)):
         made.collect()
         assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
