@@ -6,7 +6,7 @@ name before, where the commit renamed the file).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import kept
@@ -30,11 +30,32 @@ def names(paths: DataFrame, commits: DataFrame) -> DataFrame:
         moves = kept(moves.join(further, "older").select("name", F.col("oldest").alias("older")).distinct(), "moves")
 
 
-def file_history(paths: DataFrame, commits: DataFrame, most: int | None = None) -> DataFrame:
-    """Commits of each path and its earlier names, newest first by ``rank``: path, name, sha, author, date, summary, rank."""
-    rows = names(paths, commits).join(commits.select(F.col("path").alias("name"), "sha", "author", "date", "summary", "seq"), "name")
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(F.col("seq").desc(), "sha", "name")))
-    rows = rows if most is None else rows.filter(F.col("rank") <= most)
+def _under_all_names(paths: DataFrame, commits: DataFrame) -> DataFrame:
+    return names(paths, commits).join(commits.select(F.col("path").alias("name"), "sha", "author", "date", "summary", "seq"), "name")
+
+
+def _newest_first() -> list[Column]:
+    return [F.desc("seq"), F.asc("sha"), F.asc("name")]
+
+
+def file_history(paths: DataFrame, commits: DataFrame) -> DataFrame:
+    """All commits of each path and its earlier names, newest first by ``rank``: path, name, sha, author, date, summary, rank.
+
+    Commits are dealt by ranges of that order, ranked in their range, and moved
+    on by the ranges before it, so that no path's history needs one task.
+    """
+    rows = _under_all_names(paths, commits).repartitionByRange("path", *_newest_first()).withColumn("part", F.spark_partition_id())
+    rows = kept(rows, "history")
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy("path", "part").agg(F.count(F.lit(1)).alias("n")).select("path", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    own = F.row_number().over(Window.partitionBy("path", "part").orderBy(*_newest_first()))
+    rows = rows.withColumn("own", own).join(ahead.hint("merge"), ["path", "part"])
+    return rows.select("path", "name", "sha", "author", "date", "summary", (F.col("own") + F.col("ahead")).cast("int").alias("rank"))
+
+
+def last_commits(paths: DataFrame, commits: DataFrame, most: int) -> DataFrame:
+    """The ``most`` newest rows of ``file_history`` for each path."""
+    rows = _under_all_names(paths, commits).withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(*_newest_first()))).filter(F.col("rank") <= most)
     return rows.select("path", "name", "sha", "author", "date", "summary", "rank")
 
 
