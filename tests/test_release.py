@@ -24,6 +24,15 @@ def test_rules_send_no_graph_through_the_driver(spark, small):
     assert "BroadcastHashJoin" not in plan(b.links)
 
 
+def test_release_findings_are_stored_rule_by_rule(spark, small, monkeypatch):
+    made = []
+    monkeypatch.setattr(policy, "kept", lambda df, name, kept=policy.kept: made.append(name) or kept(df, name))
+    b = queries.Bridge(spark, small)
+    found = queries.release_findings(b, "TL014", "TL020", "TL061")
+    assert made == ["findings-TL014", "findings-TL020", "findings-TL061"]
+    assert {r.rule for r in found.select("rule").distinct().collect()} == set(queries.release_findings(queries.Bridge(spark, small)).filter("rule in ('TL014', 'TL020', 'TL061')").toPandas()["rule"])
+
+
 def test_waivers_of_every_shape(spark):
     some = [None, "a", "b"]
     found = [(rule, i, p) for rule in ("TL010", "TL020", "TL061") for i in some for p in some]
