@@ -101,7 +101,7 @@ def search(docs: DataFrame, columns: list[str], query: str, k: int = 20) -> Data
 
 def _counted(w):
     """Words in order as (term, n), each once: where each begins, up to where the next does."""
-    begins = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.element_at(w, i) != F.element_at(w, F.greatest(i - 1, F.lit(1)))))
+    begins = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (x != F.get(w, i - 1)), i + 1)), F.isnotnull)
     ends = F.concat(F.slice(begins, 2, F.size(w)), F.array(F.size(w) + 1))
     counted = F.zip_with(begins, ends, lambda i, j: F.struct(F.element_at(w, i).alias("term"), (j - i).cast("long").alias("n")))
     return F.when(F.size(w) > 0, counted)
@@ -150,8 +150,10 @@ class StoredIndex:
     def update(self, docs: DataFrame, removed: DataFrame | None = None) -> int:
         """Puts ``docs`` in place of those with their ids, and takes ``removed`` (id) out; the first call builds the index."""
         base, _ = snapshots.current(self.spark, self.root)
-        words = docs.select("id", F.array_sort(tokens(F.concat_ws(" ", *self.columns))).alias("w"))
-        lengths = words.select("id", F.size("w").alias("length"))
+        text = F.concat_ws(" ", *self.columns)
+        # By sort_array: array_sort calls a comparator for each two words.
+        words = docs.select("id", F.sort_array(tokens(text)).alias("w"))
+        lengths = docs.select("id", F.size(tokens(text)).alias("length"))
         generation = f"{base + 1}-{uuid.uuid4().hex}"
         where = f"{self.root}/postings/generation={generation}"
         # A document's words are counted where they are and dealt by bucket once.
@@ -170,9 +172,9 @@ class StoredIndex:
         return snapshots.read(self.spark, self.root, "documents")[0]
 
     def postings(self, buckets: list[int]) -> DataFrame:
-        """Postings of some buckets that count: (id, term, n)."""
+        """Postings of some buckets that count: (id, term, n), and their documents' length."""
         rows = self.spark.read.option("basePath", f"{self.root}/postings").parquet(f"{self.root}/postings").filter(F.col("bucket").isin(*buckets))
-        return rows.join(self.documents().select("id", "generation"), ["id", "generation"]).select("id", "term", "n")
+        return rows.join(self.documents().select("id", "generation", "length"), ["id", "generation"]).select("id", "term", "n", "length")
 
     def best(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query, id, score, rank): the ``k`` best documents of each of ``queries`` (query, text) that hold all its words; smaller scores are better.
@@ -194,7 +196,7 @@ class StoredIndex:
         met = kept(self.postings(buckets).join(asked.select("term"), "term", "left_semi"), "query-postings")
         df = met.groupBy("term").agg(F.count(F.lit(1)).alias("d"))
         totals = self.documents().agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
-        rows = met.join(df, "term").join(self.documents().select("id", "length"), "id").join(F.broadcast(totals))  # one row
+        rows = met.join(df, "term").join(F.broadcast(totals))  # one row
         idf = F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col("d") + 0.5) / (F.col("d") + 0.5)))
         part = idf * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
         across, down = (df.count() // size + 1 for df, size in ((self.documents(), DOCS), (sets, SETS)))

@@ -139,3 +139,17 @@ def test_a_session_searches_its_stored_index(spark, tmp_path):
     session.Traceability(nodes("impl.two", "impl.three"), edges).write(str(tmp_path), "2")
     own = session.Traceability.read(spark, str(tmp_path))
     assert [r.id for r in own.search("impl").collect()] == ["impl.three", "impl.two"] and own.search("one").count() == 0 and [r.id for r in own.search("l.th").collect()] == ["impl.three"]
+
+
+def test_index_counts_words_without_comparators(spark, tmp_path, monkeypatch):
+    """Words are sorted natively, a document's length asks for no order, and a search reads lengths with the postings."""
+    plans = []
+    own = search.StoredIndex(spark, str(tmp_path / "i"), ["text"])
+    monkeypatch.setattr(search.snapshots, "publish", lambda tables, *a, f=search.snapshots.publish: plans.append(tables["documents"]._jdf.queryExecution().optimizedPlan().toString()) or f(tables, *a))
+    rng = random.Random(2)
+    texts = {n: " ".join(rng.choice(["a", "b", "ab", "A", "é", "9"]) for _ in range(rng.randrange(12))) for n in range(200)} | {200: "", 201: "a"}
+    own.update(spark.createDataFrame(list(texts.items()), "id long, text string"))
+    assert "sort" not in plans[0].lower()
+    words = {n: [w for w in t.lower().split() if w != "é"] for n, t in texts.items()}
+    want = sorted((n, w, ws.count(w), len(ws)) for n, ws in words.items() for w in set(ws))
+    assert sorted(tuple(r[c] for c in ("id", "term", "n", "length")) for r in own.postings(list(range(search.BUCKETS))).collect()) == want
